@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from thermocline.functions import text, tiers
-from thermocline.operators.similarity import similarity_hits
+from thermocline.operators.similarity import Layout, similarity_hits
 from thermocline.session import materialize
 
 _BEST_FIRST = ("-score", "doc_id")
@@ -20,27 +20,32 @@ def _ranked(hits: DataFrame, keys: list[str], order: tuple[str, ...], k: int, na
     return hits.withColumn(name, rank).where(F.col(name) <= k)
 
 
-def similar_pairs(docs: DataFrame, queries: DataFrame, threshold: float, **layout) -> DataFrame:
+def best_first(hits: DataFrame, k: int) -> DataFrame:
+    """Best k hits per query by score, ties by document id."""
+    return _ranked(hits, ["query_id"], _BEST_FIRST, k)
+
+
+def similar_pairs(docs: DataFrame, queries: DataFrame, threshold: float, layout: Layout = Layout()) -> DataFrame:
     """All (query, document) pairs with score >= threshold, with their cosine distance."""
-    hits = similarity_hits(docs.select("doc_id", "embedding"), queries, threshold, **layout)
+    hits = similarity_hits(docs.select("doc_id", "embedding"), queries, threshold, layout=layout)
     return hits.select("query_id", "doc_id", "score", (F.lit(1.0) - F.col("score")).alias("distance"))
 
 
-def baseline_topk(docs: DataFrame, queries: DataFrame, k: int, threshold: float | None = None, **layout) -> DataFrame:
+def baseline_topk(docs: DataFrame, queries: DataFrame, k: int, threshold: float | None = None, layout: Layout = Layout()) -> DataFrame:
     """Plain top-k over one store. ``threshold`` is accepted and has no effect: the baseline never filters."""
-    hits = similarity_hits(docs.select("doc_id", "embedding"), queries, None, k, **layout)
-    return _ranked(hits.drop("tier"), ["query_id"], _BEST_FIRST, k)
+    hits = similarity_hits(docs.select("doc_id", "embedding"), queries, None, k, layout=layout)
+    return best_first(hits.drop("tier"), k)
 
 
-def threshold_topk(docs: DataFrame, queries: DataFrame, k: int, threshold: float, **layout) -> DataFrame:
+def threshold_topk(docs: DataFrame, queries: DataFrame, k: int, threshold: float, layout: Layout = Layout()) -> DataFrame:
     """Best k documents of one tier among those with score >= threshold."""
-    hits = similarity_hits(docs.select("doc_id", "embedding"), queries, threshold, k, **layout)
-    return _ranked(hits.drop("tier"), ["query_id"], _BEST_FIRST, k)
+    hits = similarity_hits(docs.select("doc_id", "embedding"), queries, threshold, k, layout=layout)
+    return best_first(hits.drop("tier"), k)
 
 
-def tier_candidates(tiered: DataFrame, queries: DataFrame, k: int, threshold: float, **layout) -> DataFrame:
+def tier_candidates(tiered: DataFrame, queries: DataFrame, k: int, threshold: float, layout: Layout = Layout()) -> DataFrame:
     """Best k hits per (query, tier) with score >= threshold; small, and enough for every cascade above it."""
-    hits = similarity_hits(tiered.select("doc_id", "tier", "embedding"), queries, threshold, k, **layout)
+    hits = similarity_hits(tiered.select("doc_id", "tier", "embedding"), queries, threshold, k, layout=layout)
     return _ranked(hits, ["query_id", "tier"], _BEST_FIRST, k, "tier_rank")
 
 
@@ -50,62 +55,57 @@ def cascade(candidates: DataFrame, k: int, keys: tuple[str, ...] = ("query_id",)
     return ranked.withColumn("source", tiers.source_label(F.col("tier"))).drop("tier_rank")
 
 
-def cascade_topk(tiered: DataFrame, queries: DataFrame, k: int, threshold: float, **layout) -> DataFrame:
+def cascade_topk(tiered: DataFrame, queries: DataFrame, k: int, threshold: float, layout: Layout = Layout()) -> DataFrame:
     """Cascaded top-k in one pass, for tiers that do not share documents.
 
     ``(query_id, rank, doc_id, score, tier, source)``
     """
-    hits = similarity_hits(tiered.select("doc_id", "tier", "embedding"), queries, threshold, k, **layout)
+    hits = similarity_hits(tiered.select("doc_id", "tier", "embedding"), queries, threshold, k, layout=layout)
     return cascade(hits, k)
 
 
-def cascade_sweep(tiered: DataFrame, queries: DataFrame, k: int, thresholds: list[float], **layout) -> DataFrame:
+def cascade_sweep(tiered: DataFrame, queries: DataFrame, k: int, thresholds: list[float], layout: Layout = Layout()) -> DataFrame:
     """The cascade for several thresholds from one similarity pass; adds ``threshold``.
 
     A tier's hits are sorted by score, so its best k at the lowest threshold
     contain its best k at every higher one.
     """
-    candidates = tier_candidates(tiered, queries, k, min(thresholds), **layout)
+    candidates = tier_candidates(tiered, queries, k, min(thresholds), layout=layout)
     levels = F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))
     spread = candidates.withColumn("threshold", levels).where(F.col("score") >= F.col("threshold"))
     return cascade(spread, k, ("threshold", "query_id"))
 
 
-def cascade_staged(tiered: DataFrame, queries: DataFrame, k: int, threshold: float, **layout) -> DataFrame:
+def cascade_staged(tiered: DataFrame, queries: DataFrame, k: int, threshold: float, layout: Layout = Layout()) -> DataFrame:
     """Cascaded top-k tier by tier, for tiers that may share documents.
 
     Each stage reads only its tier's partition and only asks for queries that
     are still short of k. A colder tier returns its ``remaining`` nearest
     before repeats are dropped, and dropped repeats are not refilled.
     """
-    open_queries = materialize(
-        queries.select("query_id", "embedding", F.lit(k).alias("remaining")), "cascade-queries"
-    )
+    asked = queries.select("query_id", "embedding").withColumn("remaining", F.lit(k))
     found: DataFrame | None = None
     for tier in (tiers.HOT, tiers.WARM, tiers.COLD):
-        if open_queries.isEmpty():
-            break
-        docs = tiered.where(F.col("tier") == tier)
-        nearest = threshold_topk(docs, open_queries, k, threshold, **layout)
-        wanted = nearest.join(open_queries.select("query_id", "remaining"), "query_id").where(
-            F.col("rank") <= F.col("remaining")
-        )
         if found is not None:
-            wanted = wanted.join(found.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
-        stage = wanted.select("query_id", F.lit(tier).alias("tier"), "doc_id", "score")
-        stage = materialize(stage, f"cascade-tier{tier}")
-        found = stage if found is None else found.unionByName(stage)
-        if tier != tiers.COLD:
-            taken = stage.groupBy("query_id").agg(F.count(F.lit(1)).alias("taken"))
-            open_queries = materialize(
-                open_queries.join(taken, "query_id", "left")
-                .withColumn("remaining", (F.col("remaining") - F.coalesce("taken", F.lit(0))).cast("int"))
-                .where(F.col("remaining") > 0).drop("taken"),
-                "cascade-queries",
+            taken = found.groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("taken"))
+            still_open = asked.join(taken, "query_id", "left").select(
+                "query_id", "embedding", (F.col("remaining") - F.coalesce("taken", F.lit(0))).alias("remaining")
+            ).where(F.col("remaining") > 0)
+            if still_open.isEmpty():
+                break
+        else:
+            still_open = asked
+        nearest = threshold_topk(tiered.where(F.col("tier") == tier), still_open, k, threshold, layout)
+        stage = nearest
+        if found is not None:
+            stage = (
+                nearest.join(still_open.select("query_id", "remaining"), "query_id")
+                .where(F.col("rank") <= F.col("remaining"))
+                .join(found.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
             )
-    if found is None:  # no query at all
-        empty = "query_id bigint, tier int, doc_id bigint, score double"
-        found = tiered.sparkSession.createDataFrame([], empty)
+        stage = stage.select("query_id", F.lit(tier).alias("tier"), "doc_id", "score")
+        stage = materialize(stage, f"cascade-tier{tier}")  # at most k rows per query; later stages start from here
+        found = stage if found is None else found.unionByName(stage)
     return cascade(found, k)
 
 

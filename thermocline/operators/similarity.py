@@ -5,13 +5,16 @@ row per pair: Spark partitions the documents, each task multiplies a batch of
 documents with a block of queries and emits only what survives (a sum per
 document, or the best hits per query).
 
-Two layouts, chosen by the measured size of the query set:
-
-* *broadcast* - the query matrix is at most ``broadcast_bytes``; it is sent to
-  every executor once and the documents are never shuffled.
-* *tiles* - a larger query set is hashed into G groups and the documents into
-  H groups; every (document group, query group) tile is one bounded task. Both
-  sides are spread by a hash of the row id, so no key, copy group or source
+The layout follows the measured size of the query set:
+
+* *broadcast* - at most ``broadcast_bytes``: the query matrix goes to every
+  executor once, documents are scanned once and never shuffled.
+* *passes* - up to ``max_passes`` such blocks: one broadcast and one document
+  scan per block, still without a shuffle of documents. Reading them again is
+  far cheaper than shuffling them, and both are small next to the products.
+* *tiles* - beyond that: queries are hashed into G groups and documents into H
+  groups, every (document group, query group) tile is one bounded task. Rows
+  are spread by a hash of their content, so no key, source or group of copies
   can make a tile heavy, and nothing passes through the driver.
 """
 
@@ -20,6 +23,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,19 +32,28 @@ from pyspark.sql import functions as F
 
 from thermocline.functions.vectors import SCORE_DIGITS
 
-BROADCAST_BYTES = 256 * 1024 * 1024
-TILE_BYTES = 64 * 1024 * 1024
+_SLACK = 10.0 ** -(SCORE_DIGITS - 1)
 _QUERY_STEP = 1024  # queries multiplied at once
 _DOC_STEP = 4096  # documents multiplied at once
-_SLACK = 10.0 ** -(SCORE_DIGITS - 1)
+_TASKS_PER_CORE = 4  # tasks that keep a top-k; more tasks would only emit more candidates
+
+
+@dataclass(frozen=True)
+class Layout:
+    """Size limits in bytes of stored components."""
+
+    broadcast_bytes: int = 192 * 1024 * 1024
+    max_passes: int = 16
+    tile_query_bytes: int = 64 * 1024 * 1024
+    tile_doc_bytes: int = 512 * 1024 * 1024
 
 
 # --------------------------------------------------------------------------
 # numpy helpers that run inside tasks
 
 
-def _matrix(lists, dim: int) -> np.ndarray:
-    """Rows of a list column as a float64 matrix of unit vectors (zero rows stay zero)."""
+def _components(lists, dim: int) -> np.ndarray:
+    """Rows of a list column as a matrix of its own float type."""
     if isinstance(lists, pa.ChunkedArray):
         lists = lists.combine_chunks()
     if lists.null_count:
@@ -48,91 +61,137 @@ def _matrix(lists, dim: int) -> np.ndarray:
     values = lists.flatten().to_numpy(zero_copy_only=False)
     if len(values) != len(lists) * dim or np.any(np.diff(lists.offsets.to_numpy()) != dim):
         raise ValueError(f"a vector does not have {dim} components")
-    rows = values.astype(np.float64).reshape(len(lists), dim)
+    return values.reshape(len(lists), dim)
+
+
+def unit_rows(rows: np.ndarray) -> np.ndarray:
+    """Rows divided by their length, in float64; zero rows stay zero."""
+    rows = rows.astype(np.float64)
     length = np.sqrt(np.einsum("ij,ij->i", rows, rows))
     return rows / np.where(length > 0.0, length, 1.0)[:, None]
 
 
+def unit_matrix(lists, dim: int) -> np.ndarray:
+    return unit_rows(_components(lists, dim))
+
+
 def _ints(column) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     return column.to_numpy(zero_copy_only=False)
 
 
-def _doc_batches(batches, dim: int, with_tier: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+@dataclass(frozen=True)
+class QueryBlock:
+    """Queries of one task: ids and stored components, made unit vectors a few at a time."""
+
+    ids: np.ndarray
+    rows: np.ndarray
+
+    @staticmethod
+    def of(table: pa.Table, dim: int) -> QueryBlock:
+        """Zero vectors are left out: they have no direction and therefore no hits."""
+        ids = _ints(table.column("query_id")).astype(np.int64)
+        rows = _components(table.column("embedding"), dim) if len(ids) else np.zeros((0, dim))
+        keep = np.any(rows != 0.0, axis=1)
+        return QueryBlock(ids[keep], rows[keep])
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+    def units(self, at) -> np.ndarray:
+        return unit_rows(self.rows[at])
+
+
+@dataclass(frozen=True)
+class DocBatch:
+    ids: np.ndarray
+    tiers: np.ndarray
+    units: np.ndarray
+    source: pa.RecordBatch
+
+
+def _doc_batches(batches, dim: int) -> Iterator[DocBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, _DOC_STEP):
             part = batch.slice(start, _DOC_STEP)
             ids = _ints(part.column("doc_id"))
+            with_tier = "tier" in part.schema.names
             tiers = _ints(part.column("tier")) if with_tier else np.zeros(len(ids), dtype=np.int32)
-            yield ids, tiers, _matrix(part.column("embedding"), dim)
-
-
-def _usable(ids: np.ndarray, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Drop zero-vector queries: they have no direction and therefore no hits."""
-    keep = np.any(units != 0.0, axis=1)
-    return ids[keep], units[keep]
+            yield DocBatch(ids, tiers, unit_matrix(part.column("embedding"), dim), part)
 
 
+@dataclass(frozen=True)
 class _Warmth:
     """Per document: sum of positive similarities, plus the plain profile of all of them."""
 
-    columns = ("temperature", "sim_min", "sim_max", "sim_sum", "n_queries")
+    keep_vectors: bool
 
-    def run(self, docs, query_ids: np.ndarray, queries: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for ids, _, matrix in docs:
-            warm = np.zeros(len(ids))
-            total = np.zeros(len(ids))
-            low = np.full(len(ids), np.inf)
-            high = np.full(len(ids), -np.inf)
+    def run(self, docs: Iterator[DocBatch], queries: QueryBlock) -> Iterator[pa.RecordBatch]:
+        for batch in docs:
+            n = len(batch.ids)
+            warm, total = np.zeros(n), np.zeros(n)
+            low, high = np.full(n, np.inf), np.full(n, -np.inf)
             for start in range(0, len(queries), _QUERY_STEP):
-                sims = matrix @ queries[start : start + _QUERY_STEP].T
+                sims = batch.units @ queries.units(slice(start, start + _QUERY_STEP)).T
                 total += sims.sum(axis=1)
                 np.minimum(low, sims.min(axis=1), out=low)
                 np.maximum(high, sims.max(axis=1), out=high)
                 warm += np.maximum(sims, 0.0, out=sims).sum(axis=1)
-            count = np.full(len(ids), len(queries), dtype=np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (ids, warm, low, high, total, count)], names=["doc_id", *self.columns]
-            )
+            low, high = np.round(low, SCORE_DIGITS), np.round(high, SCORE_DIGITS)
+            count = np.full(n, len(queries), dtype=np.int64)
+            columns = [pa.array(x) for x in (batch.ids, warm, low, high, total, count)]
+            names = ["doc_id", "temperature", "sim_min", "sim_max", "sim_sum", "n_queries"]
+            if self.keep_vectors:
+                columns.append(batch.source.column("embedding"))
+                names.append("embedding")
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
 @dataclass
-class _Hits:
+class Hits:
     """Hits with score >= floor, per (query, tier) the best k of this task (all of them when k is None)."""
 
     k: int | None
     floor: float
 
-    def run(self, docs, query_ids: np.ndarray, queries: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if not len(queries):
-            return
+    def run(self, docs: Iterator[DocBatch], queries: QueryBlock) -> Iterator[pa.RecordBatch]:
+        everyone = np.arange(len(queries))
+
+        def parts():
+            for batch in docs:
+                for tier in np.unique(batch.tiers):
+                    members = batch.tiers == tier
+                    yield int(tier), everyone, batch.ids[members], batch.units[members]
+
+        yield from self.collect(parts(), queries)
+
+    def collect(self, parts, queries: QueryBlock) -> Iterator[pa.RecordBatch]:
+        """Hits of ``(tier, positions of the asking queries, document ids, unit vectors)`` parts."""
         held: list[tuple[np.ndarray, ...]] = []
         held_rows = 0
         bars: dict[int, np.ndarray] = {}  # per tier: score a new hit must reach, per query
-        for ids, tiers, matrix in docs:
-            for tier in np.unique(tiers):
-                members = tiers == tier
-                bar = bars.setdefault(int(tier), np.full(len(queries), self.floor))
-                for start in range(0, len(queries), _QUERY_STEP):
-                    found = self._block(queries[start : start + _QUERY_STEP], matrix[members], ids[members],
-                                        bar[start : start + _QUERY_STEP])
-                    if not len(found[0]):
-                        continue
-                    rows = (found[0] + start, np.full(len(found[0]), tier, dtype=np.int32), found[1], found[2])
-                    if self.k is None:
-                        yield self._emit(rows, query_ids)
-                    else:
-                        held.append(rows)
-                        held_rows += len(rows[0])
+        for tier, askers, ids, units in parts:
+            bar = bars.setdefault(tier, np.full(len(queries), self.floor))
+            for start in range(0, len(askers), _QUERY_STEP):
+                at = askers[start : start + _QUERY_STEP]
+                found, scores, doc_ids = self._block(queries.units(at), units, ids, bar[at])
+                if not len(found):
+                    continue
+                rows = (at[found], np.full(len(found), tier, dtype=np.int32), scores, doc_ids)
+                if self.k is None:
+                    yield self._emit(rows, queries.ids)
+                else:
+                    held.append(rows)
+                    held_rows += len(found)
             if held_rows > 1_000_000 + 8 * (self.k or 0) * len(queries):
                 held = [self._best(held, bars)]
                 held_rows = len(held[0][0])
         if held:
-            yield self._emit(self._best(held, bars), query_ids)
+            yield self._emit(self._best(held, bars), queries.ids)
 
-    def _block(self, queries, matrix, ids, bar):
-        sims = queries @ matrix.T
+    def _block(self, queries, docs, ids, bar):
+        sims = queries @ docs.T
         cut = bar
         if self.k is not None and len(ids) > self.k:
             crowded = np.count_nonzero(sims >= (bar - _SLACK)[:, None]) > 4 * self.k * len(queries)
@@ -151,8 +210,10 @@ class _Hits:
         first[1:] = (query_at[1:] != query_at[:-1]) | (tiers[1:] != tiers[:-1])
         starts = np.flatnonzero(first)
         rank = np.arange(len(ids)) - np.repeat(starts, np.diff(np.append(starts, len(ids))))
-        for at in np.flatnonzero(rank == self.k - 1):
-            bars[int(tiers[at])][query_at[at]] = scores[at]
+        full = rank == self.k - 1
+        for tier, bar in bars.items():
+            here = full & (tiers == tier)
+            bar[query_at[here]] = scores[here]
         keep = rank < self.k
         return query_at[keep], tiers[keep], scores[keep], ids[keep]
 
@@ -189,98 +250,108 @@ def vector_stats(vectors: DataFrame) -> VectorStats:
     return VectorStats(row["n"], row["hi"] or 0)
 
 
-def _run(docs: DataFrame, queries: DataFrame, work, schema: str, with_tier: bool,
-         broadcast_bytes: int, tile_bytes: int) -> tuple[DataFrame, bool]:
-    """Apply ``work`` to all pairs; the flag says whether a document is seen by several tasks."""
-    doc_columns = ["doc_id", "tier", "embedding"] if with_tier else ["doc_id", "embedding"]
-    docs = docs.select(*doc_columns)
-    queries = queries.select("query_id", "embedding")
-    stats = vector_stats(queries)
-    if stats.bytes <= broadcast_bytes:
-        return _broadcast_layout(docs, queries, stats.dim, work, schema, with_tier), False
-    return _tile_layout(docs, queries, stats, work, schema, with_tier, tile_bytes), True
-
+def run_pairs(docs: DataFrame, queries: DataFrame, work, schema: str, layout: Layout) -> tuple[DataFrame, bool]:
+    """Apply ``work`` to all pairs; the flag says whether a document is seen by several tasks.
 
-def _broadcast_layout(docs, queries, dim, work, schema, with_tier):
-    table = queries.toArrow()  # size checked by the caller
-    ids = _ints(table.column("query_id")).astype(np.int64)
-    units = _matrix(table.column("embedding"), dim) if len(ids) else np.zeros((0, dim))
-    shared = docs.sparkSession.sparkContext.broadcast(_usable(ids, units))
+    ``docs(doc_id, embedding[, tier])``, ``queries(query_id, embedding)``.
+    """
+    asked = queries.select("query_id", "embedding").persist()  # read for its size, then for its vectors
+    try:
+        stats = vector_stats(asked)
+        passes = max(1, math.ceil(stats.bytes / layout.broadcast_bytes))
+        if passes == 1:
+            return _broadcast_pass(docs, asked, stats.dim, work, schema), False
+        if passes <= layout.max_passes:
+            block = F.pmod(F.xxhash64("query_id"), F.lit(passes))
+            parts = [
+                _broadcast_pass(docs, asked.where(block == number), stats.dim, work, schema) for number in range(passes)
+            ]
+            return reduce(DataFrame.unionByName, parts), True
+    finally:
+        asked.unpersist()
+    return _tiles(docs, queries.select("query_id", "embedding"), stats, work, schema, layout), True
+
+
+def _broadcast_pass(docs: DataFrame, queries: DataFrame, dim: int, work, schema: str) -> DataFrame:
+    block = QueryBlock.of(queries.toArrow(), dim)  # size checked by the caller
+    shared = docs.sparkSession.sparkContext.broadcast((block.ids, block.rows))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, matrix = shared.value
-        if len(query_ids):
-            yield from work.run(_doc_batches(batches, dim, with_tier), query_ids, matrix)
+        here = QueryBlock(*shared.value)
+        if len(here):
+            yield from work.run(_doc_batches(batches, dim), here)
 
     return docs.mapInArrow(task, schema)
 
 
-def _tile_layout(docs, queries, stats, work, schema, with_tier, tile_bytes):
-    doc_stats = vector_stats(docs)
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "array<float>": pa.list_(pa.float32())}
+
+
+def _tiles(docs: DataFrame, queries: DataFrame, stats: VectorStats, work, schema: str, layout: Layout) -> DataFrame:
     dim = stats.dim
-    query_groups = max(1, math.ceil(stats.bytes / tile_bytes))
-    doc_groups = max(1, math.ceil(doc_stats.bytes / tile_bytes))
+    query_groups = max(1, math.ceil(stats.bytes / layout.tile_query_bytes))
+    doc_groups = max(1, math.ceil(vector_stats(docs).bytes / layout.tile_doc_bytes))
 
     # both sides may come from one table; fresh column identities keep the join unambiguous
     docs, queries = docs.toDF(*docs.columns), queries.toDF(*queries.columns)
-    # the row's own hash spreads copies of one id as well as distinct ids
-    spread = lambda key, n: F.pmod(F.xxhash64(key, "embedding"), F.lit(n)).cast("int")
-    tiles_of_docs = docs.withColumn("doc_group", spread("doc_id", doc_groups)).withColumn(
-        "query_group", F.explode(F.sequence(F.lit(0), F.lit(query_groups - 1)))
-    )
-    tiles_of_queries = queries.withColumn("query_group", spread("query_id", query_groups)).withColumn(
-        "doc_group", F.explode(F.sequence(F.lit(0), F.lit(doc_groups - 1)))
+    group = lambda key, n: F.pmod(F.xxhash64(key, "embedding"), F.lit(n)).cast("int")
+    all_groups = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = docs.withColumn("doc_group", group("doc_id", doc_groups)).withColumn("query_group", all_groups(query_groups))
+    right = queries.withColumn("query_group", group("query_id", query_groups)).withColumn(
+        "doc_group", all_groups(doc_groups)
     )
     fields = pa.schema([(name, _ARROW[kind]) for name, kind in (part.split() for part in schema.split(", "))])
 
-    def tile(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
+    def tile(tile_docs: pa.Table, tile_queries: pa.Table) -> pa.Table:
+        here = QueryBlock.of(tile_queries, dim)
+        if not tile_docs.num_rows or not len(here):
             return fields.empty_table()
-        ids, units = _usable(_ints(right.column("query_id")).astype(np.int64), _matrix(right.column("embedding"), dim))
-        if not len(ids):
-            return fields.empty_table()
-        left = left.combine_chunks()
-        return pa.Table.from_batches(list(work.run(_doc_batches([left], dim, with_tier), ids, units)), schema=fields)
+        out = work.run(_doc_batches(tile_docs.to_batches(), dim), here)
+        return pa.Table.from_batches([batch.cast(fields) for batch in out], schema=fields)
 
-    return (
-        tiles_of_docs.groupBy("doc_group", "query_group")
-        .cogroup(tiles_of_queries.groupBy("doc_group", "query_group"))
-        .applyInArrow(tile, schema)
-    )
+    keys = ["doc_group", "query_group"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(tile, schema)
 
 
-_ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
 _WARMTH_SCHEMA = "doc_id long, temperature double, sim_min double, sim_max double, sim_sum double, n_queries long"
-_HITS_SCHEMA = "query_id long, tier int, doc_id long, score double"
+HITS_SCHEMA = "query_id long, tier int, doc_id long, score double"
 
 
-def document_warmth(docs: DataFrame, queries: DataFrame, broadcast_bytes: int = BROADCAST_BYTES,
-                    tile_bytes: int = TILE_BYTES) -> DataFrame:
+def document_warmth(docs: DataFrame, queries: DataFrame, keep_vectors: bool = False,
+                    layout: Layout = Layout()) -> DataFrame:
     """Per document: ``temperature`` = sum of its positive similarities to the
     queries, and the minimum, maximum, sum and count of all similarities.
 
-    One row per document row; ``doc_id`` has to be unique.
+    One row per document row; ``doc_id`` has to be unique. ``keep_vectors``
+    hands the vectors through, which spares joining them back.
     """
-    out, split = _run(docs, queries, _Warmth(), _WARMTH_SCHEMA, False, broadcast_bytes, tile_bytes)
+    docs = docs.select("doc_id", "embedding")
+    if keep_vectors and vector_stats(queries).bytes <= layout.broadcast_bytes:
+        return run_pairs(docs, queries, _Warmth(True), _WARMTH_SCHEMA + ", embedding array<float>", layout)[0]
+    out, split = run_pairs(docs, queries, _Warmth(False), _WARMTH_SCHEMA, layout)
     if split:
         out = out.groupBy("doc_id").agg(
             F.sum("temperature").alias("temperature"), F.min("sim_min").alias("sim_min"),
             F.max("sim_max").alias("sim_max"), F.sum("sim_sum").alias("sim_sum"),
             F.sum("n_queries").alias("n_queries"),
         )
-    return out
+    return out.join(docs, "doc_id") if keep_vectors else out
 
 
 def similarity_hits(docs: DataFrame, queries: DataFrame, floor: float | None, k: int | None = None,
-                    broadcast_bytes: int = BROADCAST_BYTES, tile_bytes: int = TILE_BYTES) -> DataFrame:
+                    layout: Layout = Layout(), work: Hits | None = None) -> DataFrame:
     """``(query_id, tier, doc_id, score)`` for pairs with score >= ``floor``.
 
     With ``k`` each task keeps its best k per (query, tier); the rows returned
     then contain the overall best k and have to be ranked once more.
     Documents without a ``tier`` column count as tier 0.
     """
-    with_tier = "tier" in docs.columns
-    if with_tier:
-        docs = docs.withColumn("tier", F.col("tier").cast("int"))
-    work = _Hits(k, -math.inf if floor is None else floor)
-    return _run(docs, queries, work, _HITS_SCHEMA, with_tier, broadcast_bytes, tile_bytes)[0]
+    columns = [F.col("doc_id"), F.col("embedding")]
+    if "tier" in docs.columns:
+        columns.append(F.col("tier").cast("int").alias("tier"))
+    docs = docs.select(*columns)
+    if k is not None:
+        # neighbouring scan splits share a task: candidates grow with tasks, not with data
+        docs = docs.coalesce(max(64, _TASKS_PER_CORE * docs.sparkSession.sparkContext.defaultParallelism))
+    work = work or Hits(k, -math.inf if floor is None else floor)
+    return run_pairs(docs, queries, work, HITS_SCHEMA, layout)[0]

@@ -45,8 +45,9 @@ def upsert(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def get_documents(tiered: DataFrame, ids: DataFrame) -> DataFrame:
-    return tiered.join(ids.select("doc_id"), "doc_id", "left_semi")
+    """Documents asked for by id; an id may be asked for any number of times."""
+    return tiered.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
 
 
 def without_documents(tiered: DataFrame, ids: DataFrame) -> DataFrame:
-    return tiered.join(ids.select("doc_id"), "doc_id", "left_anti")
+    return tiered.join(ids.select("doc_id").distinct(), "doc_id", "left_anti")

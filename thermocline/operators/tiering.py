@@ -9,15 +9,17 @@ from pyspark.sql import functions as F
 
 from thermocline.functions import tiers as rules
 from thermocline.operators.order_stats import interpolate, lower_rank, order_statistics, upper_rank
-from thermocline.operators.similarity import document_warmth
+from thermocline.operators.similarity import Layout, document_warmth
 
 TEMPERATURE_DIGITS = 9  # temperatures are rounded before they meet a threshold derived from them
 
 
-def temperatures(docs: DataFrame, workload: DataFrame, **layout) -> DataFrame:
-    """``(doc_id, temperature)``: sum of positive cosine similarities to the workload."""
-    warmth = document_warmth(docs, workload, **layout)
-    return warmth.select("doc_id", F.round("temperature", TEMPERATURE_DIGITS).alias("temperature"))
+def temperatures(docs: DataFrame, workload: DataFrame, keep_vectors: bool = False,
+                 layout: Layout = Layout()) -> DataFrame:
+    """``(doc_id, temperature[, embedding])``: sum of positive cosine similarities to the workload."""
+    warmth = document_warmth(docs, workload, keep_vectors, layout)
+    kept = ["embedding"] if keep_vectors else []
+    return warmth.select("doc_id", F.round("temperature", TEMPERATURE_DIGITS).alias("temperature"), *kept)
 
 
 @dataclass(frozen=True)

@@ -22,7 +22,7 @@ from thermocline.operators.tiering import (
     temperatures,
 )
 from thermocline.session import materialize, scratch_path
-from thermocline.sources.queries import HELD_OUT, WORKLOAD, split_queries
+from thermocline.sources.queries import split_queries
 from thermocline.sources.vectors import read_vectors
 
 AS_OF = "2024-01-31 00:00:00"
@@ -58,12 +58,18 @@ def all_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_queries(asked, accesses(spark, sf_dir).select(F.col("doc_id").alias("query_id")))
 
 
+def _asked(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
+    seen = accesses(spark, sf_dir).select(F.col("doc_id").alias("query_id")).distinct()
+    every = vectors(spark, sf_dir).select(F.col("vec_id").alias("query_id"), "embedding")
+    return every.join(seen, "query_id", how)
+
+
 def workload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return all_queries(spark, sf_dir).where(F.col("split") == WORKLOAD).drop("split")
+    return _asked(spark, sf_dir, "left_semi")
 
 
 def held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return all_queries(spark, sf_dir).where(F.col("split") == HELD_OUT).drop("split")
+    return _asked(spark, sf_dir, "left_anti")
 
 
 def scaled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,15 +92,14 @@ _builds: dict[tuple[str, str], TierBuild] = {}
 
 def build_tiers(spark: SparkSession, sf_dir: str) -> TierBuild:
     """Temperature of every document, percentile thresholds, tier table in the shared folder."""
-    temps = materialize(temperatures(doc_vectors(spark, sf_dir), workload(spark, sf_dir)), "temperatures")
+    warm = temperatures(doc_vectors(spark, sf_dir), workload(spark, sf_dir), keep_vectors=True)
+    temps = materialize(warm, "temperatures")  # vectors ride along, so nothing has to be joined back
     thresholds = percentile_thresholds(temps)
     assigned = assign_by_percentile(temps, thresholds)
-    tiered = doc_vectors(spark, sf_dir).join(assigned.select("doc_id", "temperature", "tier"), "doc_id").select(
-        "doc_id", "temperature", F.size("embedding").alias("dim"), "embedding", "tier"
-    )
+    tiered = assigned.select("doc_id", "temperature", F.size("embedding").alias("dim"), "embedding", "tier")
     path = scratch_path(spark, "tiers")
     save_tiers(tiered, path)
-    return TierBuild(assigned, thresholds, load_tiers(spark, path, tiered.schema))
+    return TierBuild(assigned.drop("embedding"), thresholds, load_tiers(spark, path, tiered.schema))
 
 
 def tier_build(spark: SparkSession, sf_dir: str) -> TierBuild:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thermocline.functions import text, tiers, vectors
-from thermocline.operators import access, metrics, migration, retrieval, tier_table, tiering
+from thermocline.operators import access, ann, metrics, migration, retrieval, tier_table, tiering
 from thermocline.operators.similarity import document_warmth
 from thermocline.plans import bindings as b
 from thermocline.session import scratch_path
@@ -251,6 +251,13 @@ def threshold_search(spark, sf):
     return hits.select("query_id", "rank", "doc_id", _r("score"))
 
 
+@_register
+def ann_topk(spark, sf):
+    """Approximate, so it has no SQL twin; tests compare it with exact search."""
+    index = ann.build_cells(b.doc_vectors(spark, sf), cells=16)
+    return ann.ann_topk(index, b.held_out(spark, sf), b.K, b.THRESHOLD, probes=12)
+
+
 @_register
 def enrich_hits(spark, sf):
     hits = retrieval.cascade_topk(b.tiered_docs(spark, sf), b.held_out(spark, sf), b.K, b.THRESHOLD)
