@@ -98,7 +98,8 @@ class _CellHits(Hits):
         probed = np.concatenate([
             _nearest(queries.units(slice(start, start + 4096)), self.centres, self.probes) for start in steps
         ])
-        askers = {int(cell): np.flatnonzero((probed == cell).any(axis=1)) for cell in np.unique(probed)}
+        directed = queries.directed()
+        askers = {int(cell): directed[(probed[directed] == cell).any(axis=1)] for cell in np.unique(probed)}
 
         def parts():
             for batch in docs:  # the cell travels in the tier column

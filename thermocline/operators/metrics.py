@@ -116,10 +116,11 @@ def storage_report(tiers: DataFrame, hot_header: int = HOT_HEADER_BYTES) -> Data
 
 
 def tier_hit_counts(hits: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Hits per tier as columns, from the source label of each hit."""
+    """Hits per tier as columns, from the source label of each hit, and their average score."""
     bucket = rules.tier_of_label(F.col("source"))
     return hits.withColumn("_bucket", bucket).groupBy(*(keys or [])).agg(
-        *[F.count(F.when(F.col("_bucket") == t, 1)).alias(f"t{t}_hits") for t in (1, 2, 3)]
+        *[F.count(F.when(F.col("_bucket") == t, 1)).alias(f"t{t}_hits") for t in (1, 2, 3)],
+        F.avg("score").alias("avg_similarity"),
     )
 
 
@@ -165,8 +166,7 @@ def threshold_report(hits: DataFrame, n_queries: int, stats: DataFrame, threshol
     ``hits`` is a cascade sweep (with ``threshold``); ``stats`` has one row per
     (system, threshold). Thresholds without hits stay, with zeros.
     """
-    per_threshold = hits.groupBy("threshold").agg(F.avg("score").alias("avg_similarity"))
-    counts = tier_hit_counts(hits, ["threshold"]).join(per_threshold, "threshold")
+    counts = tier_hit_counts(hits, ["threshold"])
     levels = hits.sparkSession.createDataFrame([(float(t),) for t in thresholds], "threshold double")
     compared = latency_compare(stats, baseline).where(F.col("system") == tiered).drop("system")
     zero = {"t1_hits": 0, "t2_hits": 0, "t3_hits": 0, "avg_similarity": 0.0}

@@ -80,8 +80,9 @@ def cascade_staged(tiered: DataFrame, queries: DataFrame, k: int, threshold: flo
     """Cascaded top-k tier by tier, for tiers that may share documents.
 
     Each stage reads only its tier's partition and only asks for queries that
-    are still short of k. A colder tier returns its ``remaining`` nearest
-    before repeats are dropped, and dropped repeats are not refilled.
+    are still short of k; with none left the tier is not read. A colder tier
+    returns its ``remaining`` nearest before repeats are dropped, and dropped
+    repeats are not refilled.
     """
     asked = queries.select("query_id", "embedding").withColumn("remaining", F.lit(k))
     found: DataFrame | None = None
@@ -91,8 +92,6 @@ def cascade_staged(tiered: DataFrame, queries: DataFrame, k: int, threshold: flo
             still_open = asked.join(taken, "query_id", "left").select(
                 "query_id", "embedding", (F.col("remaining") - F.coalesce("taken", F.lit(0))).alias("remaining")
             ).where(F.col("remaining") > 0)
-            if still_open.isEmpty():
-                break
         else:
             still_open = asked
         nearest = threshold_topk(tiered.where(F.col("tier") == tier), still_open, k, threshold, layout)

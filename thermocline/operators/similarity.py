@@ -53,12 +53,13 @@ class Layout:
 
 
 def _components(lists, dim: int) -> np.ndarray:
-    """Rows of a list column as a matrix of its own float type."""
+    """Rows of a list column as a matrix of its own float type (dim 0: as long as they are)."""
     if isinstance(lists, pa.ChunkedArray):
         lists = lists.combine_chunks()
     if lists.null_count:
         raise ValueError("a vector is null")
     values = lists.flatten().to_numpy(zero_copy_only=False)
+    dim = dim or (len(values) // len(lists) if len(lists) else 0)
     if len(values) != len(lists) * dim or np.any(np.diff(lists.offsets.to_numpy()) != dim):
         raise ValueError(f"a vector does not have {dim} components")
     return values.reshape(len(lists), dim)
@@ -90,15 +91,16 @@ class QueryBlock:
 
     @staticmethod
     def of(table: pa.Table, dim: int) -> QueryBlock:
-        """Zero vectors are left out: they have no direction and therefore no hits."""
         ids = _ints(table.column("query_id")).astype(np.int64)
-        rows = _components(table.column("embedding"), dim) if len(ids) else np.zeros((0, dim))
-        keep = np.any(rows != 0.0, axis=1)
-        return QueryBlock(ids[keep], rows[keep])
+        return QueryBlock(ids, _components(table.column("embedding"), dim) if len(ids) else np.zeros((0, dim)))
 
     def __len__(self) -> int:
         return len(self.ids)
 
+    def directed(self) -> np.ndarray:
+        """Positions of the queries that can have hits; a zero vector has no direction."""
+        return np.flatnonzero(np.any(self.rows != 0.0, axis=1))
+
     def units(self, at) -> np.ndarray:
         return unit_rows(self.rows[at])
 
@@ -139,8 +141,12 @@ class _Warmth:
                 np.maximum(high, sims.max(axis=1), out=high)
                 warm += np.maximum(sims, 0.0, out=sims).sum(axis=1)
             low, high = np.round(low, SCORE_DIGITS), np.round(high, SCORE_DIGITS)
+            none = np.full(n, not len(queries))
             count = np.full(n, len(queries), dtype=np.int64)
-            columns = [pa.array(x) for x in (batch.ids, warm, low, high, total, count)]
+            columns = [
+                pa.array(batch.ids), pa.array(warm), pa.array(low, mask=none), pa.array(high, mask=none),
+                pa.array(total), pa.array(count),
+            ]
             names = ["doc_id", "temperature", "sim_min", "sim_max", "sim_sum", "n_queries"]
             if self.keep_vectors:
                 columns.append(batch.source.column("embedding"))
@@ -156,13 +162,13 @@ class Hits:
     floor: float
 
     def run(self, docs: Iterator[DocBatch], queries: QueryBlock) -> Iterator[pa.RecordBatch]:
-        everyone = np.arange(len(queries))
+        askers = queries.directed()
 
         def parts():
             for batch in docs:
                 for tier in np.unique(batch.tiers):
                     members = batch.tiers == tier
-                    yield int(tier), everyone, batch.ids[members], batch.units[members]
+                    yield int(tier), askers, batch.ids[members], batch.units[members]
 
         yield from self.collect(parts(), queries)
 
@@ -253,23 +259,22 @@ def vector_stats(vectors: DataFrame) -> VectorStats:
 def run_pairs(docs: DataFrame, queries: DataFrame, work, schema: str, layout: Layout) -> tuple[DataFrame, bool]:
     """Apply ``work`` to all pairs; the flag says whether a document is seen by several tasks.
 
-    ``docs(doc_id, embedding[, tier])``, ``queries(query_id, embedding)``.
+    ``docs(doc_id, embedding[, tier])``, ``queries(query_id, embedding)``. The
+    query set is read twice, for its size and for its vectors: pass a stored
+    table or something as cheap to read.
     """
-    asked = queries.select("query_id", "embedding").persist()  # read for its size, then for its vectors
-    try:
-        stats = vector_stats(asked)
-        passes = max(1, math.ceil(stats.bytes / layout.broadcast_bytes))
-        if passes == 1:
-            return _broadcast_pass(docs, asked, stats.dim, work, schema), False
-        if passes <= layout.max_passes:
-            block = F.pmod(F.xxhash64("query_id"), F.lit(passes))
-            parts = [
-                _broadcast_pass(docs, asked.where(block == number), stats.dim, work, schema) for number in range(passes)
-            ]
-            return reduce(DataFrame.unionByName, parts), True
-    finally:
-        asked.unpersist()
-    return _tiles(docs, queries.select("query_id", "embedding"), stats, work, schema, layout), True
+    asked = queries.select("query_id", "embedding")
+    stats = vector_stats(asked)
+    if not stats.rows and isinstance(work, Hits):  # nothing asked, nothing to scan
+        return docs.sparkSession.createDataFrame([], schema), False
+    passes = max(1, math.ceil(stats.bytes / layout.broadcast_bytes))
+    if passes == 1:
+        return _broadcast_pass(docs, asked, stats.dim, work, schema), False
+    if passes <= layout.max_passes:
+        block = F.pmod(F.xxhash64("query_id"), F.lit(passes))
+        parts = [_broadcast_pass(docs, asked.where(block == n), stats.dim, work, schema) for n in range(passes)]
+        return reduce(DataFrame.unionByName, parts), True
+    return _tiles(docs, asked, stats, work, schema, layout), True
 
 
 def _broadcast_pass(docs: DataFrame, queries: DataFrame, dim: int, work, schema: str) -> DataFrame:
@@ -277,9 +282,7 @@ def _broadcast_pass(docs: DataFrame, queries: DataFrame, dim: int, work, schema:
     shared = docs.sparkSession.sparkContext.broadcast((block.ids, block.rows))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here = QueryBlock(*shared.value)
-        if len(here):
-            yield from work.run(_doc_batches(batches, dim), here)
+        yield from work.run(_doc_batches(batches, dim), QueryBlock(*shared.value))
 
     return docs.mapInArrow(task, schema)
 
@@ -325,7 +328,8 @@ def document_warmth(docs: DataFrame, queries: DataFrame, keep_vectors: bool = Fa
     One row per document row; ``doc_id`` has to be unique. ``keep_vectors``
     hands the vectors through, which spares joining them back.
     """
-    docs = docs.select("doc_id", "embedding")
+    vector = F.col("embedding").cast("array<float>") if keep_vectors else F.col("embedding")
+    docs = docs.select("doc_id", vector.alias("embedding"))
     if keep_vectors and vector_stats(queries).bytes <= layout.broadcast_bytes:
         return run_pairs(docs, queries, _Warmth(True), _WARMTH_SCHEMA + ", embedding array<float>", layout)[0]
     out, split = run_pairs(docs, queries, _Warmth(False), _WARMTH_SCHEMA, layout)

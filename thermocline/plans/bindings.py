@@ -22,7 +22,7 @@ from thermocline.operators.tiering import (
     temperatures,
 )
 from thermocline.session import materialize, scratch_path
-from thermocline.sources.queries import split_queries
+from thermocline.sources.queries import HELD_OUT, WORKLOAD, split_queries
 from thermocline.sources.vectors import read_vectors
 
 AS_OF = "2024-01-31 00:00:00"
@@ -58,18 +58,23 @@ def all_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_queries(asked, accesses(spark, sf_dir).select(F.col("doc_id").alias("query_id")))
 
 
-def _asked(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
-    seen = accesses(spark, sf_dir).select(F.col("doc_id").alias("query_id")).distinct()
-    every = vectors(spark, sf_dir).select(F.col("vec_id").alias("query_id"), "embedding")
-    return every.join(seen, "query_id", how)
+_query_tables: dict[tuple[str, str], DataFrame] = {}
+
+
+def query_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query sets as a stored table partitioned by split, written on first use in an application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _query_tables:
+        _query_tables[key] = materialize(all_queries(spark, sf_dir), "queries", partition_by="split")
+    return _query_tables[key]
 
 
 def workload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _asked(spark, sf_dir, "left_semi")
+    return query_table(spark, sf_dir).where(F.col("split") == WORKLOAD).drop("split")
 
 
 def held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _asked(spark, sf_dir, "left_anti")
+    return query_table(spark, sf_dir).where(F.col("split") == HELD_OUT).drop("split")
 
 
 def scaled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from thermocline.functions import text, tiers, vectors
 from thermocline.operators import access, ann, metrics, migration, retrieval, tier_table, tiering
 from thermocline.operators.similarity import document_warmth
 from thermocline.plans import bindings as b
-from thermocline.session import scratch_path
+from thermocline.session import materialize, scratch_path
 from thermocline.sources import logs, queries as query_sources, vectors as vector_sources
 from thermocline.streaming import jobs
 
@@ -285,6 +285,7 @@ def tier_hit_rates(spark, sf):
 def result_quality(spark, sf):
     asked = b.held_out(spark, sf)
     hits = retrieval.cascade_topk(b.tiered_docs(spark, sf), asked, b.K, b.THRESHOLD)
+    hits = materialize(hits, "hits")  # reported twice
     report = metrics.result_quality(asked, hits).withColumn("scope", F.lit("all")).unionByName(
         metrics.result_quality(asked, hits, 5).withColumn("scope", F.lit("first 5"))
     )
