@@ -13,8 +13,8 @@ from thermocline.session import build_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = build_session(
-        "thermocline-tests", "local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="6g",
-        spark__default__parallelism="8",
+        "thermocline-tests", "local[8]", spark__sql__shuffle__partitions="3", spark__driver__memory="6g",
+        spark__default__parallelism="4",
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
