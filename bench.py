@@ -42,7 +42,7 @@ def main() -> None:
     spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count().collect()
 
     def build() -> None:
-        b.build_tiers(spark, SF_DIR)
+        b.fresh_build(spark, SF_DIR)
 
     build()
     seconds = {"tier_build": _seconds(build)}

@@ -63,7 +63,7 @@ def migration_pass(tiers: DataFrame, scores: DataFrame, ts: Column, cap: int | N
         moved = _scored(tiers, scores, cuts)
         new = moved.withColumn("tier", _one_step(F.col("tier"), F.col("target_tier"))).select(*tiers.columns)
         return new, log
-    return apply_moves(tiers, F.broadcast(moves)), log  # at most cap rows
+    return apply_moves(tiers, moves), log
 
 
 def apply_moves(tiers: DataFrame, moves: DataFrame, remove: bool = True, shared: bool = False) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from thermocline.functions import text, tiers
+from thermocline.functions.vectors import distance_of_score
 from thermocline.operators.similarity import Layout, similarity_hits
 from thermocline.session import materialize
 
@@ -28,7 +29,7 @@ def best_first(hits: DataFrame, k: int) -> DataFrame:
 def similar_pairs(docs: DataFrame, queries: DataFrame, threshold: float, layout: Layout = Layout()) -> DataFrame:
     """All (query, document) pairs with score >= threshold, with their cosine distance."""
     hits = similarity_hits(docs.select("doc_id", "embedding"), queries, threshold, layout=layout)
-    return hits.select("query_id", "doc_id", "score", (F.lit(1.0) - F.col("score")).alias("distance"))
+    return hits.select("query_id", "doc_id", "score", distance_of_score(F.col("score")).alias("distance"))
 
 
 def baseline_topk(docs: DataFrame, queries: DataFrame, k: int, threshold: float | None = None, layout: Layout = Layout()) -> DataFrame:
@@ -110,8 +111,7 @@ def cascade_staged(tiered: DataFrame, queries: DataFrame, k: int, threshold: flo
 
 def zero_queries(queries: DataFrame) -> DataFrame:
     """Queries with a flag for the zero vector, which has no direction and so no result."""
-    squares = F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda acc, x: acc + x * x)
-    return queries.withColumn("is_zero", squares == 0.0)
+    return queries.withColumn("is_zero", ~F.exists("embedding", lambda x: x != 0))
 
 
 def results_per_query(queries: DataFrame, hits: DataFrame, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
@@ -132,11 +132,11 @@ def sample_results(queries: DataFrame, hits: DataFrame, query_text: DataFrame, n
     """The first n queries with their text and their hits as one sorted array (at most k entries each)."""
     sample = queries.select("query_id").orderBy("query_id").limit(n)
     nested = (
-        hits.join(F.broadcast(sample), "query_id", "left_semi")  # n rows
+        hits.join(sample, "query_id", "left_semi")
         .groupBy("query_id")
         .agg(F.sort_array(F.collect_list(F.struct("rank", "doc_id", "score", "source"))).alias("results"))
     )
-    texts = query_text.join(F.broadcast(sample), "query_id", "left_semi")
+    texts = query_text.join(sample, "query_id", "left_semi")
     return (
         sample.join(nested, "query_id", "left").join(texts, "query_id", "left")
         .select("query_id", text.query_label(F.col("query_text"), F.col("query_id")).alias("query_text"), "results")

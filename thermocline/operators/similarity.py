@@ -35,17 +35,17 @@ from thermocline.functions.vectors import SCORE_DIGITS
 _SLACK = 10.0 ** -(SCORE_DIGITS - 1)
 _QUERY_STEP = 1024  # queries multiplied at once
 _DOC_STEP = 4096  # documents multiplied at once
-_TASKS_PER_CORE = 4  # tasks that keep a top-k; more tasks would only emit more candidates
 
 
 @dataclass(frozen=True)
 class Layout:
-    """Size limits in bytes of stored components."""
+    """Limits that pick and shape the layout; sizes are bytes of stored components."""
 
     broadcast_bytes: int = 192 * 1024 * 1024
     max_passes: int = 16
     tile_query_bytes: int = 64 * 1024 * 1024
     tile_doc_bytes: int = 512 * 1024 * 1024
+    topk_tasks: int = 20_000  # every task emits its own best k, so more tasks only mean more candidates
 
 
 # --------------------------------------------------------------------------
@@ -355,7 +355,6 @@ def similarity_hits(docs: DataFrame, queries: DataFrame, floor: float | None, k:
         columns.append(F.col("tier").cast("int").alias("tier"))
     docs = docs.select(*columns)
     if k is not None:
-        # neighbouring scan splits share a task: candidates grow with tasks, not with data
-        docs = docs.coalesce(max(64, _TASKS_PER_CORE * docs.sparkSession.sparkContext.defaultParallelism))
+        docs = docs.coalesce(layout.topk_tasks)  # neighbouring scan splits share a task, nothing is shuffled
     work = work or Hits(k, -math.inf if floor is None else floor)
     return run_pairs(docs, queries, work, HITS_SCHEMA, layout)[0]

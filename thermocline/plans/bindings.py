@@ -7,20 +7,12 @@ queries. Texts and titles come from ``documents``.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thermocline.functions import tiers as rules
 from thermocline.operators.access import access_scores, access_stats
-from thermocline.operators.tier_table import load_tiers, save_tiers
-from thermocline.operators.tiering import (
-    TierThresholds,
-    assign_by_percentile,
-    percentile_thresholds,
-    temperatures,
-)
+from thermocline.plans.lifecycle import TierBuild, build_tiers
 from thermocline.session import materialize, scratch_path
 from thermocline.sources.queries import HELD_OUT, WORKLOAD, split_queries
 from thermocline.sources.vectors import read_vectors
@@ -83,35 +75,18 @@ def scaled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors(spark, sf_dir).withColumn("embedding", scaled)
 
 
-@dataclass(frozen=True)
-class TierBuild:
-    """A finished tier build: the stored assignment, its thresholds and the tier table."""
-
-    temperatures: DataFrame  # doc_id, temperature, tier, tier1_threshold, tier2_threshold
-    thresholds: TierThresholds
-    tiered: DataFrame  # doc_id, temperature, dim, embedding, tier; partitioned by tier
-
-
 _builds: dict[tuple[str, str], TierBuild] = {}
 
 
-def build_tiers(spark: SparkSession, sf_dir: str) -> TierBuild:
-    """Temperature of every document, percentile thresholds, tier table in the shared folder."""
-    warm = temperatures(doc_vectors(spark, sf_dir), workload(spark, sf_dir), keep_vectors=True)
-    temps = materialize(warm, "temperatures")  # vectors ride along, so nothing has to be joined back
-    thresholds = percentile_thresholds(temps)
-    assigned = assign_by_percentile(temps, thresholds)
-    tiered = assigned.select("doc_id", "temperature", F.size("embedding").alias("dim"), "embedding", "tier")
-    path = scratch_path(spark, "tiers")
-    save_tiers(tiered, path)
-    return TierBuild(assigned.drop("embedding"), thresholds, load_tiers(spark, path, tiered.schema))
+def fresh_build(spark: SparkSession, sf_dir: str) -> TierBuild:
+    return build_tiers(doc_vectors(spark, sf_dir), workload(spark, sf_dir), scratch_path(spark, "tiers"))
 
 
 def tier_build(spark: SparkSession, sf_dir: str) -> TierBuild:
     """The build of this application, made on first use and read from its stored table afterwards."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _builds:
-        _builds[key] = build_tiers(spark, sf_dir)
+        _builds[key] = fresh_build(spark, sf_dir)
     return _builds[key]
 
 

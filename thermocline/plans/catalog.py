@@ -11,6 +11,7 @@ from thermocline.functions import text, tiers, vectors
 from thermocline.operators import access, ann, metrics, migration, retrieval, tier_table, tiering
 from thermocline.operators.similarity import document_warmth
 from thermocline.plans import bindings as b
+from thermocline.plans import lifecycle
 from thermocline.session import materialize, scratch_path
 from thermocline.sources import logs, queries as query_sources, vectors as vector_sources
 from thermocline.streaming import jobs
@@ -92,7 +93,7 @@ def multi_log_scan(spark, sf):
 def tier_table_roundtrip(spark, sf):
     build = b.tier_build(spark, sf)
     path = scratch_path(spark, "tier-table")
-    assigned = build.temperatures
+    assigned = build.assignment
     # a store that starts with everything warm, then each tier is rebuilt from the saved assignment
     tier_table.save_tiers(tier_table.single_tier(assigned.drop("tier"), tiers.WARM), path)
     for tier in (tiers.HOT, tiers.WARM, tiers.COLD):
@@ -162,7 +163,7 @@ def zero_query_guard(spark, sf):
 
 @_register
 def tier_by_temperature(spark, sf):
-    relative = tiering.relative_temperatures(b.tier_build(spark, sf).temperatures.select("doc_id", "temperature"))
+    relative = tiering.relative_temperatures(b.tier_build(spark, sf).assignment.select("doc_id", "temperature"))
     return tiering.assign_by_temperature(relative).select("doc_id", _r("temperature"), "tier")
 
 
@@ -173,7 +174,7 @@ def tier_by_access_score(spark, sf):
 
 @_register
 def tier_by_percentile(spark, sf):
-    return b.tier_build(spark, sf).temperatures.select(
+    return b.tier_build(spark, sf).assignment.select(
         "doc_id", _r("temperature"), "tier", _r("tier1_threshold"), _r("tier2_threshold")
     )
 
@@ -295,9 +296,9 @@ def result_quality(spark, sf):
 @_register
 def threshold_report(spark, sf):
     asked = b.held_out(spark, sf)
-    hits = retrieval.cascade_sweep(b.tiered_docs(spark, sf), asked, b.K, b.THRESHOLDS)
-    stats = metrics.latency_stats_nearest_rank(b.latency_log(spark, sf), ["system", "threshold"])
-    report = metrics.threshold_report(hits, asked.count(), stats, b.THRESHOLDS, b.BASELINE, b.TIERED)
+    report = lifecycle.evaluate(
+        b.tiered_docs(spark, sf), asked, b.latency_log(spark, sf), b.K, b.THRESHOLDS, b.BASELINE, b.TIERED
+    )
     return report.select(
         "threshold", "total_hits", *[_r(c) for c in report.columns if c not in ("threshold", "total_hits")]
     )

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from thermocline.functions import tiers as rules
-from thermocline.functions.vectors import norm, unit
+from thermocline.operators.similarity import unit_matrix
 
 VECTOR_SCHEMA = "vec_id bigint, embedding array<float>, label int"
 
@@ -22,10 +26,20 @@ def ingest_corpus(source: DataFrame, path: str, id_column: str = "vec_id") -> No
 
 
 def normalize(vectors: DataFrame) -> DataFrame:
-    """Unit vectors as float arrays; zero vectors stay zero."""
-    return vectors.withColumn("_norm", norm("embedding")).withColumn(
-        "embedding", unit("embedding", F.col("_norm"))
-    ).drop("_norm")
+    """Unit vectors as float arrays, one Arrow batch at a time; zero vectors stay zero."""
+    target = StructType([
+        StructField(f.name, ArrayType(FloatType()) if f.name == "embedding" else f.dataType) for f in vectors.schema
+    ])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.schema.get_field_index("embedding")
+            unit = unit_matrix(batch.column(place), 0).astype(np.float32)
+            dim = unit.shape[1]
+            offsets = pa.array(np.arange(0, (len(unit) + 1) * dim, dim or 1, dtype=np.int32)[: len(unit) + 1])
+            yield batch.set_column(place, "embedding", pa.ListArray.from_arrays(offsets, pa.array(unit.ravel())))
+
+    return vectors.mapInArrow(task, target)
 
 
 def parse_store_requests(raw: DataFrame, column: str = "body", cuts: tuple[float, float] = rules.TEMPERATURE_CUTS) -> DataFrame:
