@@ -123,3 +123,21 @@ def test_plan_moves_only_candidates(spark, vectors):
     assert "CartesianProduct" not in physical and "NestedLoopJoin" not in physical
     assert "WindowGroupLimit" in physical
     assert physical.index("hashpartitioning(query_id") < physical.index("MapInArrow")
+
+
+def test_column_expressions_agree_with_the_kernel(spark, vectors):
+    docs, _ = vectors
+    from thermocline.functions import vectors as fn
+
+    df = frame(spark, docs, "vec_id")
+    pairs = df.select(
+        "vec_id", fn.dimension("embedding").alias("dim"), fn.norm("embedding").alias("norm"),
+        fn.dot("embedding", "embedding").alias("dot"), fn.unit("embedding", fn.norm("embedding")).alias("unit"),
+        fn.score_of_distance(fn.distance_of_score(F.lit(0.25))).alias("score"),
+    ).collect()
+    units = unit(docs)
+    for row in pairs:
+        mine = np.asarray(docs[row["vec_id"]], dtype=np.float32).astype(float)
+        assert row["dim"] == 8 and row["score"] == 0.25
+        assert row["dot"] == pytest.approx(mine @ mine) and row["norm"] == pytest.approx(np.linalg.norm(mine))
+        assert np.allclose(row["unit"], units[row["vec_id"]], atol=1e-6)

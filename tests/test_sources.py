@@ -170,3 +170,27 @@ def test_scratch_lives_in_the_configured_folder(spark):
         assert shared_root(spark) == configured.rstrip("/")
     stored = materialize(spark.range(5), "numbers")
     assert stored.count() == 5 and shared_root(spark) in stored.inputFiles()[0]
+
+
+def test_lifecycle_jobs_on_own_tables(spark):
+    import numpy as np
+
+    from thermocline.operators import retrieval
+    from thermocline.plans import lifecycle
+    from tests.test_similarity import frame, unit
+
+    rng = np.random.default_rng(11)
+    docs, work, held = rng.normal(size=(80, 6)), rng.normal(size=(30, 6)), rng.normal(size=(7, 6))
+    build = lifecycle.build_tiers(frame(spark, docs, "doc_id"), frame(spark, work, "query_id"), scratch_path(spark, "own"))
+    warm = np.maximum(unit(docs) @ unit(work).T, 0).sum(axis=1)
+    assert build.thresholds.hot_at == pytest.approx(np.percentile(warm, 95), abs=1e-8)
+    counts = {r["tier"]: r["n_docs"] for r in tiering.tier_distribution(build.tiered).collect()}
+    assert counts == {1: 4, 2: 16, 3: 60}
+    asked = frame(spark, held, "query_id")
+    log = spark.createDataFrame(
+        [(0, 8.0, "one store", 0.3), (0, 2.0, "tiers", 0.3)], "query_id bigint, latency_ms double, system string, threshold double"
+    )
+    report = lifecycle.evaluate(build.tiered, asked, log, 3, [0.3, 0.99], "one store", "tiers").collect()
+    by = {r["threshold"]: r for r in report}
+    assert by[0.3]["retention_pct"] == 400.0 and by[0.99]["total_hits"] == 0
+    assert by[0.3]["total_hits"] == retrieval.cascade_topk(build.tiered, asked, 3, 0.3).count()

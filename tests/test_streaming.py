@@ -87,14 +87,14 @@ def test_streamed_answers_equal_batch_answers(spark):
     assert sorted(map(tuple, jobs.read_answers(spark, path).select(columns).collect())) == sorted(map(tuple, batch.collect()))
 
 
-@pytest.mark.parametrize("cap", [None, 1])
-def test_migration_after_every_batch(spark, cap):
+@pytest.mark.parametrize("cap,every", [(None, 2), (1, 1), (1, 32)])
+def test_migration_after_every_batch(spark, cap, every):
     frames = event_frames(spark)
     tiers = spark.createDataFrame([(d, 3 - d % 3, d) for d in range(6)], "doc_id bigint, tier int, seq bigint")
     at = F.lit(AS_OF).cast("timestamp_ntz")
     stream = jobs.stream_table(spark, landed(spark, frames, "events"), EVENTS, max_files=1)
     path = scratch_path(spark, "migrate")
-    jobs.migrate_on_access(stream, tiers, path, AS_OF, at, cap).awaitTermination()
+    jobs.migrate_on_access(stream, tiers, path, AS_OF, at, cap, snapshot_every=every).awaitTermination()
 
     seen, current, moves = None, tiers, set()
     for number, df in enumerate(frames):

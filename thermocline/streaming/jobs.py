@@ -71,9 +71,11 @@ def _access_partial(events: DataFrame) -> DataFrame:
 
 def read_access_counts(spark: SparkSession, path: str, partial: bool = False) -> DataFrame:
     """Latest state: running totals only grow, so the largest is the latest; partial counts add up."""
-    total = F.sum("total_accesses") if partial else F.max("total_accesses")
-    return spark.read.parquet(path).groupBy("doc_id").agg(
-        total.alias("total_accesses"), F.max("last_access").alias("last_access"),
+    parts = spark.read.parquet(path)
+    if partial:
+        return _fold_access(parts)
+    return parts.groupBy("doc_id").agg(
+        F.max("total_accesses").alias("total_accesses"), F.max("last_access").alias("last_access"),
         F.min("first_access").alias("first_access"),
     )
 
@@ -134,36 +136,61 @@ def read_answers(spark: SparkSession, path: str) -> DataFrame:
 
 # -- migration -------------------------------------------------------------
 
+LOG_SCHEMA = "doc_id bigint, ts timestamp_ntz, from_tier int, to_tier int, kind string, batch_id bigint"
+_MOVED_SCHEMA = "doc_id bigint, to_tier int, batch_id bigint"
+SNAPSHOT_EVERY = 32  # batches between two snapshots of the folded state
+
 
 def migrate_on_access(events: DataFrame, tiers: DataFrame, path: str, as_of: str, ts: Column, cap: int | None,
-                      checkpoint: str | None = None) -> StreamingQuery:
+                      checkpoint: str | None = None, snapshot_every: int = SNAPSHOT_EVERY) -> StreamingQuery:
     """After every micro-batch of accesses: update the counts and run one migration pass.
 
-    ``tiers`` is the state before the stream; the log of earlier batches holds
-    every later change, so no table is rewritten.
+    ``tiers`` is the state before the stream. Each batch adds its own counts
+    and its own moves; every ``snapshot_every`` batches both are folded into a
+    snapshot, so a batch reads one snapshot and a bounded number of additions.
     """
     spark = events.sparkSession
     when = events.schema["ts"].dataType.simpleString()
     access_schema = f"doc_id bigint, total_accesses bigint, last_access {when}, first_access {when}, batch_id bigint"
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        _access_partial(batch).write.mode("overwrite").parquet(_batch_folder(f"{path}/access", batch_id))
-        stats = _up_to(spark, f"{path}/access", access_schema, batch_id).groupBy("doc_id").agg(
-            F.sum("total_accesses").alias("total_accesses"), F.max("last_access").alias("last_access")
-        )
-        current = current_tiers(tiers, _up_to(spark, f"{path}/log", LOG_SCHEMA, batch_id - 1)) if batch_id else tiers
-        _, log = migration_pass(current, access_scores(stats, as_of), ts, cap)
-        log.write.mode("overwrite").parquet(_batch_folder(f"{path}/log", batch_id))
+        write = lambda df, part: df.write.mode("overwrite").parquet(_batch_folder(f"{path}/{part}", batch_id))
+        write(_access_partial(batch), "access")
+        stats = _fold_access(_since_snapshot(spark, path, "access", access_schema, batch_id, batch_id, snapshot_every))
+        moved = _since_snapshot(spark, path, "log", _MOVED_SCHEMA, batch_id, batch_id - 1, snapshot_every)
+        _, log = migration_pass(current_tiers(tiers, moved), access_scores(stats, as_of), ts, cap)
+        write(log, "log")
+        if batch_id % snapshot_every == snapshot_every - 1:
+            write(stats, "access-snapshot")
+            moved = _since_snapshot(spark, path, "log", _MOVED_SCHEMA, batch_id, batch_id, snapshot_every)
+            write(_latest_moves(moved), "log-snapshot")
 
     return _start(events, handle, checkpoint)
 
 
-LOG_SCHEMA = "doc_id bigint, ts timestamp_ntz, from_tier int, to_tier int, kind string, batch_id bigint"
+def _since_snapshot(spark: SparkSession, path: str, part: str, schema: str, batch_id: int, upto: int, every: int) -> DataFrame:
+    """The last snapshot before ``batch_id`` and the additions after it, up to batch ``upto``."""
+    last = batch_id // every * every - 1
+    read = lambda folders, base: spark.read.schema(schema).option("basePath", base).parquet(*folders)
+    found = spark.createDataFrame([], schema)
+    if last >= 0:
+        base = f"{path}/{part}-snapshot"
+        found = found.unionByName(read([_batch_folder(base, last)], base))
+    if upto > last:
+        base = f"{path}/{part}"
+        found = found.unionByName(read([_batch_folder(base, number) for number in range(last + 1, upto + 1)], base))
+    return found
+
+
+def _fold_access(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("doc_id").agg(
+        F.sum("total_accesses").alias("total_accesses"), F.max("last_access").alias("last_access"),
+        F.min("first_access").alias("first_access"),
+    )
 
 
-def _up_to(spark: SparkSession, path: str, schema: str, batch_id: int) -> DataFrame:
-    """Output of batches up to ``batch_id``; the partition column prunes later ones."""
-    return spark.read.schema(schema).parquet(path).where(F.col("batch_id") <= batch_id)
+def _latest_moves(log: DataFrame) -> DataFrame:
+    return log.groupBy("doc_id").agg(F.max_by("to_tier", "batch_id").alias("to_tier"))
 
 
 def read_migration_log(spark: SparkSession, path: str) -> DataFrame:
@@ -172,5 +199,5 @@ def read_migration_log(spark: SparkSession, path: str) -> DataFrame:
 
 def current_tiers(tiers: DataFrame, log: DataFrame) -> DataFrame:
     """The tiers a log leads to: a document's latest logged move decides."""
-    moved = log.groupBy("doc_id").agg(F.max_by("to_tier", "batch_id").alias("_now"))
+    moved = _latest_moves(log).withColumnRenamed("to_tier", "_now")
     return tiers.join(moved, "doc_id", "left").withColumn("tier", F.coalesce("_now", "tier")).select(*tiers.columns)
