@@ -36,7 +36,7 @@ def vectors():
 def test_warmth_matches_numpy(spark, vectors, layout):
     docs, queries = vectors
     sims = unit(docs) @ unit(queries).T
-    rows = document_warmth(frame(spark, docs, "doc_id"), frame(spark, queries, "query_id"), layout=layout).collect()
+    rows = document_warmth(frame(spark, docs, "doc_id"), frame(spark, queries, "query_id"), profile=True, layout=layout).collect()
     assert len(rows) == 60
     for row in rows:
         mine = sims[row["doc_id"]]
@@ -49,7 +49,7 @@ def test_warmth_matches_numpy(spark, vectors, layout):
 @LAYOUTS
 def test_vectors_ride_along(spark, vectors, layout):
     docs, queries = vectors
-    rows = document_warmth(frame(spark, docs, "doc_id"), frame(spark, queries, "query_id"), True, layout).collect()
+    rows = document_warmth(frame(spark, docs, "doc_id"), frame(spark, queries, "query_id"), True, layout=layout).collect()
     assert len(rows) == 60
     assert all(np.allclose(row["embedding"], docs[row["doc_id"]], atol=1e-6) for row in rows)
 
@@ -57,7 +57,7 @@ def test_vectors_ride_along(spark, vectors, layout):
 def test_no_workload_leaves_every_document_cold(spark, vectors):
     docs, _ = vectors
     none = spark.createDataFrame([], "query_id bigint, embedding array<float>")
-    rows = document_warmth(frame(spark, docs, "doc_id"), none).collect()
+    rows = document_warmth(frame(spark, docs, "doc_id"), none, profile=True).collect()
     assert len(rows) == 60
     assert {row["temperature"] for row in rows} == {0.0} and {row["sim_min"] for row in rows} == {None}
 

@@ -30,7 +30,7 @@ from thermocline.operators.similarity import (
     unit_matrix,
     vector_stats,
 )
-from thermocline.session import materialize
+from thermocline.session import materialize, ship_package
 
 _TRAINING_ROWS_PER_CELL = 256
 
@@ -48,6 +48,7 @@ def _nearest(units: np.ndarray, centres: np.ndarray, probes: int) -> np.ndarray:
 
 def build_cells(docs: DataFrame, cells: int, seed: int = 42) -> CellIndex:
     """Cluster a bounded sample into cells, then put every document into its nearest cell."""
+    ship_package(docs.sparkSession)
     stats = vector_stats(docs)
     share = min(1.0, _TRAINING_ROWS_PER_CELL * cells / max(stats.rows, 1))
     training = docs.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))

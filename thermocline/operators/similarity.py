@@ -31,10 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thermocline.functions.vectors import SCORE_DIGITS
+from thermocline.session import ship_package
 
 _SLACK = 10.0 ** -(SCORE_DIGITS - 1)
-_QUERY_STEP = 1024  # queries multiplied at once
-_DOC_STEP = 4096  # documents multiplied at once
+# one product block of 1024 x 256 scores (2 MiB) stays in a core's cache
+_QUERY_STEP = 256
+_DOC_STEP = 1024
+_HELD_ROWS = 50_000  # candidates kept before they are cut back to the best k
 
 
 @dataclass(frozen=True)
@@ -125,9 +128,19 @@ def _doc_batches(batches, dim: int) -> Iterator[DocBatch]:
 
 @dataclass(frozen=True)
 class _Warmth:
-    """Per document: sum of positive similarities, plus the plain profile of all of them."""
+    """Per document: sum of positive similarities; on request also the profile of all of them."""
 
     keep_vectors: bool
+    profile: bool
+
+    @property
+    def schema(self) -> str:
+        parts = ["doc_id long, temperature double"]
+        if self.profile:
+            parts.append("sim_min double, sim_max double, sim_sum double, n_queries long")
+        if self.keep_vectors:
+            parts.append("embedding array<float>")
+        return ", ".join(parts)
 
     def run(self, docs: Iterator[DocBatch], queries: QueryBlock) -> Iterator[pa.RecordBatch]:
         for batch in docs:
@@ -136,18 +149,17 @@ class _Warmth:
             low, high = np.full(n, np.inf), np.full(n, -np.inf)
             for start in range(0, len(queries), _QUERY_STEP):
                 sims = batch.units @ queries.units(slice(start, start + _QUERY_STEP)).T
-                total += sims.sum(axis=1)
-                np.minimum(low, sims.min(axis=1), out=low)
-                np.maximum(high, sims.max(axis=1), out=high)
+                if self.profile:
+                    total += sims.sum(axis=1)
+                    np.minimum(low, sims.min(axis=1), out=low)
+                    np.maximum(high, sims.max(axis=1), out=high)
                 warm += np.maximum(sims, 0.0, out=sims).sum(axis=1)
-            low, high = np.round(low, SCORE_DIGITS), np.round(high, SCORE_DIGITS)
-            none = np.full(n, not len(queries))
-            count = np.full(n, len(queries), dtype=np.int64)
-            columns = [
-                pa.array(batch.ids), pa.array(warm), pa.array(low, mask=none), pa.array(high, mask=none),
-                pa.array(total), pa.array(count),
-            ]
-            names = ["doc_id", "temperature", "sim_min", "sim_max", "sim_sum", "n_queries"]
+            columns, names = [pa.array(batch.ids), pa.array(warm)], ["doc_id", "temperature"]
+            if self.profile:
+                none = np.full(n, not len(queries))
+                columns += [pa.array(np.round(x, SCORE_DIGITS), mask=none) for x in (low, high)]
+                columns += [pa.array(total), pa.array(np.full(n, len(queries), dtype=np.int64))]
+                names += ["sim_min", "sim_max", "sim_sum", "n_queries"]
             if self.keep_vectors:
                 columns.append(batch.source.column("embedding"))
                 names.append("embedding")
@@ -190,7 +202,7 @@ class Hits:
                 else:
                     held.append(rows)
                     held_rows += len(found)
-            if held_rows > 1_000_000 + 8 * (self.k or 0) * len(queries):
+            if held_rows > _HELD_ROWS + 4 * (self.k or 0) * len(queries):
                 held = [self._best(held, bars)]
                 held_rows = len(held[0][0])
         if held:
@@ -198,12 +210,11 @@ class Hits:
 
     def _block(self, queries, docs, ids, bar):
         sims = queries @ docs.T
-        cut = bar
-        if self.k is not None and len(ids) > self.k:
-            crowded = np.count_nonzero(sims >= (bar - _SLACK)[:, None]) > 4 * self.k * len(queries)
-            if crowded:
-                cut = np.maximum(bar, np.partition(sims, len(ids) - self.k, axis=1)[:, len(ids) - self.k])
-        query_at, doc_at = np.nonzero(sims >= (cut - _SLACK)[:, None])
+        reached = sims >= (bar - _SLACK)[:, None]
+        if self.k is not None and len(ids) > self.k and np.count_nonzero(reached) > 4 * self.k * len(queries):
+            best_here = np.partition(sims, len(ids) - self.k, axis=1)[:, len(ids) - self.k]
+            reached = sims >= (np.maximum(bar, best_here) - _SLACK)[:, None]
+        query_at, doc_at = np.divmod(np.flatnonzero(reached), len(ids))
         scores = np.round(sims[query_at, doc_at], SCORE_DIGITS) + 0.0
         keep = scores >= bar[query_at]
         return query_at[keep], scores[keep], ids[doc_at[keep]]
@@ -263,6 +274,7 @@ def run_pairs(docs: DataFrame, queries: DataFrame, work, schema: str, layout: La
     query set is read twice, for its size and for its vectors: pass a stored
     table or something as cheap to read.
     """
+    ship_package(docs.sparkSession)
     asked = queries.select("query_id", "embedding")
     stats = vector_stats(asked)
     if not stats.rows and isinstance(work, Hits):  # nothing asked, nothing to scan
@@ -316,29 +328,27 @@ def _tiles(docs: DataFrame, queries: DataFrame, stats: VectorStats, work, schema
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(tile, schema)
 
 
-_WARMTH_SCHEMA = "doc_id long, temperature double, sim_min double, sim_max double, sim_sum double, n_queries long"
 HITS_SCHEMA = "query_id long, tier int, doc_id long, score double"
 
 
-def document_warmth(docs: DataFrame, queries: DataFrame, keep_vectors: bool = False,
+def document_warmth(docs: DataFrame, queries: DataFrame, keep_vectors: bool = False, profile: bool = False,
                     layout: Layout = Layout()) -> DataFrame:
-    """Per document: ``temperature`` = sum of its positive similarities to the
-    queries, and the minimum, maximum, sum and count of all similarities.
+    """Per document: ``temperature`` = sum of its positive similarities to the queries.
 
+    ``profile`` adds the minimum, maximum, sum and count of all similarities.
     One row per document row; ``doc_id`` has to be unique. ``keep_vectors``
     hands the vectors through, which spares joining them back.
     """
     vector = F.col("embedding").cast("array<float>") if keep_vectors else F.col("embedding")
     docs = docs.select("doc_id", vector.alias("embedding"))
     if keep_vectors and vector_stats(queries).bytes <= layout.broadcast_bytes:
-        return run_pairs(docs, queries, _Warmth(True), _WARMTH_SCHEMA + ", embedding array<float>", layout)[0]
-    out, split = run_pairs(docs, queries, _Warmth(False), _WARMTH_SCHEMA, layout)
+        work = _Warmth(True, profile)
+        return run_pairs(docs, queries, work, work.schema, layout)[0]
+    work = _Warmth(False, profile)
+    out, split = run_pairs(docs, queries, work, work.schema, layout)
     if split:
-        out = out.groupBy("doc_id").agg(
-            F.sum("temperature").alias("temperature"), F.min("sim_min").alias("sim_min"),
-            F.max("sim_max").alias("sim_max"), F.sum("sim_sum").alias("sim_sum"),
-            F.sum("n_queries").alias("n_queries"),
-        )
+        merge = {"sim_min": F.min, "sim_max": F.max}
+        out = out.groupBy("doc_id").agg(*[merge.get(c, F.sum)(c).alias(c) for c in out.columns if c != "doc_id"])
     return out.join(docs, "doc_id") if keep_vectors else out
 
 

@@ -17,7 +17,7 @@ TEMPERATURE_DIGITS = 9  # temperatures are rounded before they meet a threshold
 def temperatures(docs: DataFrame, workload: DataFrame, keep_vectors: bool = False,
                  layout: Layout = Layout()) -> DataFrame:
     """``(doc_id, temperature[, embedding])``: sum of positive cosine similarities to the workload."""
-    warmth = document_warmth(docs, workload, keep_vectors, layout)
+    warmth = document_warmth(docs, workload, keep_vectors, layout=layout)
     kept = ["embedding"] if keep_vectors else []
     return warmth.select("doc_id", F.round("temperature", TEMPERATURE_DIGITS).alias("temperature"), *kept)
 

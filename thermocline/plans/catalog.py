@@ -196,7 +196,7 @@ def cosine_pairs(spark, sf):
 
 @_register
 def similarity_profile(spark, sf):
-    warmth = document_warmth(b.doc_vectors(spark, sf), b.held_out(spark, sf))
+    warmth = document_warmth(b.doc_vectors(spark, sf), b.held_out(spark, sf), profile=True)
     return warmth.select(
         "doc_id", _r("sim_min"), _r("sim_max"), _r(F.col("sim_sum") / F.col("n_queries"), "sim_mean"), "n_queries"
     )

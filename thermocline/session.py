@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,6 +62,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/thermocline/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per application, so no executor needs it installed."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = Path(__file__).resolve().parent
+        target = Path(tempfile.mkdtemp(prefix="thermocline-package-")) / package.name
+        context.addPyFile(shutil.make_archive(str(target), "zip", package.parent, package.name))
+        _shipped.add(context.applicationId)
+
+
 def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` once as parquet in the shared folder and read it back.
 

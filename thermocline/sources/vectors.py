@@ -12,6 +12,7 @@ from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from thermocline.functions import tiers as rules
 from thermocline.operators.similarity import unit_matrix
+from thermocline.session import ship_package
 
 VECTOR_SCHEMA = "vec_id bigint, embedding array<float>, label int"
 
@@ -27,6 +28,7 @@ def ingest_corpus(source: DataFrame, path: str, id_column: str = "vec_id") -> No
 
 def normalize(vectors: DataFrame) -> DataFrame:
     """Unit vectors as float arrays, one Arrow batch at a time; zero vectors stay zero."""
+    ship_package(vectors.sparkSession)
     target = StructType([
         StructField(f.name, ArrayType(FloatType()) if f.name == "embedding" else f.dataType) for f in vectors.schema
     ])
