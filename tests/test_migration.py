@@ -124,7 +124,7 @@ def test_status_counts_automatic_moves_only(spark):
     assert got[("migrations", "total")] == 1
     assert got[("tier_distribution", "2")] == 2 and got[("tier_distribution", "1")] == 1
     assert got[("top_documents", "1")] == pytest.approx((0.01 + 1) / 2)
-    assert got[("thresholds", "tier1")] == 0.7
+    assert got[("access_thresholds", "tier1")] == 0.7 and got[("temperature_thresholds", "tier2")] == 0.7
 
 
 def test_access_scores_and_records(spark):

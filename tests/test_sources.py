@@ -194,3 +194,33 @@ def test_lifecycle_jobs_on_own_tables(spark):
     by = {r["threshold"]: r for r in report}
     assert by[0.3]["retention_pct"] == 400.0 and by[0.99]["total_hits"] == 0
     assert by[0.3]["total_hits"] == retrieval.cascade_topk(build.tiered, asked, 3, 0.3).count()
+
+
+def test_stacked_logs_carry_their_system(spark):
+    schema = "query_id bigint, latency_ms double"
+    one, two = spark.createDataFrame([(0, 1.0)], schema), spark.createDataFrame([(0, 2.0), (1, 3.0)], schema)
+    stacked = logs.stack_logs(baseline=one, tiered=two)
+    rows = {(r["system"], r["query_id"], r["latency_ms"]) for r in stacked.collect()}
+    assert rows == {("baseline", 0, 1.0), ("tiered", 0, 2.0), ("tiered", 1, 3.0)}
+
+
+class _Fake:
+    """A session without a configured checkpoint folder."""
+
+    def __init__(self, master):
+        self.conf = self
+        self.sparkContext = self
+        self.master, self.applicationId, self.folder = master, f"fake-{master}", None
+
+    def get(self, key, default):
+        return default
+
+    def setCheckpointDir(self, folder):  # noqa: N802
+        self.folder = folder
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_root(_Fake("spark://somewhere:7077"))
+    local = _Fake("local[2]")
+    assert shared_root(local) == local.folder == shared_root(local)

@@ -66,15 +66,16 @@ def latency_compare(stats: DataFrame, baseline: str) -> DataFrame:
 
     ``stats`` has one row per (system, threshold) as the stats functions give it.
     """
+    measures = ("mean", "median", "p95", "p99")
     base = stats.where(F.col("system") == baseline).select(
-        "threshold", F.col("mean").alias("baseline_mean"), F.col("p95").alias("baseline_p95")
+        "threshold", *[F.col(m).alias(f"baseline_{m}") for m in measures]
     )
     other = stats.where(F.col("system") != baseline).select(
-        "threshold", "system", F.col("mean").alias("tiered_mean"), F.col("p95").alias("tiered_p95")
+        "threshold", "system", *[F.col(m).alias(f"tiered_{m}") for m in measures]
     )
     b, t = F.col("baseline_mean"), F.col("tiered_mean")
     return other.join(base, "threshold").select(
-        "threshold", "system", "baseline_mean", "tiered_mean", "baseline_p95", "tiered_p95",
+        "threshold", "system", *[f"{side}_{m}" for side in ("baseline", "tiered") for m in measures],
         _guarded(b, t).alias("retention_pct"), (t - b).alias("mean_diff"), _guarded(t - b, b).alias("mean_diff_pct"),
         (F.col("tiered_p95") - F.col("baseline_p95")).alias("p95_diff"),
         _guarded(F.col("tiered_p95") - F.col("baseline_p95"), F.col("baseline_p95")).alias("p95_diff_pct"),
@@ -172,7 +173,7 @@ def threshold_report(hits: DataFrame, n_queries: int, stats: DataFrame, threshol
     zero = {"t1_hits": 0, "t2_hits": 0, "t3_hits": 0, "avg_similarity": 0.0}
     filled = levels.join(counts, "threshold", "left").fillna(zero).withColumn("total_hits", _all_hits())
     return filled.join(compared, "threshold", "left").select(
-        "threshold", "baseline_mean", "baseline_p95", "tiered_mean", "tiered_p95", "retention_pct", "total_hits",
+        "threshold", *[c for c in compared.columns if c.startswith(("baseline_", "tiered_"))], "retention_pct", "total_hits",
         (F.col("total_hits") / F.lit(max(n_queries, 1))).alias("avg_results"), "avg_similarity",
         *[_guarded(F.col(f"t{t}_hits"), F.col("total_hits")).alias(f"t{t}_pct") for t in (1, 2, 3)],
     )

@@ -163,17 +163,23 @@ def migration_stats(log: DataFrame, as_of: Column, hours: int = 24) -> DataFrame
 
 
 def status_report(tiers: DataFrame, log: DataFrame, scored: DataFrame, top: int = 5,
-                  cuts: tuple[float, float] = rules.ACCESS_CUTS) -> DataFrame:
+                  access_cuts: tuple[float, float] = rules.ACCESS_CUTS,
+                  temperature_cuts: tuple[float, float] = rules.TEMPERATURE_CUTS) -> DataFrame:
     """``(section, key, value)``: automatic moves so far, documents per tier, top documents, active cut-offs."""
     line = lambda df, section, key, value: df.select(
         F.lit(section).alias("section"), key.cast("string").alias("key"), value.cast("double").alias("value")
     )
     moves = log.where(F.col("kind") == AUTO).agg(F.count(F.lit(1)).alias("n"))
     per_tier = tier_distribution(tiers)
-    cut_rows = tiers.sparkSession.createDataFrame([("tier1", cuts[0]), ("tier2", cuts[1])], "k string, v double")
+    active = [
+        (name, f"tier{place}", cut)
+        for name, cuts in (("access_thresholds", access_cuts), ("temperature_thresholds", temperature_cuts))
+        for place, cut in enumerate(cuts, 1)
+    ]
+    cut_rows = tiers.sparkSession.createDataFrame(active, "section string, key string, value double")
     return (
         line(moves, "migrations", F.lit("total"), F.col("n"))
         .unionByName(line(per_tier, "tier_distribution", F.col("tier"), F.col("n_docs")))
         .unionByName(line(top_accessed(scored, top), "top_documents", F.col("doc_id"), F.col("score")))
-        .unionByName(line(cut_rows, "thresholds", F.col("k"), F.col("v")))
+        .unionByName(cut_rows)
     )

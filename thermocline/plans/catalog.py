@@ -299,6 +299,7 @@ def threshold_report(spark, sf):
     report = lifecycle.evaluate(
         b.tiered_docs(spark, sf), asked, b.latency_log(spark, sf), b.K, b.THRESHOLDS, b.BASELINE, b.TIERED
     )
+    report = materialize(report, "threshold-report")
     return report.select(
         "threshold", "total_hits", *[_r(c) for c in report.columns if c not in ("threshold", "total_hits")]
     )

@@ -113,6 +113,7 @@ nearest AS (
 _COMPARED = "WITH " + _LOG + "," + _nearest("system, threshold") + """,
 compared AS (
   SELECT o.threshold, o.system, b.mean AS baseline_mean, o.mean AS tiered_mean, b.p95 AS baseline_p95, o.p95 AS tiered_p95,
+         b.median AS baseline_median, o.median AS tiered_median, b.p99 AS baseline_p99, o.p99 AS tiered_p99,
          CASE WHEN o.mean > 0 THEN b.mean / o.mean * 100 ELSE 0 END AS retention_pct,
          o.mean - b.mean AS mean_diff,
          CASE WHEN b.mean > 0 THEN (o.mean - b.mean) / b.mean * 100 ELSE 0 END AS mean_diff_pct,
@@ -295,6 +296,8 @@ def oracle_sql() -> dict[str, str]:
         "threshold_report": _COMPARED + "," + _cascade() + """
             SELECT l.threshold, any_value(round(c.baseline_mean, 6)) AS baseline_mean, any_value(round(c.baseline_p95, 6)) AS baseline_p95,
                    any_value(round(c.tiered_mean, 6)) AS tiered_mean, any_value(round(c.tiered_p95, 6)) AS tiered_p95,
+                   any_value(round(c.baseline_median, 6)) AS baseline_median, any_value(round(c.tiered_median, 6)) AS tiered_median,
+                   any_value(round(c.baseline_p99, 6)) AS baseline_p99, any_value(round(c.tiered_p99, 6)) AS tiered_p99,
                    any_value(round(c.retention_pct, 6)) AS retention_pct, count(s.doc_id) AS total_hits,
                    round(count(s.doc_id) / (SELECT count(*) FROM held_out)::DOUBLE, 6) AS avg_results,
                    round(coalesce(avg(s.score), 0), 6) AS avg_similarity,
@@ -352,7 +355,8 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT 'tier_distribution', CAST(tier AS VARCHAR), CAST(count(*) AS DOUBLE) FROM after GROUP BY tier
             UNION ALL SELECT 'top_documents', CAST(doc_id AS VARCHAR), round(score, 6) FROM (
               SELECT * FROM scores ORDER BY scores.score DESC, first_access, doc_id LIMIT 5)
-            UNION ALL SELECT 'thresholds', 'tier1', 0.7 UNION ALL SELECT 'thresholds', 'tier2', 0.3""",
+            UNION ALL SELECT 'access_thresholds', 'tier1', 0.7 UNION ALL SELECT 'access_thresholds', 'tier2', 0.3
+            UNION ALL SELECT 'temperature_thresholds', 'tier1', 0.9 UNION ALL SELECT 'temperature_thresholds', 'tier2', 0.7""",
         "latency_stats_nearest_rank": with_ + _LOG + "," + _nearest("system") + """
             SELECT system, n, round(mean, 6) AS mean, round(min, 6) AS min, round(max, 6) AS max, round(median, 6) AS median,
                    round(p95, 6) AS p95, round(p99, 6) AS p99 FROM nearest""",
@@ -364,6 +368,8 @@ def oracle_sql() -> dict[str, str]:
         "latency_compare": _COMPARED + """
             SELECT threshold, system, round(baseline_mean, 6) AS baseline_mean, round(tiered_mean, 6) AS tiered_mean,
                    round(baseline_p95, 6) AS baseline_p95, round(tiered_p95, 6) AS tiered_p95,
+                   round(baseline_median, 6) AS baseline_median, round(tiered_median, 6) AS tiered_median,
+                   round(baseline_p99, 6) AS baseline_p99, round(tiered_p99, 6) AS tiered_p99,
                    round(retention_pct, 6) AS retention_pct, round(mean_diff, 6) AS mean_diff,
                    round(mean_diff_pct, 6) AS mean_diff_pct, round(p95_diff, 6) AS p95_diff,
                    round(p95_diff_pct, 6) AS p95_diff_pct, round(improvement_pct, 6) AS improvement_pct FROM compared""",

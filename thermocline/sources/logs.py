@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,15 @@ def write_query_log(log: DataFrame, path: str, system: str | None = None) -> Non
     log.select("query_id", "latency_ms", "system").write.mode("overwrite").option("header", True).csv(path)
 
 
+def stack_logs(**by_system: DataFrame) -> DataFrame:
+    """Logs of several systems as one table with a ``system`` label."""
+    labelled = [
+        log.select("query_id", "latency_ms", *[c for c in ("threshold",) if c in log.columns], F.lit(name).alias("system"))
+        for name, log in by_system.items()
+    ]
+    return reduce(DataFrame.unionByName, labelled)
+
+
 def read_query_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LOG_SCHEMA).option("header", True).csv(path)
 
