@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from thermocline.operators import retrieval, tier_table
+from thermocline.session import scratch_path
 from thermocline.operators.ann import ann_topk, build_cells
 from tests.test_similarity import frame, unit
 
@@ -131,3 +132,17 @@ def test_cells_find_clustered_neighbours_and_all_cells_are_exact(spark):
     assert len(near & exact) / len(exact) >= 0.95
     every = ann_topk(index, asked, 5, 0.5, probes=10)
     assert {(r["query_id"], r["doc_id"]) for r in every.collect()} == exact
+
+
+def test_hot_tier_in_memory_changes_no_result(spark):
+    rng = np.random.default_rng(8)
+    docs, queries = rng.normal(size=(50, 4)), rng.normal(size=(6, 4))
+    tiered = tiered_frame(spark, docs, [(d, d % 3 + 1) for d in range(50)])
+    path = scratch_path(spark, "tiers")
+    tier_table.save_tiers(tiered, path)
+    stored = tier_table.load_tiers(spark, path, tiered.schema)
+    kept = tier_table.hot_in_memory(stored)
+    asked = frame(spark, queries, "query_id")
+    assert result(retrieval.cascade_staged(kept, asked, 4, 0.4)) == result(retrieval.cascade_topk(stored, asked, 4, 0.4))
+    plan = kept.where(F.col("tier") == 3)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan

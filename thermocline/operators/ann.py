@@ -28,7 +28,6 @@ from thermocline.operators.similarity import (
     QueryBlock,
     similarity_hits,
     unit_matrix,
-    vector_stats,
 )
 from thermocline.session import materialize, ship_package
 
@@ -49,8 +48,7 @@ def _nearest(units: np.ndarray, centres: np.ndarray, probes: int) -> np.ndarray:
 def build_cells(docs: DataFrame, cells: int, seed: int = 42) -> CellIndex:
     """Cluster a bounded sample into cells, then put every document into its nearest cell."""
     ship_package(docs.sparkSession)
-    stats = vector_stats(docs)
-    share = min(1.0, _TRAINING_ROWS_PER_CELL * cells / max(stats.rows, 1))
+    share = min(1.0, _TRAINING_ROWS_PER_CELL * cells / max(docs.count(), 1))
     training = docs.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
     if share < 1.0:  # only the centres come from the sample
         training = training.sample(share, seed=seed)
@@ -58,7 +56,7 @@ def build_cells(docs: DataFrame, cells: int, seed: int = 42) -> CellIndex:
     centres = np.array([np.asarray(c) for c in model.clusterCenters()])
     centres = centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-300)
     shared = docs.sparkSession.sparkContext.broadcast(centres)
-    dim = stats.dim
+    dim = centres.shape[1]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -94,13 +94,14 @@ def _narrowed_pick(rows: DataFrame, group: list[str], ranks: Ranks, limit: int)
         F.lit(0).cast("bigint").alias("below"), F.inline(wanted),
     )
     ranges = materialize(ranges, "value-ranges")
-    open_range = (F.col("held_values") > limit) & (F.col("lo") < F.col("hi"))
-    left = ranges.where(open_range).count()
-    while left:
-        narrower = _narrow(rows, ranges, group)
-        sketched = _inside(rows, narrower, group).groupBy(*group, "pick").agg(*_sketch())
-        ranges = materialize(narrower.join(sketched, [*group, "pick"]), "value-ranges")
-        left = ranges.where(open_range).count()
+    # a range is done when few rows, or few distinct values, are left in it
+    wide = (F.col("held") > limit) & (F.col("lo") < F.col("hi"))
+    while not ranges.where(wide & (F.col("held_values") > limit)).isEmpty():
+        ranges = materialize(_narrow(rows, ranges, group), "value-ranges")
+        if ranges.where(wide).isEmpty():
+            break
+        sketched = _inside(rows, ranges, group).groupBy(*group, "pick").agg(*_sketch())
+        ranges = materialize(ranges.drop("held").join(sketched, [*group, "pick"]), "value-ranges")
     counted = _inside(rows, ranges, group).groupBy(*group, "pick", "v").agg(
         F.count(F.lit(1)).alias("c"), F.first("rank").alias("rank"), F.first("n").alias("n"),
         F.first("below").alias("below"),
@@ -145,4 +146,5 @@ def _narrow(rows: DataFrame, ranges: DataFrame, group: list[str]) -> DataFrame:
         F.when(misses_low, F.col("new_lo")).when(misses_high, F.col("hi")).otherwise(F.col("new_hi")).alias("hi"),
         (F.col("below") + F.when(misses_low, F.lit(0)).when(misses_high, F.col("under_hi"))
          .otherwise(F.col("under_lo"))).alias("below"),
+        F.when(misses_low | misses_high, F.col("held")).otherwise(F.col("upto_hi") - F.col("under_lo")).alias("held"),
     )

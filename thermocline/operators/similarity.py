@@ -305,7 +305,7 @@ _ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "array<
 def _tiles(docs: DataFrame, queries: DataFrame, stats: VectorStats, work, schema: str, layout: Layout) -> DataFrame:
     dim = stats.dim
     query_groups = max(1, math.ceil(stats.bytes / layout.tile_query_bytes))
-    doc_groups = max(1, math.ceil(vector_stats(docs).bytes / layout.tile_doc_bytes))
+    doc_groups = max(1, math.ceil(docs.count() * dim * 4 / layout.tile_doc_bytes))  # counts without reading vectors
 
     # both sides may come from one table; fresh column identities keep the join unambiguous
     docs, queries = docs.toDF(*docs.columns), queries.toDF(*queries.columns)

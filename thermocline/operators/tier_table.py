@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from thermocline.functions import tiers as rules
+
 
 def single_tier(docs: DataFrame, tier: int) -> DataFrame:
     """Baseline store: every document in one tier."""
@@ -23,6 +25,15 @@ def load_tiers(spark: SparkSession, path: str, schema: StructType, tier: int | N
     return table if tier is None else table.where(F.col("tier") == tier)
 
 
+def hot_in_memory(tiered: DataFrame) -> DataFrame:
+    """The same table with its hot tier kept by the executors (on disk where memory is short).
+
+    The colder tiers stay files; a search of one tier still reads only that tier.
+    """
+    hot = F.col("tier") == rules.HOT
+    return tiered.where(hot).persist().unionByName(tiered.where(~hot))
+
+
 def rebuild_tier(path: str, tiered: DataFrame, tier: int) -> None:
     """Clear one tier and refill it from ``tiered`` (which must not read ``path``); other tiers stay untouched."""
     part = tiered.where(F.col("tier") == tier)
