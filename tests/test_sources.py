@@ -92,7 +92,8 @@ def test_leakage_by_id_and_text(spark):
     schema = "query_id bigint, query_text string"
     work = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], schema)
     held = spark.createDataFrame([(3, "x"), (4, "a"), (5, "a"), (6, "c")], schema)
-    rows = {r["matched_by"]: (r["n_workload"], r["n_held_out"], r["leaked"]) for r in queries.query_leakage(work, held).collect()}
+    both = work.withColumn("split", F.lit("workload")).unionByName(held.withColumn("split", F.lit("eval")))
+    rows = {r["matched_by"]: (r["n_workload"], r["n_held_out"], r["leaked"]) for r in queries.query_leakage(both).collect()}
     assert rows == {"id": (3, 4, 1), "text": (3, 4, 2)}
 
 

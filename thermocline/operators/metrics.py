@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from thermocline.functions import tiers as rules
@@ -67,14 +68,13 @@ def latency_compare(stats: DataFrame, baseline: str) -> DataFrame:
     ``stats`` has one row per (system, threshold) as the stats functions give it.
     """
     measures = ("mean", "median", "p95", "p99")
-    base = stats.where(F.col("system") == baseline).select(
-        "threshold", *[F.col(m).alias(f"baseline_{m}") for m in measures]
-    )
-    other = stats.where(F.col("system") != baseline).select(
-        "threshold", "system", *[F.col(m).alias(f"tiered_{m}") for m in measures]
-    )
+    level = W.partitionBy("threshold")  # one row per system
+    sides = stats.select(
+        "threshold", "system", *[F.col(m).alias(f"tiered_{m}") for m in measures],
+        *[F.max(F.when(F.col("system") == baseline, F.col(m))).over(level).alias(f"baseline_{m}") for m in measures],
+    ).where((F.col("system") != baseline) & F.col("baseline_mean").isNotNull())
     b, t = F.col("baseline_mean"), F.col("tiered_mean")
-    return other.join(base, "threshold").select(
+    return sides.select(
         "threshold", "system", *[f"{side}_{m}" for side in ("baseline", "tiered") for m in measures],
         _guarded(b, t).alias("retention_pct"), (t - b).alias("mean_diff"), _guarded(t - b, b).alias("mean_diff_pct"),
         (F.col("tiered_p95") - F.col("baseline_p95")).alias("p95_diff"),

@@ -267,18 +267,18 @@ def vector_stats(vectors: DataFrame) -> VectorStats:
     return VectorStats(row["n"], row["hi"] or 0)
 
 
-def run_pairs(docs: DataFrame, queries: DataFrame, work, schema: str, layout: Layout) -> tuple[DataFrame, bool]:
+def run_pairs(docs: DataFrame, queries: DataFrame, work, schema: str, layout: Layout,
+              known: VectorStats | None = None) -> tuple[DataFrame, bool]:
     """Apply ``work`` to all pairs; the flag says whether a document is seen by several tasks.
 
     ``docs(doc_id, embedding[, tier])``, ``queries(query_id, embedding)``. The
     query set is read twice, for its size and for its vectors: pass a stored
-    table or something as cheap to read.
+    table or something as cheap to read. ``known`` are the stats of a set that
+    contains it, where the caller has them; then it is read once.
     """
     ship_package(docs.sparkSession)
     asked = queries.select("query_id", "embedding")
-    stats = vector_stats(asked)
-    if not stats.rows and isinstance(work, Hits):  # nothing asked, nothing to scan
-        return docs.sparkSession.createDataFrame([], schema), False
+    stats = known or vector_stats(asked)
     passes = max(1, math.ceil(stats.bytes / layout.broadcast_bytes))
     if passes == 1:
         return _broadcast_pass(docs, asked, stats.dim, work, schema), False
@@ -291,6 +291,8 @@ def run_pairs(docs: DataFrame, queries: DataFrame, work, schema: str, layout: La
 
 def _broadcast_pass(docs: DataFrame, queries: DataFrame, dim: int, work, schema: str) -> DataFrame:
     block = QueryBlock.of(queries.toArrow(), dim)  # size checked by the caller
+    if isinstance(work, Hits) and not len(block.directed()):  # no hit possible, nothing to scan
+        return docs.sparkSession.createDataFrame([], schema)
     shared = docs.sparkSession.sparkContext.broadcast((block.ids, block.rows))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,7 +355,7 @@ def document_warmth(docs: DataFrame, queries: DataFrame, keep_vectors: bool = Fa
 
 
 def similarity_hits(docs: DataFrame, queries: DataFrame, floor: float | None, k: int | None = None,
-                    layout: Layout = Layout(), work: Hits | None = None) -> DataFrame:
+                    layout: Layout = Layout(), work: Hits | None = None, known: VectorStats | None = None) -> DataFrame:
     """``(query_id, tier, doc_id, score)`` for pairs with score >= ``floor``.
 
     With ``k`` each task keeps its best k per (query, tier); the rows returned
@@ -367,4 +369,4 @@ def similarity_hits(docs: DataFrame, queries: DataFrame, floor: float | None, k:
     if k is not None:
         docs = docs.coalesce(layout.topk_tasks)  # neighbouring scan splits share a task, nothing is shuffled
     work = work or Hits(k, -math.inf if floor is None else floor)
-    return run_pairs(docs, queries, work, HITS_SCHEMA, layout)[0]
+    return run_pairs(docs, queries, work, HITS_SCHEMA, layout, known)[0]

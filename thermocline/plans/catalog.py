@@ -325,9 +325,7 @@ def incremental_queries(spark, sf):
 def query_leakage(spark, sf):
     texts = b.query_texts(spark, sf)
     seen = b.accesses(spark, sf).select(F.col("doc_id").alias("query_id"))
-    split = query_sources.split_queries(texts, seen)
-    part = lambda name: split.where(F.col("split") == name)
-    return query_sources.query_leakage(part(query_sources.WORKLOAD), part(query_sources.HELD_OUT))
+    return query_sources.query_leakage(query_sources.split_queries(texts, seen))
 
 
 # -- access ------------------------------------------------------------------

@@ -47,25 +47,25 @@ def _first_by_id(queries: DataFrame, have: int, wanted: int) -> DataFrame:
     return queries.where(F.col("query_id") <= int(bound.first()["last"]))
 
 
-def query_leakage(workload: DataFrame, held_out: DataFrame) -> DataFrame:
+def query_leakage(queries: DataFrame) -> DataFrame:
     """How many held-out queries also occur in the workload, by id and by text.
 
-    Both sets are ``(query_id, query_text)``. Counting per key instead of
-    joining keeps copies of one text from meeting in one task.
+    ``queries(query_id, query_text, split)``; an id may be in both splits.
+    Counting per key instead of joining keeps copies of one text from meeting
+    in one task.
     """
-    marked = workload.select("query_id", text.query_hash(F.col("query_text")).alias("h"), F.lit(1).alias("w"), F.lit(0).alias("e"))
-    marked = marked.unionByName(
-        held_out.select("query_id", text.query_hash(F.col("query_text")).alias("h"), F.lit(0).alias("w"), F.lit(1).alias("e"))
+    keys = F.inline(F.array(
+        F.struct(F.lit("id").alias("matched_by"), F.col("query_id").cast("string").alias("key")),
+        F.struct(F.lit("text").alias("matched_by"), text.query_hash(F.col("query_text")).alias("key")),
+    ))
+    number = lambda split: F.count(F.when(F.col("split") == split, 1))
+    per_key = queries.select("split", keys).groupBy("matched_by", "key").agg(
+        number(WORKLOAD).alias("w"), number(HELD_OUT).alias("e")
+    )
+    return per_key.groupBy("matched_by").agg(
+        F.sum("w").alias("n_workload"), F.sum("e").alias("n_held_out"),
+        F.coalesce(F.sum(F.when(F.col("w") > 0, F.col("e"))), F.lit(0)).alias("leaked"),
     )
-
-    def shared(key: str) -> DataFrame:
-        per_key = marked.groupBy(key).agg(F.sum("w").alias("w"), F.sum("e").alias("e"))
-        return per_key.agg(
-            F.sum("w").alias("n_workload"), F.sum("e").alias("n_held_out"),
-            F.coalesce(F.sum(F.when(F.col("w") > 0, F.col("e"))), F.lit(0)).alias("leaked"),
-        ).withColumn("matched_by", F.lit("id" if key == "query_id" else "text"))
-
-    return shared("query_id").unionByName(shared("h"))
 
 
 def write_query_texts(texts: DataFrame, path: str) -> None:
