@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
@@ -37,7 +37,8 @@ _SLACK = 10.0 ** -(SCORE_DIGITS - 1)
 # one product block of 1024 x 256 scores (2 MiB) stays in a core's cache
 _QUERY_STEP = 256
 _DOC_STEP = 1024
-_HELD_ROWS = 50_000  # candidates kept before they are cut back to the best k
+_HELD_ROWS = 50_000  # hits kept before they are cut back to the best k, or sent on
+_READY_COMPONENTS = 8_000_000  # query components kept as unit vectors (64 MB)
 
 
 @dataclass(frozen=True)
@@ -87,10 +88,11 @@ def _ints(column) -> np.ndarray:
 
 @dataclass(frozen=True)
 class QueryBlock:
-    """Queries of one task: ids and stored components, made unit vectors a few at a time."""
+    """Queries of one task: ids and stored components, made unit vectors at once or, if many, a few at a time."""
 
     ids: np.ndarray
     rows: np.ndarray
+    ready: np.ndarray | None = None
 
     @staticmethod
     def of(table: pa.Table, dim: int) -> QueryBlock:
@@ -104,8 +106,11 @@ class QueryBlock:
         """Positions of the queries that can have hits; a zero vector has no direction."""
         return np.flatnonzero(np.any(self.rows != 0.0, axis=1))
 
+    def prepared(self) -> QueryBlock:
+        return replace(self, ready=unit_rows(self.rows)) if self.rows.size <= _READY_COMPONENTS else self
+
     def units(self, at) -> np.ndarray:
-        return unit_rows(self.rows[at])
+        return unit_rows(self.rows[at]) if self.ready is None else self.ready[at]
 
 
 @dataclass(frozen=True)
@@ -196,17 +201,16 @@ class Hits:
                 found, scores, doc_ids = self._block(queries.units(at), units, ids, bar[at])
                 if not len(found):
                     continue
-                rows = (at[found], np.full(len(found), tier, dtype=np.int32), scores, doc_ids)
-                if self.k is None:
-                    yield self._emit(rows, queries.ids)
-                else:
-                    held.append(rows)
-                    held_rows += len(found)
-            if held_rows > _HELD_ROWS + 4 * (self.k or 0) * len(queries):
+                held.append((at[found], np.full(len(found), tier, dtype=np.int32), scores, doc_ids))
+                held_rows += len(found)
+            if self.k is None and held_rows > _HELD_ROWS:
+                yield self._emit(held, queries.ids)
+                held, held_rows = [], 0
+            elif self.k is not None and held_rows > _HELD_ROWS + 4 * self.k * len(queries):
                 held = [self._best(held, bars)]
                 held_rows = len(held[0][0])
         if held:
-            yield self._emit(self._best(held, bars), queries.ids)
+            yield self._emit(held if self.k is None else [self._best(held, bars)], queries.ids)
 
     def _block(self, queries, docs, ids, bar):
         sims = queries @ docs.T
@@ -235,8 +239,8 @@ class Hits:
         return query_at[keep], tiers[keep], scores[keep], ids[keep]
 
     @staticmethod
-    def _emit(rows, query_ids):
-        query_at, tiers, scores, ids = rows
+    def _emit(held, query_ids):
+        query_at, tiers, scores, ids = (np.concatenate(column) for column in zip(*held))
         return pa.RecordBatch.from_arrays(
             [pa.array(query_ids[query_at]), pa.array(tiers), pa.array(ids), pa.array(scores)],
             names=["query_id", "tier", "doc_id", "score"],
@@ -296,7 +300,7 @@ def _broadcast_pass(docs: DataFrame, queries: DataFrame, dim: int, work, schema:
     shared = docs.sparkSession.sparkContext.broadcast((block.ids, block.rows))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from work.run(_doc_batches(batches, dim), QueryBlock(*shared.value))
+        yield from work.run(_doc_batches(batches, dim), QueryBlock(*shared.value).prepared())
 
     return docs.mapInArrow(task, schema)
 
@@ -320,7 +324,7 @@ def _tiles(docs: DataFrame, queries: DataFrame, stats: VectorStats, work, schema
     fields = pa.schema([(name, _ARROW[kind]) for name, kind in (part.split() for part in schema.split(", "))])
 
     def tile(tile_docs: pa.Table, tile_queries: pa.Table) -> pa.Table:
-        here = QueryBlock.of(tile_queries, dim)
+        here = QueryBlock.of(tile_queries, dim).prepared()
         if not tile_docs.num_rows or not len(here):
             return fields.empty_table()
         out = work.run(_doc_batches(tile_docs.to_batches(), dim), here)
