@@ -57,3 +57,10 @@ def test_nulls_are_left_out_and_empty_input_gives_no_row(spark):
     df = spark.createDataFrame([("a", None), ("a", 1.0)], "g string, x double")
     assert order_statistics(df, ["g"], "x", {"m": lower_rank(0.5)}).first()["m"] == 1.0
     assert order_statistics(df.where("false"), ["g"], "x", {"m": lower_rank(0.5)}).count() == 0
+
+
+@pytest.mark.parametrize("limit", [10**6, 20])
+def test_large_integers_stay_exact(spark, limit):
+    df = spark.range(500).selectExpr("9007199254740993 + id AS x")
+    row = order_statistics(df, [], "x", {"first": lambda n: F.lit(0), "tenth": lambda n: F.lit(9)}, limit=limit).first()
+    assert (row["first"], row["tenth"]) == (9007199254740993, 9007199254741002)

@@ -80,6 +80,9 @@ def test_slice_and_incremental_selection(spark):
     ids = spark.range(10).withColumnRenamed("id", "query_id")
     assert [r["query_id"] for r in queries.query_slice(ids, 3, 4).orderBy("query_id").collect()] == [3, 4, 5, 6]
     assert queries.query_slice(ids, 8, 5).count() == 2
+    for offset, count, want in ((3, 4, [3, 4, 5, 6]), (8, 5, [8, 9]), (10, 3, []), (0, 50, list(range(10)))):
+        cut = queries.query_slice(ids, offset, count, small=0).orderBy("query_id").collect()
+        assert [r["query_id"] for r in cut] == want
     existing = ids.where("query_id in (1, 4, 8)")
     pick = lambda wanted: {(r["query_id"], r["origin"]) for r in queries.incremental_queries(existing, ids, wanted).collect()}
     kept = {(1, "existing"), (4, "existing"), (8, "existing")}

@@ -15,6 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from thermocline.session import materialize
 
@@ -22,6 +23,8 @@ LIMIT = 1_000_000
 _GRID = 1000  # cut points of the sketch
 _ACCURACY = 20_000  # rank error of the sketch is at most rows / _ACCURACY
 
+_ENDS = {"double": (float("-inf"), float("inf")), "long": (-(2**63), 2**63 - 1)}
+
 Ranks = dict[str, Callable[[Column], Column]]
 
 
@@ -48,11 +51,12 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: Ranks, l
     """One row per group: its keys, ``n`` and one column per entry of ``ranks``.
 
     ``ranks`` maps an output name to a function from the group's row count to
-    a zero-based rank. Null values are left out.
+    a zero-based rank. Null values are left out; integers stay integers.
     """
     group = keys or ["_all"]
     rows = df.where(F.col(value).isNotNull())
-    rows = rows.select(*(keys or [F.lit(0).alias("_all")]), F.col(value).cast("double").alias("v"))
+    kind = "bigint" if isinstance(df.schema[value].dataType, IntegralType) else "double"
+    rows = rows.select(*(keys or [F.lit(0).alias("_all")]), F.col(value).cast(kind).alias("v"))
     largest = rows.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
     pick = _sorted_pick if largest <= limit else _narrowed_pick
     out = pick(rows, group, ranks, limit)
@@ -83,6 +87,7 @@ def _sketch() -> list[Column]:
 
 
 def _narrowed_pick(rows: DataFrame, group: list[str], ranks: Ranks, limit: int) -> DataFrame:
+    lowest, highest = _ENDS[rows.schema["v"].dataType.typeName()]
     wanted = F.array(*[
         F.struct(F.lit(name).alias("pick"), rank(F.col("held")).alias("rank")) for name, rank in ranks.items()
     ])
@@ -90,13 +95,18 @@ def _narrowed_pick(rows: DataFrame, group: list[str], ranks: Ranks, limit: int)
     # "below" is the exact number of rows under lo
     ranges = rows.groupBy(*group).agg(*_sketch()).select(
         *group, F.col("held").alias("n"), "held", "held_values", "cuts",
-        F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"),
+        F.lit(lowest).alias("lo"), F.lit(highest).alias("hi"),
         F.lit(0).cast("bigint").alias("below"), F.inline(wanted),
     )
     ranges = materialize(ranges, "value-ranges")
     # a range is done when few rows, or few distinct values, are left in it
     wide = (F.col("held") > limit) & (F.col("lo") < F.col("hi"))
-    while not ranges.where(wide & (F.col("held_values") > limit)).isEmpty():
+    before = None
+    while True:
+        wide_rows = ranges.where(wide & (F.col("held_values") > limit)).agg(F.sum("held")).first()[0]
+        if not wide_rows or (before is not None and wide_rows >= before):  # done, or nothing left to gain
+            break
+        before = wide_rows
         ranges = materialize(_narrow(rows, ranges, group), "value-ranges")
         if ranges.where(wide).isEmpty():
             break
@@ -128,9 +138,10 @@ def _inside(rows: DataFrame, ranges: DataFrame, group: list[str]) -> DataFrame:
 def _narrow(rows: DataFrame, ranges: DataFrame, group: list[str]) -> DataFrame:
     """Move each range to the sketch cuts around its rank, with exact counts below."""
     cell = F.floor((F.col("rank") - F.col("below")) / F.col("held") * _GRID).cast("int")
-    proposed = ranges.withColumn(
-        "new_lo", F.greatest("lo", F.element_at("cuts", F.greatest(cell, F.lit(1))))
-    ).withColumn("new_hi", F.least("hi", F.element_at("cuts", F.least(cell + 3, F.lit(_GRID + 1)))))
+    low, high = F.element_at("cuts", F.greatest(cell, F.lit(1))), F.element_at("cuts", F.least(cell + 3, F.lit(_GRID + 1)))
+    if rows.schema["v"].dataType.typeName() == "long":  # the sketch works on doubles: allow for their rounding
+        low, high = low - F.ceil(F.abs(low) / F.lit(2.0**52)), high + F.ceil(F.abs(high) / F.lit(2.0**52))
+    proposed = ranges.withColumn("new_lo", F.greatest("lo", low)).withColumn("new_hi", F.least("hi", high))
     number = lambda condition: F.sum(condition.cast("bigint"))
     counts = _inside(rows, proposed, group).groupBy(*group, "pick").agg(
         number(F.col("v") < F.col("new_lo")).alias("under_lo"),

@@ -18,9 +18,19 @@ def split_queries(vectors: DataFrame, seen: DataFrame) -> DataFrame:
     return vectors.join(mark, "query_id", "left").withColumn("split", split).drop("_seen")
 
 
-def query_slice(queries: DataFrame, offset: int, count: int, by: str = "query_id") -> DataFrame:
-    """Skip ``offset`` rows in id order and take at most ``count`` of what is there."""
-    return queries.orderBy(by).offset(offset).limit(count)
+def query_slice(queries: DataFrame, offset: int, count: int, by: str = "query_id", small: int = 100_000) -> DataFrame:
+    """Skip ``offset`` rows in id order and take at most ``count`` of what is there.
+
+    A slice that ends beyond ``small`` rows is cut by the ids at its two ends,
+    so the skipped rows are never gathered; ids have to be unique integers.
+    """
+    if offset + count <= small:
+        return queries.orderBy(by).offset(offset).limit(count)
+    at = lambda rank: lambda n: F.when(n > offset, F.least(F.lit(rank), n - 1)).cast("bigint")
+    ends = order_statistics(queries, [], by, {"first": at(offset), "last": at(offset + count - 1)}).first()
+    if count <= 0 or ends is None or ends["first"] is None:
+        return queries.where(F.lit(False))
+    return queries.where(F.col(by).between(ends["first"], ends["last"]))
 
 
 def incremental_queries(existing: DataFrame, incoming: DataFrame, wanted: int) -> DataFrame:
@@ -44,7 +54,7 @@ def _first_by_id(queries: DataFrame, have: int, wanted: int) -> DataFrame:
     if wanted <= 0:
         return queries.where(F.lit(False))
     bound = order_statistics(queries, [], "query_id", {"last": lambda n: F.lit(wanted - 1).cast("bigint")})
-    return queries.where(F.col("query_id") <= int(bound.first()["last"]))
+    return queries.where(F.col("query_id") <= bound.first()["last"])
 
 
 def query_leakage(queries: DataFrame) -> DataFrame:
