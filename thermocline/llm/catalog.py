@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thermocline.llm import sharding
+from thermocline.llm import language, secrets, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_sharding": sharding.op2_sharding}
+    return {
+        "op2_sharding": sharding.op2_sharding,
+        "op6_secrets": secrets.op6_secrets,
+        "op9_language": language.op9_language,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
