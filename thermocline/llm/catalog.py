@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thermocline.llm import language, secrets, sharding
+from thermocline.llm import language, packing, secrets, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_sharding": sharding.op2_sharding,
+        "op3_packing": packing.op3_packing,
         "op6_secrets": secrets.op6_secrets,
         "op9_language": language.op9_language,
     }
