@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thermocline.llm import language, packing, secrets, sharding, simhash
+from thermocline.llm import decontaminate, language, packing, secrets, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,9 +15,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_sharding": sharding.op2_sharding,
         "op3_packing": packing.op3_packing,
         "op6_secrets": secrets.op6_secrets,
+        "op7_decontaminate": decontaminate.op7_decontaminate,
         "op9_language": language.op9_language,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": sharding.OP2_SQL}
+    return {"op2_sharding": sharding.OP2_SQL, "op7_decontaminate": decontaminate.OP7_SQL}
