@@ -252,6 +252,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     inside = Window.partitionBy("length", "_file").orderBy("_row")
     ranked = filed.join(parts.drop("_n"), ["length", "_file"]).withColumn(
         "_rank", F.col("_before") + F.row_number().over(inside) - 1).select(*kept.columns, "_rank")
+    carried = kept.columns
     schema = T.StructType([*kept.schema.fields, T.StructField("sequence_id", T.LongType()),
                            T.StructField("offset", T.LongType())])
 
@@ -266,7 +267,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 ahead = rank[rows] - step[:, 0]
                 sequence[rows] = step[:, 2] + ahead // step[:, 1]
                 offset[rows] = step[:, 3] + ahead % step[:, 1] * value
-            columns = [batch.column(c) for c in kept.columns]
+            columns = [batch.column(c) for c in carried]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence), pa.array(offset)], schema.names)
 
     return ranked.mapInArrow(place, schema)
