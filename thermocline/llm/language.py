@@ -7,8 +7,8 @@ trigram likelihoods; then the sets of its one, two and three strongest languages
 are refitted and the set with the best penalised likelihood wins. The text's language is the
 set's largest share.
 
-Training reads whole texts of at most ``TRAIN_TEXTS`` distinct documents per
-language (the smallest hashes), counted by Spark; the model has one row per
+Training reads whole texts of about ``TRAIN_TEXTS`` rows per language (the
+lowest part of the hash range), counted by Spark; the model has one row per
 trigram bucket and one column per language and is at most ``MODEL_BYTES``. Scoring
 is one pass without a shuffle; a text is cut into blocks, so long ones take bounded memory.
 
@@ -26,7 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from thermocline.llm.common import fold, read_table, with_workers
 
@@ -91,18 +91,18 @@ def _counted(text: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 def learn(docs: DataFrame, per_language: int = TRAIN_TEXTS) -> tuple[list[str], np.ndarray]:
     """Languages and their trigram log probabilities, from rows with ``text`` and ``lang``."""
     with_workers(docs.sparkSession)
-    rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").select(
-        "lang", "text", F.xxhash64("text", F.lit(17)).alias("h"))
-    order = Window.partitionBy("lang").orderBy("h")
-    cuts = (rows.select("lang", "h").distinct().withColumn("place", F.row_number().over(order))
-            .where(F.col("place") <= per_language).groupBy("lang").agg(F.max("h").alias("cut")).collect())
-    languages = sorted(r["lang"] for r in cuts)
+    rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text")
+    held = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    languages = sorted(held)
     if not languages:
         return [], np.zeros((1, 0))
     buckets = BUCKETS
     while buckets * len(languages) * 8 > MODEL_BYTES and buckets > 1:
         buckets //= 2
-    cut = F.create_map(*[F.lit(x) for r in cuts for x in (r["lang"], r["cut"])])
+    # A text is learned from if its hash is in the lowest part of the hash range
+    # that holds ``per_language`` of the language's rows.
+    part = F.create_map(*[F.lit(x) for lang, n in held.items() for x in (lang, min(1.0, per_language / n))])
+    chosen = F.shiftrightunsigned(F.xxhash64("text", F.lit(17)), 11) < part[F.col("lang")] * F.lit(2.0 ** 53)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
@@ -116,9 +116,8 @@ def learn(docs: DataFrame, per_language: int = TRAIN_TEXTS) -> tuple[list[str],
                 [pa.array([lang] * len(found), pa.string()), pa.array(found.astype(np.int32)), pa.array(counts[found])],
                 ["lang", "bucket", "n"])
 
-    sums = (rows.where(F.col("h") <= cut[F.col("lang")]).select("lang", "text")
-            .mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-            .toArrow())
+    sums = (rows.where(chosen).mapInArrow(count, "lang string, bucket int, n long")
+            .groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow())
     counts = np.full((buckets, len(languages)), SMOOTHING)
     place = {lang: i for i, lang in enumerate(languages)}
     counts[sums["bucket"].to_numpy(), [place[x] for x in sums["lang"].to_pylist()]] += sums["n"].to_numpy()
