@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thermocline.llm import decontaminate, language, packing, secrets, sharding, simhash
+from thermocline.llm import decontaminate, language, packing, quality, secrets, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_packing": packing.op3_packing,
         "op6_secrets": secrets.op6_secrets,
         "op7_decontaminate": decontaminate.op7_decontaminate,
+        "op8_quality": quality.op8_quality,
         "op9_language": language.op9_language,
     }
 
