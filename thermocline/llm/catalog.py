@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thermocline.llm import ann, decontaminate, language, packing, quality, secrets, sharding, simhash
+from thermocline.llm import ann, decontaminate, language, packing, quality, secrets, sentences, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_sharding": sharding.op2_sharding,
         "op3_packing": packing.op3_packing,
         "op4_ann": ann.op4_ann,
+        "op5_sentences": sentences.op5_sentences,
         "op6_secrets": secrets.op6_secrets,
         "op7_decontaminate": decontaminate.op7_decontaminate,
         "op8_quality": quality.op8_quality,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from thermocline.session import materialize, ship_package
@@ -53,3 +54,14 @@ def text_key(*columns: Column) -> list[Column]:
 
 def empty_as(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
+
+
+def with_texts(batch: pa.RecordBatch, texts: list[str | None]) -> pa.RecordBatch:
+    """The batch with other texts; ``n_chars``, where there is one, follows a text that changed."""
+    place = batch.schema.get_field_index("text")
+    if "n_chars" in batch.schema.names:
+        old = batch.column(place).to_pylist()
+        counts = [n if new == was else len(new) for n, new, was in zip(batch.column("n_chars").to_pylist(), texts, old)]
+        at = batch.schema.get_field_index("n_chars")
+        batch = batch.set_column(at, "n_chars", pa.array(counts, batch.schema.field(at).type))
+    return batch.set_column(place, "text", pa.array(texts, pa.string()))

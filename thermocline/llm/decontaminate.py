@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from thermocline.llm.common import read_table, with_workers
+from thermocline.llm.common import read_table, with_texts, with_workers
 
 WINDOW = 10
 SHARD_WORDS = 1 << 20
@@ -311,10 +311,9 @@ def remove_phrases(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            place = batch.schema.get_field_index("text")
             texts = [without_spans(text.as_py(), spans.as_py()) if len(spans) else text.as_py()
                      for text, spans in zip(batch.column("text"), batch.column("_spans"))]
-            yield batch.set_column(place, "text", pa.array(texts, pa.string())).select(columns)
+            yield with_texts(batch, texts).select(columns)
 
     return find_phrases(docs, benchmark, window).mapInArrow(cut, docs.schema)
 

@@ -24,7 +24,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, types as T
 
-from thermocline.llm.common import read_table, with_workers
+from thermocline.llm.common import read_table, with_texts, with_workers
 
 KINDS = ("assign", "access", "hex", "token")
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -121,9 +121,7 @@ def redact_secrets(docs: DataFrame, file: str = VOCABULARY) -> DataFrame:
 
     def redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            place = batch.schema.get_field_index("text")
-            column = pa.array([masked(text.as_py(), file) for text in batch.column(place)], pa.string())
-            yield batch.set_column(place, "text", column)
+            yield with_texts(batch, [masked(text.as_py(), file) for text in batch.column("text")])
 
     return docs.mapInArrow(redact, docs.schema)
 
