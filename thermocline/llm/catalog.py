@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thermocline.llm import ann, decontaminate, language, packing, quality, secrets, sentences, sharding, simhash
+from thermocline.llm import ann, decontaminate, language, packing, quality, secrets, sentences, sharding, simhash, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,8 +20,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_decontaminate": decontaminate.op7_decontaminate,
         "op8_quality": quality.op8_quality,
         "op9_language": language.op9_language,
+        "op10_warc": warc.op10_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": sharding.OP2_SQL, "op7_decontaminate": decontaminate.OP7_SQL}
+    return {"op2_sharding": sharding.OP2_SQL, "op7_decontaminate": decontaminate.OP7_SQL, "op10_warc": warc.OP10_SQL}

@@ -307,7 +307,10 @@ def without_spans(text: str, spans: list[dict]) -> str:
 
 def remove_phrases(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The same rows and columns with benchmark passages cut out of ``text``."""
-    columns = docs.columns
+    # Columns of the caller that have a name of ours step aside meanwhile.
+    aside = {f.name: f"_kept{f.name}" for f in FOUND if f.name in docs.columns}
+    inner = docs.withColumnsRenamed(aside)
+    columns = inner.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -315,7 +318,8 @@ def remove_phrases(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
                      for text, spans in zip(batch.column("text"), batch.column("_spans"))]
             yield with_texts(batch, texts).select(columns)
 
-    return find_phrases(docs, benchmark, window).mapInArrow(cut, docs.schema)
+    found = find_phrases(inner, benchmark, window).mapInArrow(cut, inner.schema)
+    return found.withColumnsRenamed({new: old for old, new in aside.items()})
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

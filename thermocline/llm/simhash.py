@@ -279,15 +279,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
         copies.join(roots, "id", "left")
         .groupBy(F.coalesce("root", "id").alias("root"))
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id", "n")).alias("w"))
-        .select(F.col("w.id").alias("_id"), F.col("w.doc_id").alias("_doc"), F.col("w.n").alias("_n")), "winners")
-    keyed = docs.withColumn("_text_id", text_id)
+        .select(F.col("w.id").alias("_winner_id"), F.col("w.doc_id").alias("_winner_doc"), F.col("w.n").alias("_winner_n")), "winners")
+    keyed = docs.withColumn("_winner_text_id", text_id)
 
     def chosen(keys: DataFrame) -> DataFrame:
-        match = (F.col("_text_id") == F.col("_id")) & F.col("doc_id").eqNullSafe(F.col("_doc"))
+        match = (F.col("_winner_text_id") == F.col("_winner_id")) & F.col("doc_id").eqNullSafe(F.col("_winner_doc"))
         return keyed.join(keys.hint("shuffle_hash"), match, "left_semi")
 
     kept = chosen(winners)
-    if winners.where("_n > 1").limit(1).count():
-        kept = chosen(winners.where("_n = 1")).union(
-            chosen(winners.where("_n > 1")).dropDuplicates(["_text_id", "doc_id"]))
-    return kept.drop("_text_id")
+    if winners.where("_winner_n > 1").limit(1).count():
+        kept = chosen(winners.where("_winner_n = 1")).union(
+            chosen(winners.where("_winner_n > 1")).dropDuplicates(["_winner_text_id", "doc_id"]))
+    return kept.drop("_winner_text_id")
