@@ -39,7 +39,7 @@ def mismatch(spark_df, sql: str, connection) -> str | None:
     if sorted(columns) != sorted(spark_df.columns):
         return f"columns {sorted(spark_df.columns)} against {sorted(columns)}"
     got = _rows(spark_df.columns, [tuple(row) for row in spark_df.collect()])
-    kinds = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR"}
+    kinds = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
     wrong = [
         f"{name}: {kind} against {types[name]}" for name, kind in spark_df.dtypes
         if kinds.get(kind, kind) != types[name]

@@ -4,10 +4,11 @@ import pytest
 
 import __spark_entry__
 from tests.oracle_check import TESTDATA, connect, mismatch
+from thermocline.plans import catalog, oracle
 
 SF = str(TESTDATA / "sf0.001")
-QUERIES = __spark_entry__.queries()
-SQL = __spark_entry__.oracle_sql()
+QUERIES = catalog.queries()
+SQL = oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -18,6 +19,7 @@ def connection():
 def test_sql_twins_belong_to_queries():
     assert set(SQL) <= set(QUERIES)
     assert set(QUERIES) - set(SQL) == {"ann_topk"}
+    assert set(QUERIES) <= set(__spark_entry__.queries()) and set(SQL) <= set(__spark_entry__.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
