@@ -11,8 +11,9 @@ Words that occur in no phrase only end a match, so a run of them is one
 separator in the index, and runs too short to hold any phrase are left out; nothing that could match is.
 
 The benchmark is read in blocks of about ``BLOCK_BYTES``, each broadcast for a
-pass of its own, so its size is not limited by memory. The documents are never
-shuffled and a task holds one shard at a time (a longer document is a shard of its own).
+pass of its own (stored before the next), so its size is not limited by memory.
+The documents are never shuffled and a task holds one shard at a time (a longer
+document is a shard of its own).
 
 Defined results: a null text has no words; equal rows get equal rows; an
 item_id that repeats counts once, a null one is listed as ``null``; an empty benchmark
@@ -29,11 +30,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from thermocline.llm.common import read_table, with_texts, with_workers
+from thermocline.llm.common import discard, read_table, store, with_texts, with_workers
 
 WINDOW = 10
 SHARD_WORDS = 1 << 20
-SHARD_BYTES = 48 << 20
+SHARD_BYTES = 32 << 20
 BLOCK_BYTES = 8 << 20
 SAMPLE = 16
 OTHER = 1
@@ -267,42 +268,60 @@ def _answered(batches: list[pa.RecordBatch], counts: list[int], shard: Shard) ->
         yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *found], [*kept, *[f.name for f in FOUND]])
 
 
-def find_phrases(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` with ``_n_words``, ``_spans`` (merged word ranges) and ``_items`` (ids as sorted text)."""
+def without_spans(text: str, spans: list[dict]) -> str:
+    """The text without the characters from the first to the last word of each range."""
+    places = [m.span() for m in WORD.finditer(text)]
+    out, at = [], 0
+    for span in spans:
+        out.append(text[at:places[span["start"]][0]])
+        at = places[span["end"] - 1][1]
+    return "".join([*out, text[at:]])
+
+
+def _scanned(docs: DataFrame, benchmark: DataFrame, window: int, finish, schema: T.StructType) -> DataFrame:
+    """``docs`` through one pass per block; ``finish`` turns the last pass's batches into rows of ``schema``.
+
+    A pass is one Python worker per task: with several blocks the passes are
+    stored between, so workers and blocks never add up.
+    """
     spark = with_workers(docs.sparkSession)
-    docs = docs.drop(*[f.name for f in FOUND])
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // BLOCK_BYTES) or 1
-    schema = T.StructType([*docs.schema.fields, *FOUND])
+    inner = T.StructType([*docs.schema.fields, *FOUND])
     found = docs
     for number in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == number).toArrow()
         phrases = spark.sparkContext.broadcast(
             Phrases(list(zip(block["item"].to_pylist(), block["text"].to_pylist())), window))
+        last = number == blocks - 1
 
-        def scan(batches: Iterator[pa.RecordBatch], phrases=phrases) -> Iterator[pa.RecordBatch]:
+        def scan(batches: Iterator[pa.RecordBatch], phrases=phrases, last=last) -> Iterator[pa.RecordBatch]:
             shard, held, counts = Shard(phrases.value), [], []
             for batch in batches:
                 held.append(batch)
                 counts += [shard.add(text.as_py()) for text in batch.column("text")]
                 if shard.size >= SHARD_WORDS or shard.bytes >= SHARD_BYTES:
-                    yield from _answered(held, counts, shard)
+                    yield from map(finish, _answered(held, counts, shard)) if last else _answered(held, counts, shard)
                     shard, held, counts = Shard(phrases.value), [], []
-            yield from _answered(held, counts, shard)
+            yield from map(finish, _answered(held, counts, shard)) if last else _answered(held, counts, shard)
 
-        found = found.mapInArrow(scan, schema)
+        previous, found = found, found.mapInArrow(scan, schema if last else inner)
+        if not last:
+            found = store(found, "phrases")
+        if 0 < number < blocks - 1:
+            discard(previous)
     return found
 
 
-def without_spans(text: str, spans: list[dict]) -> str:
-    """The text without the characters from the first to the last word of each range."""
-    places = [m.span() for m in WORD.finditer(text)]
-    out, at = [], 0
-    for span in spans:
-        out.append(text[at:places[span["start"]][0]])
-        at = places[span["end"] - 1][1]
-    return "".join([*out, text[at:]])
+def _as_found(batch: pa.RecordBatch) -> pa.RecordBatch:
+    return batch
+
+
+def find_phrases(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs`` with ``_n_words``, ``_spans`` (merged word ranges) and ``_items`` (ids as sorted text)."""
+    docs = docs.drop(*[f.name for f in FOUND])
+    return _scanned(docs, benchmark, window, _as_found, T.StructType([*docs.schema.fields, *FOUND]))
 
 
 def remove_phrases(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -312,13 +331,12 @@ def remove_phrases(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
     inner = docs.withColumnsRenamed(aside)
     columns = inner.columns
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [without_spans(text.as_py(), spans.as_py()) if len(spans) else text.as_py()
-                     for text, spans in zip(batch.column("text"), batch.column("_spans"))]
-            yield with_texts(batch, texts).select(columns)
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [without_spans(text.as_py(), spans.as_py()) if len(spans) else text.as_py()
+                 for text, spans in zip(batch.column("text"), batch.column("_spans"))]
+        return with_texts(batch, texts).select(columns)
 
-    found = find_phrases(inner, benchmark, window).mapInArrow(cut, inner.schema)
+    found = _scanned(inner, benchmark, window, cut, inner.schema)
     return found.withColumnsRenamed({new: old for old, new in aside.items()})
 
 

@@ -34,6 +34,8 @@ WORD_BUCKETS = 4096
 TRAIN_ROWS = 6000
 RANK = 8
 EPOCHS = 12
+STEPS = 1200
+"""Steps at least, so a small sample is passed over more often."""
 BATCH = 64
 RATE = 0.05
 DECAY = 1e-4
@@ -110,7 +112,7 @@ class Machine:
         self.weights, self.factors = np.zeros(n), random.normal(0, 0.05, (n, RANK))
         seen_b, seen_w, seen_f = 1e-8, np.full(n, 1e-8), np.full((n, RANK), 1e-8)
         vectors = [self.vector(*row) for row in rows]
-        for _ in range(EPOCHS):
+        for _ in range(max(EPOCHS, STEPS * BATCH // len(rows))):
             order = random.permutation(len(rows))
             for at in range(0, len(order), BATCH):
                 chosen = order[at:at + BATCH]
