@@ -6,9 +6,9 @@ from thermocline.operators import retrieval
 from thermocline.operators.similarity import Layout, document_warmth, similarity_hits
 
 ONE = Layout()
-PASSES = Layout(broadcast_bytes=600, max_passes=100)
-TILES = Layout(broadcast_bytes=1, max_passes=0, tile_query_bytes=500, tile_doc_bytes=900)
-LAYOUTS = pytest.mark.parametrize("layout", [ONE, PASSES, TILES], ids=["broadcast", "passes", "tiles"])
+BLOCKS = Layout(block_bytes=600)
+SMALL = Layout(block_bytes=100, chunk_bytes=300)
+LAYOUTS = pytest.mark.parametrize("layout", [ONE, BLOCKS, SMALL], ids=["one", "blocks", "small"])
 
 
 def frame(spark, matrix, key, first=0):
@@ -141,3 +141,32 @@ def test_column_expressions_agree_with_the_kernel(spark, vectors):
         assert row["dim"] == 8 and row["score"] == 0.25
         assert row["dot"] == pytest.approx(mine @ mine) and row["norm"] == pytest.approx(np.linalg.norm(mine))
         assert np.allclose(row["unit"], units[row["vec_id"]], atol=1e-6)
+
+
+@LAYOUTS
+def test_repeated_ids_and_vectors_without_direction(spark, vectors, layout):
+    """Rows are scored as rows; a component that is not finite costs no other row its hits."""
+    docs, queries = vectors
+    rows = [(i // 2, [float(x) for x in row]) for i, row in enumerate(docs)]
+    bad = [(100, [float("nan")] * 8), (101, [float("inf")] + [1.0] * 7), (102, [float("nan")] + [1.0] * 7)]
+    table = spark.createDataFrame(rows + bad, "doc_id bigint, embedding array<double>").repartition(3)
+    asked = frame(spark, queries, "query_id").unionByName(
+        spark.createDataFrame([(900, [float("nan")] * 8)], "query_id bigint, embedding array<float>"))
+    warm = document_warmth(table, asked, layout=layout).where("doc_id < 100").collect()
+    sims = unit(docs) @ unit(queries).T
+    assert sorted(round(r["temperature"], 6) for r in warm) == sorted(round(float(x), 6) for x in np.maximum(sims, 0).sum(axis=1))
+    hits = similarity_hits(table, asked, None, 2, layout).collect()
+    assert {r["doc_id"] for r in hits}.isdisjoint({100, 101, 102}) and 900 not in {r["query_id"] for r in hits}
+    best = {q: sorted(np.round(sims[:, q], 6))[-2:] for q in range(25) if np.any(queries[q])}
+    got = {}
+    for r in hits:
+        got.setdefault(r["query_id"], []).append(round(r["score"], 6))
+    assert {q: sorted(v)[-2:] for q, v in got.items()} == {q: list(map(float, v)) for q, v in best.items()}
+
+
+@LAYOUTS
+def test_documents_are_never_exchanged(spark, vectors, layout):
+    docs, queries = vectors
+    work = document_warmth(frame(spark, docs, "doc_id").coalesce(2), frame(spark, queries, "query_id"), True, layout=layout)
+    physical = work._jdf.queryExecution().executedPlan().toString()
+    assert physical.count("MapInArrow") == 1 and "Join" not in physical

@@ -30,8 +30,9 @@ from thermocline.operators.similarity import (
     unit_matrix,
 )
 from thermocline.session import materialize, ship_package
+from thermocline.sources.vectors import normalize
 
-_TRAINING_ROWS_PER_CELL = 256
+_STEP_SCORES = 4_000_000  # vector-by-cell scores held at once
 
 
 @dataclass(frozen=True)
@@ -42,16 +43,24 @@ class CellIndex:
 
 def _nearest(units: np.ndarray, centres: np.ndarray, probes: int) -> np.ndarray:
     """The ``probes`` nearest cells of each vector, nearest first."""
-    return np.argsort(-(units @ centres.T), axis=1, kind="stable")[:, :probes].astype(np.int32)
+    out = np.empty((len(units), probes), np.int32)
+    step = max(1, _STEP_SCORES // len(centres))
+    for start in range(0, len(units), step):
+        far = -(units[start : start + step] @ centres.T)
+        if probes < len(centres):
+            near = np.sort(np.argpartition(far, probes - 1, axis=1)[:, :probes], axis=1)
+        else:
+            near = np.broadcast_to(np.arange(len(centres)), far.shape)
+        order = np.argsort(np.take_along_axis(far, near, 1), axis=1, kind="stable")
+        out[start : start + step] = np.take_along_axis(near, order, 1)
+    return out
 
 
 def build_cells(docs: DataFrame, cells: int, seed: int = 42) -> CellIndex:
-    """Cluster a bounded sample into cells, then put every document into its nearest cell."""
+    """Cluster the unit vectors of all documents into cells, then put every document into its nearest cell."""
     ship_package(docs.sparkSession)
-    share = min(1.0, _TRAINING_ROWS_PER_CELL * cells / max(docs.count(), 1))
-    training = docs.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    if share < 1.0:  # only the centres come from the sample
-        training = training.sample(share, seed=seed)
+    unit = normalize(docs.select("embedding").where(F.exists("embedding", lambda x: x != 0)))
+    training = unit.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
     model = KMeans(k=cells, seed=seed, maxIter=10).fit(training)
     centres = np.array([np.asarray(c) for c in model.clusterCenters()])
     centres = centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-300)
@@ -92,7 +101,7 @@ class _CellHits(Hits):
         self.centres = centres
         self.probes = probes
 
-    def run(self, docs: Iterator[DocBatch], queries: QueryBlock) -> Iterator[pa.RecordBatch]:
+    def search(self, docs: Iterator[DocBatch], queries: QueryBlock) -> Iterator[pa.RecordBatch]:
         steps = range(0, len(queries), 4096)
         probed = np.concatenate([
             _nearest(queries.units(slice(start, start + 4096)), self.centres, self.probes) for start in steps
@@ -104,7 +113,7 @@ class _CellHits(Hits):
             for batch in docs:  # the cell travels in the tier column
                 for cell in np.unique(batch.tiers):
                     if int(cell) in askers:
-                        members = batch.tiers == cell
+                        members = (batch.tiers == cell) & np.isfinite(batch.units).all(axis=1)
                         yield 0, askers[int(cell)], batch.ids[members], batch.units[members]
 
         yield from self.collect(parts(), queries)

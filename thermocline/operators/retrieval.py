@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from thermocline.functions import text, tiers
 from thermocline.functions.vectors import distance_of_score
-from thermocline.operators.similarity import Layout, VectorStats, similarity_hits, vector_stats
+from thermocline.operators.similarity import Layout, similarity_hits
 from thermocline.session import materialize
 
 _BEST_FIRST = ("-score", "doc_id")
@@ -38,10 +38,9 @@ def baseline_topk(docs: DataFrame, queries: DataFrame, k: int, threshold: float
     return best_first(hits.drop("tier"), k)
 
 
-def threshold_topk(docs: DataFrame, queries: DataFrame, k: int, threshold: float, layout: Layout = Layout(),
-                   known: VectorStats | None = None) -> DataFrame:
+def threshold_topk(docs: DataFrame, queries: DataFrame, k: int, threshold: float, layout: Layout = Layout()) -> DataFrame:
     """Best k documents of one tier among those with score >= threshold."""
-    hits = similarity_hits(docs.select("doc_id", "embedding"), queries, threshold, k, layout, known=known)
+    hits = similarity_hits(docs.select("doc_id", "embedding"), queries, threshold, k, layout)
     return best_first(hits.drop("tier"), k)
 
 
@@ -87,7 +86,6 @@ def cascade_staged(tiered: DataFrame, queries: DataFrame, k: int, threshold: flo
     repeats are not refilled.
     """
     asked = queries.select("query_id", "embedding").withColumn("remaining", F.lit(k))
-    known = vector_stats(asked)  # later stages ask for a part of these
     found: DataFrame | None = None
     for tier in (tiers.HOT, tiers.WARM, tiers.COLD):
         if found is not None:
@@ -95,9 +93,10 @@ def cascade_staged(tiered: DataFrame, queries: DataFrame, k: int, threshold: flo
             still_open = asked.join(taken, "query_id", "left").select(
                 "query_id", "embedding", (F.col("remaining") - F.coalesce("taken", F.lit(0))).alias("remaining")
             ).where(F.col("remaining") > 0)
+            still_open = materialize(still_open, "open-queries")  # measured as they are, read twice
         else:
             still_open = asked
-        nearest = threshold_topk(tiered.where(F.col("tier") == tier), still_open, k, threshold, layout, known)
+        nearest = threshold_topk(tiered.where(F.col("tier") == tier), still_open, k, threshold, layout)
         stage = nearest
         if found is not None:
             stage = (

@@ -5,25 +5,22 @@ row per pair: Spark partitions the documents, each task multiplies a batch of
 documents with a block of queries and emits only what survives (a sum per
 document, or the best hits per query).
 
-The layout follows the measured size of the query set:
-
-* *broadcast* - at most ``broadcast_bytes``: the query matrix goes to every
-  executor once, documents are scanned once and never shuffled.
-* *passes* - up to ``max_passes`` such blocks: one broadcast and one document
-  scan per block, still without a shuffle of documents. Reading them again is
-  far cheaper than shuffling them, and both are small next to the products.
-* *tiles* - beyond that: queries are hashed into G groups and documents into H
-  groups, every (document group, query group) tile is one bounded task. Rows
-  are spread by a hash of their content, so no key, source or group of copies
-  can make a tile heavy, and nothing passes through the driver.
+There is one layout for query sets of every size. The queries are cut into
+blocks of a checked size, each broadcast once. Documents stay where the scan
+finds them: a task multiplies them with one block after the other (with several
+blocks, a bounded chunk of documents at a time) and never holds more than one
+block. Documents are scanned once and never shuffled, and a document row is
+scored as a row, whether or not its id repeats.
+
+A vector with a component that is not finite has no direction: it takes no part
+in searches and adds nothing to any temperature.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,13 +40,10 @@ _READY_COMPONENTS = 8_000_000  # query components kept as unit vectors (64 MB)
 
 @dataclass(frozen=True)
 class Layout:
-    """Limits that pick and shape the layout; sizes are bytes of stored components."""
+    """Bytes of stored components that a task holds at once; they change no result."""
 
-    broadcast_bytes: int = 192 * 1024 * 1024
-    max_passes: int = 16
-    tile_query_bytes: int = 64 * 1024 * 1024
-    tile_doc_bytes: int = 512 * 1024 * 1024
-    topk_tasks: int = 20_000  # every task emits its own best k, so more tasks only mean more candidates
+    block_bytes: int = 192 * 1024 * 1024
+    chunk_bytes: int = 64 * 1024 * 1024
 
 
 # --------------------------------------------------------------------------
@@ -104,7 +98,7 @@ class QueryBlock:
 
     def directed(self) -> np.ndarray:
         """Positions of the queries that can have hits; a zero vector has no direction."""
-        return np.flatnonzero(np.any(self.rows != 0.0, axis=1))
+        return np.flatnonzero(np.any(self.rows != 0.0, axis=1) & np.isfinite(self.rows).all(axis=1))
 
     def prepared(self) -> QueryBlock:
         return replace(self, ready=unit_rows(self.rows)) if self.rows.size <= _READY_COMPONENTS else self
@@ -131,6 +125,22 @@ def _doc_batches(batches, dim: int) -> Iterator[DocBatch]:
             yield DocBatch(ids, tiers, unit_matrix(part.column("embedding"), dim), part)
 
 
+Loader = Callable[[], QueryBlock]
+
+
+def _chunks(docs: Iterator[DocBatch], size: int) -> Iterator[list[DocBatch]]:
+    """Batches gathered up to ``size`` bytes."""
+    held, held_bytes = [], 0
+    for batch in docs:
+        held.append(batch)
+        held_bytes += batch.units.nbytes
+        if held_bytes >= size:
+            yield held
+            held, held_bytes = [], 0
+    if held:
+        yield held
+
+
 @dataclass(frozen=True)
 class _Warmth:
     """Per document: sum of positive similarities; on request also the profile of all of them."""
@@ -147,28 +157,43 @@ class _Warmth:
             parts.append("embedding array<float>")
         return ", ".join(parts)
 
-    def run(self, docs: Iterator[DocBatch], queries: QueryBlock) -> Iterator[pa.RecordBatch]:
-        for batch in docs:
-            n = len(batch.ids)
-            warm, total = np.zeros(n), np.zeros(n)
-            low, high = np.full(n, np.inf), np.full(n, -np.inf)
-            for start in range(0, len(queries), _QUERY_STEP):
-                sims = batch.units @ queries.units(slice(start, start + _QUERY_STEP)).T
-                if self.profile:
-                    total += sims.sum(axis=1)
-                    np.minimum(low, sims.min(axis=1), out=low)
-                    np.maximum(high, sims.max(axis=1), out=high)
-                warm += np.maximum(sims, 0.0, out=sims).sum(axis=1)
-            columns, names = [pa.array(batch.ids), pa.array(warm)], ["doc_id", "temperature"]
+    def run(self, docs: Iterator[DocBatch], blocks: list[Loader], chunk_bytes: int) -> Iterator[pa.RecordBatch]:
+        for chunk in _chunks(docs, chunk_bytes if len(blocks) > 1 else 1):
+            sums = [self._sums(batch) for batch in chunk]
+            for load in blocks:
+                queries = load()
+                for batch, mine in zip(chunk, sums):
+                    self._add(batch, queries, mine)
+            for batch, mine in zip(chunk, sums):
+                yield self._rows(batch, mine)
+
+    @staticmethod
+    def _sums(batch: DocBatch) -> dict:
+        n = len(batch.ids)
+        return {"warm": np.zeros(n), "low": np.full(n, np.inf), "high": np.full(n, -np.inf), "total": np.zeros(n), "count": 0}
+
+    def _add(self, batch: DocBatch, queries: QueryBlock, mine: dict) -> None:
+        for start in range(0, len(queries), _QUERY_STEP):
+            sims = batch.units @ queries.units(slice(start, start + _QUERY_STEP)).T
             if self.profile:
-                none = np.full(n, not len(queries))
-                columns += [pa.array(np.round(x, SCORE_DIGITS), mask=none) for x in (low, high)]
-                columns += [pa.array(total), pa.array(np.full(n, len(queries), dtype=np.int64))]
-                names += ["sim_min", "sim_max", "sim_sum", "n_queries"]
-            if self.keep_vectors:
-                columns.append(batch.source.column("embedding"))
-                names.append("embedding")
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+                mine["total"] += np.nansum(sims, axis=1)
+                np.fmin(mine["low"], np.fmin.reduce(sims, axis=1), out=mine["low"])
+                np.fmax(mine["high"], np.fmax.reduce(sims, axis=1), out=mine["high"])
+            mine["warm"] += np.fmax(sims, 0.0, out=sims).sum(axis=1)
+        mine["count"] += len(queries)
+
+    def _rows(self, batch: DocBatch, mine: dict) -> pa.RecordBatch:
+        n = len(batch.ids)
+        columns, names = [pa.array(batch.ids), pa.array(mine["warm"])], ["doc_id", "temperature"]
+        if self.profile:
+            none = ~np.isfinite(mine["low"])  # no query, or no direction
+            columns += [pa.array(np.round(mine[x], SCORE_DIGITS), mask=none) for x in ("low", "high")]
+            columns += [pa.array(mine["total"]), pa.array(np.full(n, mine["count"], dtype=np.int64))]
+            names += ["sim_min", "sim_max", "sim_sum", "n_queries"]
+        if self.keep_vectors:
+            columns.append(batch.source.column("embedding"))
+            names.append("embedding")
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
 
 @dataclass
@@ -178,13 +203,23 @@ class Hits:
     k: int | None
     floor: float
 
-    def run(self, docs: Iterator[DocBatch], queries: QueryBlock) -> Iterator[pa.RecordBatch]:
+    def run(self, docs: Iterator[DocBatch], blocks: list[Loader], chunk_bytes: int) -> Iterator[pa.RecordBatch]:
+        if len(blocks) == 1:
+            yield from self.search(docs, blocks[0]())
+            return
+        for chunk in _chunks(docs, chunk_bytes):
+            for load in blocks:
+                yield from self.search(iter(chunk), load())
+
+    def search(self, docs: Iterator[DocBatch], queries: QueryBlock) -> Iterator[pa.RecordBatch]:
+        """Hits of one block of queries."""
         askers = queries.directed()
 
         def parts():
             for batch in docs:
+                finite = np.isfinite(batch.units).all(axis=1)
                 for tier in np.unique(batch.tiers):
-                    members = batch.tiers == tier
+                    members = (batch.tiers == tier) & finite
                     yield int(tier), askers, batch.ids[members], batch.units[members]
 
         yield from self.collect(parts(), queries)
@@ -255,10 +290,11 @@ class Hits:
 class VectorStats:
     rows: int
     dim: int
+    width: int = 4  # bytes of a component
 
     @property
     def bytes(self) -> int:
-        return self.rows * self.dim * 4
+        return self.rows * self.dim * self.width
 
 
 def vector_stats(vectors: DataFrame) -> VectorStats:
@@ -268,70 +304,46 @@ def vector_stats(vectors: DataFrame) -> VectorStats:
     ).first()
     if row["n"] and row["lo"] != row["hi"]:
         raise ValueError(f"vectors of {row['lo']} and of {row['hi']} components in one set")
-    return VectorStats(row["n"], row["hi"] or 0)
+    width = 8 if vectors.schema["embedding"].dataType.elementType.typeName() == "double" else 4
+    return VectorStats(row["n"], row["hi"] or 0, width)
 
 
-def run_pairs(docs: DataFrame, queries: DataFrame, work, schema: str, layout: Layout,
-              known: VectorStats | None = None) -> tuple[DataFrame, bool]:
-    """Apply ``work`` to all pairs; the flag says whether a document is seen by several tasks.
+def run_pairs(docs: DataFrame, queries: DataFrame, work, schema: str, layout: Layout) -> DataFrame:
+    """Apply ``work`` to all pairs; every document row is seen by one task.
 
     ``docs(doc_id, embedding[, tier])``, ``queries(query_id, embedding)``. The
     query set is read twice, for its size and for its vectors: pass a stored
-    table or something as cheap to read. ``known`` are the stats of a set that
-    contains it, where the caller has them; then it is read once.
+    table or something as cheap to read.
     """
     ship_package(docs.sparkSession)
     asked = queries.select("query_id", "embedding")
-    stats = known or vector_stats(asked)
-    passes = max(1, math.ceil(stats.bytes / layout.broadcast_bytes))
-    if passes == 1:
-        return _broadcast_pass(docs, asked, stats.dim, work, schema), False
-    if passes <= layout.max_passes:
-        block = F.pmod(F.xxhash64("query_id"), F.lit(passes))
-        parts = [_broadcast_pass(docs, asked.where(block == n), stats.dim, work, schema) for n in range(passes)]
-        return reduce(DataFrame.unionByName, parts), True
-    return _tiles(docs, asked, stats, work, schema, layout), True
-
-
-def _broadcast_pass(docs: DataFrame, queries: DataFrame, dim: int, work, schema: str) -> DataFrame:
-    block = QueryBlock.of(queries.toArrow(), dim)  # size checked by the caller
-    if isinstance(work, Hits) and not len(block.directed()):  # no hit possible, nothing to scan
+    stats = vector_stats(asked)
+    parts = max(1, math.ceil(stats.bytes / layout.block_bytes))
+    # spread by content: a repeated id does not fill a block
+    part = F.pmod(F.xxhash64("query_id", "embedding"), F.lit(parts))
+    rows_per_block = max(1, layout.block_bytes // max(1, stats.dim * stats.width))
+    shared = []
+    for number in range(parts):
+        table = (asked if parts == 1 else asked.where(part == number)).toArrow()
+        for start in range(0, table.num_rows, rows_per_block) or ([0] if parts == 1 else []):
+            block = QueryBlock.of(table.slice(start, rows_per_block).combine_chunks(), stats.dim)
+            if isinstance(work, Hits) and not len(block.directed()):  # no hit possible
+                continue
+            shared.append(docs.sparkSession.sparkContext.broadcast((block.ids, block.rows)))
+    if not shared and isinstance(work, Hits):  # nothing to scan
         return docs.sparkSession.createDataFrame([], schema)
-    shared = docs.sparkSession.sparkContext.broadcast((block.ids, block.rows))
+    dim, chunk_bytes = stats.dim, layout.chunk_bytes
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from work.run(_doc_batches(batches, dim), QueryBlock(*shared.value).prepared())
-
-    return docs.mapInArrow(task, schema)
-
-
-_ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "array<float>": pa.list_(pa.float32())}
+        def load(block) -> QueryBlock:
+            ready = QueryBlock(*block.value).prepared()
+            if len(shared) > 1:
+                block.__dict__.pop("_value", None)  # a worker keeps what it has read; here only one block at a time
+            return ready
 
+        yield from work.run(_doc_batches(batches, dim), [lambda b=b: load(b) for b in shared], chunk_bytes)
 
-def _tiles(docs: DataFrame, queries: DataFrame, stats: VectorStats, work, schema: str, layout: Layout) -> DataFrame:
-    dim = stats.dim
-    query_groups = max(1, math.ceil(stats.bytes / layout.tile_query_bytes))
-    doc_groups = max(1, math.ceil(docs.count() * dim * 4 / layout.tile_doc_bytes))  # counts without reading vectors
-
-    # both sides may come from one table; fresh column identities keep the join unambiguous
-    docs, queries = docs.toDF(*docs.columns), queries.toDF(*queries.columns)
-    group = lambda key, n: F.pmod(F.xxhash64(key, "embedding"), F.lit(n)).cast("int")
-    all_groups = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = docs.withColumn("doc_group", group("doc_id", doc_groups)).withColumn("query_group", all_groups(query_groups))
-    right = queries.withColumn("query_group", group("query_id", query_groups)).withColumn(
-        "doc_group", all_groups(doc_groups)
-    )
-    fields = pa.schema([(name, _ARROW[kind]) for name, kind in (part.split() for part in schema.split(", "))])
-
-    def tile(tile_docs: pa.Table, tile_queries: pa.Table) -> pa.Table:
-        here = QueryBlock.of(tile_queries, dim).prepared()
-        if not tile_docs.num_rows or not len(here):
-            return fields.empty_table()
-        out = work.run(_doc_batches(tile_docs.to_batches(), dim), here)
-        return pa.Table.from_batches([batch.cast(fields) for batch in out], schema=fields)
-
-    keys = ["doc_group", "query_group"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(tile, schema)
+    return docs.mapInArrow(task, schema)
 
 
 HITS_SCHEMA = "query_id long, tier int, doc_id long, score double"
@@ -342,24 +354,16 @@ def document_warmth(docs: DataFrame, queries: DataFrame, keep_vectors: bool = Fa
     """Per document: ``temperature`` = sum of its positive similarities to the queries.
 
     ``profile`` adds the minimum, maximum, sum and count of all similarities.
-    One row per document row; ``doc_id`` has to be unique. ``keep_vectors``
+    One row per document row, whether or not its id repeats. ``keep_vectors``
     hands the vectors through, which spares joining them back.
     """
     vector = F.col("embedding").cast("array<float>") if keep_vectors else F.col("embedding")
-    docs = docs.select("doc_id", vector.alias("embedding"))
-    if keep_vectors and vector_stats(queries).bytes <= layout.broadcast_bytes:
-        work = _Warmth(True, profile)
-        return run_pairs(docs, queries, work, work.schema, layout)[0]
-    work = _Warmth(False, profile)
-    out, split = run_pairs(docs, queries, work, work.schema, layout)
-    if split:
-        merge = {"sim_min": F.min, "sim_max": F.max}
-        out = out.groupBy("doc_id").agg(*[merge.get(c, F.sum)(c).alias(c) for c in out.columns if c != "doc_id"])
-    return out.join(docs, "doc_id") if keep_vectors else out
+    work = _Warmth(keep_vectors, profile)
+    return run_pairs(docs.select("doc_id", vector.alias("embedding")), queries, work, work.schema, layout)
 
 
 def similarity_hits(docs: DataFrame, queries: DataFrame, floor: float | None, k: int | None = None,
-                    layout: Layout = Layout(), work: Hits | None = None, known: VectorStats | None = None) -> DataFrame:
+                    layout: Layout = Layout(), work: Hits | None = None) -> DataFrame:
     """``(query_id, tier, doc_id, score)`` for pairs with score >= ``floor``.
 
     With ``k`` each task keeps its best k per (query, tier); the rows returned
@@ -370,7 +374,5 @@ def similarity_hits(docs: DataFrame, queries: DataFrame, floor: float | None, k:
     if "tier" in docs.columns:
         columns.append(F.col("tier").cast("int").alias("tier"))
     docs = docs.select(*columns)
-    if k is not None:
-        docs = docs.coalesce(layout.topk_tasks)  # neighbouring scan splits share a task, nothing is shuffled
     work = work or Hits(k, -math.inf if floor is None else floor)
-    return run_pairs(docs, queries, work, HITS_SCHEMA, layout, known)[0]
+    return run_pairs(docs, queries, work, HITS_SCHEMA, layout)
