@@ -20,6 +20,7 @@ offset, nothing is gathered beyond one range or one file.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -73,9 +74,12 @@ def lay_out(rows: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
 
 
 def write_archive(placed: DataFrame, path: str) -> None:
-    """One WARC file per ``file``, its records by offset."""
-    (placed.select("file", "offset", "record").repartition("file").sortWithinPartitions("file", "offset")
-     .select("file", "record").write.partitionBy("file").option("lineSep", END).text(path))
+    """One compressed WARC file per ``file``, its records by offset.
+
+    ``lay_out`` leaves each file in one partition, so nothing is moved again.
+    """
+    (placed.sortWithinPartitions("file", "offset").select("file", "record")
+     .write.partitionBy("file").option("lineSep", END).option("compression", "gzip").text(path))
 
 
 def parse(content: bytes) -> Iterator[tuple[int, int, int | None, str]]:
@@ -103,7 +107,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch.column("file").to_pylist(), batch.column("content")):
-                found = list(zip(*parse(content.as_py()))) or [[]] * 4
+                found = list(zip(*parse(gzip.decompress(content.as_py())))) or [[]] * 4
                 offset, length, page, digest = [list(x) for x in found]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([file] * len(offset), pa.int32()), pa.array(offset, pa.int64()), pa.array(length, pa.int64()),
@@ -175,11 +179,11 @@ def audit(a: DataFrame, b: DataFrame) -> DataFrame:
         .otherwise("altered")).alias("status"))
 
 
-def damaged(placed: DataFrame) -> DataFrame:
-    """Leaves of a replica in which about two records of 97 went wrong: one altered, one lost."""
+def with_damage(rows: DataFrame) -> DataFrame:
+    """Records with the digest that a damaged replica has: of 97, about one altered and one lost (null)."""
     fate = _bits(F.concat(F.lit("fault|"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))) % 97
     bytes_ = F.when(fate == 0, F.concat(F.lit("X"), F.expr("substring(record, 2)"))).otherwise(F.col("record"))
-    return placed.where(fate != 1).select("file", "offset", "length", "page_id", F.sha2(bytes_, 256).alias("digest"))
+    return rows.withColumn("replica_digest", F.when(fate != 1, F.sha2(bytes_, 256)))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,11 +191,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     One row per record of the archive with its place, digest and state in the replica.
     """
-    placed = lay_out(records(read_table(spark, sf_dir, "pages")))
+    placed = lay_out(with_damage(records(read_table(spark, sf_dir, "pages"))))
     path = scratch_path(spark, "warc")
     write_archive(placed, path)
     archive = store(read_archive(spark, path), "leaves")
-    replica = store(damaged(placed), "replica")
+    replica = store(placed.where("replica_digest IS NOT NULL").select(
+        "file", "offset", "length", "page_id", F.col("replica_digest").alias("digest")), "replica")
     wrong = audit(archive, replica).where("digest_a IS NOT NULL").select("file", "offset", "status")
     return archive.join(wrong, ["file", "offset"], "left").select(
         "page_id", "file", "offset", "length", "digest", F.coalesce("status", F.lit("intact")).alias("status"))
