@@ -49,7 +49,7 @@ def test_label_buckets(spark, label, tier):
 
 def test_cap_takes_first_in_registration_order(spark):
     tiers = tier_map(spark, [(d, 1, 100 - d) for d in range(25)])
-    moves = migration.migration_candidates(tiers, score_table(spark, [])).collect()
+    moves = migration.migration_candidates(tiers, score_table(spark, []), 20).collect()
     assert len(moves) == 20 and {m["action"] for m in moves} == {"demote"}
     assert {m["doc_id"] for m in moves} == set(range(5, 25))
     assert migration.migration_candidates(tiers, score_table(spark, []), cap=None).count() == 25

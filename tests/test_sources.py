@@ -25,6 +25,10 @@ def test_store_requests_are_checked(spark):
         '{"doc_id": 10,',
         "{}",
         None,
+        '{"doc_id": 12, "embedding": [], "temperature": 1}',
+        '{"doc_id": 1.7, "embedding": [1], "temperature": 1}',
+        '{"doc_id": 14, "embedding": [1, "NaN"], "temperature": 1}',
+        '{"doc_id": 15, "embedding": [1], "temperature": "NaN"}',
     ]
     raw = spark.createDataFrame([(i, body) for i, body in enumerate(bodies)], "seq bigint, body string")
     parsed = vectors.parse_store_requests(raw).cache()
@@ -32,10 +36,13 @@ def test_store_requests_are_checked(spark):
     assert reasons == [
         None, None, "missing temperature", "missing embedding", "missing doc_id", "bad embedding", "bad embedding",
         "bad doc_id", "bad temperature", "malformed", "missing doc_id", "malformed",
+        "bad dimension", "bad doc_id", "not finite", "bad temperature",
     ]
+    sized = vectors.parse_store_requests(raw, dimension=2).orderBy("seq").collect()
+    assert [r["reason"] for r in sized[:2]] == [None, "bad dimension"]
     stored = {r["doc_id"]: (r["tier"], list(r["embedding"])) for r in vectors.accepted(parsed).collect()}
     assert stored == {1: (1, [1.0, 2.5]), 2: (2, [1.0])}
-    assert vectors.rejected(parsed).count() == 10
+    assert vectors.rejected(parsed).count() == 14
 
 
 def test_normalize_and_zero_vector(spark):
@@ -81,8 +88,14 @@ def test_slice_and_incremental_selection(spark):
     assert [r["query_id"] for r in queries.query_slice(ids, 3, 4).orderBy("query_id").collect()] == [3, 4, 5, 6]
     assert queries.query_slice(ids, 8, 5).count() == 2
     for offset, count, want in ((3, 4, [3, 4, 5, 6]), (8, 5, [8, 9]), (10, 3, []), (0, 50, list(range(10)))):
-        cut = queries.query_slice(ids, offset, count, small=0).orderBy("query_id").collect()
+        cut = queries.query_slice(ids, offset, count).orderBy("query_id").collect()
         assert [r["query_id"] for r in cut] == want
+    repeated = spark.createDataFrame([(i,) for i in [None, None, 1, 1, 1, 1, 1, 1, 1, 2, 3, 3]], "query_id bigint")
+    for offset, count in ((0, 1), (1, 4), (3, 5), (8, 10), (0, 100)):
+        got = sorted((r["query_id"] is not None, r["query_id"] or 0) for r in queries.query_slice(repeated, offset, count).collect())
+        want = [None, None, 1, 1, 1, 1, 1, 1, 1, 2, 3, 3][offset:offset + count]
+        assert got == [(x is not None, x or 0) for x in want]
+    assert queries.incremental_queries(repeated.where("query_id = 1"), repeated, 4).count() == 4
     existing = ids.where("query_id in (1, 4, 8)")
     pick = lambda wanted: {(r["query_id"], r["origin"]) for r in queries.incremental_queries(existing, ids, wanted).collect()}
     kept = {(1, "existing"), (4, "existing"), (8, "existing")}
@@ -139,7 +152,7 @@ def test_tier_table_reads_one_partition_and_rebuilds_one_tier(spark):
     assert [r["doc_id"] for r in cold.collect()] == [3]
     plan = cold._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(tier" in plan
-    tier_table.rebuild_tier(path, tiered(spark, [(7, 0.2, 0, 2), (8, 0.2, 0, 3)]), 2)
+    tier_table.rebuild_tier(spark, path, tiered(spark, [(7, 0.2, 0, 2), (8, 0.2, 0, 3)]), 2)
     assert sorted((r["doc_id"], r["tier"]) for r in load().collect()) == [(1, 1), (3, 3), (7, 2)]
 
 

@@ -44,9 +44,9 @@ def test_redelivered_events_count_once(spark):
     again = [frames[0], frames[0].unionByName(frames[1]), frames[2]]
     stream = jobs.stream_table(spark, landed(spark, again, "events"), EVENTS, max_files=1)
     path = scratch_path(spark, "counts")
-    jobs.count_accesses(stream, path, dedupe_within="2 days").awaitTermination()
+    jobs.count_accesses(stream, path, once=True).awaitTermination()
     whole = frames[0].unionByName(frames[1]).unionByName(frames[2])
-    got = {r["doc_id"]: r["total_accesses"] for r in jobs.read_access_counts(spark, path, partial=True).collect()}
+    got = {r["doc_id"]: r["total_accesses"] for r in jobs.read_access_counts(spark, path).collect()}
     assert got == {r["doc_id"]: r["total_accesses"] for r in access.access_stats(whole).collect()}
 
 
@@ -107,3 +107,30 @@ def test_migration_after_every_batch(spark, cap, every):
     assert {(r["batch_id"], r["doc_id"], r["from_tier"], r["to_tier"]) for r in log.collect()} == moves
     final = {r["doc_id"]: r["tier"] for r in jobs.current_tiers(tiers, log).collect()}
     assert final == {r["doc_id"]: r["tier"] for r in current.collect()}
+
+
+def test_late_and_redelivered_events_count_once(spark):
+    """Out of order by more than any watermark, some of them twice."""
+    rows = [(i, i % 3, START - timedelta(days=10 * (i % 4))) for i in range(12)] + [(None, 1, START), (None, 1, START)]
+    parts = [rows[:5], rows[3:9], rows[8:] + rows[:2]]
+    stream = jobs.stream_table(spark, landed(spark, [spark.createDataFrame(p, EVENTS) for p in parts], "late"), EVENTS, max_files=1)
+    path = scratch_path(spark, "counts")
+    jobs.count_accesses(stream, path, once=True).awaitTermination()
+    assert counts(jobs.read_access_counts(spark, path)) == counts(access.access_stats(spark.createDataFrame(rows, EVENTS)))
+
+
+def test_migration_ignores_events_after_as_of_and_can_follow_the_stream(spark):
+    frames = event_frames(spark)
+    early = str(START + timedelta(minutes=30))
+    tiers = spark.createDataFrame([(d, 3, d) for d in range(4)], "doc_id bigint, tier int, seq bigint")
+    stream = lambda: jobs.stream_table(spark, landed(spark, frames, "events"), EVENTS, max_files=1)
+    path = scratch_path(spark, "as-of")
+    jobs.migrate_on_access(stream(), tiers, path, early, F.lit(early).cast("timestamp_ntz"), None).awaitTermination()
+    whole = frames[0].unionByName(frames[1]).unionByName(frames[2])
+    stats = spark.read.parquet(f"{path}/access").groupBy("doc_id").agg(F.sum("total_accesses").alias("n"))
+    assert {r["doc_id"]: r["n"] for r in stats.collect()} == {
+        r["doc_id"]: r["total_accesses"] for r in access.access_stats(whole, early).collect()}
+    path = scratch_path(spark, "follows")
+    jobs.migrate_on_access(stream(), tiers, path, None, None, None).awaitTermination()
+    times = [r["ts"] for r in jobs.read_migration_log(spark, path).select("batch_id", "ts").distinct().orderBy("batch_id").collect()]
+    assert times == sorted(times) and times[0] == START + timedelta(minutes=19)

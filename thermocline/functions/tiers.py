@@ -20,10 +20,11 @@ LABEL_WORDS = {1: ("T1", "redis"), 2: ("T2", "local"), 3: ("T3", "remote")}
 
 
 def by_cuts(value: Column, hot_at: float | Column, warm_at: float | Column) -> Column:
-    """Tier 1 at or above ``hot_at``, tier 2 at or above ``warm_at``, else tier 3."""
+    """Tier 1 at or above ``hot_at``, tier 2 at or above ``warm_at``, else tier 3; what is no number is cold."""
     hot_at = hot_at if isinstance(hot_at, Column) else F.lit(float(hot_at))
     warm_at = warm_at if isinstance(warm_at, Column) else F.lit(float(warm_at))
-    return F.when(value >= hot_at, F.lit(HOT)).when(value >= warm_at, F.lit(WARM)).otherwise(F.lit(COLD))
+    number = ~F.isnan(value.cast("double"))
+    return F.when(number & (value >= hot_at), F.lit(HOT)).when(number & (value >= warm_at), F.lit(WARM)).otherwise(F.lit(COLD))
 
 
 def by_temperature(temperature: Column, cuts: tuple[float, float] = TEMPERATURE_CUTS) -> Column:

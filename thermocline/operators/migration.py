@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from thermocline.functions import tiers as rules
 from thermocline.operators.access import top_accessed
+from thermocline.operators.order_stats import row_ranks
 from thermocline.operators.tiering import tier_distribution
 from thermocline.session import materialize
 
@@ -33,7 +34,7 @@ def _scored(tiers: DataFrame, scores: DataFrame, cuts: tuple[float, float]) -> D
     )
 
 
-def migration_candidates(tiers: DataFrame, scores: DataFrame, cap: int | None = rules.MIGRATION_CAP,
+def migration_candidates(tiers: DataFrame, scores: DataFrame, cap: int | None,
                          cuts: tuple[float, float] = rules.ACCESS_CUTS) -> DataFrame:
     """Documents whose access score asks for another tier, the first ``cap`` in registration order."""
     moving = _scored(tiers, scores, cuts).where(F.col("tier") != F.col("target_tier")).withColumn(
@@ -51,7 +52,7 @@ def _log_rows(moves: DataFrame, ts: Column, kind: str, *extra: str) -> DataFrame
     return moves.select("doc_id", ts.alias("ts"), "from_tier", "to_tier", F.lit(kind).alias("kind"), *extra)
 
 
-def migration_pass(tiers: DataFrame, scores: DataFrame, ts: Column, cap: int | None = rules.MIGRATION_CAP,
+def migration_pass(tiers: DataFrame, scores: DataFrame, ts: Column, cap: int | None,
                    cuts: tuple[float, float] = rules.ACCESS_CUTS) -> tuple[DataFrame, DataFrame]:
     """One pass: every candidate moves one step. Returns the new tiers and the log rows."""
     candidates = migration_candidates(tiers, scores, cap, cuts)
@@ -112,27 +113,48 @@ def migrate_until_stable(tiers: DataFrame, scores: DataFrame, ts: Column,
     return new, _log_rows(walk, ts, AUTO, "pass")
 
 
-def migrate_capped_until_stable(tiers: DataFrame, scores: DataFrame, ts: Column, cap: int, max_passes: int = 1000,
+def migrate_capped_until_stable(tiers: DataFrame, scores: DataFrame, ts: Column, cap: int,
                                 cuts: tuple[float, float] = rules.ACCESS_CUTS) -> tuple[DataFrame, DataFrame]:
-    """Repeated capped passes; each pass is stored, so a lost executor repeats one pass at most."""
+    """Capped passes until no candidate is left, however many that takes.
+
+    Every pass moves the first ``cap`` waiting documents in registration order by
+    one step. Only the waiting documents are stored between passes, so a lost
+    executor repeats one pass at most. The log carries the ``pass``.
+    """
+    if cap < 1:
+        raise ValueError("a pass must move a document")
+    scored = _scored(tiers, scores, cuts)
     log: DataFrame | None = None
-    for number in range(1, max_passes + 1):
-        new, moved = migration_pass(tiers, scores, ts, cap, cuts)
-        moved = materialize(moved.withColumn("pass", F.lit(number)), "migration-log")
-        if moved.isEmpty():
-            return tiers, moved if log is None else log
+    waiting = materialize(scored.where(F.col("tier") != F.col("target_tier")), "waiting")
+    left, number = waiting.count(), 0
+    while left:
+        number += 1
+        first = F.col("_rank") < cap
+        ranked = row_ranks(waiting.withColumn("_order", F.struct("seq", "doc_id")), "_order").drop("_order")
+        step = _one_step(F.col("tier"), F.col("target_tier"))
+        moved = materialize(ranked.where(first).select(
+            "doc_id", F.col("tier").alias("from_tier"), step.alias("to_tier"), F.lit(number).alias("pass")), "migration-log")
         log = moved if log is None else log.unionByName(moved)
-        tiers = materialize(new, "migration-tiers")
-    raise RuntimeError(f"documents still waiting to move after {max_passes} passes")
+        waiting = materialize(
+            ranked.withColumn("tier", F.when(first, step).otherwise(F.col("tier"))).drop("_rank")
+            .where(F.col("tier") != F.col("target_tier")), "waiting")
+        left = waiting.count()
+    new = scored.withColumn("tier", F.col("target_tier")).select(*tiers.columns)
+    if log is None:
+        log = scored.where(F.lit(False)).select(
+            "doc_id", F.col("tier").alias("from_tier"), F.col("tier").alias("to_tier"), F.lit(0).alias("pass"))
+    return new, _log_rows(log, ts, AUTO, "pass")
 
 
 def force_migration(tiers: DataFrame, requests: DataFrame, ts: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Walk each requested document to ``target_tier``: (outcome, log rows, new tiers).
 
-    One request per document. An unknown document fails without a move; a
+    The latest request for a document counts (by ``seq``, where there is one). An unknown document fails without a move; a
     target outside 1..3 fails after the walk has reached the last real tier.
     """
     current = tiers.select("doc_id", "tier")
+    latest = F.max_by("target_tier", "seq") if "seq" in requests.columns else F.max("target_tier")
+    requests = requests.groupBy("doc_id").agg(latest.alias("target_tier"))
     asked = requests.select("doc_id", "target_tier").join(current, "doc_id", "left")
     outcome = asked.select(
         "doc_id", "target_tier", F.col("tier").alias("from_tier"),
@@ -156,6 +178,13 @@ def migration_history(log: DataFrame) -> DataFrame:
     )
 
 
+def migration_moves(log: DataFrame) -> DataFrame:
+    """The moves of every document in order: ``(doc_id, move, ts, from_tier, to_tier)``, ``move`` from 1."""
+    order = [c for c in ("ts", "pass", "step") if c in log.columns]
+    place = F.row_number().over(W.partitionBy("doc_id").orderBy(*order))
+    return log.select("doc_id", place.alias("move"), "ts", "from_tier", "to_tier")
+
+
 def migration_stats(log: DataFrame, as_of: Column, hours: int = 24) -> DataFrame:
     """Moves strictly newer than ``hours`` before ``as_of``."""
     cutoff = F.timestamp_add("HOUR", F.lit(-hours), as_of)

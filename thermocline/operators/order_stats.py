@@ -11,6 +11,7 @@ never shuffled before that, and the answer is exact whatever the sketch said.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -51,18 +52,44 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: Ranks, l
     """One row per group: its keys, ``n`` and one column per entry of ``ranks``.
 
     ``ranks`` maps an output name to a function from the group's row count to
-    a zero-based rank. Null values are left out; integers stay integers.
+    a zero-based rank. Values that are null or not a number are left out;
+    integers stay integers. Only groups of more than ``limit`` rows are narrowed
+    first; both ways are exact.
     """
     group = keys or ["_all"]
     rows = df.where(F.col(value).isNotNull())
     kind = "bigint" if isinstance(df.schema[value].dataType, IntegralType) else "double"
     rows = rows.select(*(keys or [F.lit(0).alias("_all")]), F.col(value).cast(kind).alias("v"))
-    largest = rows.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
-    pick = _sorted_pick if largest <= limit else _narrowed_pick
-    out = pick(rows, group, ranks, limit)
+    if kind == "double":
+        rows = rows.where(~F.isnan("v"))
+    # at most rows / limit groups are large, each of them one row here
+    large = materialize(rows.groupBy(*group).count().where(F.col("count") > limit).drop("count"), "large-groups")
+    if large.isEmpty():
+        out = _sorted_pick(rows, group, ranks, limit)
+    else:
+        same = lambda other: reduce(lambda x, y: x & y, [rows[c].eqNullSafe(other[c]) for c in group])
+        small = _sorted_pick(rows.join(large, same(large), "left_anti"), group, ranks, limit)
+        out = small.unionByName(_narrowed_pick(rows.join(large, same(large), "left_semi"), group, ranks, limit))
     return out if keys else out.drop("_all")
 
 
+def row_ranks(rows: DataFrame, by: str) -> DataFrame:
+    """Adds ``_rank``: the place of every row, from 0, in the order of ``by`` (nulls first).
+
+    Rows are range-partitioned by value and a hash of the whole row, so copies of a
+    value spread too; a rank is the rows of earlier partitions plus the place within.
+    """
+    tie = F.xxhash64(*rows.columns)
+    cut = materialize(
+        rows.withColumn("_tie", tie).repartitionByRange(F.col(by).asc_nulls_first(), F.col("_tie"))
+        .withColumn("_part", F.spark_partition_id()), "ranges")
+    # one row per partition
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    parts = cut.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    place = F.row_number().over(W.partitionBy("_part").orderBy(F.col(by).asc_nulls_first(), "_tie"))
+    return cut.join(F.broadcast(parts), "_part").withColumn("_rank", F.col("_before") + place - 1).drop("_part", "_before", "_tie")
+
+
 def _sorted_pick(rows: DataFrame, group: list[str], ranks: Ranks, limit: int) -> DataFrame:
     """Groups of at most ``limit`` rows: running counts over their distinct values."""
     counted = rows.groupBy(*group, "v").agg(F.count(F.lit(1)).alias("c"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from thermocline.functions import tiers as rules
+from thermocline.session import materialize
 
 
 def single_tier(docs: DataFrame, tier: int) -> DataFrame:
@@ -34,10 +35,31 @@ def hot_in_memory(tiered: DataFrame) -> DataFrame:
     return tiered.where(hot).persist().unionByName(tiered.where(~hot))
 
 
-def rebuild_tier(path: str, tiered: DataFrame, tier: int) -> None:
-    """Clear one tier and refill it from ``tiered`` (which must not read ``path``); other tiers stay untouched."""
-    part = tiered.where(F.col("tier") == tier)
-    part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tier").parquet(path)
+def rebuild_tier(spark: SparkSession, path: str, tiered: DataFrame, tier: int) -> None:
+    """Clear one tier and refill it from ``tiered`` (which must not read ``path``); other tiers stay untouched.
+
+    A tier without documents afterwards has no folder: an overwrite only
+    replaces partitions it writes, so that one is removed.
+    """
+    part = materialize(tiered.where(F.col("tier") == tier), "tier")
+    if part.isEmpty():
+        clear_tier(spark, path, tier)
+    else:
+        part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tier").parquet(path)
+
+
+def clear_tier(spark: SparkSession, path: str, tier: int) -> None:
+    """Remove every document of a tier from the stored table."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/tier={tier}")
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def delete_documents(spark: SparkSession, path: str, schema: StructType, ids: DataFrame) -> None:
+    """Delete documents by id from the stored table; only tiers that hold one of them are written again."""
+    for tier in (rules.HOT, rules.WARM, rules.COLD):
+        stored = load_tiers(spark, path, schema, tier)
+        if not get_documents(stored, ids).isEmpty():
+            rebuild_tier(spark, path, without_documents(stored, ids), tier)
 
 
 def latest_copies(stored: DataFrame, order: tuple[str, ...] = ("seq",)) -> DataFrame:

@@ -19,6 +19,7 @@ from thermocline.sources.vectors import read_vectors
 
 AS_OF = "2024-01-31 00:00:00"
 K = 5
+DIMENSION = 64
 THRESHOLD = 0.25
 THRESHOLDS = [0.2, 0.25, 0.3]
 BASELINE, TIERED = "view", "click"
@@ -142,14 +143,22 @@ def forced_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def store_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON store requests from the vectors; three labels carry a defect each."""
+    """JSON store requests from the vectors; eight labels carry a defect each."""
     whole = F.to_json(F.struct(F.col("vec_id").alias("doc_id"), "embedding", (F.col("label") / 9.0).alias("temperature")))
     no_temperature = F.to_json(F.struct(F.col("vec_id").alias("doc_id"), "embedding"))
     wrong_type = F.to_json(
         F.struct(F.col("vec_id").alias("doc_id"), F.lit("none").alias("embedding"), F.lit(0.5).alias("temperature"))
     )
-    body = (
-        F.when(F.col("label") == 1, no_temperature).when(F.col("label") == 2, F.concat(F.lit("{"), F.lit("doc_id")))
-        .when(F.col("label") == 3, wrong_type).otherwise(whole)
-    )
+    request = lambda **parts: F.to_json(F.struct(*[x.alias(name) for name, x in {
+        "doc_id": F.col("vec_id"), "embedding": F.col("embedding"), "temperature": F.col("label") / 9.0, **parts}.items()]))
+    no_number = F.lit(float("nan")).cast("float")
+    defects = {
+        1: no_temperature, 2: F.concat(F.lit("{"), F.lit("doc_id")), 3: wrong_type,
+        4: request(embedding=F.slice("embedding", 1, 0)), 5: request(doc_id=F.col("vec_id") + 0.5),
+        6: request(temperature=F.lit(float("nan"))), 7: request(embedding=F.concat(F.slice("embedding", 2, 999), F.array(no_number))),
+        8: request(embedding=F.slice("embedding", 2, 999)),
+    }
+    body = whole
+    for label, wrong in defects.items():
+        body = F.when(F.col("label") == label, wrong).otherwise(body)
     return vectors(spark, sf_dir).select(body.alias("body"), F.col("vec_id").alias("seq"))

@@ -57,7 +57,7 @@ def corpus_ingest(spark, sf):
 
 @_register
 def ingest_validate(spark, sf):
-    parsed = vector_sources.parse_store_requests(b.store_requests(spark, sf))
+    parsed = vector_sources.parse_store_requests(b.store_requests(spark, sf), dimension=b.DIMENSION)
     return parsed.select("seq", "doc_id", _r("temperature"), "tier", F.coalesce("reason", F.lit("ok")).alias("outcome"))
 
 
@@ -97,11 +97,24 @@ def tier_table_roundtrip(spark, sf):
     # a store that starts with everything warm, then each tier is rebuilt from the saved assignment
     tier_table.save_tiers(tier_table.single_tier(assigned.drop("tier"), tiers.WARM), path)
     for tier in (tiers.HOT, tiers.WARM, tiers.COLD):
-        tier_table.rebuild_tier(path, assigned, tier)
+        tier_table.rebuild_tier(spark, path, assigned, tier)
     stored = tier_table.load_tiers(spark, path, assigned.schema)
     return stored.select("doc_id", _r("temperature"), "tier", _r("tier1_threshold"), _r("tier2_threshold"))
 
 
+@_register
+def tier_clear(spark, sf):
+    """One tier rebuilt to nothing, accessed documents deleted from the others; read back with vector sums."""
+    stored = b.tiered_docs(spark, sf)
+    path = scratch_path(spark, "tier-cleared")
+    tier_table.save_tiers(stored, path)
+    tier_table.rebuild_tier(spark, path, stored.where(F.lit(False)), tiers.WARM)
+    tier_table.delete_documents(spark, path, stored.schema, b.accesses(spark, sf))
+    left = tier_table.load_tiers(spark, path, stored.schema)
+    total = F.aggregate(F.transform("embedding", lambda x: x.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    return left.select("doc_id", "tier", _r("temperature"), _r(total, "component_sum"))
+
+
 @_register
 def tier_upsert(spark, sf):
     return tier_table.upsert(b.initial_registrations(spark, sf), b.event_registrations(spark, sf)).select(
@@ -132,7 +145,7 @@ def tier_delete(spark, sf):
 def embedding_cache_split(spark, sf):
     texts = b.query_texts(spark, sf)
     known = texts.join(b.workload(spark, sf), "query_id")
-    cache = query_sources.cache_entries(known, "given").dropDuplicates(["query_md5"])
+    cache = query_sources.one_entry_per_text(query_sources.cache_entries(known, "given"))
     hits, misses = query_sources.cache_lookup(texts, cache)
     return hits.select("query_md5", "query_id", "n_queries", F.lit("hit").alias("outcome"), "dimension").unionByName(
         misses.select("query_md5", "query_id", "n_queries", F.lit("miss").alias("outcome"),
@@ -353,13 +366,13 @@ def top_accessed(spark, sf):
 
 @_register
 def migration_candidates(spark, sf):
-    found = migration.migration_candidates(b.current_tiers(spark, sf), b.scores(spark, sf))
+    found = migration.migration_candidates(b.current_tiers(spark, sf), b.scores(spark, sf), tiers.MIGRATION_CAP)
     return found.select("doc_id", "seq", "tier", "target_tier", _r("score"), "action")
 
 
 @_register
 def migration_pass(spark, sf):
-    new, log = migration.migration_pass(b.current_tiers(spark, sf), b.scores(spark, sf), b.as_of())
+    new, log = migration.migration_pass(b.current_tiers(spark, sf), b.scores(spark, sf), b.as_of(), tiers.MIGRATION_CAP)
     moved = log.select("doc_id", "from_tier", "kind")
     return new.join(moved, "doc_id", "left").select("doc_id", "tier", "from_tier", "kind")
 
@@ -406,6 +419,22 @@ def migration_history(spark, sf):
     return history.select("doc_id", "n_moves", _stamp("first_ts"), _stamp("last_ts"), "first_from", "last_to")
 
 
+@_register
+def migration_moves(spark, sf):
+    _, log, _ = migration.force_migration(b.current_tiers(spark, sf), b.forced_requests(spark, sf), b.as_of())
+    return migration.migration_moves(log).select("doc_id", "move", _stamp("ts"), "from_tier", "to_tier")
+
+
+@_register
+def migration_capped(spark, sf):
+    """Capped passes until stable; the cap is a third of the documents, so the passes grow with nothing."""
+    current = b.current_tiers(spark, sf)
+    cap = max(1, current.count() // 3)
+    new, log = migration.migrate_capped_until_stable(current, b.scores(spark, sf), b.as_of(), cap)
+    end = new.select("doc_id", F.col("tier").alias("final_tier"))
+    return end.join(log.select("doc_id", "from_tier", "to_tier"), "doc_id", "left")
+
+
 def _shifted_log(spark, sf):
     """Log of an uncapped pass whose moves lie up to two days back."""
     back = F.timestamp_add("HOUR", (-(F.col("doc_id") % 48)).cast("int"), b.as_of())
@@ -419,7 +448,7 @@ def migration_stats(spark, sf):
 
 @_register
 def status_report(spark, sf):
-    new, log = migration.migration_pass(b.current_tiers(spark, sf), b.scores(spark, sf), b.as_of())
+    new, log = migration.migration_pass(b.current_tiers(spark, sf), b.scores(spark, sf), b.as_of(), tiers.MIGRATION_CAP)
     report = migration.status_report(new, log, b.scores(spark, sf))
     return report.select("section", "key", _r("value"))
 
@@ -479,8 +508,8 @@ def stream_access_dedup(spark, sf):
     path = scratch_path(spark, "stream-access-once")
     # every event is delivered twice and counted once
     twice = _event_stream(spark, sf).withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_copy")
-    jobs.count_accesses(twice, path, dedupe_within="2 days").awaitTermination()
-    counts = jobs.read_access_counts(spark, path, partial=True)
+    jobs.count_accesses(twice, path, once=True).awaitTermination()
+    counts = jobs.read_access_counts(spark, path)
     return counts.select("doc_id", "total_accesses", _stamp("last_access"))
 
 
@@ -490,7 +519,7 @@ def stream_store(spark, sf):
     folder = scratch_path(spark, "store-requests")
     b.store_requests(spark, sf).write.parquet(folder)
     requests = jobs.stream_table(spark, folder, "body string, seq bigint")
-    jobs.store_documents(requests, path).awaitTermination()
+    jobs.store_documents(requests, path, dimension=b.DIMENSION).awaitTermination()
     stored = jobs.read_stored(spark, path).select(
         "seq", "tier", F.size("embedding").alias("dim"), _r("temperature"), F.lit("ok").alias("outcome")
     )

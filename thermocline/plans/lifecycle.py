@@ -56,7 +56,7 @@ def evaluate(tiered: DataFrame, queries: DataFrame, log: DataFrame, k: int, thre
 
 
 def migration_cycle(events: DataFrame, tiers: DataFrame, as_of: str, ts: Column,
-                    cap: int | None = rules.MIGRATION_CAP) -> tuple[DataFrame, DataFrame]:
+                    cap: int | None) -> tuple[DataFrame, DataFrame]:
     """Access log to scores to one migration pass: (new tier map, log rows)."""
     scores = access.access_scores(access.access_stats(events, as_of), as_of)
     return migration.migration_pass(tiers, scores, ts, cap)

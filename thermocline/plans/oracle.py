@@ -134,7 +134,9 @@ forced AS (
 _STORE = """
 outcomes AS (
   SELECT vec_id, label, len(embedding) AS dim, label / 9.0::DOUBLE AS temperature,
-         CASE label WHEN 1 THEN 'missing temperature' WHEN 2 THEN 'malformed' WHEN 3 THEN 'bad embedding' ELSE 'ok' END AS outcome,
+         CASE label WHEN 1 THEN 'missing temperature' WHEN 2 THEN 'malformed' WHEN 3 THEN 'bad embedding'
+                    WHEN 4 THEN 'bad dimension' WHEN 5 THEN 'bad doc_id' WHEN 6 THEN 'bad temperature'
+                    WHEN 7 THEN 'not finite' WHEN 8 THEN 'bad dimension' ELSE 'ok' END AS outcome,
          CASE WHEN label / 9.0::DOUBLE >= 0.9 THEN 1 WHEN label / 9.0::DOUBLE >= 0.7 THEN 2 ELSE 3 END AS tier
   FROM embeddings)
 """
@@ -198,8 +200,9 @@ def oracle_sql() -> dict[str, str]:
             SELECT vec_id AS doc_id, CAST(len(embedding) AS INTEGER) AS dim,
                    round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS component_sum FROM embeddings""",
         "ingest_validate": with_ + _STORE + """
-            SELECT vec_id AS seq, CASE WHEN outcome <> 'malformed' THEN vec_id END AS doc_id,
-                   CASE outcome WHEN 'ok' THEN round(temperature, 6) WHEN 'bad embedding' THEN 0.5 END AS temperature,
+            SELECT vec_id AS seq, CASE WHEN outcome NOT IN ('malformed', 'bad doc_id') THEN vec_id END AS doc_id,
+                   CASE WHEN outcome = 'bad embedding' THEN 0.5 WHEN outcome = 'bad temperature' THEN 'nan'::DOUBLE
+                        WHEN outcome NOT IN ('malformed', 'missing temperature') THEN round(temperature, 6) END AS temperature,
                    CASE WHEN outcome = 'ok' THEN tier END AS tier, outcome FROM outcomes""",
         "query_texts_json": """
             SELECT doc_id AS query_id, CAST(generate_subscripts(lines, 1) - 1 AS INTEGER) AS line_no, unnest(lines) AS line
@@ -210,6 +213,9 @@ def oracle_sql() -> dict[str, str]:
         "tier_table_roundtrip": with_ + _TIERS + """
             SELECT doc_id, round(temperature, 6) AS temperature, tier, round(hot_at, 6) AS tier1_threshold,
                    round(warm_at, 6) AS tier2_threshold FROM tiers""",
+        "tier_clear": with_ + _TIERS + """
+            SELECT doc_id, tier, round(temperature, 6) AS temperature, round(list_sum(e), 6) AS component_sum
+            FROM tiers JOIN vec ON vec_id = doc_id WHERE tier <> 2 AND doc_id NOT IN (SELECT user_id FROM seen)""",
         "tier_upsert": with_ + _REGISTERED + "SELECT tier, doc_id, max(seq) AS seq FROM registered GROUP BY tier, doc_id",
         "register_tiers": with_ + _REGISTERED + """
             SELECT doc_id, arg_max(tier, seq) AS tier, min(seq) AS seq FROM registered GROUP BY doc_id""",
@@ -337,6 +343,12 @@ def oracle_sql() -> dict[str, str]:
                      CAST(tier + sign(target_tier - tier) * pass AS INTEGER) AS to_tier
               FROM wanted JOIN (VALUES (1), (2)) p(pass) ON pass <= abs(target_tier - tier))
             SELECT doc_id, target_tier AS final_tier, pass, from_tier, to_tier FROM aimed LEFT JOIN steps USING (doc_id)""",
+        "migration_capped": with_ + _MOVES + """,
+            steps AS (
+              SELECT doc_id, CAST(tier + sign(target_tier - tier) * (pass - 1) AS INTEGER) AS from_tier,
+                     CAST(tier + sign(target_tier - tier) * pass AS INTEGER) AS to_tier
+              FROM wanted JOIN (VALUES (1), (2)) p(pass) ON pass <= abs(target_tier - tier))
+            SELECT doc_id, target_tier AS final_tier, from_tier, to_tier FROM aimed LEFT JOIN steps USING (doc_id)""",
         "force_migration": with_ + _FORCED + """
             SELECT doc_id, target_tier, from_tier,
                    CAST(from_tier IS NOT NULL AND target_tier BETWEEN 1 AND 3 AS INTEGER) AS success,
@@ -346,6 +358,11 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, CAST(abs(reach - from_tier) AS BIGINT) AS n_moves, '2024-01-31 00:00:00.000000' AS first_ts,
                    '2024-01-31 00:00:00.000000' AS last_ts, from_tier AS first_from, reach AS last_to
             FROM forced WHERE from_tier <> reach""",
+        "migration_moves": with_ + _FORCED + """
+            SELECT doc_id, CAST(move AS INTEGER) AS move, '2024-01-31 00:00:00.000000' AS ts,
+                   CAST(from_tier + sign(reach - from_tier) * (move - 1) AS INTEGER) AS from_tier,
+                   CAST(from_tier + sign(reach - from_tier) * move AS INTEGER) AS to_tier
+            FROM (SELECT *, unnest(range(1, abs(reach - from_tier) + 1)) AS move FROM forced WHERE from_tier <> reach)""",
         "migration_stats": with_ + _MOVES + """
             SELECT count(*) AS total_migrations FROM wanted
             WHERE TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 1 HOUR * (doc_id % 48) > TIMESTAMP '2024-01-30 00:00:00'""",

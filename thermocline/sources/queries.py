@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thermocline.functions import text
-from thermocline.operators.order_stats import order_statistics
+from thermocline.operators.order_stats import row_ranks
 
 WORKLOAD, HELD_OUT = "workload", "eval"
 
@@ -18,43 +18,27 @@ def split_queries(vectors: DataFrame, seen: DataFrame) -> DataFrame:
     return vectors.join(mark, "query_id", "left").withColumn("split", split).drop("_seen")
 
 
-def query_slice(queries: DataFrame, offset: int, count: int, by: str = "query_id", small: int = 100_000) -> DataFrame:
-    """Skip ``offset`` rows in id order and take at most ``count`` of what is there.
+def query_slice(queries: DataFrame, offset: int, count: int, by: str = "query_id") -> DataFrame:
+    """Skip ``offset`` rows in the order of ``by`` (nulls first) and take at most ``count`` of what is there.
 
-    A slice that ends beyond ``small`` rows is cut by the ids at its two ends,
-    so the skipped rows are never gathered; ids have to be unique integers.
+    Rows are counted, not values: a repeated id fills as many places as it has rows.
     """
-    if offset + count <= small:
-        return queries.orderBy(by).offset(offset).limit(count)
-    at = lambda rank: lambda n: F.when(n > offset, F.least(F.lit(rank), n - 1)).cast("bigint")
-    ends = order_statistics(queries, [], by, {"first": at(offset), "last": at(offset + count - 1)}).first()
-    if count <= 0 or ends is None or ends["first"] is None:
-        return queries.where(F.lit(False))
-    return queries.where(F.col(by).between(ends["first"], ends["last"]))
+    rank = F.col("_rank")
+    return row_ranks(queries, by).where((rank >= offset) & (rank < offset + count)).drop("_rank")
 
 
 def incremental_queries(existing: DataFrame, incoming: DataFrame, wanted: int) -> DataFrame:
     """The embedded set after growing it to ``wanted`` queries: ``(query_id, ..., origin)``.
 
     Existing queries come first (cut back when there are more than wanted),
-    then the new ones with the smallest ids. The cut is an id bound found by
-    exact rank, so a large ``wanted`` moves no rows to one place.
+    then the new ones with the smallest ids; exact row ranks make the cut.
     """
     have = existing.count()
     kept = existing.withColumn("origin", F.lit("existing"))
     if have >= wanted:
-        return _first_by_id(kept, have, wanted)
+        return query_slice(kept, 0, wanted)
     new = incoming.join(existing.select("query_id"), "query_id", "left_anti").withColumn("origin", F.lit("new"))
-    return kept.unionByName(_first_by_id(new, new.count(), wanted - have))
-
-
-def _first_by_id(queries: DataFrame, have: int, wanted: int) -> DataFrame:
-    if have <= wanted:
-        return queries
-    if wanted <= 0:
-        return queries.where(F.lit(False))
-    bound = order_statistics(queries, [], "query_id", {"last": lambda n: F.lit(wanted - 1).cast("bigint")})
-    return queries.where(F.col("query_id") <= bound.first()["last"])
+    return kept.unionByName(query_slice(new, 0, wanted - have))
 
 
 def query_leakage(queries: DataFrame) -> DataFrame:
@@ -123,4 +107,11 @@ def cache_entries(embedded: DataFrame, model: str) -> DataFrame:
 def append_to_cache(cache: DataFrame, entries: DataFrame) -> DataFrame:
     """Cache plus the entries it does not hold yet."""
     fresh = entries.join(cache.select("query_md5"), "query_md5", "left_anti")
-    return cache.unionByName(fresh.dropDuplicates(["query_md5"]))
+    return cache.unionByName(one_entry_per_text(fresh))
+
+
+def one_entry_per_text(entries: DataFrame) -> DataFrame:
+    """Of several entries for a text the smallest one, so every run keeps the same vector."""
+    rest = [c for c in entries.columns if c != "query_md5"]
+    least = entries.groupBy("query_md5").agg(F.min(F.struct(*rest)).alias("_entry"))
+    return least.select("query_md5", "_entry.*").select(*entries.columns)

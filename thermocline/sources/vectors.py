@@ -44,9 +44,14 @@ def normalize(vectors: DataFrame) -> DataFrame:
     return vectors.mapInArrow(task, target)
 
 
-def parse_store_requests(raw: DataFrame, column: str = "body", cuts: tuple[float, float] = rules.TEMPERATURE_CUTS) -> DataFrame:
+def parse_store_requests(raw: DataFrame, column: str = "body", cuts: tuple[float, float] = rules.TEMPERATURE_CUTS,
+                         dimension: int | None = None) -> DataFrame:
     """Check JSON requests ``{doc_id, embedding, temperature}``.
 
+    One stored vector of another length, or with a component that is not
+    finite, would spoil every later search, so such requests are refused; with
+    ``dimension`` unknown any length but zero passes.
+
     Adds the typed fields, the ``tier`` and a ``reason`` that is null for valid
     requests, so both outcomes come from one pass.
     """
@@ -56,11 +61,16 @@ def parse_store_requests(raw: DataFrame, column: str = "body", cuts: tuple[float
     )
     text = F.col("_r.doc_id")
     typed = (
-        parsed.withColumn("doc_id", F.coalesce(text.try_cast("bigint"), text.try_cast("double").try_cast("bigint")))
+        parsed.withColumn("doc_id", F.coalesce(text.try_cast("bigint"), F.when(
+            text.try_cast("double") == F.floor(text.try_cast("double")), text.try_cast("double").try_cast("bigint"))))
         .withColumn("embedding", F.from_json("_r.embedding", "array<float>"))
         .withColumn("temperature", F.col("_r.temperature").try_cast("double"))
     )
     bad_vector = F.col("embedding").isNull() | F.exists("embedding", lambda x: x.isNull())
+    size = F.size("embedding")
+    wrong_size = (size == 0) if dimension is None else (size != dimension)
+    infinite = F.exists("embedding", lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
+    no_number = F.isnan("temperature") | (F.abs("temperature") == float("inf"))
     reason = (
         F.when(F.col("_r").isNull() | F.col("_r._bad").isNotNull(), "malformed")
         .when(text.isNull(), "missing doc_id")
@@ -68,7 +78,9 @@ def parse_store_requests(raw: DataFrame, column: str = "body", cuts: tuple[float
         .when(F.col("_r.temperature").isNull(), "missing temperature")
         .when(F.col("doc_id").isNull(), "bad doc_id")
         .when(bad_vector, "bad embedding")
-        .when(F.col("temperature").isNull(), "bad temperature")
+        .when(wrong_size, "bad dimension")
+        .when(infinite, "not finite")
+        .when(F.col("temperature").isNull() | no_number, "bad temperature")
     )
     return typed.withColumn("reason", reason).withColumn(
         "tier", F.when(F.col("reason").isNull(), rules.by_temperature(F.col("temperature"), cuts))

@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from thermocline.operators.access import access_scores
+from thermocline.operators.access import access_scores, moment
 from thermocline.operators.migration import migration_pass
-from thermocline.operators.retrieval import cascade_topk
+from thermocline.operators.retrieval import cascade_staged
 from thermocline.operators.tier_table import latest_copies
-from thermocline.session import scratch_path
+from thermocline.session import materialize, scratch_path
 from thermocline.sources.vectors import accepted, parse_store_requests, rejected
 
 
@@ -33,34 +33,48 @@ def _batch_folder(path: str, batch_id: int) -> str:
     return f"{path}/batch_id={batch_id}"
 
 
-def _start(stream: DataFrame, handle, checkpoint: str | None, mode: str = "append") -> StreamingQuery:
+ONCE = {"availableNow": True}  # what has arrived; {"processingTime": "10 seconds"} keeps a job running
+
+
+def _start(stream: DataFrame, handle, checkpoint: str | None, trigger: dict, mode: str = "append") -> StreamingQuery:
     checkpoint = checkpoint or scratch_path(stream.sparkSession, "stream-checkpoint")
     return (
         stream.writeStream.outputMode(mode).foreachBatch(handle).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
+        .trigger(**trigger).start()
     )
 
 
 # -- access counting -------------------------------------------------------
 
+_SEEN_SCHEMA = "event_id bigint"
 
-def count_accesses(events: DataFrame, path: str, checkpoint: str | None = None,
-                   dedupe_within: str | None = None) -> StreamingQuery:
+
+def count_accesses(events: DataFrame, path: str, checkpoint: str | None = None, once: bool = False,
+                   trigger: dict = ONCE) -> StreamingQuery:
     """Running count and last access of each document; ``events(event_id, doc_id, ts)``.
 
-    With ``dedupe_within`` a redelivered ``event_id`` counts once.
+    With ``once`` a redelivered ``event_id`` counts once, however late it comes:
+    the ids of earlier batches are stored and joined against, not kept by a
+    watermark. Events without an id all count.
     """
-    if dedupe_within is not None:
-        events = (
-            events.withColumn("ts", F.col("ts").cast("timestamp"))
-            .withWatermark("ts", dedupe_within).dropDuplicatesWithinWatermark(["event_id"])
-        )
-        # an aggregation after the de-duplication needs its own state, kept per batch instead
-        partial = lambda df, batch: _access_partial(df).write.mode("overwrite").parquet(_batch_folder(path, batch))
-        return _start(events.select("event_id", "doc_id", "ts"), partial, checkpoint)
-    running = _access_partial(events)
-    write = lambda df, batch: df.write.mode("overwrite").parquet(_batch_folder(path, batch))
-    return _start(running, write, checkpoint, "update")
+    spark = events.sparkSession
+    if not once:
+        running = _access_partial(events).withColumn("adds_up", F.lit(False))
+        write = lambda df, batch: df.write.mode("overwrite").parquet(_batch_folder(path, batch))
+        return _start(running, write, checkpoint, trigger, "update")
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        named = batch.where("event_id IS NOT NULL").groupBy("event_id").agg(F.min(F.struct("doc_id", "ts")).alias("e"))
+        if batch_id:
+            base = f"{path}-seen"
+            seen = spark.read.schema(f"{_SEEN_SCHEMA}, batch_id bigint").option("basePath", base).parquet(base)
+            named = named.join(seen.where(F.col("batch_id") < batch_id).select("event_id"), "event_id", "left_anti")
+        fresh = materialize(named.select("event_id", "e.*").unionByName(
+            batch.where("event_id IS NULL").select("event_id", "doc_id", "ts")), "fresh-events")
+        fresh.where("event_id IS NOT NULL").select("event_id").write.mode("overwrite").parquet(_batch_folder(f"{path}-seen", batch_id))
+        _access_partial(fresh).withColumn("adds_up", F.lit(True)).write.mode("overwrite").parquet(_batch_folder(path, batch_id))
+
+    return _start(events.select("event_id", "doc_id", "ts"), handle, checkpoint, trigger)
 
 
 def _access_partial(events: DataFrame) -> DataFrame:
@@ -69,25 +83,26 @@ def _access_partial(events: DataFrame) -> DataFrame:
     )
 
 
-def read_access_counts(spark: SparkSession, path: str, partial: bool = False) -> DataFrame:
-    """Latest state: running totals only grow, so the largest is the latest; partial counts add up."""
-    parts = spark.read.parquet(path)
-    if partial:
-        return _fold_access(parts)
-    return parts.groupBy("doc_id").agg(
-        F.max("total_accesses").alias("total_accesses"), F.max("last_access").alias("last_access"),
-        F.min("first_access").alias("first_access"),
+def read_access_counts(spark: SparkSession, path: str) -> DataFrame:
+    """Latest state. Running totals only grow, so the largest is the latest; a batch's own counts
+    (marked ``adds_up`` by the job that wrote them) add up."""
+    total = F.col("total_accesses")
+    return spark.read.parquet(path).groupBy("doc_id").agg(
+        (F.coalesce(F.sum(F.when(F.col("adds_up"), total)), F.lit(0))
+         + F.coalesce(F.max(F.when(~F.col("adds_up"), total)), F.lit(0))).alias("total_accesses"),
+        F.max("last_access").alias("last_access"), F.min("first_access").alias("first_access"),
     )
 
 
 # -- document ingest -------------------------------------------------------
 
 
-def store_documents(requests: DataFrame, path: str, checkpoint: str | None = None) -> StreamingQuery:
+def store_documents(requests: DataFrame, path: str, checkpoint: str | None = None, dimension: int | None = None,
+                    trigger: dict = ONCE) -> StreamingQuery:
     """JSON requests ``(body, seq)`` into the tier their temperature asks for; rejects are kept with a reason."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        parsed = parse_store_requests(batch)
+        parsed = parse_store_requests(batch, dimension=dimension)
         valid = accepted(parsed).select("doc_id", "embedding", "temperature", "tier", "seq")
         latest_copies(valid).write.mode("overwrite").partitionBy("tier").parquet(
             _batch_folder(f"{path}/stored", batch_id)
@@ -96,7 +111,7 @@ def store_documents(requests: DataFrame, path: str, checkpoint: str | None = Non
             _batch_folder(f"{path}/rejected", batch_id)
         )
 
-    return _start(requests, handle, checkpoint)
+    return _start(requests, handle, checkpoint, trigger)
 
 
 STORED_SCHEMA = "doc_id bigint, embedding array<float>, temperature double, seq bigint, batch_id bigint, tier int"
@@ -116,15 +131,17 @@ def read_rejected(spark: SparkSession, path: str) -> DataFrame:
 
 
 def answer_queries(queries: DataFrame, tiered: DataFrame, path: str, k: int, threshold: float,
-                   checkpoint: str | None = None) -> StreamingQuery:
-    """Cascaded top-k for a stream of query vectors against a static tier table."""
+                   checkpoint: str | None = None, trigger: dict = ONCE) -> StreamingQuery:
+    """Cascaded top-k for a stream of query vectors against a static tier table.
+
+    Tier by tier: a micro-batch reads a colder tier only for queries that are still short of k.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        asked = batch.persist()  # scored once for its size and once for its vectors
-        cascade_topk(tiered, asked, k, threshold).write.mode("overwrite").parquet(_batch_folder(path, batch_id))
-        asked.unpersist()
+        asked = materialize(batch, "asked")  # read for its size and for its vectors
+        cascade_staged(tiered, asked, k, threshold).write.mode("overwrite").parquet(_batch_folder(path, batch_id))
 
-    return _start(queries, handle, checkpoint)
+    return _start(queries, handle, checkpoint, trigger)
 
 
 HITS_SCHEMA = "query_id bigint, tier int, doc_id bigint, score double, rank int, source string"
@@ -141,10 +158,15 @@ _MOVED_SCHEMA = "doc_id bigint, to_tier int, batch_id bigint"
 SNAPSHOT_EVERY = 32  # batches between two snapshots of the folded state
 
 
-def migrate_on_access(events: DataFrame, tiers: DataFrame, path: str, as_of: str, ts: Column, cap: int | None,
-                      checkpoint: str | None = None, snapshot_every: int = SNAPSHOT_EVERY) -> StreamingQuery:
+def migrate_on_access(events: DataFrame, tiers: DataFrame, path: str, as_of: str | None, ts: Column | None, cap: int | None,
+                      checkpoint: str | None = None, snapshot_every: int = SNAPSHOT_EVERY,
+                      trigger: dict = ONCE) -> StreamingQuery:
     """After every micro-batch of accesses: update the counts and run one migration pass.
 
+    Events after ``as_of`` have not happened yet, as in the batch form. Without
+    ``as_of`` time moves with the stream: each batch is scored, and its moves
+    logged (where ``ts`` is not given), as of the latest event so far.
+
     ``tiers`` is the state before the stream. Each batch adds its own counts
     and its own moves; every ``snapshot_every`` batches both are folded into a
     snapshot, so a batch reads one snapshot and a bounded number of additions.
@@ -155,17 +177,21 @@ def migrate_on_access(events: DataFrame, tiers: DataFrame, path: str, as_of: str
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         write = lambda df, part: df.write.mode("overwrite").parquet(_batch_folder(f"{path}/{part}", batch_id))
+        if as_of is not None:
+            batch = batch.where(F.col("ts") <= moment(as_of, batch, "ts"))
         write(_access_partial(batch), "access")
         stats = _fold_access(_since_snapshot(spark, path, "access", access_schema, batch_id, batch_id, snapshot_every))
         moved = _since_snapshot(spark, path, "log", _MOVED_SCHEMA, batch_id, batch_id - 1, snapshot_every)
-        _, log = migration_pass(current_tiers(tiers, moved), access_scores(stats, as_of), ts, cap)
+        now = as_of if as_of is not None else str(stats.agg(F.max("last_access")).first()[0] or "1970-01-01")
+        stamp = ts if ts is not None else F.lit(now).cast("timestamp_ntz")
+        _, log = migration_pass(current_tiers(tiers, moved), access_scores(stats, now), stamp, cap)
         write(log, "log")
         if batch_id % snapshot_every == snapshot_every - 1:
             write(stats, "access-snapshot")
             moved = _since_snapshot(spark, path, "log", _MOVED_SCHEMA, batch_id, batch_id, snapshot_every)
             write(_latest_moves(moved), "log-snapshot")
 
-    return _start(events, handle, checkpoint)
+    return _start(events, handle, checkpoint, trigger)
 
 
 def _since_snapshot(spark: SparkSession, path: str, part: str, schema: str, batch_id: int, upto: int, every: int) -> DataFrame:
