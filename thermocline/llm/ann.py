@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from thermocline.llm.common import read_table, store, with_workers
+from thermocline.llm.common import read_table, store, tidy, with_workers
 
 TABLES = 24
 PROBES = 64
@@ -130,7 +130,7 @@ def _keys(rows: DataFrame, hashes: Hashes, probing: bool) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(keys.ravel()), pa.array(np.repeat(ids, keys.shape[1]))], ["key", "cls"])
 
-    return rows.select("cls", "vector").mapInArrow(emit, "key long, cls long")
+    return rows.select("cls", "vector").mapInArrow(tidy(emit), "key long, cls long")
 
 
 SCORED = "query_cls long, cls long, score double"
@@ -153,7 +153,7 @@ def _scored(pairs: DataFrame, query_ids: np.ndarray, query_vectors: np.ndarray)
                 [chosen.column("query_cls"), chosen.column("cls"), pa.array(np.sqrt((apart * apart).sum(axis=1)))],
                 ["query_cls", "cls", "score"])
 
-    return pairs.mapInArrow(score, SCORED)
+    return pairs.mapInArrow(tidy(score), SCORED)
 
 
 def _all_scored(classes: DataFrame, query_ids: np.ndarray, query_vectors: np.ndarray, keep: int) -> DataFrame:
@@ -171,7 +171,7 @@ def _all_scored(classes: DataFrame, query_ids: np.ndarray, query_vectors: np.nda
                     [pa.array(np.full(len(best), query)), pa.array(cls[best]), pa.array(distance[best])],
                     ["query_cls", "cls", "score"])
 
-    return classes.select("cls", "vector", F.col("ids")[0].alias("first")).mapInArrow(score, SCORED)
+    return classes.select("cls", "vector", F.col("ids")[0].alias("first")).mapInArrow(tidy(score), SCORED)
 
 
 def vector_classes(rows: DataFrame, keep: int) -> DataFrame:

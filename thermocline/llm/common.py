@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -32,12 +37,40 @@ def discard(*frames: DataFrame) -> None:
             break
 
 
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 2000
+"""Whole texts are wide rows: the default of 10,000 a batch costs every task tens of megabytes twice."""
+
+
 def with_workers(spark: SparkSession) -> SparkSession:
-    """Call before sending functions of this package to Python workers."""
+    """Call before sending functions of this package to Python workers.
+
+    Sets the session's Arrow batches to ``BATCH_ROWS`` rows unless the caller has chosen a size.
+    """
     ship_package(spark)
+    if spark.conf.get(BATCH_CONF) == "10000":
+        spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
     return spark
 
 
+def tidy(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """A worker function that gives freed memory back when its task ends.
+
+    Workers serve many tasks of many stages; what the allocators hold for the
+    last one would add up to what the next one needs.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def fold(column: str, of: int) -> Column:
     """crc32 of a column's text form, modulo ``of``; null for null."""
     return F.crc32(F.col(column).cast("string")) % of

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from thermocline.llm.common import discard, read_table, store, with_texts, with_workers
+from thermocline.llm.common import discard, read_table, store, tidy, with_texts, with_workers
 
 WINDOW = 10
 SHARD_WORDS = 1 << 20
@@ -306,7 +306,7 @@ def _scanned(docs: DataFrame, benchmark: DataFrame, window: int, finish, schema:
                     shard, held, counts = Shard(phrases.value), [], []
             yield from map(finish, _answered(held, counts, shard)) if last else _answered(held, counts, shard)
 
-        previous, found = found, found.mapInArrow(scan, schema if last else inner)
+        previous, found = found, found.mapInArrow(tidy(scan), schema if last else inner)
         if not last:
             found = store(found, "phrases")
         if 0 < number < blocks - 1:

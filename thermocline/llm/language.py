@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from thermocline.llm.common import fold, read_table, with_workers
+from thermocline.llm.common import fold, read_table, tidy, with_workers
 
 BUCKETS = 1 << 16
 MODEL_BYTES = 64 << 20
@@ -116,7 +116,7 @@ def learn(docs: DataFrame, per_language: int = TRAIN_TEXTS) -> tuple[list[str],
                 [pa.array([lang] * len(found), pa.string()), pa.array(found.astype(np.int32)), pa.array(counts[found])],
                 ["lang", "bucket", "n"])
 
-    sums = (rows.where(chosen).mapInArrow(count, "lang string, bucket int, n long")
+    sums = (rows.where(chosen).mapInArrow(tidy(count), "lang string, bucket int, n long")
             .groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow())
     counts = np.full((buckets, len(languages)), SMOOTHING)
     place = {lang: i for i, lang in enumerate(languages)}
@@ -214,7 +214,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
                 pa.string(), pa.float64(), pa.float64())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], FOUND.names)
 
-    return docs.select("doc_id", "text").mapInArrow(score, FOUND)
+    return docs.select("doc_id", "text").mapInArrow(tidy(score), FOUND)
 
 
 def keep_identified(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
@@ -226,7 +226,7 @@ def keep_identified(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> Dat
             found = predict(batch.column("text").to_pylist(), *session.value)
             yield batch.filter(pa.array([lang != NONE and fit > 0 for lang, _, fit in found], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(tidy(keep), docs.schema)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from thermocline.llm.common import read_table, store, with_workers
+from thermocline.llm.common import read_table, store, tidy, with_workers
 
 CAPACITY = 4096
 TOKENIZER = "word_bpe_49k.json"
@@ -102,6 +102,10 @@ class Tokens:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join([self.parts[part] for part in LATIN_PARTS.findall(text.lower())])
 
+    def forget(self) -> None:
+        """Keep only the newest words between tasks."""
+        self.words.older, self.parts.older = {}, {}
+
     def of(self, text: str) -> bytes:
         """Ids as little-endian 32-bit numbers."""
         known = self.words
@@ -138,8 +142,9 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, file: str = TOKENIZE
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
             columns = zip(*rows) if rows else [[]] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], schema.names)
+        tokens(file).forget()
 
-    return docs.select("doc_id", "text").mapInArrow(cut, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(cut), schema)
 
 
 class Lengths:
@@ -270,7 +275,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             columns = [batch.column(c) for c in carried]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence), pa.array(offset)], schema.names)
 
-    return ranked.mapInArrow(place, schema)
+    return ranked.mapInArrow(tidy(place), schema)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from thermocline.llm.common import LOWER, fold, read_table, with_workers
+from thermocline.llm.common import LOWER, fold, read_table, tidy, with_workers
 
 WORD_BUCKETS = 4096
 TRAIN_ROWS = 6000
@@ -170,7 +170,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
 
     # The chosen labels are about ``rows`` in number, so they are sent to the scan.
     sample = (docs.select("doc_id", "text", "n_chars").join(F.broadcast(chosen), "doc_id")
-              .mapInArrow(features, "doc_id long, quality int, statistics array<double>, index array<int>, value array<float>")
+              .mapInArrow(tidy(features), "doc_id long, quality int, statistics array<double>, index array<int>, value array<float>")
               .toArrow().to_pylist())
     if len({r["quality"] for r in sample}) < 2:
         return machine
@@ -194,7 +194,7 @@ def score_quality(docs: DataFrame, machine: Machine) -> DataFrame:
                       for text, n in zip(batch.column("text"), batch.column("n_chars"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text", "n_chars").mapInArrow(score, "doc_id long, score double")
+    return docs.select("doc_id", "text", "n_chars").mapInArrow(tidy(score), "doc_id long, score double")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

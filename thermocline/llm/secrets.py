@@ -24,7 +24,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, types as T
 
-from thermocline.llm.common import read_table, with_texts, with_workers
+from thermocline.llm.common import read_table, tidy, with_texts, with_workers
 
 KINDS = ("assign", "access", "hex", "token")
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -112,7 +112,7 @@ def scan_secrets(docs: DataFrame, file: str = VOCABULARY) -> DataFrame:
                      for text in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, kind)], ["doc_id", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(scan, SPANS)
+    return docs.select("doc_id", "text").mapInArrow(tidy(scan), SPANS)
 
 
 def redact_secrets(docs: DataFrame, file: str = VOCABULARY) -> DataFrame:
@@ -123,7 +123,7 @@ def redact_secrets(docs: DataFrame, file: str = VOCABULARY) -> DataFrame:
         for batch in batches:
             yield with_texts(batch, [masked(text.as_py(), file) for text in batch.column("text")])
 
-    return docs.mapInArrow(redact, docs.schema)
+    return docs.mapInArrow(tidy(redact), docs.schema)
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

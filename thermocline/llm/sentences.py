@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from thermocline.llm.common import empty_as, read_table, store, with_workers
+from thermocline.llm.common import empty_as, read_table, store, tidy, with_workers
 
 MIN_SENTENCES = 2
 MIN_WORDS = 15
@@ -94,7 +94,7 @@ def _occurrences(docs: DataFrame) -> DataFrame:
                                              ["a", "b", "late", "doc", "start", "end"])
 
     return docs.select(*_order(), empty_as().alias("text")).mapInArrow(
-        emit, "a long, b int, late boolean, doc long, start int, end int")
+        tidy(emit), "a long, b int, late boolean, doc long, start int, end int")
 
 
 def kept_text(text: str, later: list[tuple[int, int]]) -> tuple[str, int, list[tuple[int, int]]]:
@@ -161,7 +161,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     late, doc = _order()
     keyed = docs.select("*", late.alias("_late"), doc.alias("_doc"))
     found = later.toDF("_late", "_doc", "_later").hint("shuffle_hash")
-    return keyed.join(found, ["_late", "_doc"], "left").select(*columns, "_later").mapInArrow(cut, schema)
+    return keyed.join(found, ["_late", "_doc"], "left").select(*columns, "_later").mapInArrow(tidy(cut), schema)
 
 
 def op5_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from thermocline.llm.common import LOWER, discard, empty_as, read_table, store, with_workers
+from thermocline.llm.common import LOWER, discard, empty_as, read_table, store, tidy, with_workers
 from thermocline.llm.graph import components
 
 SEED = 42
@@ -99,7 +99,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(np.array(found, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(hashed, "doc_id long, fp long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(hashed), "doc_id long, fp long")
 
 
 def linked_fingerprints(distinct: DataFrame) -> DataFrame:
@@ -170,7 +170,7 @@ def _sketches(docs: DataFrame, width: int, segments: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids), lists, pa.array(prints[:, -1].view(np.int64))], ["id", "keys", "check"])
 
-    return docs.select("id", "text").mapInArrow(sketch, "id long, keys array<long>, check long").dropDuplicates(["id"])
+    return docs.select("id", "text").mapInArrow(tidy(sketch), "id long, keys array<long>, check long").dropDuplicates(["id"])
 
 
 def _table(sketches: DataFrame, width: int) -> DataFrame:
@@ -200,7 +200,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([chosen.column("id"), pa.array(found, pa.list_(pa.int32()))], ["id", "grams"])
 
     grams = store(texts.join(asked, "id", "left_semi").select("id", "text")
-                  .mapInArrow(sets, "id long, grams array<int>").dropDuplicates(["id"]), "grams")
+                  .mapInArrow(tidy(sets), "id long, grams array<int>").dropDuplicates(["id"]), "grams")
     both = F.size(F.array_intersect("grams_a", "grams_b"))
     union = F.size("grams_a") + F.size("grams_b") - both
     similar = store(

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from thermocline.llm.common import discard, read_table, store, with_workers
+from thermocline.llm.common import discard, read_table, store, tidy, with_workers
 from thermocline.session import scratch_path
 
 FILE_BYTES = 32 << 20
@@ -117,7 +117,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
     number = F.regexp_extract("path", r"/file=(\d+)/", 1).cast("int").alias("file")
     return files.select(number, "content").mapInArrow(
-        leaves, "file int, offset long, length long, page_id long, digest string")
+        tidy(leaves), "file int, offset long, length long, page_id long, digest string")
 
 
 def _grouped(children: DataFrame, place: Column, parts: list[str]) -> DataFrame:
