@@ -12,12 +12,12 @@ bits: two segments of 32 bits lose no pair. ``near_groups`` finds
 documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more:
 such pairs differ in about 15 % of the bits, so it takes longer fingerprints,
 with as many segments as keep the chance of missing a pair at the threshold under
-``MISS``; candidates are verified by the exact similarity.
+``MISS``; candidates are verified by the complete distance and then by the exact similarity.
 
 No group of copies is ever paired with itself. Equal texts are one node.
 Texts that fall under one segment value are first compared with one pivot each, which
 joins most of a large group in a linear number of pairs; afterwards only pairs
-of different groups are compared, and members of large groups
+of different groups are looked up, the nearest of each text compared first, and members of large groups
 (over ``LARGE_GROUP``) never meet members of the same group.
 
 Defined results: a null text is an empty one; fewer words than a shingle are
@@ -30,7 +30,7 @@ of texts.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import asin, ceil, log, log2, pi
+from math import asin, ceil, log, log2, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -136,6 +136,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def differing_share(similarity: float) -> float:
+    """Expected share of differing bits of two shingle sets of one size with this Jaccard similarity."""
+    return 0.5 - asin(2 * similarity / (1 + similarity)) / pi
+
+
 def segment_plan(n: int, similarity: float = SIMILARITY, miss: float = MISS) -> tuple[int, int]:
     """Bits per segment and number of segments for ``n`` texts.
 
@@ -144,8 +149,7 @@ def segment_plan(n: int, similarity: float = SIMILARITY, miss: float = MISS) ->
     threshold is within one bit in none of them.
     """
     width = min(32, max(18, ceil(log2(max(n, 2)))))
-    cosine = 2 * similarity / (1 + similarity)
-    p = 0.5 - asin(cosine) / pi
+    p = differing_share(similarity)
     hit = (1 - p) ** width + width * p * (1 - p) ** (width - 1)
     return width, ceil(log(miss) / log(1 - hit))
 
@@ -180,9 +184,24 @@ def _table(sketches: DataFrame, width: int) -> DataFrame:
         *keep, F.expr(f"shiftleft(cast(segment AS long), {width}) | value").alias("key"))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _close(pairs: DataFrame, sketches: DataFrame, width: int, segments: int) -> DataFrame:
+    """Distinct pairs (a, b) whose complete fingerprints may belong to similar texts, with their ``distance``.
+
+    The limit is four standard deviations over the distance expected at the threshold.
+    """
+    bits = width * segments + 64
+    p = differing_share(SIMILARITY)
+    limit = int(bits * p + 4 * sqrt(bits * p * (1 - p)))
+    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    prints = sketches.select("id", F.array_append("keys", F.col("check")).alias("bits"))
+    apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))),
+                        F.lit(0), lambda n, x: n + x)
+    return store(pairs.join(prints.toDF("a", "bits_a"), "a").join(prints.toDF("b", "bits_b"), "b")
+                 .select("a", "b", apart.alias("distance")).where(F.col("distance") <= limit), "close-pairs")
+
+
+def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) of text ids whose shingle sets are similar enough."""
-    pairs = store(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
     ids = store(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair-ids")
     asked = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
@@ -204,12 +223,27 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     both = F.size(F.array_intersect("grams_a", "grams_b"))
     union = F.size("grams_a") + F.size("grams_b") - both
     similar = store(
-        pairs.join(grams.toDF("a", "grams_a"), "a").join(grams.toDF("b", "grams_b"), "b")
+        pairs.select("a", "b").join(grams.toDF("a", "grams_a"), "a").join(grams.toDF("b", "grams_b"), "b")
         .where((both >= F.lit(SIMILARITY) * union)).select("a", "b"), "similar")
-    discard(pairs, ids, grams)
+    discard(ids, grams)
     return similar
 
 
+def _linking(pairs: DataFrame, known: DataFrame, texts: DataFrame) -> DataFrame:
+    """``known`` links and enough of the similar pairs to join whatever all of them would join.
+
+    The nearest partner of every text is compared first. That joins most of a
+    group, and pairs inside what is joined by then need no comparison of texts.
+    """
+    nearest = pairs.groupBy("a").agg(F.min_by("b", "distance").alias("b"))
+    links = known.union(_similar(nearest, texts))
+    roots = components(links)
+    apart = (
+        pairs.join(roots.toDF("a", "root_a"), "a", "left").join(roots.toDF("b", "root_b"), "b", "left")
+        .where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"))
+    return links.union(_similar(store(apart, "pairs-apart"), texts))
+
+
 def _pivot_pairs(table: DataFrame) -> DataFrame:
     """Each text with the smallest one under the same segment value."""
     pivot = table.groupBy("key").agg(F.min("id").alias("b"), F.min_by("check", "id").alias("check_b"), F.count("*").alias("n"))
@@ -253,7 +287,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     width, segments = segment_plan(n)
     sketches = store(_sketches(texts, width, segments), "sketches")
 
-    first = _verified(_pivot_pairs(_table(sketches, width)), texts)
+    first = _similar(_close(_pivot_pairs(_table(sketches, width)), sketches, width, segments), texts)
     groups = components(first).withColumnRenamed("node", "id").withColumnRenamed("root", "grp")
     large = groups.groupBy("grp").agg((F.count("*") > LARGE_GROUP).alias("large"))
     grouped = store(
@@ -264,8 +298,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
     pairs, large_probes, large_stored, close = _ball_pairs(table, width)
     if grouped.where("large").select("grp").distinct().limit(2).count() > 1:
         pairs = pairs.union(_large_pairs(large_probes, large_stored, close))
-    second = _verified(pairs, texts)
-    roots = components(first.union(second)).withColumnRenamed("node", "id")
+    links = _linking(_close(pairs, sketches, width, segments), first, texts)
+    roots = components(links).withColumnRenamed("node", "id")
     discard(sketches, grouped)
     return roots
 
