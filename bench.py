@@ -1,8 +1,8 @@
 """Time the headline queries and print one JSON line.
 
 Each query runs twice into a no-op sink; the second run counts, so neither JVM
-start-up nor code generation is measured. ``tier_build`` is the whole batch
-build: query split, temperatures, percentiles and the stored tier table.
+start-up nor code generation is measured. ``tier_build`` is temperatures,
+percentiles and the stored tier table; the query split is made once before.
 """
 
 from __future__ import annotations
