@@ -102,6 +102,17 @@ def tier_table_roundtrip(spark, sf):
     return stored.select("doc_id", _r("temperature"), "tier", _r("tier1_threshold"), _r("tier2_threshold"))
 
 
+@_register
+def embedding_cache_grown(spark, sf):
+    """The cache after the vectors of its misses were added; sums show whose vector an entry holds."""
+    texts = b.query_texts(spark, sf)
+    embedded = lambda vectors: texts.join(vectors, "query_id")
+    cache = query_sources.one_entry_per_text(query_sources.cache_entries(embedded(b.workload(spark, sf)), "given"))
+    fresh = query_sources.cache_entries(embedded(b.held_out(spark, sf)), "later")
+    grown = query_sources.append_to_cache(cache, fresh)
+    return grown.select("query_md5", "model", "dimension")
+
+
 @_register
 def tier_clear(spark, sf):
     """One tier rebuilt to nothing, accessed documents deleted from the others; read back with vector sums."""
@@ -272,6 +283,13 @@ def ann_topk(spark, sf):
     return ann.ann_topk(index, b.held_out(spark, sf), b.K, b.THRESHOLD, probes=12)
 
 
+@_register
+def ann_all_cells(spark, sf):
+    """The index probed in all its cells: exact."""
+    index = ann.build_cells(b.doc_vectors(spark, sf), cells=16)
+    return ann.ann_topk(index, b.held_out(spark, sf), b.K, b.THRESHOLD, probes=16).select("query_id", "rank", "doc_id", _r("score"))
+
+
 @_register
 def enrich_hits(spark, sf):
     hits = retrieval.cascade_topk(b.tiered_docs(spark, sf), b.held_out(spark, sf), b.K, b.THRESHOLD)

@@ -274,6 +274,16 @@ def oracle_sql() -> dict[str, str]:
             SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, round(score, 6) AS score FROM (
               SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM pairs)
             WHERE rank <= 5""",
+        "ann_all_cells": with_ + _VECTORS + _pairs("held_out") + """
+            SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, round(score, 6) AS score FROM (
+              SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank
+              FROM pairs WHERE score >= 0.25)
+            WHERE rank <= 5""",
+        "embedding_cache_grown": """
+            SELECT md5(text) AS query_md5,
+                   CASE WHEN bool_or(doc_id IN (SELECT user_id FROM events)) THEN 'given' ELSE 'later' END AS model,
+                   CAST(max(len(embedding)) AS INTEGER) AS dimension
+            FROM documents JOIN embeddings ON vec_id = doc_id GROUP BY 1""",
         "threshold_search": with_ + _TIERS + _pairs("held_out") + """
             SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, round(score, 6) AS score FROM (
               SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank
