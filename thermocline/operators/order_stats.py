@@ -69,7 +69,11 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: Ranks, l
     else:
         same = lambda other: reduce(lambda x, y: x & y, [rows[c].eqNullSafe(other[c]) for c in group])
         small = _sorted_pick(rows.join(large, same(large), "left_anti"), group, ranks, limit)
-        out = small.unionByName(_narrowed_pick(rows.join(large, same(large), "left_semi"), group, ranks, limit))
+        # a label that is never null stands for the keys while ranges are narrowed
+        label = F.to_json(F.struct(*group), {"ignoreNullFields": "false"}).alias("_key")
+        many = rows.join(large, same(large), "left_semi").select(label, "v")
+        found = _narrowed_pick(many, ["_key"], ranks, limit).join(large.select(*group, label), "_key")
+        out = small.unionByName(found.select(*small.columns))
     return out if keys else out.drop("_all")
 
 
