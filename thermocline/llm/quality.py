@@ -12,8 +12,8 @@ come to the driver, at most ``WORD_BUCKETS`` numbers a row. Scoring is one pass
 shuffle over whole texts.
 
 Defined results: a null or empty text is scored from its (zero) statistics; a
-null length is that of the text; equal rows get equal scores; repeated labels of a
-document each count, null ones do not; without labels of both classes every score is the share of
+null length is that of the text; equal rows get equal scores; a label that repeats for a
+document counts once, of rows that share a labelled id one is learned from (the smallest features); null labels do not count; without labels of both classes every score is the share of
 label 1, or 0.5 without any. Null ids are scored but not learned from and count as not held out.
 No rows give no rows.
 """
@@ -155,7 +155,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
     if len(held) < 2:
         return machine
     part = F.create_map(*[F.lit(x) for label, n in held.items() for x in (label, min(1.0, rows / 2 / n))])
-    chosen = labels.where(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(23)), 11) < part[F.col("quality")] * F.lit(2.0 ** 53))
+    chosen = labels.where(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(23)), 11) < part[F.col("quality")] * F.lit(2.0 ** 53)).distinct()
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,7 +171,9 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
     # The chosen labels are about ``rows`` in number, so they are sent to the scan.
     sample = (docs.select("doc_id", "text", "n_chars").join(F.broadcast(chosen), "doc_id")
               .mapInArrow(tidy(features), "doc_id long, quality int, statistics array<double>, index array<int>, value array<float>")
-              .toArrow().to_pylist())
+              # a hot id sends one row per task and arrives as one
+              .groupBy("doc_id", "quality").agg(F.min(F.struct("statistics", "index", "value")).alias("f"))
+              .select("doc_id", "quality", "f.*").toArrow().to_pylist())
     if len({r["quality"] for r in sample}) < 2:
         return machine
     # In a fixed order, however the tasks ended.
