@@ -1,6 +1,9 @@
 """Neighbour search, archive audit and the pipeline against plain re-implementations."""
 
+import gzip
+import hashlib
 import zlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -105,6 +108,54 @@ def test_audit_tells_what_is_wrong(spark):
         (0, 0, "altered"), (0, 5, "moved"), (0, 200, "extra"), (1, 50, "missing"), (1, 119, "altered"), (1, 130, "moved")]
 
 
+def test_replica_is_an_archive_of_its_own(spark):
+    pages = spark.range(0, 3000).selectExpr("id AS page_id", "concat('http://', id) AS url", "repeat(concat('p', id % 7), 40) AS html")
+    path, copy = scratch_path(spark, "test-first"), scratch_path(spark, "test-second")
+    warc.write_archive(warc.lay_out(warc.records(pages), 400_000), path)
+    warc.write_damaged(spark, path, copy)
+    a, b = warc.read_archive(spark, path), warc.read_archive(spark, copy)
+    fate = {i: int(hashlib.md5(b"fault|%d" % i).hexdigest()[:8], 16) % 97 for i in range(3000)}
+    want = {i: ("altered", "missing")[v] for i, v in fate.items() if v < 2}
+    got = [(r["page_id"], r["status"]) for r in warc.audit(a, b).where("status <> 'shifted'").collect()]
+    assert len(set(want.values())) == 2 and sorted(got) == sorted(want.items())
+    assert b.where("held IS NOT NULL").count() > 0 and b.count() < 3000
+
+
+def test_cut_and_broken_files_of_a_replica_are_read(spark):
+    pages = spark.range(0, 400).selectExpr("id AS page_id", "'u' AS url", "sha2(cast(id AS string), 512) AS html")
+    path, copy = scratch_path(spark, "test-whole"), Path(scratch_path(spark, "test-cut").removeprefix("file:"))
+    warc.write_archive(warc.lay_out(warc.records(pages), 60_000), path)
+    files = sorted(Path(path.removeprefix("file:")).rglob("part-*"))
+    for k, file in enumerate(files):
+        content = file.read_bytes()
+        to = copy / file.parent.name / file.name
+        to.parent.mkdir(parents=True)
+        to.write_bytes((content[:len(content) // 2], content[:-9] + b"X" + content[-8:], content)[min(k, 2)])
+    found = warc.audit(warc.read_archive(spark, path), warc.read_archive(spark, str(copy))).collect()
+    at = {}
+    for r in found:
+        at.setdefault(r["file"], []).append(r["status"])
+    assert len(files) > 2 and set(at) <= {0, 1} and at[0].count("missing") > 10 and len(at.get(1, [])) <= 4
+
+
+def test_a_broken_stream_is_decoded_up_to_the_break():
+    plain = b"".join(hashlib.sha256(b"%d" % i).digest() for i in range(9000))
+    packed = gzip.compress(plain)
+    assert warc.inflate(packed) == plain and warc.inflate(packed + packed) == plain * 2 and warc.inflate(b"") == b""
+    assert warc.inflate(packed[:-5]) == plain and plain.startswith(warc.inflate(packed[:150_000])) and len(warc.inflate(packed[:150_000])) > 100_000
+    assert warc.inflate(packed[:-8] + b"\0" * 8) == plain
+
+
+def test_records_are_aligned_behind_a_loss():
+    a = [(i * 14, 10, i, f"d{i}", None) for i in range(8)]
+    b = [(0, 10, 0, "d0", None), (14, 28, None, "bad", [2, 3]), (42, 10, 5, "d5", None), (56, 10, 4, "d4", None),
+         (70, 14, None, "hole", []), (84, 10, 7, "d7", None), (98, 10, 99, "new", None)]
+    got = {(r[0] // 14, r[5], r[1] is None) for r in warc.align(a, b)}
+    assert {(1, "missing", False), (2, "altered", False), (3, "altered", False), (6, "altered", False), (7, "shifted", False),
+            (7, "extra", True)} <= got
+    assert sum(s == "moved" for _, s, _ in got) == 2 and len(got) == 9
+
+
 def test_no_pages(spark):
     placed = warc.lay_out(warc.records(odd_pages(spark).limit(0)))
     columns = placed.select("file", "offset", "length", "page_id", "digest")

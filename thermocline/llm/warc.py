@@ -8,21 +8,28 @@ file's records are hashed, the records of each ordered offset range of ``RANGE_B
 
 ``audit`` compares the roots of two replicas and descends only branches that
 differ: each level reads just the children of differing nodes, down to the
-records. Records differ as ``altered`` (other bytes at the place), ``missing``, ``extra``, or
-``moved`` (the same record with the same bytes elsewhere).
+records. There the records of a file are aligned by page id and bytes, since a lost record shifts
+all that follow it. They differ as ``altered`` (other bytes), ``missing``, ``extra``, ``moved`` (the same bytes
+out of order or in another file), or only ``shifted`` (the same bytes in order at another offset).
+
+The replica that the query audits is a second archive: the files of the first are read, damaged
+and written again, and read back by their own scan.
 
 Defined results: null url and html are empty ones, line breaks in a url become blanks; null
 page ids are written empty and read back as null; rows equal in all three are separate records, in any order among
 themselves; bytes that are no record are read as one damaged range up to the next record
-start; an empty table has no files, no nodes and no rows. Layout, leaves and nodes are tables by file and
+start; a file whose compressed stream is cut or broken is read as far as it can be decoded; a damaged range
+alters the records whose page ids it still holds, or else those that fill its length; an empty table has no files, no nodes and no rows. Layout, leaves and nodes are tables by file and
 offset, nothing is gathered beyond one range or one file.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import re
+import zlib
+from bisect import bisect_left
+from collections import Counter, defaultdict, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -76,14 +83,41 @@ def lay_out(rows: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
 def write_archive(placed: DataFrame, path: str) -> None:
     """One compressed WARC file per ``file``, its records by offset.
 
-    ``lay_out`` leaves each file in one partition, so nothing is moved again.
+    ``lay_out`` and a scan of files leave each file in one partition, so nothing is moved again.
     """
     (placed.sortWithinPartitions("file", "offset").select("file", "record")
      .write.partitionBy("file").option("lineSep", END).option("compression", "gzip").text(path))
 
 
+def inflate(content: bytes, step: int = 1 << 16) -> bytes:
+    """The bytes of a gzip file, up to where it is cut or broken."""
+    whole, out = content, []
+    while content:
+        stream = zlib.decompressobj(wbits=31)
+        try:
+            for at in range(0, len(content), step):
+                out.append(stream.decompress(content[at:at + step]))
+                if stream.eof:
+                    content = stream.unused_data + content[at + step:]
+                    break
+            else:
+                out.append(stream.flush())
+                break
+        except zlib.error:
+            if step > 1:  # a failing call gives nothing of its step
+                return inflate(whole, 1)
+            break
+    return b"".join(out)
+
+
 def parse(content: bytes) -> Iterator[tuple[int, int, int | None, str]]:
     """Offset, length, page id and SHA-256 of each record, and of each damaged range."""
+    for at, length, page, digest, _ in scan(content):
+        yield at, length, page, digest
+
+
+def scan(content: bytes) -> Iterator[tuple[int, int, int | None, str, list[int] | None]]:
+    """As ``parse``, with the page ids that a damaged range holds (null for a record)."""
     at, end = 0, len(content)
     while at < end:
         head = content.find(END.encode(), at) if START.match(content, at) else -1
@@ -91,33 +125,37 @@ def parse(content: bytes) -> Iterator[tuple[int, int, int | None, str]]:
         stop = head + len(END) + int(declared[1]) if declared else 0
         if declared and content[stop:stop + len(END)] == END.encode():
             page = PAGE.search(content[at:head])
-            yield at, stop - at, int(page[1]) if page else None, hashlib.sha256(content[at:stop]).hexdigest()
+            yield at, stop - at, int(page[1]) if page else None, hashlib.sha256(content[at:stop]).hexdigest(), None
             at = stop + len(END)
         else:
             following = START.search(content, at + 1)
             stop = following.start() if following else end
-            yield at, stop - at, None, hashlib.sha256(content[at:stop]).hexdigest()
+            held = [int(x) for x in PAGE.findall(content[at:stop]) if -(1 << 63) <= int(x) < 1 << 63]
+            yield at, stop - at, None, hashlib.sha256(content[at:stop]).hexdigest(), held
             at = stop
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Leaves (file, offset, length, page_id, digest) of an archive that ``write_archive`` wrote."""
+    """Leaves (file, offset, length, page_id, digest, held) of an archive that ``write_archive`` wrote."""
     with_workers(spark)
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch.column("file").to_pylist(), batch.column("content")):
-                found = list(zip(*parse(gzip.decompress(content.as_py())))) or [[]] * 4
-                offset, length, page, digest = [list(x) for x in found]
+                found = list(zip(*scan(inflate(content.as_py())))) or [[]] * 5
+                offset, length, page, digest, held = [list(x) for x in found]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([file] * len(offset), pa.int32()), pa.array(offset, pa.int64()), pa.array(length, pa.int64()),
-                     pa.array(page, pa.int64()), pa.array(digest, pa.string())],
-                    ["file", "offset", "length", "page_id", "digest"])
+                     pa.array(page, pa.int64()), pa.array(digest, pa.string()), pa.array(held, pa.list_(pa.int64()))],
+                    ["file", "offset", "length", "page_id", "digest", "held"])
+
+    return _files(spark, path).mapInArrow(
+        tidy(leaves), "file int, offset long, length long, page_id long, digest string, held array<long>")
+
 
+def _files(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
-    number = F.regexp_extract("path", r"/file=(\d+)/", 1).cast("int").alias("file")
-    return files.select(number, "content").mapInArrow(
-        tidy(leaves), "file int, offset long, length long, page_id long, digest string")
+    return files.select(F.regexp_extract("path", r"/file=(\d+)/", 1).cast("int").alias("file"), "content")
 
 
 def _grouped(children: DataFrame, place: Column, parts: list[str]) -> DataFrame:
@@ -163,27 +201,176 @@ def audit(a: DataFrame, b: DataFrame) -> DataFrame:
         following = store(_differing(*below, "node").select("file", "node"), "branches")
         discard(wrong)
         wrong = following
-    inside = [side[0].withColumn("node", F.expr(f"offset div {RANGE_BYTES}")).join(wrong, ["file", "node"], "left_semi")
-              for side in (levels_a, levels_b)]
-    pages = [side.select("file", "offset", F.col("page_id").alias(f"page_{name}")) for side, name in zip(inside, "ab")]
-    found = store(_differing(*inside, "offset").join(pages[0], ["file", "offset"], "left").join(pages[1], ["file", "offset"], "left"),
-                  "differing")
-    # A record that is gone here and new elsewhere with the same bytes has moved.
-    gone = found.where("digest_a IS NOT NULL").select(F.col("page_a").alias("page"), F.col("digest_a").alias("bytes")).distinct()
-    new = found.where("digest_b IS NOT NULL").select(F.col("page_b").alias("page"), F.col("digest_b").alias("bytes")).distinct()
+    columns = ["file", "offset", "length", "page_id", "digest"]
+    inside = [side[0].withColumn("node", F.expr(f"offset div {RANGE_BYTES}")).join(wrong, ["file", "node"], "left_semi").select(
+        *columns, F.col("held") if "held" in side[0].columns else F.lit(None).cast("array<long>").alias("held"),
+        F.lit(name).alias("side")) for side, name in zip((levels_a, levels_b), "ab")]
+    with_workers(a.sparkSession)
+    found = store(inside[0].unionByName(inside[1]).groupBy("file").applyInArrow(
+        _aligned, "file int, offset long, digest_a string, digest_b string, page_a long, page_b long, status string"), "differing")
+    discard(wrong)
+    # A record that is gone here and new in another file with the same bytes has moved.
+    open_ = found.where("status IN ('altered', 'missing', 'extra')")
+    gone = open_.where("digest_a IS NOT NULL").select(F.col("page_a").alias("page"), F.col("digest_a").alias("bytes")).distinct()
+    new = open_.where("digest_b IS NOT NULL").select(F.col("page_b").alias("page"), F.col("digest_b").alias("bytes")).distinct()
     moved = gone.join(new, gone.page.eqNullSafe(new.page) & (gone.bytes == new.bytes)).select(
         gone.bytes.alias("bytes"), F.lit(True).alias("moved")).distinct()
-    named = found.join(moved, F.coalesce("digest_a", "digest_b") == F.col("bytes"), "left")
-    return named.select("file", "offset", "digest_a", "digest_b", F.coalesce("page_a", "page_b").alias("page_id"), (
-        F.when(F.col("moved"), "moved").when(F.col("digest_b").isNull(), "missing").when(F.col("digest_a").isNull(), "extra")
-        .otherwise("altered")).alias("status"))
+    named = found.join(moved, (F.coalesce("digest_a", "digest_b") == F.col("bytes")) & (F.col("status") != "shifted"), "left")
+    return named.select("file", "offset", "digest_a", "digest_b", F.coalesce("page_a", "page_b").alias("page_id"),
+                        F.when(F.col("moved"), "moved").otherwise(F.col("status")).alias("status"))
+
+
+def _aligned(table: pa.Table) -> pa.Table:
+    """The differing records of one file, whose size is bounded."""
+    rows = table.select(["side", "offset", "length", "page_id", "digest", "held"]).to_pydict()
+    sides: dict[str, list[tuple]] = {"a": [], "b": []}
+    for side, *row in zip(*rows.values()):
+        sides[side].append(tuple(row))
+    file = table.column("file")[0].as_py()
+    ordered = [sorted(sides[x], key=lambda r: r[0]) for x in "ab"]
+    out = align(*ordered, _stretches([x[:2] for side in ordered for x in side]))
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+    columns = zip(*out) if out else [[]] * 6
+    return pa.Table.from_arrays(
+        [pa.array([file] * len(out), pa.int32()), *[pa.array(list(c), k) for c, k in zip(columns, kinds)]],
+        ["file", "offset", "digest_a", "digest_b", "page_a", "page_b", "status"])
+
+
+def _stretches(places: list[tuple[int, int]]) -> dict[int, int]:
+    """Number of the stretch of differing ranges that each range belongs to; equal ranges part them."""
+    ranges = set()
+    for offset, length in places:
+        ranges.add(offset // RANGE_BYTES)
+        ranges.update(range(-(-offset // RANGE_BYTES), (offset + length) // RANGE_BYTES))  # filled by one record
+    out, number, last = {}, 0, None
+    for node in sorted(ranges):
+        number += last is not None and node > last + 1
+        out[node], last = number, node
+    return out
+
+
+def align(a: list[tuple], b: list[tuple], stretches: dict[int, int] | None = None) -> list[tuple]:
+    """(offset, digest_a, digest_b, page_a, page_b, status) of what differs between two ordered lists of leaves.
+
+    Leaves are (offset, length, page id, digest, page ids held by a damaged range or null).
+    """
+    places = defaultdict(deque)
+    for j, (_, _, page, digest, _) in enumerate(b):
+        places[page, digest].append(j)
+    same = [(i, places[page, digest].popleft()) for i, (_, _, page, digest, _) in enumerate(a) if places[page, digest]]
+    kept = _in_order(same)
+    out, anchors_a, anchors_b = [], [i for i, _ in kept], [j for _, j in kept]
+    for i, j in kept:
+        if a[i][0] != b[j][0]:
+            out.append((a[i][0], a[i][3], b[j][3], a[i][2], b[j][2], "shifted"))
+    for i, j in sorted(set(same) - set(kept)):
+        out.append((a[i][0], a[i][3], None, a[i][2], None, "moved"))
+        out.append((b[j][0], None, b[j][3], None, b[j][2], "moved"))
+
+    matched_a, matched_b = {i for i, _ in same}, {j for _, j in same}
+    left, new, used = [i for i in range(len(a)) if i not in matched_a], [j for j in range(len(b)) if j not in matched_b], set()
+    stretch = lambda leaf: (stretches or {}).get(leaf[0] // RANGE_BYTES)
+    gap_a = {i: (bisect_left(anchors_a, i), stretch(a[i])) for i in left}
+    gap_b = {j: (bisect_left(anchors_b, j), stretch(b[j])) for j in new}
+
+    def alter(i: int, j: int) -> None:
+        used.add(j)
+        out.append((a[i][0], a[i][3], b[j][3], a[i][2], b[j][2], "altered"))
+
+    # Another record with the page's id; then a damaged range between the same neighbours that holds the id.
+    pages, holders, still = defaultdict(deque), defaultdict(deque), []
+    for j in new:
+        if b[j][2] is not None:
+            pages[b[j][2]].append(j)
+        for page, n in Counter(b[j][4] or ()).items():
+            holders[gap_b[j], page].extend([j] * n)
+    for i in left:
+        page = a[i][2]
+        found = page is not None and (pages[page] or holders[gap_a[i], page])
+        if found:
+            alter(i, found.popleft())
+        else:
+            still.append(i)
+
+    # Bytes without a known id: what stood at the place, or neighbours that fill the length.
+    gaps = defaultdict(list)
+    for i in still:
+        gaps[gap_a[i]].append(i)
+    for j in new:
+        if j in used:
+            continue
+        mine = gaps[gap_b[j]]
+        for at in _filled(b[j], [a[i] for i in mine]):
+            alter(mine[at], j)
+            mine[at] = None
+        gaps[gap_b[j]] = [i for i in mine if i is not None]
+    out += [(a[i][0], a[i][3], None, a[i][2], None, "missing") for left in gaps.values() for i in left]
+    out += [(b[j][0], None, b[j][3], None, b[j][2], "extra") for j in new if j not in used]
+    return out
+
+
+def _in_order(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest part of ``pairs`` (ordered by their first place) whose second places rise too."""
+    tails, ends, before = [], [], []
+    for at, (_, j) in enumerate(pairs):
+        k = bisect_left(tails, j)
+        before.append(ends[k - 1] if k else -1)
+        tails[k:k + 1], ends[k:k + 1] = [j], [at]
+    out, at = [], ends[-1] if ends else -1
+    while at >= 0:
+        out.append(pairs[at])
+        at = before[at]
+    return out[::-1]
+
+
+def _filled(found: tuple, lost: list[tuple]) -> range:
+    """Places of neighbours in ``lost`` whose bytes ``found`` stands for; none if neither place nor length tells."""
+    sizes = {found[1], found[1] + len(END)} if found[4] is None else {found[1]}
+    for start in range(len(lost)):
+        total = 0
+        for end in range(start, len(lost)):
+            total += lost[end][1] + len(END)
+            if total in sizes:
+                return range(start, end + 1)
+            if total > found[1]:
+                break
+    at = next((k for k, x in enumerate(lost) if x[0] == found[0]), None)
+    return range(0) if at is None else range(at, at + 1)
+
+
+def damage(content: bytes) -> Iterator[bytes]:
+    """The records of a file as a bad replica holds them: of 97 pages, about one altered and one lost."""
+    for at, length, page, _ in parse(content):
+        name = b"fault|%s" % (b"" if page is None else b"%d" % page)
+        fate = int(hashlib.md5(name).hexdigest()[:8], 16) % 97
+        if fate != 1:
+            yield b"X" + content[at + 1:at + length] if fate == 0 else content[at:at + length]
+
+
+def write_damaged(spark: SparkSession, path: str, replica: str) -> None:
+    """A second archive from the stored files of the first, with the faults of ``damage``."""
+    with_workers(spark)
+    piece = 4 << 20
 
+    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sent() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array([file] * len(rows), pa.int32()), pa.array(range(n - len(rows), n), pa.int64()), pa.array(rows, pa.binary())],
+                ["file", "offset", "record"])
+
+        for batch in batches:
+            for file, content in zip(batch.column("file").to_pylist(), batch.column("content")):
+                n, size, rows = 0, 0, []
+                for record in damage(inflate(content.as_py())):
+                    rows.append(record)
+                    n, size = n + 1, size + len(record)
+                    if size >= piece:
+                        yield sent()
+                        size, rows = 0, []
+                yield sent()
 
-def with_damage(rows: DataFrame) -> DataFrame:
-    """Records with the digest that a damaged replica has: of 97, about one altered and one lost (null)."""
-    fate = _bits(F.concat(F.lit("fault|"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))) % 97
-    bytes_ = F.when(fate == 0, F.concat(F.lit("X"), F.expr("substring(record, 2)"))).otherwise(F.col("record"))
-    return rows.withColumn("replica_digest", F.when(fate != 1, F.sha2(bytes_, 256)))
+    rows = _files(spark, path).mapInArrow(tidy(copy), "file int, offset long, record binary")
+    write_archive(rows.withColumn("record", F.col("record").cast("string")), replica)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,13 +378,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     One row per record of the archive with its place, digest and state in the replica.
     """
-    placed = lay_out(with_damage(records(read_table(spark, sf_dir, "pages"))))
-    path = scratch_path(spark, "warc")
-    write_archive(placed, path)
+    path, copy = scratch_path(spark, "warc"), scratch_path(spark, "warc-replica")
+    write_archive(lay_out(records(read_table(spark, sf_dir, "pages"))), path)
+    write_damaged(spark, path, copy)
     archive = store(read_archive(spark, path), "leaves")
-    replica = store(placed.where("replica_digest IS NOT NULL").select(
-        "file", "offset", "length", "page_id", F.col("replica_digest").alias("digest")), "replica")
-    wrong = audit(archive, replica).where("digest_a IS NOT NULL").select("file", "offset", "status")
+    replica = store(read_archive(spark, copy), "replica")
+    wrong = audit(archive, replica).where("digest_a IS NOT NULL AND status <> 'shifted'").select("file", "offset", "status")
     return archive.join(wrong, ["file", "offset"], "left").select(
         "page_id", "file", "offset", "length", "digest", F.coalesce("status", F.lit("intact")).alias("status"))
 
