@@ -188,6 +188,27 @@ def test_secret_spans(spark):
     assert digests == {hashlib.sha256(",".join(brute_base(t)).encode()).hexdigest() for _, t in documents()}
 
 
+def test_keys_behind_readable_text_are_found():
+    import random
+    import string
+
+    dice = random.Random(7)
+    for letters in (string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "-_"):
+        for size in (20, 24, 32, 40):
+            for front in ("com/services/webhooks/integration/", "account/production/configuration/credentials/", "deployment_key=", ""):
+                keys = ["".join(dice.choice(letters) for _ in range(size)) for _ in range(100)]
+                keys = [k for k in keys if secrets.is_random(k) and k[0].isalnum() and k[-1].isalnum()]
+                hits = sum(any(k == 3 and a <= 4 + len(front) and b >= 4 + len(front) + size for a, k, b in secrets.find(f"see {front}{key} end"))
+                           for key in keys)
+                assert hits >= 0.99 * len(keys) and len(keys) > 80, (letters[-2:], size, front, hits, len(keys))
+    digest = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b2b0b822cd15d6c15b0f00a08"
+    for quiet in ("id=123e4567-e89b-42d3-a456-426614174000", f"sha256={digest}", f"objects/{digest}/123e4567-e89b-42d3-a456-426614174000",
+                  "src/main/java/com/example/service/CustomerAccountController", "posts/2024/01/introduction-to-distributed-systems-part2"):
+        assert not [x for x in secrets.find(f"see {quiet} end") if x[1] == 3], quiet
+    key = "Zq7XvT9pLw3RkY8sBn2HdJ5m"
+    assert secrets.masked(f"hooks/{digest}/{key} end") == "hooks/[SECRET]/[SECRET] end"
+
+
 def test_redaction_masks_and_keeps_the_rest(spark):
     docs = odd_documents(spark)
     kept = secrets.redact_secrets(docs)

@@ -4,8 +4,10 @@ The base patterns find assignments, access keys and long hexadecimal runs. The
 method adds random strings that follow no pattern: text that a byte-pair
 vocabulary was built for takes few tokens, random characters take many. A run of
 at least 20 key characters that mixes letters with digits, or cases, is flagged when a token
-covers less than two characters on average. Digests of known lengths,
-UUIDs and time stamps are excluded first, since they look random but are public
+covers less than two characters on average. Since a readable path or name in front of a key would
+hide it in that average, the parts of a run between signs are tested too, and its stretches of
+short tokens, widened to the signs around them. Digests of known lengths,
+UUIDs and time stamps are taken out of a run first, since they look random but are public
 identifiers; where a base pattern covers them, the base span stays.
 
 Whole texts are scanned, one row at a time, without a shuffle. Defined results:
@@ -40,6 +42,9 @@ IDENTIFIER = re.compile(
     r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}"  # digests
     r"|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}"  # UUID
     r"|\d{4}-\d\d-\d\dT[\d+-]+Z?)", re.I | re.A)  # time stamp
+INNER = re.compile(rf"(?<![A-Za-z0-9])(?:{IDENTIFIER.pattern})(?![A-Za-z0-9])", re.I | re.A)
+PARTS = (re.compile(r"[^/=]+"), re.compile(r"[^/=+_-]+"))
+SIGNS = "/=+_-"
 
 
 @lru_cache(maxsize=4)
@@ -64,6 +69,71 @@ def is_random(run: str, file: str = VOCABULARY) -> bool:
     return len(run) < MAX_CHARS_PER_TOKEN * len(encoder(file).encode_ordinary(run))
 
 
+def dense(run: str, file: str = VOCABULARY) -> list[tuple[int, int]]:
+    """Maximal stretches of ``run`` in which a token covers less than two characters on average (Ruzzo and Tompa)."""
+    vocabulary, at, total = encoder(file), 0, 0.0
+    found: list[tuple[int, int, float, float, int]] = []  # start, end, sums before and after, the last one with a smaller sum before
+    for token in vocabulary.encode_ordinary(run):
+        size = len(vocabulary.decode_single_token_bytes(token))
+        at, total = at + size, total + MAX_CHARS_PER_TOKEN - size
+        if size >= MAX_CHARS_PER_TOKEN:
+            continue
+        start, before, place = at - size, total - MAX_CHARS_PER_TOKEN + size, len(found) - 1
+        while True:
+            while place >= 0 and found[place][2] >= before:
+                place = found[place][4]
+            if place < 0 or found[place][3] >= total:
+                break
+            start, _, before, _, earlier = found[place]
+            del found[place:]
+            place = earlier
+        found.append((start, at, before, total, place))
+    return [(start, end) for start, end, *_ in found]
+
+
+def random_parts(run: str, file: str = VOCABULARY) -> list[tuple[int, int]]:
+    """Places in a run that look random: all of it, or else parts of it."""
+    if is_random(run, file):
+        return [(0, len(run))]
+    if not is_mixed(run):
+        return []
+    out = [m.span() for kind in PARTS for m in kind.finditer(run) if MIN_CHARS <= len(m[0]) < len(run) and is_random(m[0], file)]
+    for start, end in dense(run, file):
+        low, high = start, end
+        while low and run[low - 1] not in SIGNS:
+            low -= 1
+        while high < len(run) and run[high] not in SIGNS:
+            high += 1
+        while low < high and run[low] in SIGNS:
+            low += 1
+        whole = end - start >= MIN_CHARS and is_mixed(run[start:end])
+        if whole or high - low >= MIN_CHARS and is_random(run[low:high], file):
+            out.append((low, high))
+    joined: list[tuple[int, int]] = []
+    for start, end in sorted(out):
+        if joined and start < joined[-1][1]:
+            joined[-1] = (joined[-1][0], max(end, joined[-1][1]))
+        else:
+            joined.append((start, end))
+    return joined
+
+
+def random_spans(text: str, file: str = VOCABULARY) -> Iterator[tuple[int, int]]:
+    """Random places of every run of key characters, outside public identifiers."""
+    for run in RUN.finditer(text):
+        at = run.start()
+        for stop, following in [*(m.span() for m in INNER.finditer(text, *run.span())), (run.end(), run.end())]:
+            # The signs beside an identifier belong to neither side.
+            while run.start() < at < stop and text[at] in SIGNS:
+                at += 1
+            end = stop
+            while stop < run.end() and at < end and text[end - 1] in SIGNS:
+                end -= 1
+            if end - at >= MIN_CHARS:
+                yield from ((at + a, at + b) for a, b in random_parts(text[at:end], file))
+            at = following
+
+
 def find(text: str | None, file: str = VOCABULARY) -> list[tuple[int, int, int]]:
     """(start, kind's place in ``KINDS``, end) of every span, in order."""
     if not text:
@@ -72,7 +142,7 @@ def find(text: str | None, file: str = VOCABULARY) -> list[tuple[int, int, int]]
     if "AKIA" in text:
         spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    spans += [(m.start(), 3, m.end()) for m in RUN.finditer(text) if is_random(m[0], file)]
+    spans += [(start, 3, end) for start, end in random_spans(text, file)]
     return sorted(spans)
 
 
