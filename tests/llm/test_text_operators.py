@@ -285,6 +285,28 @@ def test_a_pasted_passage_goes_from_all_but_the_first(spark):
     assert odd.count() == len(odd_rows()) and sentences.drop_repeats(no_documents(spark)).count() == 0
 
 
+def test_any_fifty_common_words_hold_a_span():
+    import random
+
+    dice = random.Random(11)
+    lower = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    signed = [*lower, *[w.capitalize() for w in lower[:4]], *[w + "." for w in lower[4:9]], *[w + "," for w in lower[9:30]]]
+    for k in range(1500):
+        words = (lower, signed, [*signed[:100], *["Abc."] * (k % 40)], lower[:1 + k % 3])[k % 4]
+        text = lambda n: " ".join(dice.choice(words) for _ in range(n))  # noqa: E731, B023
+        passage = text(50)
+        one, two = (f"{text(dice.randrange(40))} {passage} {text(dice.randrange(40))}" for _ in "ab")
+        assert {s[:2] for s in sentences.spans(one)[1]} & {s[:2] for s in sentences.spans(two)[1]}, (one, two)
+    signs = [chr(0x4E00 + i) for i in range(300)]
+    for _ in range(100):
+        text = lambda n: "".join(dice.choice(signs) for _ in range(n))
+        passage = text(50)
+        one, two = text(30) + passage + text(25), text(17) + passage + text(40)
+        assert {s[:2] for s in sentences.spans(one)[1]} & {s[:2] for s in sentences.spans(two)[1]}
+    new, n, removed = sentences.kept_text("天" * 3 + passage + "。" + passage + "地" * 3, [])
+    assert n == 2 and removed and len(new) < 80
+
+
 def test_quality_on_held_out_rows(spark):
     sf = str(TESTDATA / "sf0.01")
     rows = catalog.queries()["op8_quality"](spark, sf).collect()

@@ -2,9 +2,14 @@
 
 A text is cut into sentences: at line ends, after end signs, and before a
 capital letter, so that a passage pasted into the middle of a sentence still lines
-up. From every sentence starts one span, the shortest run of at least ``MIN_SENTENCES`` sentences
-with at least ``MIN_WORDS`` words. Spans are hashed and joined over the whole corpus;
-a sentence goes if any span that covers it occurred before.
+up. Sentences of more than ``LONG`` words are cut into parts before the word with the smallest hash of
+each ``WINDOW`` words (winnowing), which depends on those words alone. From every part starts one span,
+the shortest run of at least ``MIN_SENTENCES`` parts with at least ``MIN_WORDS`` words. Spans are hashed and
+joined over the whole corpus; a part goes if any span that covers it occurred before.
+
+Any 50 words that two texts share hold a full span: parts have at most 12 words, and only the words up to the
+first and from the last cut that both texts share (12 of a short sentence, 17 of a long one at either end) can be cut differently.
+A word is what stands between blanks; in scripts without blanks, a character.
 
 The first occurrence is the one in the smallest document (by doc_id, then position; documents
 without an id come last, by text hash). Repeats inside a document are found where it is read, so
@@ -21,6 +26,7 @@ rows give no rows. Columns named ``n_sentences``, ``n_removed`` or ``removed`` a
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,8 +37,13 @@ from thermocline.llm.common import empty_as, read_table, store, tidy, with_worke
 
 MIN_SENTENCES = 2
 MIN_WORDS = 15
+LONG = 12
+WINDOW = 9
 CAPITALS = "".join(c for c in map(chr, range(0x600)) if c.isupper())
-BREAK = re.compile(rf"\s*\n\s*|(?<=[.!?])\s+|\s+(?=[{CAPITALS}])")
+BREAK = re.compile(rf"\s*\n\s*|(?<=[.!?])\s+|(?<=[。！？।॥])\s*|\s+(?=[{CAPITALS}])")
+BLANKLESS = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fff\u3003-\ua4cf\uf900-\ufaff\U00020000-\U0003ffff"
+HAS_BLANKLESS = re.compile(f"[{BLANKLESS}]")
+WORD = re.compile(rf"[{BLANKLESS}]|[^\s{BLANKLESS}]+")
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -47,17 +58,54 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def cuts(words: list[str]) -> list[int]:
+    """Places of the last smallest hash in each ``WINDOW`` words."""
+    hashes = [zlib.crc32(w.encode()) for w in words]
+    out, at, least = [], -1, 0
+    for end in range(WINDOW - 1, len(hashes)):
+        start = end - WINDOW + 1
+        if at < start:
+            seen = hashes[start:end + 1]
+            least = min(seen)
+            at = end - seen[::-1].index(least)
+            out.append(at)
+        elif hashes[end] <= least:
+            at, least = end, hashes[end]
+            out.append(at)
+    return out
+
+
+def parts(text: str) -> tuple[list[tuple[int, int]], list[int], list[bytes]]:
+    """Start and end of every part, its number of words, and its bytes with single blanks."""
+    blankless = HAS_BLANKLESS.search(text) is not None
+    places, counts, pieces = [], [], []
+    for start, end in sentences(text):
+        words = text[start:end].split()
+        if blankless or len(words) > LONG:
+            found = list(WORD.finditer(text, start, end))
+            if len(found) > LONG:
+                at = [0, *[c for c in cuts([m[0] for m in found]) if c], len(found)]
+                for low, high in zip(at, at[1:]):
+                    places.append((found[low].start(), found[high - 1].end()))
+                    counts.append(high - low)
+                    pieces.append(" ".join(text[places[-1][0]:places[-1][1]].split()).encode())
+                continue
+            counts.append(len(found))
+        else:
+            counts.append(len(words))
+        places.append((start, end))
+        pieces.append(" ".join(words).encode())
+    return places, counts, pieces
+
+
 def spans(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, int]]]:
-    """The sentences, and (hash, hash, first sentence, end sentence) of each span."""
-    found = sentences(text)
-    words = [text[a:b].encode().split() for a, b in found]
-    joined, ends, counts, total, size = [], [], [0], 0, 0
-    for part in words:
-        piece = b" ".join(part)
-        joined.append(piece)
+    """The parts, and (hash, hash, first part, end part) of each span."""
+    found, sizes, joined = parts(text)
+    ends, counts, total, size = [], [0], 0, 0
+    for piece, n in zip(joined, sizes):
         size += len(piece) + 1
         ends.append(size)
-        total += len(part)
+        total += n
         counts.append(total)
     whole, out, end = b" ".join(joined), [], 0
     for start in range(len(found)):
@@ -98,7 +146,7 @@ def _occurrences(docs: DataFrame) -> DataFrame:
 
 
 def kept_text(text: str, later: list[tuple[int, int]]) -> tuple[str, int, list[tuple[int, int]]]:
-    """The text without repeated sentences, its number of sentences, and the characters removed.
+    """The text without repeated parts, its number of sentences, and the characters removed.
 
     ``later`` are spans that an earlier document has; repeats within the text are added here.
     """
@@ -112,21 +160,21 @@ def kept_text(text: str, later: list[tuple[int, int]]) -> tuple[str, int, list[t
         gone[start:end] = [True] * (end - start)
     removed: list[tuple[int, int]] = []
     for (start, end), out in zip(found, gone):
-        if out and removed and text[removed[-1][1]:start].isspace():
+        if out and removed and not text[removed[-1][1]:start].strip():
             removed[-1] = (removed[-1][0], end)
         elif out:
             removed.append((start, end))
-    parts, at = [], 0
+    rest, at = [], 0
     for start, end in removed:
-        parts.append(text[at:start])
+        rest.append(text[at:start])
         at = end
         while at < len(text) and text[at].isspace():
             at += 1
-    return "".join([*parts, text[at:]]), len(found), removed
+    return "".join([*rest, text[at:]]), len(sentences(text)), removed
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated sentences cut from ``text``; adds n_sentences, n_removed (sentences) and removed (characters)."""
+    """``docs`` with repeated passages cut from ``text``; adds n_sentences, n_removed (sentences fewer) and removed (characters)."""
     with_workers(docs.sparkSession)
     docs = docs.drop("n_sentences", "n_removed", "removed")
     rows = _occurrences(docs)
