@@ -285,6 +285,12 @@ def test_a_pasted_passage_goes_from_all_but_the_first(spark):
     assert odd.count() == len(odd_rows()) and sentences.drop_repeats(no_documents(spark)).count() == 0
 
 
+def test_rows_that_share_an_id_lose_only_their_own_repeats(spark):
+    passage, other = prose(501, 60), prose(502, 60)
+    docs = spark.createDataFrame([(1, passage), (2, passage), (2, other)], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["text"]) for r in sentences.drop_repeats(docs).collect()) == sorted([(1, passage), (2, ""), (2, other)])
+
+
 def test_any_fifty_common_words_hold_a_span():
     import random
 

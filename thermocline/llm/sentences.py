@@ -120,9 +120,10 @@ def spans(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, i
 
 
 def _order() -> list:
-    """A document's place in the order: rows without an id after all others."""
+    """A document's place in the order, rows without an id after all others, and its text's hash."""
     none = F.col("doc_id").isNull()
-    return [none.alias("late"), F.when(none, F.xxhash64(empty_as())).otherwise(F.col("doc_id")).alias("doc")]
+    return [none.alias("late"), F.when(none, F.xxhash64(empty_as())).otherwise(F.col("doc_id")).alias("doc"),
+            F.xxhash64(empty_as()).alias("body")]
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
@@ -130,19 +131,19 @@ def _occurrences(docs: DataFrame) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for late, doc, text in zip(*[batch.column(c).to_pylist() for c in ("late", "doc", "text")]):
+            for late, doc, body, text in zip(*[batch.column(c).to_pylist() for c in ("late", "doc", "body", "text")]):
                 seen = set()
                 for a, b, start, end in spans(text)[1]:
                     if (a, b) not in seen:
                         seen.add((a, b))
-                        rows.append((a, b, late, doc, start, end))
-            kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int32()]
-            columns = zip(*rows) if rows else [[]] * 6
+                        rows.append((a, b, late, doc, body, start, end))
+            kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+            columns = zip(*rows) if rows else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)],
-                                             ["a", "b", "late", "doc", "start", "end"])
+                                             ["a", "b", "late", "doc", "body", "start", "end"])
 
     return docs.select(*_order(), empty_as().alias("text")).mapInArrow(
-        tidy(emit), "a long, b int, late boolean, doc long, start int, end int")
+        tidy(emit), "a long, b int, late boolean, doc long, body long, start int, end int")
 
 
 def kept_text(text: str, later: list[tuple[int, int]]) -> tuple[str, int, list[tuple[int, int]]]:
@@ -186,7 +187,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
         ~F.col("late") & (F.col("doc") == F.col("early")))
     later = store(
         _occurrences(docs).join(repeated, ["a", "b"]).where(~first)
-        .groupBy("late", "doc").agg(F.collect_set(F.struct("start", "end")).alias("_later")), "later-spans")
+        .groupBy("late", "doc", "body").agg(F.collect_set(F.struct("start", "end")).alias("_later")), "later-spans")
 
     columns = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField("n_sentences", T.IntegerType()),
@@ -206,10 +207,10 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
                 [*out.columns, pa.array(counts, pa.int32()), pa.array(gone, pa.int32()), pa.array(marks, pa.string())],
                 schema.names)
 
-    late, doc = _order()
-    keyed = docs.select("*", late.alias("_late"), doc.alias("_doc"))
-    found = later.toDF("_late", "_doc", "_later").hint("shuffle_hash")
-    return keyed.join(found, ["_late", "_doc"], "left").select(*columns, "_later").mapInArrow(tidy(cut), schema)
+    late, doc, body = _order()
+    keyed = docs.select("*", late.alias("_late"), doc.alias("_doc"), body.alias("_body"))
+    found = later.toDF("_late", "_doc", "_body", "_later").hint("shuffle_hash")
+    return keyed.join(found, ["_late", "_doc", "_body"], "left").select(*columns, "_later").mapInArrow(tidy(cut), schema)
 
 
 def op5_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
