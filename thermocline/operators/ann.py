@@ -41,7 +41,7 @@ class CellIndex:
     docs: DataFrame  # doc_id, cell, embedding, ordered by cell
 
 
-def _nearest(units: np.ndarray, centres: np.ndarray, probes: int) -> np.ndarray:
+def nearest_cells(units: np.ndarray, centres: np.ndarray, probes: int) -> np.ndarray:
     """The ``probes`` nearest cells of each vector, nearest first."""
     out = np.empty((len(units), probes), np.int32)
     step = max(1, _STEP_SCORES // len(centres))
@@ -56,20 +56,25 @@ def _nearest(units: np.ndarray, centres: np.ndarray, probes: int) -> np.ndarray:
     return out
 
 
-def build_cells(docs: DataFrame, cells: int, seed: int = 42) -> CellIndex:
-    """Cluster the unit vectors of all documents into cells, then put every document into its nearest cell."""
+def fit_centres(docs: DataFrame, cells: int, seed: int = 42) -> np.ndarray:
+    """Unit centres of the clusters of all documents' unit vectors."""
     ship_package(docs.sparkSession)
     unit = normalize(docs.select("embedding").where(F.exists("embedding", lambda x: x != 0)))
     training = unit.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
     model = KMeans(k=cells, seed=seed, maxIter=10).fit(training)
     centres = np.array([np.asarray(c) for c in model.clusterCenters()])
-    centres = centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-300)
+    return centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-300)
+
+
+def build_cells(docs: DataFrame, cells: int, seed: int = 42) -> CellIndex:
+    """Cluster the unit vectors of all documents into cells, then put every document into its nearest cell."""
+    centres = fit_centres(docs, cells, seed)
     shared = docs.sparkSession.sparkContext.broadcast(centres)
     dim = centres.shape[1]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cell = _nearest(unit_matrix(batch.column("embedding"), dim), shared.value, 1)[:, 0]
+            cell = nearest_cells(unit_matrix(batch.column("embedding"), dim), shared.value, 1)[:, 0]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(cell), batch.column("embedding")], names=["doc_id", "cell", "embedding"]
             )
@@ -86,7 +91,7 @@ def _probed_cells(queries: DataFrame, centres: np.ndarray, probes: int) -> list[
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = np.unique(_nearest(unit_matrix(batch.column("embedding"), dim), centres, probes))
+            cells = np.unique(nearest_cells(unit_matrix(batch.column("embedding"), dim), centres, probes))
             yield pa.RecordBatch.from_arrays([pa.array(cells)], names=["cell"])
 
     rows = queries.select("embedding").mapInArrow(task, "cell int").distinct().collect()
@@ -104,7 +109,7 @@ class _CellHits(Hits):
     def search(self, docs: Iterator[DocBatch], queries: QueryBlock) -> Iterator[pa.RecordBatch]:
         steps = range(0, len(queries), 4096)
         probed = np.concatenate([
-            _nearest(queries.units(slice(start, start + 4096)), self.centres, self.probes) for start in steps
+            nearest_cells(queries.units(slice(start, start + 4096)), self.centres, self.probes) for start in steps
         ])
         directed = queries.directed()
         askers = {int(cell): directed[(probed[directed] == cell).any(axis=1)] for cell in np.unique(probed)}

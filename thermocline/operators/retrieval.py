@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -85,6 +87,16 @@ def cascade_staged(tiered: DataFrame, queries: DataFrame, k: int, threshold: flo
     returns its ``remaining`` nearest before repeats are dropped, and dropped
     repeats are not refilled.
     """
+    search = lambda tier, asked: threshold_topk(tiered.where(F.col("tier") == tier), asked, k, threshold, layout)
+    return staged(queries, k, search)
+
+
+def staged(queries: DataFrame, k: int, search: Callable[[int, DataFrame], DataFrame]) -> DataFrame:
+    """The cascade over any per-tier search.
+
+    ``search(tier, asked)`` returns the best k hits ``(query_id, rank, doc_id, score)`` of a tier for
+    ``asked(query_id, embedding, remaining)``.
+    """
     asked = queries.select("query_id", "embedding").withColumn("remaining", F.lit(k))
     found: DataFrame | None = None
     for tier in (tiers.HOT, tiers.WARM, tiers.COLD):
@@ -96,11 +108,10 @@ def cascade_staged(tiered: DataFrame, queries: DataFrame, k: int, threshold: flo
             still_open = materialize(still_open, "open-queries")  # measured as they are, read twice
         else:
             still_open = asked
-        nearest = threshold_topk(tiered.where(F.col("tier") == tier), still_open, k, threshold, layout)
-        stage = nearest
+        stage = search(tier, still_open)
         if found is not None:
             stage = (
-                nearest.join(still_open.select("query_id", "remaining"), "query_id")
+                stage.join(still_open.select("query_id", "remaining"), "query_id")
                 .where(F.col("rank") <= F.col("remaining"))
                 .join(found.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
             )

@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thermocline.functions import tiers as rules
+from thermocline.operators import inverted_file
 from thermocline.operators.access import access_scores, access_stats
+from thermocline.operators.inverted_file import InvertedFile
 from thermocline.plans.lifecycle import TierBuild, build_tiers
 from thermocline.session import materialize, scratch_path
 from thermocline.sources.queries import HELD_OUT, WORKLOAD, split_queries
@@ -22,6 +24,8 @@ K = 5
 DIMENSION = 64
 THRESHOLD = 0.25
 THRESHOLDS = [0.2, 0.25, 0.3]
+NEAR = 0.99
+CELLS, CODE_BYTES, INDEX_BLOCK = 16, 16, 64
 BASELINE, TIERED = "view", "click"
 
 
@@ -95,6 +99,26 @@ def tiered_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tier_build(spark, sf_dir).tiered
 
 
+_indexes: dict[tuple[str, str], InvertedFile] = {}
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> InvertedFile:
+    """The inverted file over the tier table, with codes, built on first use in an application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        _indexes[key] = inverted_file.build(
+            tiered_docs(spark, sf_dir), scratch_path(spark, "inverted"), CELLS, CODE_BYTES, INDEX_BLOCK)
+    return _indexes[key]
+
+
+def near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors as documents, and next to them a changed copy of every held-out query under its negative id."""
+    plain = doc_vectors(spark, sf_dir).withColumn("embedding", F.col("embedding").cast("array<double>"))
+    change = F.transform("embedding", lambda x, i: x.cast("double") * ((i + F.col("query_id")) % 5 * 0.02 + 0.96))
+    copies = held_out(spark, sf_dir).select((-F.col("query_id") - 1).alias("doc_id"), change.alias("embedding"))
+    return plain.unionByName(copies)
+
+
 def doc_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.concat("source", F.lit("-"), F.col("doc_id").cast("string"))
     return table(spark, sf_dir, "documents").select("doc_id", title.alias("title"), "text")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thermocline.functions import text, tiers, vectors
-from thermocline.operators import access, ann, metrics, migration, retrieval, tier_table, tiering
+from thermocline.operators import access, ann, inverted_file, metrics, migration, retrieval, tier_table, tiering
 from thermocline.operators.similarity import document_warmth
 from thermocline.plans import bindings as b
 from thermocline.plans import lifecycle
@@ -290,6 +290,62 @@ def ann_all_cells(spark, sf):
     return ann.ann_topk(index, b.held_out(spark, sf), b.K, b.THRESHOLD, probes=16).select("query_id", "rank", "doc_id", _r("score"))
 
 
+@_register
+def cascade_indexed(spark, sf):
+    """The cascade with colder tiers read through the inverted file, all cells probed: exact."""
+    return _hits_columns(inverted_file.cascade_indexed(
+        b.indexed(spark, sf), b.tiered_docs(spark, sf), b.held_out(spark, sf), b.K, b.THRESHOLD, probes=None))
+
+
+def _recall(found, wanted):
+    """Hits of the exact answer, and whether 95 of 100 are found."""
+    both = wanted.select("query_id", "doc_id").join(found.select("query_id", "doc_id", F.lit(1).alias("hit")), ["query_id", "doc_id"], "left")
+    return both.agg(F.count(F.lit(1)).alias("n_exact"), (F.count("hit") >= 0.95 * F.count(F.lit(1))).alias("recall_reached"))
+
+
+@_register
+def cascade_indexed_recall(spark, sf):
+    """Most cells probed, the cold tier scored by its codes first."""
+    tiered, asked = b.tiered_docs(spark, sf), b.held_out(spark, sf)
+    found = inverted_file.cascade_indexed(
+        b.indexed(spark, sf), tiered, asked, b.K, b.THRESHOLD, probes=b.CELLS - 2, compressed=(tiers.COLD,))
+    return _recall(found, retrieval.cascade_topk(tiered, asked, b.K, b.THRESHOLD))
+
+
+@_register
+def codes_recall(spark, sf):
+    """Top-k over all tiers by codes and reranking, against the exact scan."""
+    asked = b.held_out(spark, sf)
+    found = inverted_file.search(b.indexed(spark, sf), None, asked, b.K, None, None, codes=True)
+    return _recall(found, retrieval.baseline_topk(b.doc_vectors(spark, sf), asked, b.K))
+
+
+@_register
+def pruned_pairs(spark, sf):
+    """The threshold join through the inverted file."""
+    pairs = inverted_file.similar_pairs(b.indexed(spark, sf), b.held_out(spark, sf), b.THRESHOLD)
+    return pairs.select("query_id", "doc_id", _r("score"), _r("distance"))
+
+
+def _near_copy_index(spark, sf):
+    docs = tier_table.single_tier(b.near_copies(spark, sf), tiers.COLD)
+    return inverted_file.build(docs, scratch_path(spark, "near-copies"), b.CELLS, block_rows=8)
+
+
+@_register
+def near_copy_leakage(spark, sf):
+    """Documents that are near copies of held-out queries."""
+    pairs = inverted_file.similar_pairs(_near_copy_index(spark, sf), b.held_out(spark, sf), b.NEAR)
+    return pairs.select("query_id", "doc_id", _r("score"))
+
+
+@_register
+def near_copy_pruning(spark, sf):
+    """All pairs of that join, and whether more than half of them were skipped."""
+    share = inverted_file.scored_share(_near_copy_index(spark, sf), b.held_out(spark, sf), b.NEAR)
+    return share.select("pairs", (F.col("scored") * 2 < F.col("pairs")).alias("half_skipped"))
+
+
 @_register
 def enrich_hits(spark, sf):
     hits = retrieval.cascade_topk(b.tiered_docs(spark, sf), b.held_out(spark, sf), b.K, b.THRESHOLD)

@@ -190,6 +190,19 @@ _ACCESS_ROWS = """SELECT user_id AS doc_id, count(*) AS total_accesses,
        strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last_access FROM events GROUP BY user_id"""
 
 
+_COSINE_PAIRS = """
+SELECT query_id, doc_id, round(score, 6) AS score, round(1 - score, 6) AS distance FROM pairs WHERE score >= 0.25"""
+
+_NEAR_COPIES = """,
+changed AS (
+  SELECT -vec_id - 1 AS doc_id, list_transform(e, lambda x, i: x * ((i - 1 + vec_id) % 5 * 0.02::DOUBLE + 0.96::DOUBLE)) AS e
+  FROM held_out),
+copies AS (
+  SELECT vec_id AS doc_id, e, n FROM vec
+  UNION ALL SELECT doc_id, e, sqrt(list_dot_product(e, e)) FROM changed)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     with_ = "WITH "
     return {
@@ -256,8 +269,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, round(temperature, 6) AS temperature, tier, round(hot_at, 6) AS tier1_threshold,
                    round(warm_at, 6) AS tier2_threshold FROM tiers""",
         "doc_key_codec": "SELECT vec_id AS doc_id, 'doc' || vec_id AS doc_key, vec_id AS decoded FROM embeddings",
-        "cosine_pairs": with_ + _VECTORS + _pairs("held_out") + """
-            SELECT query_id, doc_id, round(score, 6) AS score, round(1 - score, 6) AS distance FROM pairs WHERE score >= 0.25""",
+        "cosine_pairs": with_ + _VECTORS + _pairs("held_out") + _COSINE_PAIRS,
         "similarity_profile": with_ + _VECTORS + _pairs("held_out") + """
             SELECT doc_id, round(min(score), 6) AS sim_min, round(max(score), 6) AS sim_max,
                    round(avg(score), 6) AS sim_mean, count(*) AS n_queries FROM pairs GROUP BY doc_id""",
@@ -268,6 +280,15 @@ def oracle_sql() -> dict[str, str]:
         "tier_distribution": with_ + _TIERS + "SELECT tier, count(*) AS n_docs FROM tiers GROUP BY tier",
         "cascade_topk": with_ + _cascade() + _HITS,
         "cascade_staged": with_ + _cascade() + _HITS,
+        "cascade_indexed": with_ + _cascade() + _HITS,
+        "cascade_indexed_recall": with_ + _cascade() + "SELECT count(*) AS n_exact, true AS recall_reached FROM hits",
+        "codes_recall": with_ + _VECTORS + "SELECT count(*) * 5 AS n_exact, true AS recall_reached FROM held_out",
+        "pruned_pairs": with_ + _VECTORS + _pairs("held_out") + _COSINE_PAIRS,
+        "near_copy_leakage": with_ + _VECTORS + _NEAR_COPIES + """
+            SELECT q.vec_id AS query_id, c.doc_id, round(list_dot_product(c.e, q.e) / (c.n * q.n), 6) AS score
+            FROM copies c JOIN held_out q ON round(list_dot_product(c.e, q.e) / (c.n * q.n), 9) >= 0.99""",
+        "near_copy_pruning": with_ + _VECTORS + _NEAR_COPIES + """
+            SELECT (SELECT count(*) FROM copies) * (SELECT count(*) FROM held_out) AS pairs, true AS half_skipped""",
         "cascade_sweep": with_ + _cascade() + """
             SELECT threshold, query_id, rank, doc_id, round(score, 6) AS score, tier, source FROM sweep""",
         "baseline_topk": with_ + _VECTORS + _pairs("held_out") + """
