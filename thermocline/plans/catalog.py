@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thermocline.functions import text, tiers, vectors
-from thermocline.operators import access, ann, inverted_file, metrics, migration, retrieval, tier_table, tiering
+from thermocline.operators import access, ann, bucket_store, inverted_file, metrics, migration, retrieval, tier_table, tiering
 from thermocline.operators.similarity import document_warmth
 from thermocline.plans import bindings as b
 from thermocline.plans import lifecycle
@@ -133,6 +133,45 @@ def tier_upsert(spark, sf):
     )
 
 
+def _bucket_store(spark, sf):
+    """The migration keys' tier map with vectors, stored by tier and bucket."""
+    stored = b.initial_registrations(spark, sf).join(b.doc_vectors(spark, sf), "doc_id")
+    return bucket_store.create(stored, scratch_path(spark, "bucket-store"), 8)
+
+
+def _checksums(df, *more):
+    """Rows of a store with the sum of each vector's components."""
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return df.select("doc_id", "tier", "seq", _r(total, "component_sum"), *more)
+
+
+@_register
+def store_upsert(spark, sf):
+    """Every event stores its document's vector again, doubled; only touched folders are written."""
+    store = _bucket_store(spark, sf)
+    doubled = b.doc_vectors(spark, sf).withColumn("embedding", F.transform("embedding", lambda x: (x * 2).cast("float")))
+    bucket_store.upsert(store, b.event_registrations(spark, sf).join(doubled, "doc_id"))
+    return _checksums(bucket_store.read(spark, store))
+
+
+@_register
+def store_move(spark, sf):
+    """The moves of a migration pass on stored vectors, with the old copy removed and kept."""
+    _, log = migration.migration_pass(b.current_tiers(spark, sf), b.scores(spark, sf), b.as_of(), cap=None)
+    moved, copied = _bucket_store(spark, sf), _bucket_store(spark, sf)
+    bucket_store.move(moved, log)
+    bucket_store.move(copied, log, remove=False)
+    mode = lambda store, name: _checksums(bucket_store.read(spark, store), F.lit(name).alias("mode"))
+    return mode(moved, "move").unionByName(mode(copied, "copy"))
+
+
+@_register
+def store_delete(spark, sf):
+    store = _bucket_store(spark, sf)
+    bucket_store.delete(store, b.accesses(spark, sf))
+    return _checksums(bucket_store.read(spark, store))
+
+
 @_register
 def register_tiers(spark, sf):
     return migration.register_tiers(

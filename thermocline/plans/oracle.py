@@ -230,6 +230,22 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, tier, round(temperature, 6) AS temperature, round(list_sum(e), 6) AS component_sum
             FROM tiers JOIN vec ON vec_id = doc_id WHERE tier <> 2 AND doc_id NOT IN (SELECT user_id FROM seen)""",
         "tier_upsert": with_ + _REGISTERED + "SELECT tier, doc_id, max(seq) AS seq FROM registered GROUP BY tier, doc_id",
+        "store_upsert": with_ + _REGISTERED + """,
+            newest AS (SELECT tier, doc_id, max(seq) AS seq FROM registered GROUP BY tier, doc_id)
+            SELECT doc_id, tier, seq, round(list_sum(CAST(embedding AS DOUBLE[])) * CASE WHEN seq >= 0 THEN 2 ELSE 1 END, 6)
+                   AS component_sum
+            FROM newest JOIN embeddings ON vec_id = doc_id""",
+        "store_move": with_ + _MOVES + """,
+            sums AS (SELECT vec_id AS doc_id, round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS component_sum FROM embeddings),
+            ends AS (
+              SELECT c.doc_id, coalesce(m.to_tier, c.tier) AS tier, c.seq, 'move' AS mode FROM current c LEFT JOIN wanted m USING (doc_id)
+              UNION ALL SELECT doc_id, tier, seq, 'copy' FROM current
+              UNION ALL SELECT doc_id, to_tier, seq, 'copy' FROM wanted)
+            SELECT doc_id, tier, seq - 1000000000000 AS seq, component_sum, mode FROM ends JOIN sums USING (doc_id)""",
+        "store_delete": """
+            SELECT vec_id AS doc_id, CAST(vec_id % 3 + 1 AS INTEGER) AS tier, vec_id - 1000000000000 AS seq,
+                   round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS component_sum
+            FROM embeddings WHERE vec_id NOT IN (SELECT user_id FROM events)""",
         "register_tiers": with_ + _REGISTERED + """
             SELECT doc_id, arg_max(tier, seq) AS tier, min(seq) AS seq FROM registered GROUP BY doc_id""",
         "tier_get": with_ + _TIERS + """
