@@ -25,6 +25,7 @@ DIMENSION = 64
 THRESHOLD = 0.25
 THRESHOLDS = [0.2, 0.25, 0.3]
 NEAR = 0.99
+ARRIVALS = (1, 9, 17, 25, 32)  # days of the month: files of the access log that arrive one after another
 CELLS, CODE_BYTES, INDEX_BLOCK = 16, 16, 64
 BASELINE, TIERED = "view", "click"
 

@@ -14,7 +14,7 @@ from thermocline.plans import bindings as b
 from thermocline.plans import lifecycle
 from thermocline.session import materialize, scratch_path
 from thermocline.sources import logs, queries as query_sources, vectors as vector_sources
-from thermocline.streaming import jobs
+from thermocline.streaming import decay, jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -660,3 +660,29 @@ def stream_migrate(spark, sf):
     log = jobs.read_migration_log(spark, path)
     moved = log.select("doc_id", "from_tier", "kind")
     return jobs.current_tiers(current, log).join(moved, "doc_id", "left").select("doc_id", "tier", "from_tier", "kind")
+
+
+@_register
+def stream_decay(spark, sf):
+    """Moves by keyed state and timers: the access log arrives in four files, one pass after each."""
+    folder, path = scratch_path(spark, "decay-events"), scratch_path(spark, "stream-decay")
+    for start, end in zip(b.ARRIVALS, b.ARRIVALS[1:]):
+        day = F.dayofmonth("ts")
+        b.accesses(spark, sf).where((day >= start) & (day < end)).coalesce(1).write.mode("append").parquet(folder)
+    stream = jobs.stream_table(spark, folder, b.accesses(spark, sf).schema, max_files=1)
+    current = b.current_tiers(spark, sf)
+    decay.migrate_on_time(stream, current, path).awaitTermination()
+    log = jobs.read_migration_log(spark, path)
+    return log.select("doc_id", _stamp("ts"), "from_tier", "to_tier", "kind")
+
+
+@_register
+def stream_access_redelivered(spark, sf):
+    """Three deliveries, each the events of a third of the days and all of the delivery before: counted once."""
+    folder, path = scratch_path(spark, "redelivered"), scratch_path(spark, "stream-redelivered")
+    part = F.dayofmonth("ts") % 3
+    for number in range(3):
+        b.accesses(spark, sf).where(part.isin(number, number - 1)).coalesce(1).write.mode("append").parquet(folder)
+    stream = jobs.stream_table(spark, folder, b.accesses(spark, sf).schema, max_files=1)
+    jobs.count_accesses(stream, path, once=True).awaitTermination()
+    return jobs.read_access_counts(spark, path).select("doc_id", "total_accesses", _stamp("last_access"))

@@ -190,6 +190,27 @@ _ACCESS_ROWS = """SELECT user_id AS doc_id, count(*) AS total_accesses,
        strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last_access FROM events GROUP BY user_id"""
 
 
+def _decay() -> str:
+    """One uncapped pass after each arrival, as of the latest access so far (in milliseconds)."""
+    parts = ["WITH p0 AS (SELECT vec_id AS doc_id, CAST(vec_id % 3 + 1 AS INTEGER) AS tier FROM embeddings)"]
+    logs = []
+    for number, day in enumerate((9, 17, 25, 32), 1):
+        parts.append(f"""
+e{number} AS (SELECT user_id AS doc_id, ts FROM events WHERE day(ts) < {day}),
+w{number} AS (SELECT date_trunc('millisecond', max(ts)) AS now FROM e{number}),
+s{number} AS (
+  SELECT doc_id, (least(1.0::DOUBLE, count(*) / 100.0::DOUBLE)
+    + greatest(0.0::DOUBLE, 1 - date_diff('microsecond', max(ts), any_value(now)) / 3600e6 / 24)) / 2 AS score
+  FROM e{number}, w{number} WHERE ts <= now GROUP BY doc_id),
+a{number} AS (
+  SELECT doc_id, tier, CASE WHEN coalesce(score, 0.0) >= 0.7 THEN 1 WHEN coalesce(score, 0.0) >= 0.3 THEN 2 ELSE 3 END AS aim
+  FROM p{number - 1} LEFT JOIN s{number} USING (doc_id)),
+p{number} AS (SELECT doc_id, CAST(tier + sign(aim - tier) AS INTEGER) AS tier FROM a{number})""")
+        logs.append(f"""SELECT doc_id, strftime(now, '%Y-%m-%d %H:%M:%S.%f') AS ts, tier AS from_tier,
+       CAST(tier + sign(aim - tier) AS INTEGER) AS to_tier, 'auto' AS kind FROM a{number}, w{number} WHERE tier <> aim""")
+    return ",".join(parts) + "\n" + "\nUNION ALL ".join(logs)
+
+
 _COSINE_PAIRS = """
 SELECT query_id, doc_id, round(score, 6) AS score, round(1 - score, 6) AS distance FROM pairs WHERE score >= 0.25"""
 
@@ -445,5 +466,7 @@ def oracle_sql() -> dict[str, str]:
                    CASE WHEN outcome = 'ok' THEN CAST(dim AS INTEGER) END AS dim,
                    CASE WHEN outcome = 'ok' THEN round(temperature, 6) END AS temperature, outcome FROM outcomes""",
         "stream_retrieve": with_ + _cascade("vec") + _HITS,
+        "stream_decay": _decay(),
+        "stream_access_redelivered": _ACCESS_ROWS,
         "stream_migrate": with_ + _MOVES + _after("wanted"),
     }

@@ -36,7 +36,29 @@ def _batch_folder(path: str, batch_id: int) -> str:
 ONCE = {"availableNow": True}  # what has arrived; {"processingTime": "10 seconds"} keeps a job running
 
 
-def _start(stream: DataFrame, handle, checkpoint: str | None, trigger: dict, mode: str = "append") -> StreamingQuery:
+STATE_STORE = "spark.sql.streaming.stateStore"
+
+
+def keep_state_in_rocksdb(spark: SparkSession) -> None:
+    """Keyed state on the executors' disks; a commit uploads what changed in the batch, not the whole state."""
+    spark.conf.set(f"{STATE_STORE}.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set(f"{STATE_STORE}.rocksdb.changelogCheckpointing.enabled", "true")
+
+
+EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
+
+
+def micros(ts: Column) -> Column:
+    """Microseconds since 1970 of a time as it stands, whatever the session's time zone."""
+    return F.timestamp_diff("MICROSECOND", F.expr(EPOCH), ts.cast("timestamp_ntz"))
+
+
+def write_batches(path: str):
+    """A sink with one folder per batch."""
+    return lambda df, batch: df.write.mode("overwrite").parquet(_batch_folder(path, batch))
+
+
+def start_stream(stream: DataFrame, handle, checkpoint: str | None, trigger: dict, mode: str = "append") -> StreamingQuery:
     checkpoint = checkpoint or scratch_path(stream.sparkSession, "stream-checkpoint")
     return (
         stream.writeStream.outputMode(mode).foreachBatch(handle).option("checkpointLocation", checkpoint)
@@ -46,35 +68,28 @@ def _start(stream: DataFrame, handle, checkpoint: str | None, trigger: dict, mod
 
 # -- access counting -------------------------------------------------------
 
-_SEEN_SCHEMA = "event_id bigint"
-
 
 def count_accesses(events: DataFrame, path: str, checkpoint: str | None = None, once: bool = False,
-                   trigger: dict = ONCE) -> StreamingQuery:
+                   within: str | None = None, trigger: dict = ONCE) -> StreamingQuery:
     """Running count and last access of each document; ``events(event_id, doc_id, ts)``.
 
-    With ``once`` a redelivered ``event_id`` counts once, however late it comes:
-    the ids of earlier batches are stored and joined against, not kept by a
-    watermark. Events without an id all count.
-    """
-    spark = events.sparkSession
-    if not once:
-        running = _access_partial(events).withColumn("adds_up", F.lit(False))
-        write = lambda df, batch: df.write.mode("overwrite").parquet(_batch_folder(path, batch))
-        return _start(running, write, checkpoint, trigger, "update")
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        named = batch.where("event_id IS NOT NULL").groupBy("event_id").agg(F.min(F.struct("doc_id", "ts")).alias("e"))
-        if batch_id:
-            base = f"{path}-seen"
-            seen = spark.read.schema(f"{_SEEN_SCHEMA}, batch_id bigint").option("basePath", base).parquet(base)
-            named = named.join(seen.where(F.col("batch_id") < batch_id).select("event_id"), "event_id", "left_anti")
-        fresh = materialize(named.select("event_id", "e.*").unionByName(
-            batch.where("event_id IS NULL").select("event_id", "doc_id", "ts")), "fresh-events")
-        fresh.where("event_id IS NOT NULL").select("event_id").write.mode("overwrite").parquet(_batch_folder(f"{path}-seen", batch_id))
-        _access_partial(fresh).withColumn("adds_up", F.lit(True)).write.mode("overwrite").parquet(_batch_folder(path, batch_id))
+    With ``once`` a redelivered ``event_id`` counts once, however late it comes: the ids
+    are keyed state, so a batch looks up its own ids and reads nothing else of the past. ``within`` (such as "2 days")
+    lets go of ids the watermark has passed by so much, which bounds the state; events behind
+    the watermark are then dropped. Events without an id all count. Copies of an event are taken to be equal.
 
-    return _start(events.select("event_id", "doc_id", "ts"), handle, checkpoint, trigger)
+    A batch writes the new totals of the documents it touches.
+    """
+    if once:
+        keep_state_in_rocksdb(events.sparkSession)
+        named = events.where("event_id IS NOT NULL")
+        if within is None:
+            named = named.dropDuplicates(["event_id"])
+        else:
+            named = (named.withColumn("_at", F.timestamp_micros(micros(F.col("ts")))).withWatermark("_at", within)
+                     .dropDuplicatesWithinWatermark(["event_id"]).drop("_at"))
+        events = named.unionByName(events.where("event_id IS NULL"))
+    return start_stream(_access_partial(events), write_batches(path), checkpoint, trigger, "update")
 
 
 def _access_partial(events: DataFrame) -> DataFrame:
@@ -84,13 +99,10 @@ def _access_partial(events: DataFrame) -> DataFrame:
 
 
 def read_access_counts(spark: SparkSession, path: str) -> DataFrame:
-    """Latest state. Running totals only grow, so the largest is the latest; a batch's own counts
-    (marked ``adds_up`` by the job that wrote them) add up."""
-    total = F.col("total_accesses")
+    """Latest state: running totals only grow, so the largest is the latest."""
     return spark.read.parquet(path).groupBy("doc_id").agg(
-        (F.coalesce(F.sum(F.when(F.col("adds_up"), total)), F.lit(0))
-         + F.coalesce(F.max(F.when(~F.col("adds_up"), total)), F.lit(0))).alias("total_accesses"),
-        F.max("last_access").alias("last_access"), F.min("first_access").alias("first_access"),
+        F.max("total_accesses").alias("total_accesses"), F.max("last_access").alias("last_access"),
+        F.min("first_access").alias("first_access"),
     )
 
 
@@ -111,7 +123,7 @@ def store_documents(requests: DataFrame, path: str, checkpoint: str | None = Non
             _batch_folder(f"{path}/rejected", batch_id)
         )
 
-    return _start(requests, handle, checkpoint, trigger)
+    return start_stream(requests, handle, checkpoint, trigger)
 
 
 STORED_SCHEMA = "doc_id bigint, embedding array<float>, temperature double, seq bigint, batch_id bigint, tier int"
@@ -141,7 +153,7 @@ def answer_queries(queries: DataFrame, tiered: DataFrame, path: str, k: int, thr
         asked = materialize(batch, "asked")  # read for its size and for its vectors
         cascade_staged(tiered, asked, k, threshold).write.mode("overwrite").parquet(_batch_folder(path, batch_id))
 
-    return _start(queries, handle, checkpoint, trigger)
+    return start_stream(queries, handle, checkpoint, trigger)
 
 
 HITS_SCHEMA = "query_id bigint, tier int, doc_id bigint, score double, rank int, source string"
@@ -191,7 +203,7 @@ def migrate_on_access(events: DataFrame, tiers: DataFrame, path: str, as_of: str
             moved = _since_snapshot(spark, path, "log", _MOVED_SCHEMA, batch_id, batch_id, snapshot_every)
             write(_latest_moves(moved), "log-snapshot")
 
-    return _start(events, handle, checkpoint, trigger)
+    return start_stream(events, handle, checkpoint, trigger)
 
 
 def _since_snapshot(spark: SparkSession, path: str, part: str, schema: str, batch_id: int, upto: int, every: int) -> DataFrame:
