@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 
 from thermocline.functions import tiers as rules
 from thermocline.operators.access import top_accessed
-from thermocline.operators.order_stats import row_ranks
+from thermocline.operators.schedule import first_passes
 from thermocline.operators.tiering import tier_distribution
-from thermocline.session import materialize
 
 AUTO, FORCED = "auto", "forced"
 
@@ -88,7 +87,7 @@ def apply_moves(tiers: DataFrame, moves: DataFrame, remove: bool = True, shared:
     return out.select(*tiers.columns)
 
 
-def _walk(moves: DataFrame) -> DataFrame:
+def _walk(moves: DataFrame, *extra: str) -> DataFrame:
     """Every single step from ``tier`` to ``target_tier``; ``step`` counts from 1."""
     path = F.sequence(F.col("tier"), F.col("target_tier"))
     steps = F.transform(
@@ -97,7 +96,7 @@ def _walk(moves: DataFrame) -> DataFrame:
             (i + 1).alias("step"), F.element_at(path, i + 1).alias("from_tier"), to.alias("to_tier")
         ),
     )
-    return moves.select("doc_id", F.inline(steps))
+    return moves.select("doc_id", *extra, F.inline(steps))
 
 
 def migrate_until_stable(tiers: DataFrame, scores: DataFrame, ts: Column,
@@ -115,35 +114,20 @@ def migrate_until_stable(tiers: DataFrame, scores: DataFrame, ts: Column,
 
 def migrate_capped_until_stable(tiers: DataFrame, scores: DataFrame, ts: Column, cap: int,
                                 cuts: tuple[float, float] = rules.ACCESS_CUTS) -> tuple[DataFrame, DataFrame]:
-    """Capped passes until no candidate is left, however many that takes.
+    """Capped passes until no candidate is left, however many that takes, as one plan.
 
     Every pass moves the first ``cap`` waiting documents in registration order by
-    one step. Only the waiting documents are stored between passes, so a lost
-    executor repeats one pass at most. The log carries the ``pass``.
+    one step. The log carries the ``pass`` of every step.
     """
     if cap < 1:
         raise ValueError("a pass must move a document")
     scored = _scored(tiers, scores, cuts)
-    log: DataFrame | None = None
-    waiting = materialize(scored.where(F.col("tier") != F.col("target_tier")), "waiting")
-    left, number = waiting.count(), 0
-    while left:
-        number += 1
-        first = F.col("_rank") < cap
-        ranked = row_ranks(waiting.withColumn("_order", F.struct("seq", "doc_id")), "_order").drop("_order")
-        step = _one_step(F.col("tier"), F.col("target_tier"))
-        moved = materialize(ranked.where(first).select(
-            "doc_id", F.col("tier").alias("from_tier"), step.alias("to_tier"), F.lit(number).alias("pass")), "migration-log")
-        log = moved if log is None else log.unionByName(moved)
-        waiting = materialize(
-            ranked.withColumn("tier", F.when(first, step).otherwise(F.col("tier"))).drop("_rank")
-            .where(F.col("tier") != F.col("target_tier")), "waiting")
-        left = waiting.count()
+    waiting = scored.where(F.col("tier") != F.col("target_tier")).withColumn("steps", F.abs(F.col("target_tier") - F.col("tier")))
+    planned = first_passes(waiting.select("doc_id", "seq", "tier", "target_tier", "steps"), ["seq", "doc_id"], cap)
+    # a document on its way stays at the front: its second step follows in the next pass
+    walk = _walk(planned, "pass").withColumn("pass", F.col("pass") + F.col("step") - 1)
     new = scored.withColumn("tier", F.col("target_tier")).select(*tiers.columns)
-    if log is None:
-        log = scored.where(F.lit(False)).select(
-            "doc_id", F.col("tier").alias("from_tier"), F.col("tier").alias("to_tier"), F.lit(0).alias("pass"))
-    return new, _log_rows(log, ts, AUTO, "pass")
+    return new, _log_rows(walk, ts, AUTO, "pass")
 
 
 def force_migration(tiers: DataFrame, requests: DataFrame, ts: Column) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -147,6 +147,8 @@ class _Warmth:
 
     keep_vectors: bool
     profile: bool
+    base: str | None = None  # column that the sums are added to
+    sign: float = 1.0
 
     @property
     def schema(self) -> str:
@@ -167,10 +169,10 @@ class _Warmth:
             for batch, mine in zip(chunk, sums):
                 yield self._rows(batch, mine)
 
-    @staticmethod
-    def _sums(batch: DocBatch) -> dict:
+    def _sums(self, batch: DocBatch) -> dict:
         n = len(batch.ids)
-        return {"warm": np.zeros(n), "low": np.full(n, np.inf), "high": np.full(n, -np.inf), "total": np.zeros(n), "count": 0}
+        warm = np.zeros(n) if self.base is None else batch.source.column(self.base).to_numpy(zero_copy_only=False).copy()
+        return {"warm": warm, "low": np.full(n, np.inf), "high": np.full(n, -np.inf), "total": np.zeros(n), "count": 0}
 
     def _add(self, batch: DocBatch, queries: QueryBlock, mine: dict) -> None:
         for start in range(0, len(queries), _QUERY_STEP):
@@ -179,7 +181,7 @@ class _Warmth:
                 mine["total"] += np.nansum(sims, axis=1)
                 np.fmin(mine["low"], np.fmin.reduce(sims, axis=1), out=mine["low"])
                 np.fmax(mine["high"], np.fmax.reduce(sims, axis=1), out=mine["high"])
-            mine["warm"] += np.fmax(sims, 0.0, out=sims).sum(axis=1)
+            mine["warm"] += self.sign * np.fmax(sims, 0.0, out=sims).sum(axis=1)
         mine["count"] += len(queries)
 
     def _rows(self, batch: DocBatch, mine: dict) -> pa.RecordBatch:
@@ -350,16 +352,18 @@ HITS_SCHEMA = "query_id long, tier int, doc_id long, score double"
 
 
 def document_warmth(docs: DataFrame, queries: DataFrame, keep_vectors: bool = False, profile: bool = False,
-                    layout: Layout = Layout()) -> DataFrame:
+                    layout: Layout = Layout(), base: str | None = None, sign: float = 1.0) -> DataFrame:
     """Per document: ``temperature`` = sum of its positive similarities to the queries.
 
     ``profile`` adds the minimum, maximum, sum and count of all similarities.
+    ``base`` names a column of earlier sums that this one, times ``sign``, is added to.
     One row per document row, whether or not its id repeats. ``keep_vectors``
     hands the vectors through, which spares joining them back.
     """
     vector = F.col("embedding").cast("array<float>") if keep_vectors else F.col("embedding")
-    work = _Warmth(keep_vectors, profile)
-    return run_pairs(docs.select("doc_id", vector.alias("embedding")), queries, work, work.schema, layout)
+    work = _Warmth(keep_vectors, profile, base, sign)
+    earlier = [base] if base else []
+    return run_pairs(docs.select("doc_id", vector.alias("embedding"), *earlier), queries, work, work.schema, layout)
 
 
 def similarity_hits(docs: DataFrame, queries: DataFrame, floor: float | None, k: int | None = None,

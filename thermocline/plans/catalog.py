@@ -8,7 +8,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thermocline.functions import text, tiers, vectors
-from thermocline.operators import access, ann, bucket_store, inverted_file, metrics, migration, retrieval, tier_table, tiering
+from thermocline.operators import (
+    access,
+    ann,
+    bucket_store,
+    inverted_file,
+    maintained,
+    metrics,
+    migration,
+    retrieval,
+    sketches,
+    sweep,
+    tier_table,
+    tiering,
+)
 from thermocline.operators.similarity import document_warmth
 from thermocline.plans import bindings as b
 from thermocline.plans import lifecycle
@@ -270,6 +283,32 @@ def doc_temperature(spark, sf):
     return tiering.temperatures(b.doc_vectors(spark, sf), b.workload(spark, sf)).select("doc_id", _r("temperature"))
 
 
+@_register
+def temperature_maintained(spark, sf):
+    """Three rounds of changed queries and documents instead of a rebuild."""
+    label = F.col("label")
+    docs = b.vectors(spark, sf).select(F.col("vec_id").alias("doc_id"), "embedding", "label")
+    part = lambda df, n: df.where(F.pmod("query_id", F.lit(3)) == n)
+    work, others = b.workload(spark, sf), b.held_out(spark, sf)
+    state = maintained.warm_up(docs.where(~label.isin(0, 1)), part(work, 0).unionByName(part(others, 0)))
+    now = part(work, 0).unionByName(part(work, 1)).unionByName(part(others, 0))
+    state = maintained.change(state, now, added_queries=part(work, 1), added_docs=docs.where(label == 0))
+    now = part(work, 0).unionByName(part(work, 1))
+    state = maintained.change(state, now, removed_queries=part(others, 0), removed_docs=docs.where(label == 9))
+    state = maintained.change(state, work, added_queries=part(work, 2), added_docs=docs.where(label == 1))
+    return maintained.temperatures_of(state).select("doc_id", _r("temperature"))
+
+
+@_register
+def temperature_sketches(spark, sf):
+    """Tier cut-offs from sketches of seven parts, merged; exact ranks say how far off they are."""
+    temps = b.tier_build(spark, sf).assignment.select("doc_id", "temperature").withColumn("part", F.col("doc_id") % 7)
+    whole = sketches.merged(sketches.sketches(temps, ["part"], "temperature"), [])
+    found = sketches.quantiles(whole, [], tiers.PERCENTILE_CUTS)
+    errors = sketches.rank_errors(temps, [], "temperature", found)
+    return errors.select("share", "n", (F.col("rank_error") <= sketches.RANK_ERROR).alias("close"))
+
+
 @_register
 def temperature_stats(spark, sf):
     stats = tiering.temperature_stats(tiering.temperatures(b.doc_vectors(spark, sf), b.workload(spark, sf)))
@@ -431,6 +470,21 @@ def threshold_report(spark, sf):
     )
 
 
+@_register
+def sweep_points(spark, sf):
+    """The quality report at every threshold from the highest of the three on at which a result changes."""
+    points = sweep.quality_at_every_threshold(b.tiered_docs(spark, sf), b.held_out(spark, sf), b.K, max(b.THRESHOLDS))
+    return points.select(_r("threshold"), "total_hits", *[_r(c) for c in points.columns if c not in ("threshold", "total_hits")])
+
+
+@_register
+def sweep_report(spark, sf):
+    """The same sweep from the lowest threshold on, looked up at the three."""
+    points = sweep.quality_at_every_threshold(b.tiered_docs(spark, sf), b.held_out(spark, sf), b.K, min(b.THRESHOLDS))
+    found = sweep.quality_at(points, b.THRESHOLDS)
+    return found.select("threshold", "total_hits", *[_r(c) for c in found.columns if c not in ("threshold", "total_hits")])
+
+
 # -- query sets --------------------------------------------------------------
 
 
@@ -548,6 +602,14 @@ def migration_capped(spark, sf):
     return end.join(log.select("doc_id", "from_tier", "to_tier"), "doc_id", "left")
 
 
+@_register
+def migration_capped_passes(spark, sf):
+    """The pass of every step under the standard cap."""
+    _, log = migration.migrate_capped_until_stable(
+        b.current_tiers(spark, sf), b.scores(spark, sf), b.as_of(), tiers.MIGRATION_CAP)
+    return log.select("doc_id", "from_tier", "to_tier", "pass")
+
+
 def _shifted_log(spark, sf):
     """Log of an uncapped pass whose moves lie up to two days back."""
     back = F.timestamp_add("HOUR", (-(F.col("doc_id") % 48)).cast("int"), b.as_of())
@@ -583,6 +645,17 @@ def latency_stats_linear(spark, sf):
     return _rounded(metrics.latency_stats_linear(b.latency_log(spark, sf), ["system"]), ["system", "n"])
 
 
+@_register
+def latency_sketches(spark, sf):
+    """Percentiles per system from stored sketches of single days."""
+    log = b.table(spark, sf, "events").select(
+        F.col("event_type").alias("system"), F.to_date("ts").alias("day"), F.col("value").alias("latency_ms"))
+    days = materialize(sketches.sketches(log, ["system", "day"], "latency_ms"), "day-sketches")
+    found = sketches.quantiles(sketches.merged(days, ["system"]), ["system"], (0.5, 0.95, 0.99))
+    errors = sketches.rank_errors(log, ["system"], "latency_ms", found)
+    return errors.select("system", "share", "n", (F.col("rank_error") <= sketches.RANK_ERROR).alias("close"))
+
+
 @_register
 def latency_compare(spark, sf):
     stats = metrics.latency_stats_nearest_rank(b.latency_log(spark, sf), ["system", "threshold"])

@@ -190,6 +190,27 @@ _ACCESS_ROWS = """SELECT user_id AS doc_id, count(*) AS total_accesses,
        strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last_access FROM events GROUP BY user_id"""
 
 
+def _swept(found: str) -> str:
+    """The quality report over ``found(threshold, query_id, score, tier)``."""
+    pct = lambda t: f"round(count(*) FILTER (WHERE tier = {t}) * 100.0::DOUBLE / count(*), 6) AS t{t}_pct"
+    return f"""
+SELECT round(threshold, 6) AS threshold, count(*) AS total_hits,
+       round(count(*) / (SELECT count(*) FROM held_out)::DOUBLE, 6) AS avg_results, round(avg(score), 6) AS avg_similarity,
+       {pct(1)}, {pct(2)}, {pct(3)}
+FROM {found} GROUP BY threshold"""
+
+
+_EVERY_POINT = """,
+reached AS (SELECT query_id, doc_id, score, tier FROM pairs JOIN tiers USING (doc_id) WHERE score >= 0.3),
+points AS (
+  SELECT DISTINCT score AS threshold FROM (
+    SELECT score, row_number() OVER (PARTITION BY query_id, tier ORDER BY score DESC, doc_id) AS n FROM reached) WHERE n <= 5),
+best AS (
+  SELECT threshold, query_id, score, tier FROM points JOIN reached ON score >= threshold
+  QUALIFY row_number() OVER (PARTITION BY threshold, query_id ORDER BY tier, score DESC, doc_id) <= 5)
+"""
+
+
 def _decay() -> str:
     """One uncapped pass after each arrival, as of the latest access so far (in milliseconds)."""
     parts = ["WITH p0 AS (SELECT vec_id AS doc_id, CAST(vec_id % 3 + 1 AS INTEGER) AS tier FROM embeddings)"]
@@ -311,6 +332,14 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, round(min(score), 6) AS sim_min, round(max(score), 6) AS sim_max,
                    round(avg(score), 6) AS sim_mean, count(*) AS n_queries FROM pairs GROUP BY doc_id""",
         "doc_temperature": with_ + _TEMPS + "SELECT doc_id, round(temperature, 6) AS temperature FROM temps",
+        "temperature_maintained": with_ + _TEMPS + """
+            SELECT doc_id, round(temperature, 6) AS temperature FROM temps JOIN vec ON vec_id = doc_id WHERE label <> 9""",
+        "temperature_sketches": """
+            SELECT share::DOUBLE AS share, count(*) AS n, true AS close
+            FROM embeddings, (VALUES (0.95), (0.75)) s(share) GROUP BY share""",
+        "latency_sketches": with_ + _LOG + """
+            SELECT system, share::DOUBLE AS share, count(*) AS n, true AS close
+            FROM log, (VALUES (0.5), (0.95), (0.99)) s(share) GROUP BY system, share""",
         "temperature_stats": with_ + _TEMPS + """
             SELECT count(*) AS n_docs, round(min(temperature), 6) AS min_temperature, round(max(temperature), 6) AS max_temperature,
                    round(avg(temperature), 6) AS mean_temperature, round(stddev_pop(temperature), 6) AS std_temperature FROM temps""",
@@ -380,6 +409,8 @@ def oracle_sql() -> dict[str, str]:
                    round(CASE WHEN count(s.doc_id) > 0 THEN count(*) FILTER (WHERE tier = 3) * 100.0::DOUBLE / count(s.doc_id) ELSE 0 END, 6) AS t3_pct
             FROM levels l LEFT JOIN sweep s USING (threshold)
             LEFT JOIN compared c ON c.threshold = l.threshold AND c.system = 'click' GROUP BY l.threshold""",
+        "sweep_points": with_ + _TIERS + _pairs("held_out") + _EVERY_POINT + _swept("best"),
+        "sweep_report": with_ + _cascade() + _swept("sweep"),
         "query_slice": "SELECT doc_id AS query_id, text AS query_text FROM documents ORDER BY doc_id LIMIT 20 OFFSET 50",
         "incremental_queries": with_ + _VECTORS + """,
             numbered AS (
@@ -417,6 +448,19 @@ def oracle_sql() -> dict[str, str]:
                      CAST(tier + sign(target_tier - tier) * pass AS INTEGER) AS to_tier
               FROM wanted JOIN (VALUES (1), (2)) p(pass) ON pass <= abs(target_tier - tier))
             SELECT doc_id, target_tier AS final_tier, from_tier, to_tier FROM aimed LEFT JOIN steps USING (doc_id)""",
+        "migration_capped_passes": "WITH RECURSIVE " + _MOVES + """,
+            flagged AS (SELECT *, CAST(abs(target_tier - tier) = 2 AS INTEGER) AS two FROM wanted),
+            counted AS (SELECT place, sum(two) OVER (ORDER BY place) AS upto FROM flagged),
+            begins AS (
+              SELECT CAST(0 AS BIGINT) AS pass, CAST(0 AS BIGINT) AS before
+              UNION ALL
+              SELECT pass + 1, CAST((pass + 1) * 20 - coalesce(c.upto, 0) AS BIGINT)
+              FROM begins LEFT JOIN counted c ON c.place = before WHERE before < (SELECT count(*) FROM wanted)),
+            started AS (
+              SELECT w.*, (SELECT max(pass) FROM begins WHERE before < w.place) + 1 AS first_pass FROM wanted w)
+            SELECT doc_id, CAST(tier + sign(target_tier - tier) * (step - 1) AS INTEGER) AS from_tier,
+                   CAST(tier + sign(target_tier - tier) * step AS INTEGER) AS to_tier, CAST(first_pass + step - 1 AS INTEGER) AS pass
+            FROM started JOIN (VALUES (1), (2)) p(step) ON step <= abs(target_tier - tier)""",
         "force_migration": with_ + _FORCED + """
             SELECT doc_id, target_tier, from_tier,
                    CAST(from_tier IS NOT NULL AND target_tier BETWEEN 1 AND 3 AS INTEGER) AS success,
