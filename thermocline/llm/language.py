@@ -3,14 +3,15 @@
 A text is a mixture of languages. Each language has a distribution over hashed
 character trigrams, counted on labelled documents. For a text,
 expectation-maximisation estimates the proportions of all languages from its
-trigram likelihoods; then the sets of its one, two and three strongest languages
-are refitted and the set with the best penalised likelihood wins. The text's language is the
-set's largest share.
+trigram likelihoods; then the sets of its strongest languages, one more each time,
+are refitted as long as the penalised likelihood rises, and the last set wins. The text's language is the
+set's largest share; ``identify`` returns the whole set with its shares.
 
 Training reads whole texts of about ``TRAIN_TEXTS`` rows per language (the
 lowest part of the hash range), counted by Spark; the model has one row per
-trigram bucket and one column per language and is at most ``MODEL_BYTES``. Scoring
-is one pass without a shuffle; a text is cut into blocks, so long ones take bounded memory.
+trigram bucket and one column per language, half a megabyte each. Scoring
+is one pass without a shuffle; a long text is counted in blocks that overlap by what a trigram spans, so its
+counts are those of the whole.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; a
 text of one or two letters still forms a trigram with its borders; ties go to
@@ -31,11 +32,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from thermocline.llm.common import fold, read_table, tidy, with_workers
 
 BUCKETS = 1 << 16
-MODEL_BYTES = 64 << 20
 TRAIN_TEXTS = 1000
 SMOOTHING = 0.5
 ROUNDS = 12
-MOST_LANGUAGES = 3
 PENALTY = 3.0
 OVERLAP = 3.0
 """Trigrams share characters: a text's evidence is that of a third of them."""
@@ -48,9 +47,9 @@ def _letters() -> np.ndarray:
     return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
-def _codes(text: str) -> np.ndarray:
-    """Lower-case letters as code points; every run of other characters is one 0."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+def _codes(lowered: str) -> np.ndarray:
+    """Letters as code points; every run of other characters is one 0."""
+    points = np.frombuffer(lowered.encode("utf-32-le", "surrogatepass"), np.uint32)
     points = np.where(_letters()[points], points, 0)
     if not points.size:
         return points
@@ -59,9 +58,9 @@ def _codes(text: str) -> np.ndarray:
     return points[keep]
 
 
-def trigrams(text: str, buckets: int) -> np.ndarray:
-    """Bucket of every trigram around a letter, text borders included."""
-    codes = np.concatenate(([0], _codes(text), [0])).astype(np.uint64)
+def _buckets(codes: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of every trigram around a letter."""
+    codes = codes.astype(np.uint64)
     if codes.size < 3:
         return np.zeros(0, np.int64)
     with np.errstate(over="ignore"):
@@ -71,19 +70,25 @@ def trigrams(text: str, buckets: int) -> np.ndarray:
     return ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)[codes[1:-1] > 0]
 
 
-def _blocks(text: str) -> Iterator[str]:
-    for start in range(0, len(text), BLOCK_CHARS):
-        yield text[start:start + BLOCK_CHARS]
+def trigrams(text: str, buckets: int) -> np.ndarray:
+    """Bucket of every trigram around a letter, text borders included."""
+    return _buckets(np.concatenate(([0], _codes(text.lower()), [0])), buckets)
 
 
 def _counted(text: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a text and their counts."""
-    total = None
     if len(text) <= BLOCK_CHARS:
         return np.unique(trigrams(text, buckets), return_counts=True)
-    for block in _blocks(text):
-        counts = np.bincount(trigrams(block, buckets), minlength=buckets)
-        total = counts if total is None else total + counts
+    total, last = np.zeros(buckets, np.int64), np.zeros(1, np.uint32)
+    lowered = text.lower()
+    for start in range(0, len(lowered), BLOCK_CHARS):
+        codes = _codes(lowered[start:start + BLOCK_CHARS])
+        if last[-1] == 0 and codes.size and codes[0] == 0:
+            codes = codes[1:]  # one run of other characters over both blocks
+        codes = np.concatenate((last, codes))
+        total += np.bincount(_buckets(codes, buckets), minlength=buckets)
+        last = codes[-2:]  # its last letter has no trigram yet
+    total += np.bincount(_buckets(np.concatenate((last, [0])), buckets), minlength=buckets)
     found = np.flatnonzero(total)
     return found, total[found]
 
@@ -97,8 +102,6 @@ def learn(docs: DataFrame, per_language: int = TRAIN_TEXTS) -> tuple[list[str],
     if not languages:
         return [], np.zeros((1, 0))
     buckets = BUCKETS
-    while buckets * len(languages) * 8 > MODEL_BYTES and buckets > 1:
-        buckets //= 2
     # A text is learned from if its hash is in the lowest part of the hash range
     # that holds ``per_language`` of the language's rows.
     part = F.create_map(*[F.lit(x) for lang, n in held.items() for x in (lang, min(1.0, per_language / n))])
@@ -158,20 +161,32 @@ class Mixtures:
         best[np.arange(n), self.single.argmax(axis=1)] = 1.0
         value = self.single.max(axis=1)
         likelihood = value.copy()
-        for size in range(2, min(MOST_LANGUAGES, k) + 1):
+        rising = np.ones(n, bool)
+        for size in range(2, k + 1):
             shares = np.zeros((n, k))
             np.put_along_axis(shares, ranked[:, :size], np.take_along_axis(everything, ranked[:, :size], 1) + 1e-9, 1)
             shares, whole = self.fit(shares / shares.sum(axis=1, keepdims=True), ROUNDS // 2)
             penalised = whole - OVERLAP * PENALTY * (size - 1) * np.log(self.total + 1)
-            better = penalised > value
+            better = rising & (penalised > value)
+            if not better.any():
+                break
+            rising = better
             best[better], value[better], likelihood[better] = shares[better], penalised[better], whole[better]
         odds = np.exp((self.single - self.single.max(axis=1, keepdims=True)) / OVERLAP)
         return best, likelihood / self.total, (odds / odds.sum(axis=1, keepdims=True))
 
 
+Found = tuple[str, float, float, list[dict]]
+
+
 def predict(texts: list[str | None], languages: list[str], log_p: np.ndarray) -> list[tuple[str, float, float]]:
-    """(language, score, nats per trigram better than a uniform guess) of every text."""
-    out: list[tuple[str, float, float]] = [(NONE, 0.0, 0.0)] * len(texts)
+    """``infer`` without the mixtures."""
+    return [found[:3] for found in infer(texts, languages, log_p)]
+
+
+def infer(texts: list[str | None], languages: list[str], log_p: np.ndarray) -> list[Found]:
+    """(language, score, nats per trigram better than a uniform guess, its languages with shares) of every text."""
+    out: list[Found] = [(NONE, 0.0, 0.0, [])] * len(texts)
     waiting, chars = [], 0
 
     def flush() -> None:
@@ -181,7 +196,9 @@ def predict(texts: list[str | None], languages: list[str], log_p: np.ndarray) ->
             for row, (place, _) in enumerate(waiting):
                 share = best[row, top[row]]
                 score = share * (posterior[row, top[row]] if share > 0.999 else 1.0)
-                out[place] = (languages[top[row]], float(min(1.0, score)), float(fit[row] + np.log(len(log_p))))
+                mixture = [{"lang": languages[i], "share": float(best[row, i])}
+                           for i in np.argsort(-best[row], kind="stable") if best[row, i] > 0]
+                out[place] = (languages[top[row]], float(min(1.0, score)), float(fit[row] + np.log(len(log_p))), mixture)
             waiting.clear()
 
     for place, text in enumerate(texts):
@@ -200,18 +217,20 @@ def predict(texts: list[str | None], languages: list[str], log_p: np.ndarray) ->
 FOUND = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("lang_pred", T.StringType()),
     T.StructField("score", T.DoubleType()), T.StructField("fit", T.DoubleType()),
+    T.StructField("mixture", T.ArrayType(T.StructType([
+        T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType())]))),
 ])
+_ARROW = [pa.string(), pa.float64(), pa.float64(), pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))]
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """doc_id, lang_pred, score and fit of every row."""
+    """doc_id, lang_pred, score, fit and mixture (languages with their shares, largest first) of every row."""
     session = with_workers(docs.sparkSession).sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = predict(batch.column("text").to_pylist(), *session.value)
-            columns = [pa.array(list(x)) for x in zip(*found)] if found else [pa.array([], t) for t in (
-                pa.string(), pa.float64(), pa.float64())]
+            found = infer(batch.column("text").to_pylist(), *session.value)
+            columns = [pa.array([row[i] for row in found], kind) for i, kind in enumerate(_ARROW)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], FOUND.names)
 
     return docs.select("doc_id", "text").mapInArrow(tidy(score), FOUND)
@@ -238,4 +257,4 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     found = identify(docs, learn(training_rows(docs)))
     return found.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"),
-                        "lang_pred", "score", "fit")
+                        "lang_pred", "score", "fit", "mixture")

@@ -13,6 +13,8 @@ documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or m
 such pairs differ in about 15 % of the bits, so it takes longer fingerprints,
 with as many segments as keep the chance of missing a pair at the threshold under
 ``MISS``; candidates are verified by the complete distance and then by the exact similarity.
+Few shingles make poor majorities, so texts of at most ``SHORT`` shingles are linked exactly instead: sets
+that similar share a subset that leaves out few elements of either, and all such subsets are hashed and joined.
 
 No group of copies is ever paired with itself. Equal texts are one node.
 Texts that fall under one segment value are first compared with one pivot each, which
@@ -30,6 +32,7 @@ of texts.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 from math import asin, ceil, log, log2, pi, sqrt
 
 import numpy as np
@@ -39,6 +42,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from thermocline.llm.common import LOWER, discard, empty_as, read_table, store, tidy, with_workers
 from thermocline.llm.graph import components
+from thermocline.llm.ranks import fresh
 
 SEED = 42
 SIMILARITY = 0.8
@@ -47,6 +51,9 @@ MISS = 0.02
 CHECK_BITS = 22
 """Most differing bits among 64 spare ones before the exact check; at the threshold 9.7 are expected, deviation 2.9."""
 LARGE_GROUP = 1000
+SHORT = 15
+COVERED = int(SIMILARITY * SHORT)
+"""A text of so many shingles has no partner over ``SHORT``, so it needs no fingerprint."""
 BROADCAST_IDS = 2_000_000
 
 
@@ -155,7 +162,7 @@ def segment_plan(n: int, similarity: float = SIMILARITY, miss: float = MISS) ->
 
 
 def _sketches(docs: DataFrame, width: int, segments: int) -> DataFrame:
-    """id, segment values and 64 check bits of every distinct text."""
+    """id, segment values and 64 check bits of every distinct text over ``COVERED`` shingles."""
     words = -(-width * segments // 64) + 1
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,9 +170,10 @@ def _sketches(docs: DataFrame, width: int, segments: int) -> DataFrame:
         for batch in batches:
             ids, places = np.unique(batch.column("id").to_numpy(), return_index=True)
             texts = batch.column("text").take(pa.array(places))
-            prints = np.array(
-                [fingerprint(np.unique(shingle_hashes(t.as_py(), NEAR_SHINGLE)), words) for t in texts],
-                np.uint64).reshape(len(ids), words)
+            sets = [np.unique(shingle_hashes(t.as_py(), NEAR_SHINGLE)) for t in texts]
+            long = [i for i, found in enumerate(sets) if len(found) > COVERED]
+            ids = ids[long]
+            prints = np.array([fingerprint(sets[i], words) for i in long], np.uint64).reshape(len(ids), words)
             bits = np.unpackbits(prints.astype("<u8").view(np.uint8).reshape(len(ids), 8 * words), axis=1,
                                  bitorder="little")
             keys = bits[:, :width * segments].reshape(len(ids), segments, width) @ weights
@@ -177,6 +185,52 @@ def _sketches(docs: DataFrame, width: int, segments: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(tidy(sketch), "id long, keys array<long>, check long").dropDuplicates(["id"])
 
 
+def left_out(size: int) -> int:
+    """The most elements that a set can lack in what it shares with one at least ``SIMILARITY`` similar.
+
+    Sets that share i elements and have a and b others are similar enough if a + b <= i / 4 (at 0.8).
+    """
+    return max(a for a in range(size + 1) if a <= _others(size - a))
+
+
+def _others(shared: int) -> int:
+    return int(shared * (1 - SIMILARITY) / SIMILARITY + 1e-9)
+
+
+def short_links(docs: DataFrame) -> DataFrame:
+    """Links (a, b) that join exactly the similar texts of at most ``SHORT`` shingles.
+
+    Under a shared subset everything hangs on one text that lacks least of it: whatever is similar through this
+    subset is similar to that text too. So a subset gives a link per text, however many texts have it.
+    """
+    def subsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, places = np.unique(batch.column("id").to_numpy(), return_index=True)
+            rows = []
+            for key, text in zip(ids.tolist(), batch.column("text").take(pa.array(places))):
+                found = np.unique(shingle_hashes(text.as_py(), NEAR_SHINGLE))
+                if len(found) <= SHORT:
+                    other = _mixed(found, 1)
+                    for out in range(left_out(len(found)) + 1):
+                        for gone in combinations(range(len(found)), out):
+                            kept = np.delete(np.arange(len(found)), gone)
+                            rows.append((found[kept].sum(dtype=np.uint64), other[kept].sum(dtype=np.uint64), len(kept), out, key))
+            key_a, key_b, shared, out, key = zip(*rows) if rows else ([],) * 5
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.array(key_a, np.uint64).view(np.int64)), pa.array(np.array(key_b, np.uint64).view(np.int64)),
+                pa.array(shared, pa.int32()), pa.array(out, pa.int32()), pa.array(key, pa.int64())],
+                ["key_a", "key_b", "shared", "out", "id"])
+
+    schema = "key_a long, key_b long, shared int, out int, id long"
+    table = store(docs.select("id", "text").mapInArrow(tidy(subsets), schema), "subsets")
+    keys = ["key_a", "key_b", "shared"]
+    pivot = table.groupBy(*keys).agg(F.min(F.struct("out", "id")).alias("pivot"), F.max("id").alias("last"), F.min("id").alias("first"))
+    several = pivot.where("first <> last").select(*keys, F.col("pivot.id").alias("b"), F.col("pivot.out").alias("out_b"))
+    room = F.element_at(F.array(*[F.lit(_others(i)) for i in range(SHORT + 1)]), F.col("shared") + 1)
+    links = table.join(several, keys).where((F.col("id") != F.col("b")) & (F.col("out") + F.col("out_b") <= room))
+    return store(links.select(F.col("id").alias("a"), "b").distinct(), "short-links")
+
+
 def _table(sketches: DataFrame, width: int) -> DataFrame:
     """One row per text and segment; ``key`` holds the segment's number and value."""
     keep = [c for c in sketches.columns if c != "keys"]
@@ -287,7 +341,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
     width, segments = segment_plan(n)
     sketches = store(_sketches(texts, width, segments), "sketches")
 
-    first = _similar(_close(_pivot_pairs(_table(sketches, width)), sketches, width, segments), texts)
+    first = short_links(texts).union(
+        _similar(_close(_pivot_pairs(_table(sketches, width)), sketches, width, segments), texts))
     groups = components(first).withColumnRenamed("node", "id").withColumnRenamed("root", "grp")
     large = groups.groupBy("grp").agg((F.count("*") > LARGE_GROUP).alias("large"))
     grouped = store(
@@ -307,21 +362,22 @@ def near_groups(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each group of near copies: the smallest doc_id, then the smallest text hash."""
     text_id = F.xxhash64(empty_as())
+    own, key, doc, n = fresh(docs, "_own", "_key", "_doc", "_n")
     roots = near_groups(docs)
     copies = docs.select("doc_id", text_id.alias("id")).groupBy("id", "doc_id").agg(F.count("*").alias("n"))
     winners = store(
         copies.join(roots, "id", "left")
         .groupBy(F.coalesce("root", "id").alias("root"))
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id", "n")).alias("w"))
-        .select(F.col("w.id").alias("_winner_id"), F.col("w.doc_id").alias("_winner_doc"), F.col("w.n").alias("_winner_n")), "winners")
-    keyed = docs.withColumn("_winner_text_id", text_id)
+        .select(F.col("w.id").alias(key), F.col("w.doc_id").alias(doc), F.col("w.n").alias(n)), "winners")
+    keyed = docs.withColumn(own, text_id)
 
     def chosen(keys: DataFrame) -> DataFrame:
-        match = (F.col("_winner_text_id") == F.col("_winner_id")) & F.col("doc_id").eqNullSafe(F.col("_winner_doc"))
+        match = (F.col(own) == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(doc))
         return keyed.join(keys.hint("shuffle_hash"), match, "left_semi")
 
     kept = chosen(winners)
-    if winners.where("_winner_n > 1").limit(1).count():
-        kept = chosen(winners.where("_winner_n = 1")).union(
-            chosen(winners.where("_winner_n > 1")).dropDuplicates(["_winner_text_id", "doc_id"]))
-    return kept.drop("_winner_text_id")
+    several = F.col(n) > 1
+    if winners.where(several).limit(1).count():
+        kept = chosen(winners.where(~several)).union(chosen(winners.where(several)).dropDuplicates([own, "doc_id"]))
+    return kept.drop(own)
