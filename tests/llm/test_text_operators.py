@@ -5,6 +5,7 @@ import zlib
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.cases import Groups, jaccard_groups, no_documents, odd_documents, odd_rows, prose
 from tests.oracle_check import TESTDATA, connect, mismatch
@@ -259,17 +260,66 @@ def test_benchmark_passages_are_cut(spark, monkeypatch):
     assert decontaminate.remove_phrases(docs, items.limit(0)).count() == docs.count()
 
 
+def plain_parts(text):
+    """Start, end and number of words of every part, by the rules of the module's docstring and nothing of its code."""
+    cut = [0]
+    for gap in re.finditer(r"\s*\n\s*|(?<=[.!?])\s+|(?<=[。！？।॥])\s*|\s+(?=\S)", text):
+        after, blank = text[gap.end():gap.end() + 1], gap[0].strip("\n") == gap[0] and "\n" not in gap[0]
+        if blank and gap[0] and text[gap.start() - 1:gap.start()] not in tuple(".!?。！？।॥") and not (after.isupper() and ord(after) < 0x600):
+            continue
+        cut += [gap.start(), gap.end()]
+    cut.append(len(text.rstrip()))
+    out = []
+    sign = f"[{sentences.BLANKLESS}]"
+    for start, end in zip(cut[::2], cut[1::2]):
+        words = [m.span() for m in re.finditer(rf"{sign}|(?:(?!{sign})\S)+", text[:end]) if m.start() >= start]
+        if not words:
+            continue
+        at = {0}
+        if len(words) > 12:
+            hashes = [zlib.crc32(text[x:y].encode()) for x, y in words]
+            for i in range(len(words) - 8):
+                window = hashes[i:i + 9]
+                at.add(max(i + j for j in range(9) if window[j] == min(window)))
+        at = [*sorted(at), len(words)]
+        if len(words) <= 12:
+            out.append((start, end, len(words)))
+        else:
+            out += [(words[x][0], words[y - 1][1], y - x) for x, y in zip(at, at[1:])]
+    return out
+
+
+def plain_drop(rows):
+    """Texts in order of doc_id without what any earlier span covers; ``rows`` of one id are one document."""
+    first, out = {}, {}
+    for doc_id, text in rows:
+        found, gone, mine = plain_parts(text), set(), set()
+        for i in range(len(found)):
+            for j in range(i + 2, len(found) + 1):
+                if sum(n for _, _, n in found[i:j]) >= 15:
+                    span = " ".join(" ".join(text[x:y].split()) for x, y, _ in found[i:j])
+                    if first.setdefault(span, doc_id) != doc_id or span in mine:
+                        gone.update(range(i, j))
+                    mine.add(span)
+                    break
+        new, at = "", 0
+        for i, (start, end, _) in enumerate(found):
+            if i in gone:
+                new, at = new + text[at:start], end
+                while at < len(text) and text[at].isspace():
+                    at += 1
+        out[doc_id] = new + text[at:]
+    return out
+
+
 def test_repeated_sentences_against_a_scan(spark):
     docs = spark.createDataFrame([(i, t) for i, t, *_ in odd_rows() if i is not None] + [(1000 + i, t) for i, t in documents()], "doc_id long, text string").distinct()
-    first, later = {}, {}
-    rows = sorted((r["doc_id"], r["text"] or "") for r in docs.collect())
-    for doc_id, text in rows:
-        for a, b, start, end in sentences.spans(text)[1]:
-            if first.setdefault((a, b), doc_id) != doc_id:
-                later.setdefault(doc_id, []).append((start, end))
-    want = {i: sentences.kept_text(t, later.get(i, []))[0] for i, t in rows}
-    got = {r["doc_id"]: r["text"] or "" for r in sentences.drop_repeats(docs).collect()}
-    assert got == want
+    want = plain_drop(sorted((r["doc_id"], r["text"] or "") for r in docs.collect()))
+    for name in ("_late", "_doc", "_body", "_later", "a", "start", "own", "n"):
+        docs = docs.withColumn(name, F.lit(name))
+    rows = sentences.drop_repeats(docs).collect()
+    assert {r["doc_id"]: r["text"] or "" for r in rows} == want
+    assert all(r["_late"] == "_late" and r["_later"] == "_later" and r["own"] == "own" for r in rows)
 
 
 def test_a_pasted_passage_goes_from_all_but_the_first(spark):
@@ -309,8 +359,11 @@ def test_any_fifty_common_words_hold_a_span():
         passage = text(50)
         one, two = text(30) + passage + text(25), text(17) + passage + text(40)
         assert {s[:2] for s in sentences.spans(one)[1]} & {s[:2] for s in sentences.spans(two)[1]}
-    new, n, removed = sentences.kept_text("天" * 3 + passage + "。" + passage + "地" * 3, [])
-    assert n == 2 and removed and len(new) < 80
+    whole = "天" * 3 + passage + "。" + passage + "地" * 3
+    places, found = sentences.spans(whole)
+    again = [(places[x][0], places[y - 1][1]) for i, (a, b, x, y) in enumerate(found) if (a, b) in {s[:2] for s in found[:i]}]
+    new, removed = sentences.cut_out(whole, again)
+    assert len(sentences.sentences(whole)) == 2 and removed and len(new) < 80
 
 
 def test_quality_on_held_out_rows(spark):

@@ -14,8 +14,8 @@ A word is what stands between blanks; in scripts without blanks, a character.
 The first occurrence is the one in the smallest document (by doc_id, then position; documents
 without an id come last, by text hash). Repeats inside a document are found where it is read, so
 each document sends a span once; counting is pre-aggregated and a passage that a third of all
-documents share is an ordinary key of a join that Spark can split. Spans are worked out again
-for the second pass rather than stored.
+documents share is an ordinary key of a join that Spark can split. Spans are worked out once and stored with
+their characters' places, so a text is cut by places alone and one without repeats passes through.
 
 Defined results: null and empty texts have no sentence and stay as they are; rows that
 share a doc_id count as one document in the order, and equal rows get equal results; white space within a span
@@ -29,11 +29,13 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from thermocline.llm.common import empty_as, read_table, store, tidy, with_workers
+from thermocline.llm.common import discard, empty_as, read_table, store, tidy, with_workers
+from thermocline.llm.ranks import fresh
 
 MIN_SENTENCES = 2
 MIN_WORDS = 15
@@ -127,43 +129,38 @@ def _order() -> list:
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
-    """One row per document and distinct span."""
+    """One row per document and span, with the span's characters; ``own`` marks a span that the text had before."""
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for late, doc, body, text in zip(*[batch.column(c).to_pylist() for c in ("late", "doc", "body", "text")]):
-                seen = set()
-                for a, b, start, end in spans(text)[1]:
-                    if (a, b) not in seen:
-                        seen.add((a, b))
-                        rows.append((a, b, late, doc, body, start, end))
-            kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-            columns = zip(*rows) if rows else [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)],
-                                             ["a", "b", "late", "doc", "body", "start", "end"])
+            a, b, low, high, own, counts = [], [], [], [], [], []
+            for text in batch.column("text").to_pylist():
+                before, seen = len(a), set()
+                places, found = spans(text)
+                for x, y, start, end in found:
+                    own.append((x, y) in seen)
+                    seen.add((x, y))
+                    a.append(x)
+                    b.append(y)
+                    low.append(places[start][0])
+                    high.append(places[end - 1][1])
+                counts.append(len(a) - before)
+            row = pa.array(np.repeat(np.arange(batch.num_rows), counts))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(a, pa.int64()), pa.array(b, pa.int32()), *[batch.column(c).take(row) for c in ("late", "doc", "body")],
+                pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(own, pa.bool_())],
+                ["a", "b", "late", "doc", "body", "start", "end", "own"])
 
     return docs.select(*_order(), empty_as().alias("text")).mapInArrow(
-        tidy(emit), "a long, b int, late boolean, doc long, body long, start int, end int")
-
-
-def kept_text(text: str, later: list[tuple[int, int]]) -> tuple[str, int, list[tuple[int, int]]]:
-    """The text without repeated parts, its number of sentences, and the characters removed.
-
-    ``later`` are spans that an earlier document has; repeats within the text are added here.
-    """
-    found, own = spans(text)
-    gone, seen = [False] * len(found), set()
-    for a, b, start, end in own:
-        if (a, b) in seen:
-            later = [*later, (start, end)]
-        seen.add((a, b))
-    for start, end in later:
-        gone[start:end] = [True] * (end - start)
+        tidy(emit), "a long, b int, late boolean, doc long, body long, start int, end int, own boolean")
+
+
+def cut_out(text: str, ranges: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:
+    """The text without ranges of characters, and the ranges joined where only white space lies between."""
     removed: list[tuple[int, int]] = []
-    for (start, end), out in zip(found, gone):
-        if out and removed and not text[removed[-1][1]:start].strip():
-            removed[-1] = (removed[-1][0], end)
-        elif out:
+    for start, end in sorted(ranges):
+        if removed and (start <= removed[-1][1] or not text[removed[-1][1]:start].strip()):
+            removed[-1] = (removed[-1][0], max(end, removed[-1][1]))
+        else:
             removed.append((start, end))
     rest, at = [], 0
     for start, end in removed:
@@ -171,23 +168,26 @@ def kept_text(text: str, later: list[tuple[int, int]]) -> tuple[str, int, list[t
         at = end
         while at < len(text) and text[at].isspace():
             at += 1
-    return "".join([*rest, text[at:]]), len(sentences(text)), removed
+    return "".join([*rest, text[at:]]), removed
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated passages cut from ``text``; adds n_sentences, n_removed (sentences fewer) and removed (characters)."""
     with_workers(docs.sparkSession)
     docs = docs.drop("n_sentences", "n_removed", "removed")
-    rows = _occurrences(docs)
+    late_, doc_, body_, later_ = fresh(docs, "_late", "_doc", "_body", "_later")
+    rows = store(_occurrences(docs), "spans")
+    once = rows.where("NOT own")
     early = F.when(~F.col("late"), F.col("doc"))
     last = F.when(F.col("late"), F.col("doc"))
-    repeated = store(rows.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(early).alias("early"), F.min(last).alias("last"))
+    repeated = store(once.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(early).alias("early"), F.min(last).alias("last"))
                      .where("n > 1").select("a", "b", "early", "last"), "repeated-spans")
     first = (F.col("late") & F.col("early").isNull() & (F.col("doc") == F.col("last"))) | (
         ~F.col("late") & (F.col("doc") == F.col("early")))
-    later = store(
-        _occurrences(docs).join(repeated, ["a", "b"]).where(~first)
-        .groupBy("late", "doc", "body").agg(F.collect_set(F.struct("start", "end")).alias("_later")), "later-spans")
+    place = ["late", "doc", "body", "start", "end"]
+    gone = once.join(repeated, ["a", "b"]).where(~first).select(place).union(rows.where("own").select(place))
+    later = store(gone.groupBy("late", "doc", "body").agg(F.collect_set(F.struct("start", "end")).alias("later")), "later-spans")
+    discard(rows)
 
     columns = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField("n_sentences", T.IntegerType()),
@@ -196,11 +196,13 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts, gone, marks = [], [], [], []
-            for text, found in zip(batch.column("text").to_pylist(), batch.column("_later").to_pylist()):
-                new, n, removed = kept_text(text or "", [(x["start"], x["end"]) for x in found or ()])
-                texts.append(text if not removed else new)
+            for text, found in zip(batch.column("text").to_pylist(), batch.column(later_).to_pylist()):
+                n, removed = len(sentences(text or "")), []
+                if found:
+                    text, removed = cut_out(text, [(x["start"], x["end"]) for x in found])
+                texts.append(text)
                 counts.append(n)
-                gone.append(n - len(sentences(new)) if removed else 0)
+                gone.append(n - len(sentences(text)) if removed else 0)
                 marks.append(",".join(f"{a}:{b}" for a, b in removed))
             out = batch.select(columns).set_column(columns.index("text"), "text", pa.array(texts, pa.string()))
             yield pa.RecordBatch.from_arrays(
@@ -208,9 +210,9 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
                 schema.names)
 
     late, doc, body = _order()
-    keyed = docs.select("*", late.alias("_late"), doc.alias("_doc"), body.alias("_body"))
-    found = later.toDF("_late", "_doc", "_body", "_later").hint("shuffle_hash")
-    return keyed.join(found, ["_late", "_doc", "_body"], "left").select(*columns, "_later").mapInArrow(tidy(cut), schema)
+    keyed = docs.select("*", late.alias(late_), doc.alias(doc_), body.alias(body_))
+    found = later.toDF(late_, doc_, body_, later_).hint("shuffle_hash")
+    return keyed.join(found, [late_, doc_, body_], "left").select(*columns, later_).mapInArrow(tidy(cut), schema)
 
 
 def op5_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:

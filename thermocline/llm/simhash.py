@@ -31,6 +31,7 @@ of texts.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 from math import asin, ceil, log, log2, pi, sqrt
@@ -197,6 +198,26 @@ def _others(shared: int) -> int:
     return int(shared * (1 - SIMILARITY) / SIMILARITY + 1e-9)
 
 
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def few_shingles(text: str | None) -> np.ndarray | None:
+    """The distinct hashes of a text's shingles, or None as soon as there are more than ``SHORT``."""
+    lower = (text or "").encode().translate(LOWER)
+    found: set[int] = set()
+    held: list[bytes] = []
+    for match in WORD.finditer(lower):
+        held.append(match[0])
+        if len(held) >= NEAR_SHINGLE:
+            found.add(xxhash.xxh64_intdigest(b" ".join(held[-NEAR_SHINGLE:]), SEED))
+            del held[:-NEAR_SHINGLE]
+            if len(found) > SHORT:
+                return None
+    if held and not found:
+        found.add(xxhash.xxh64_intdigest(b" ".join(held), SEED))
+    return np.array(sorted(found), np.uint64)
+
+
 def short_links(docs: DataFrame) -> DataFrame:
     """Links (a, b) that join exactly the similar texts of at most ``SHORT`` shingles.
 
@@ -208,8 +229,8 @@ def short_links(docs: DataFrame) -> DataFrame:
             ids, places = np.unique(batch.column("id").to_numpy(), return_index=True)
             rows = []
             for key, text in zip(ids.tolist(), batch.column("text").take(pa.array(places))):
-                found = np.unique(shingle_hashes(text.as_py(), NEAR_SHINGLE))
-                if len(found) <= SHORT:
+                found = few_shingles(text.as_py())
+                if found is not None:
                     other = _mixed(found, 1)
                     for out in range(left_out(len(found)) + 1):
                         for gone in combinations(range(len(found)), out):
