@@ -146,3 +146,24 @@ def test_more_languages_keep_their_buckets(spark):
     rows = [(f"l{i:03}", f"word{i} other{i}") for i in range(140)]
     languages, log_p = language.learn(spark.createDataFrame(rows, "lang string, text string"))
     assert len(languages) == 140 and log_p.shape == (language.BUCKETS, 140)
+
+
+def test_equal_rows_are_spread_and_columns_kept_when_sharding(spark):
+    """Half of the rows are equal: no range of ranks holds them all, and shards stay as the rows ask for."""
+    from thermocline.llm import ranks, sharding
+
+    rows = [(1, "hot", 7)] * 3000 + [(i, "bc"[i % 2], i) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, size int").repartition(6)
+    for name in ("_label", "_hash", "_rank", "_at", "_place", "_held", "_tie", "_block", "_before"):
+        docs = docs.withColumn(name, F.lit(name))
+    placed = sharding.interleave(docs, 8, order=("doc_id", "size"))
+    assert set(placed.columns) == {*docs.columns, "shard", "slot"}
+    found = placed.collect()
+    assert all(r["_label"] == "_label" and r["_before"] == "_before" for r in found)
+    assert sorted((r["shard"], r["slot"]) for r in found) == [(s, i) for s in range(8) for i in range(750)]
+    for shard in range(8):
+        hot = sum(r["source"] == "hot" for r in found if r["shard"] == shard)
+        assert abs(hot - 375) <= 2
+    dealt = ranks.ranked(ranks.store(docs.select("doc_id"), "t"), ["doc_id"], "place")
+    blocks = dealt.sparkSession.read.parquet(dealt.inputFiles()[0].rsplit("/", 1)[0]).groupBy("_block").count().collect()
+    assert max(r["count"] for r in blocks) < 3 * sum(r["count"] for r in blocks) / len(blocks)

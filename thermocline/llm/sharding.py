@@ -6,10 +6,8 @@ evenly over (0, 1); the phase is a hash of the source, so small sources do not
 all meet at one point. All rows sorted by fractional rank and cut into equal runs give
 shards whose mixture is the corpus mixture to within one row or so per source.
 
-No window ever holds a whole source. Seeded hashes are uniform, so a source is
-cut into cells by leading hash bits, cells are counted, and a rank is the rows
-of earlier cells plus the rank inside the cell; the global sort is cut
-the same way along fractional ranks.
+No window ever holds a source, and no task rows of one value: both orders are dealt into sorted ranges
+(``ranks.ranked``), where rows that are equal in everything are split by a tie number.
 
 Law ``rows``: shard sizes differ by one row at most. Defined results: a null
 source is a stratum of its own; null ids and texts hash as such; rows equal in
@@ -19,15 +17,13 @@ all ordering columns are interchangeable; no rows give no rows. Columns named
 
 from __future__ import annotations
 
-from math import isqrt
-
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from thermocline.llm.common import empty_as, read_table, store
+from thermocline.llm.ranks import fresh, ranked
 
 SHARDS = 24
 SEED = "interleave-1"
-PIECE_ROWS = 4096
 
 
 def _bits(text):
@@ -44,41 +40,23 @@ def interleave(rows: DataFrame, shards: int, stratum: str = "source", order: tup
     pass the columns they need and join wide ones by key.
     """
     rows = rows.drop("shard", "slot")
+    label, shuffle, rank, at, place, held = fresh(rows, "_label", "_hash", "_rank", "_at", "_place", "_held")
     text = F.concat_ws("|", F.lit(seed), *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in order])
-    n = rows.count()
-    piece = max(PIECE_ROWS, isqrt(n))
-    pieces = max(1, -(-n // piece))
     # The label replaces the stratum as key: it is never null.
-    label = F.coalesce(F.concat(F.lit("="), F.col(stratum).cast("string")), F.lit("~"))
-    keyed = (rows.withColumn("_label", label).withColumn("_hash", F.md5(text))
-             .withColumn("_cell", F.shiftright(_bits(text) * F.lit(pieces), 32)))
-
-    along = Window.partitionBy("_label").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = (keyed.groupBy("_label", "_cell").agg(F.count("*").alias("_held"))
-             .select("_label", "_cell", F.coalesce(F.sum("_held").over(along), F.lit(0)).alias("_before"),
-                     F.sum("_held").over(Window.partitionBy("_label")).alias("_total")))
-    inside = Window.partitionBy("_label", "_cell").orderBy("_hash", *order)
-    phase = _bits(F.concat(F.lit(f"{seed}|"), F.col("_label"))) / F.lit(2.0 ** 32)
-    ranked = store(
-        keyed.join(cells, ["_label", "_cell"])
-        .withColumn("_rank", F.col("_before") + F.row_number().over(inside))
-        .withColumn("_at", (F.col("_rank") - 1 + phase) / F.col("_total"))
-        .withColumn("_slice", F.floor(F.col("_at") * pieces))
-        .drop("_cell", "_before", "_total", "_rank"),
-        "ranked",
-    )
-
-    # One row per slice, about the square root of the rows on very large inputs.
-    running = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = (ranked.groupBy("_slice").agg(F.count("*").alias("_held"))
-              .select("_slice", F.coalesce(F.sum("_held").over(running), F.lit(0)).alias("_before")))
-    inside = Window.partitionBy("_slice").orderBy("_at", "_label", "_hash", *order)
-    place = F.col("_before") + F.row_number().over(inside) - 1
+    named = F.coalesce(F.concat(F.lit("="), F.col(stratum).cast("string")), F.lit("~"))
+    keyed = store(rows.withColumn(label, named).withColumn(shuffle, F.md5(text)), "keyed")
+    n = keyed.count()
+    sizes = keyed.groupBy(label).agg(F.count("*").alias(held))
+    phase = _bits(F.concat(F.lit(f"{seed}|"), F.col(label))) / F.lit(2.0 ** 32)
+    spread = store(
+        ranked(keyed, [shuffle, *order], rank, group=label).join(sizes, label)
+        .withColumn(at, (F.col(rank) - 1 + phase) / F.col(held)).drop(rank, held), "spread")
     return (
-        ranked.join(slices, "_slice").withColumn("_place", place)
-        .withColumn("shard", F.expr(f"int(_place * {shards} div {max(n, 1)})"))
-        .withColumn("slot", F.expr(f"_place - (shard * {n}L + {shards - 1}) div {shards}"))
-        .drop("_label", "_hash", "_slice", "_before", "_at", "_place")
+        ranked(spread, [at, label, shuffle, *order], place)
+        .withColumn(place, F.col(place) - 1)
+        .withColumn("shard", F.expr(f"int(`{place}` * {shards} div {max(n, 1)})"))
+        .withColumn("slot", F.expr(f"`{place}` - (shard * {n}L + {shards - 1}) div {shards}"))
+        .drop(label, shuffle, at, place)
     )
 
 
