@@ -77,11 +77,11 @@ def cuts(words: list[str]) -> list[int]:
     return out
 
 
-def parts(text: str) -> tuple[list[tuple[int, int]], list[int], list[bytes]]:
+def parts(text: str, found_sentences: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[int], list[bytes]]:
     """Start and end of every part, its number of words, and its bytes with single blanks."""
     blankless = HAS_BLANKLESS.search(text) is not None
     places, counts, pieces = [], [], []
-    for start, end in sentences(text):
+    for start, end in found_sentences:
         words = text[start:end].split()
         if blankless or len(words) > LONG:
             found = list(WORD.finditer(text, start, end))
@@ -102,7 +102,11 @@ def parts(text: str) -> tuple[list[tuple[int, int]], list[int], list[bytes]]:
 
 def spans(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, int]]]:
     """The parts, and (hash, hash, first part, end part) of each span."""
-    found, sizes, joined = parts(text)
+    return spans_of(text, sentences(text))
+
+
+def spans_of(text: str, found_sentences: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, int]]]:
+    found, sizes, joined = parts(text, found_sentences)
     ends, counts, total, size = [], [0], 0, 0
     for piece, n in zip(joined, sizes):
         size += len(piece) + 1
@@ -129,13 +133,22 @@ def _order() -> list:
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
-    """One row per document and span, with the span's characters; ``own`` marks a span that the text had before."""
+    """One row per document and span, with the span's characters; ``own`` marks a span that the text had before.
+
+    One more row per document, with a null ``own``, has its number of sentences as ``start``.
+    """
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, low, high, own, counts = [], [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 before, seen = len(a), set()
-                places, found = spans(text)
+                whole = sentences(text)
+                places, found = spans_of(text, whole)
+                a.append(0)
+                b.append(0)
+                low.append(len(whole))
+                high.append(0)
+                own.append(None)
                 for x, y, start, end in found:
                     own.append((x, y) in seen)
                     seen.add((x, y))
@@ -175,7 +188,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated passages cut from ``text``; adds n_sentences, n_removed (sentences fewer) and removed (characters)."""
     with_workers(docs.sparkSession)
     docs = docs.drop("n_sentences", "n_removed", "removed")
-    late_, doc_, body_, later_ = fresh(docs, "_late", "_doc", "_body", "_later")
+    late_, doc_, body_, later_, n_ = fresh(docs, "_late", "_doc", "_body", "_later", "_sentences")
     rows = store(_occurrences(docs), "spans")
     once = rows.where("NOT own")
     early = F.when(~F.col("late"), F.col("doc"))
@@ -185,8 +198,11 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     first = (F.col("late") & F.col("early").isNull() & (F.col("doc") == F.col("last"))) | (
         ~F.col("late") & (F.col("doc") == F.col("early")))
     place = ["late", "doc", "body", "start", "end"]
-    gone = once.join(repeated, ["a", "b"]).where(~first).select(place).union(rows.where("own").select(place))
-    later = store(gone.groupBy("late", "doc", "body").agg(F.collect_set(F.struct("start", "end")).alias("later")), "later-spans")
+    cut_spans = once.join(repeated, ["a", "b"]).where(~first).select(*place, F.lit(True).alias("cut")).union(
+        rows.where("own IS NULL OR own").select(*place, F.coalesce("own", F.lit(False)).alias("cut")))
+    later = store(cut_spans.groupBy("late", "doc", "body").agg(
+        F.collect_set(F.when(F.col("cut"), F.struct("start", "end"))).alias("later"),
+        F.max(F.when(~F.col("cut"), F.col("start"))).alias("n")), "later-spans")
     discard(rows)
 
     columns = docs.columns
@@ -196,8 +212,8 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts, gone, marks = [], [], [], []
-            for text, found in zip(batch.column("text").to_pylist(), batch.column(later_).to_pylist()):
-                n, removed = len(sentences(text or "")), []
+            for text, found, n in zip(*(batch.column(c).to_pylist() for c in ("text", later_, n_))):
+                removed = []
                 if found:
                     text, removed = cut_out(text, [(x["start"], x["end"]) for x in found])
                 texts.append(text)
@@ -211,8 +227,8 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
 
     late, doc, body = _order()
     keyed = docs.select("*", late.alias(late_), doc.alias(doc_), body.alias(body_))
-    found = later.toDF(late_, doc_, body_, later_).hint("shuffle_hash")
-    return keyed.join(found, [late_, doc_, body_], "left").select(*columns, later_).mapInArrow(tidy(cut), schema)
+    found = later.toDF(late_, doc_, body_, later_, n_).hint("shuffle_hash")
+    return keyed.join(found, [late_, doc_, body_], "left").select(*columns, later_, n_).mapInArrow(tidy(cut), schema)
 
 
 def op5_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
