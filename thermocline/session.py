@@ -10,6 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+SHUFFLE_CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 # One scratch root per application, used only by local sessions without a
 # configured checkpoint directory (tests, laptops).
@@ -79,12 +80,21 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     """Write ``df`` once as parquet in the shared folder and read it back.
 
     Cuts lineage without depending on any executor staying alive, and lets
-    later scans prune columns and partitions.
+    later scans prune columns and partitions. Nothing reads the shuffle files of the write
+    after it, so Spark removes them then and they do not lie beside those of the next step.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP_CONF, None)
+    spark.conf.set(SHUFFLE_CLEANUP_CONF, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP_CONF)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP_CONF, before)
     return spark.read.schema(df.schema).parquet(path)
