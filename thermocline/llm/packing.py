@@ -3,17 +3,18 @@
 Lengths are at most the capacity, so a corpus of any size is a histogram of at
 most ``capacity`` classes, and the whole plan is made on that histogram: a list
 of patterns (a multiset of lengths) with the number of sequences cut after each.
-A pattern starts from the longest length left. An index of which sums single
-lengths and pairs reach, kept under availability counts, tells whether one, two or three pieces
+A pattern starts from the longest length left. An index of the sums that single
+lengths, pairs and triples reach, kept under availability counts, tells whether one, two or three pieces
 fill the gap exactly; if so they are consumed. If not, the longest piece that
 fits goes in (best fit) and the gap is tried again. A pattern is then repeated
 as often as the counts allow, so each one uses up a class.
 
 Spark counts the classes, ranks the pieces within their class (file by file of
 the stored piece table, so a class of any size is spread), and turns ranks into
-places by the plan. The plan's size depends on the capacity alone.
+places by the plan. The plan's size depends on the capacity alone; the counts of each file
+stay a table, joined by a shuffle on the same keys as the ranks.
 
-Defined results: a null text packs as an empty one, a document without tokens
+Defined results: columns of the caller keep their names and values; a null text packs as an empty one, a document without tokens
 is its end id alone; equal rows give equal pieces with places of their own; no
 rows give no rows. Null ids are kept.
 """
@@ -32,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from thermocline.llm.common import read_table, store, tidy, with_workers
+from thermocline.llm.ranks import fresh
 
 CAPACITY = 4096
 TOKENIZER = "word_bpe_49k.json"
@@ -148,29 +150,50 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, file: str = TOKENIZE
 
 
 class Lengths:
-    """Availability counts with an index of the sums that pairs of lengths reach."""
+    """Availability counts with an index of the sums that pairs and triples of lengths reach.
+
+    ``pairs[s]`` and ``triples[s]`` count the multisets of available lengths with sum s.
+    """
 
     def __init__(self, counts: np.ndarray):
         self.left = counts.astype(np.int64)
         self.capacity = len(counts) - 1
         self.some = self.left > 0
-        there = self.some.astype(np.float64)
-        pairs = np.rint(np.convolve(there, there)[:self.capacity + 1]).astype(np.int64)
-        doubles = np.zeros_like(pairs)
-        doubles[::2] = self.some[:len(doubles[::2])]
-        twice = np.zeros_like(pairs)
-        twice[::2] = (self.left >= 2)[:len(twice[::2])]
-        self.pairs = (pairs - doubles) // 2 + twice
+        # Ordered pairs and triples of different and equal lengths; equal ones are taken out and put back where
+        # there are enough pieces.
+        same2, same3 = self._times(self.some, 2), self._times(self.some, 3)
+        two, three = self._times(self.left >= 2, 2), self._times(self.left >= 3, 3)
+        pairs = self._sums(self.some, self.some)
+        triples = self._sums(pairs, self.some)
+        self.pairs = (pairs - same2) // 2 + two
+        self.triples = ((triples - 3 * self._sums(same2, self.some) + 2 * same3) // 6
+                        + self._sums(two, self.some) - self._times(self.left >= 2, 3) + three)
+
+    def _times(self, there: np.ndarray, k: int) -> np.ndarray:
+        """Which sums k pieces of one of these lengths have."""
+        out = np.zeros(self.capacity + 1, np.int64)
+        out[::k] = there[:len(out[::k])]
+        return out
+
+    def _sums(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """In how many ways each sum comes from one of ``a`` and one of ``b``."""
+        return np.rint(np.convolve(a.astype(np.float64), b.astype(np.float64))[:self.capacity + 1]).astype(np.int64)
 
     def take(self, length: int, n: int) -> None:
         before, after = self.left[length], self.left[length] - n
         self.left[length] = after
+        if before >= 3 > after and 3 * length <= self.capacity:
+            self.triples[3 * length] -= 1
         if before >= 2 > after and 2 * length <= self.capacity:
             self.pairs[2 * length] -= 1
+            others = np.flatnonzero(self.some[:self.capacity - 2 * length + 1])
+            self.triples[others[others != length] + 2 * length] -= 1
         if after == 0:
             self.some[length] = False
             others = np.flatnonzero(self.some[:self.capacity - length + 1])
             self.pairs[others + length] -= 1
+            # Without this length the pairs are those that made triples with it.
+            self.triples[length:] -= self.pairs[:self.capacity + 1 - length]
 
     def longest(self, at_most: int) -> int:
         found = np.flatnonzero(self.some[:at_most + 1])
@@ -193,6 +216,8 @@ class Lengths:
             return [gap]
         if found := self._pair(gap):
             return found
+        if not self.triples[gap]:
+            return None
         third = np.flatnonzero(self.some[:max(gap - 1, 0)])
         for c in third[self.pairs[gap - third] > 0][::-1]:
             if found := self._pair(gap - int(c), int(c)):
@@ -247,23 +272,25 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``; needs a ``length`` of 1 to ``capacity``."""
     spark = with_workers(pieces.sparkSession)
     kept = store(pieces.drop("sequence_id", "offset"), "pieces")
-    filed = kept.select("*", F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    parts = filed.groupBy("length", "_file").agg(F.count("*").alias("_n"))
-    along = Window.partitionBy("length").orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    parts = store(parts.select("length", "_file", "_n", F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_before")),
-                  "classes")
-    counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
+    file, row, n, before, place_ = fresh(kept, "_file", "_row", "_n", "_before", "_rank")
+    stored = kept.metadataColumn("_metadata")
+    filed = kept.select("*", F.xxhash64(stored["file_path"]).alias(file), stored["row_index"].alias(row))
+    parts = filed.groupBy("length", file).agg(F.count("*").alias(n))
+    along = Window.partitionBy("length").orderBy(file).rowsBetween(Window.unboundedPreceding, -1)
+    parts = store(parts.select("length", file, n, F.coalesce(F.sum(n).over(along), F.lit(0)).alias(before)), "classes")
+    counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.sum(n).alias("n")).collect()}
     places = spark.sparkContext.broadcast(_places(plan_sequences(counts, capacity)))
-    inside = Window.partitionBy("length", "_file").orderBy("_row")
-    ranked = filed.join(parts.drop("_n"), ["length", "_file"]).withColumn(
-        "_rank", F.col("_before") + F.row_number().over(inside) - 1).select(*kept.columns, "_rank")
+    inside = Window.partitionBy("length", file).orderBy(row)
+    # The ranks need this partitioning anyway; the counts grow with the files and are not broadcast.
+    ranked = filed.join(parts.drop(n).hint("merge"), ["length", file]).withColumn(
+        place_, F.col(before) + F.row_number().over(inside) - 1).select(*kept.columns, place_)
     carried = kept.columns
     schema = T.StructType([*kept.schema.fields, T.StructField("sequence_id", T.LongType()),
                            T.StructField("offset", T.LongType())])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length, rank = batch.column("length").to_numpy(), batch.column("_rank").to_numpy()
+            length, rank = batch.column("length").to_numpy(), batch.column(place_).to_numpy()
             sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
             for value in np.unique(length):
                 rows = np.flatnonzero(length == value)
