@@ -35,7 +35,9 @@ from thermocline.llm.common import discard, read_table, store, tidy, with_texts,
 WINDOW = 10
 SHARD_WORDS = 1 << 20
 SHARD_BYTES = 32 << 20
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 24 << 20
+PATTERN_ROWS = 1 << 16
+HASH_STEP = 0x9E3779B97F4A7C15
 SAMPLE = 16
 OTHER = 1
 """Symbol of words outside the phrases; 0 ends the shard."""
@@ -167,21 +169,67 @@ class FMIndex:
 
 
 class Phrases:
-    """The distinct windows of a block of items, as symbols, with the items of each."""
+    """The distinct windows of a block of items, as symbols, with the items of each.
+
+    All words of the block are one array and a window is its first place there, so a block takes
+    a few times its size however long the windows are.
+    """
 
     def __init__(self, items: list[tuple[str, str | None]], window: int):
         self.symbols: dict[bytes, int] = {}
-        windows: dict[tuple[int, ...], set[str]] = {}
+        self.names = sorted({item for item, _ in items})
+        number = {name: i for i, name in enumerate(self.names)}
+        texts, starts, owners, sizes, total = [], [], [], [], 0
         for item, text in items:
             codes = [self.symbols.setdefault(w, len(self.symbols) + 2) for w in words_of(text)]
             size = min(window, len(codes))
-            for at in range(len(codes) - size + 1) if size else ():
-                windows.setdefault(tuple(codes[at:at + size]), set()).add(item)
-        self.by_length: list[tuple[np.ndarray, list[set[str]]]] = []
-        for length in sorted({len(w) for w in windows}):
-            chosen = [w for w in windows if len(w) == length]
-            self.by_length.append((np.array(chosen, np.int64), [windows[w] for w in chosen]))
-        self.shortest = self.by_length[0][0].shape[1] if windows else 0
+            if size:
+                at = np.arange(total, total + len(codes) - size + 1)
+                texts.append(np.array(codes, np.int32))
+                starts.append(at)
+                owners.append(np.full(len(at), number[item], np.int32))
+                sizes.append(np.full(len(at), size, np.int32))
+                total += len(codes)
+        self.codes = np.concatenate(texts) if texts else np.zeros(0, np.int32)
+        self.by_length: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+        if not texts:
+            self.shortest = 0
+            return
+        starts, owners, sizes = np.concatenate(starts), np.concatenate(owners), np.concatenate(sizes)
+        for size in np.unique(sizes).tolist():
+            chosen = sizes == size
+            self.by_length.append((size, *self._distinct(starts[chosen], owners[chosen], size)))
+        self.shortest = self.by_length[0][0]
+
+    def _distinct(self, starts: np.ndarray, owners: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """One place of each window, and where its owners begin and end among the owners.
+
+        Windows are brought together by a hash and told apart by their words; two that share the hash by chance
+        may be listed more than once, which changes no match.
+        """
+        key = np.zeros(len(starts), np.uint64)
+        for column in range(size):
+            key = (key ^ self.codes[starts + column].astype(np.uint64)) * np.uint64(HASH_STEP)
+            key ^= key >> np.uint64(29)
+        order = np.lexsort((owners, key))
+        starts, owners = starts[order], owners[order]
+        new = np.ones(len(starts), bool)
+        new[1:] = False
+        for column in range(size):
+            word = self.codes[starts + column]
+            new[1:] |= word[1:] != word[:-1]
+        first = np.flatnonzero(new)
+        return starts[first].astype(np.int32), np.append(first, len(starts)).astype(np.int32), owners
+
+    def patterns(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Windows of one length, a block of rows at a time, with the bounds of each one's owners, and the owners."""
+        for size, starts, bounds, owners in self.by_length:
+            for low in range(0, len(starts), PATTERN_ROWS):
+                at = starts[low:low + PATTERN_ROWS, None] + np.arange(size, dtype=np.int32)
+                yield self.codes[at].astype(np.int64), bounds[low:low + PATTERN_ROWS + 1], owners
+
+    def items(self, owners: np.ndarray) -> list[str]:
+        return [self.names[i] for i in owners.tolist()]
 
 
 def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -227,7 +275,7 @@ class Shard:
             return spans, items
         index = FMIndex(np.concatenate([*self.parts, [0]]).astype(np.int64))
         origins = np.array(self.origins, np.int64)
-        for patterns, owners in self.phrases.by_length:
+        for patterns, bounds, owners in self.phrases.patterns():
             low, high = index.search(patterns)
             found = np.flatnonzero(high > low)
             sizes = (high - low)[found]
@@ -237,7 +285,7 @@ class Shard:
             document, start = origins[run, 1], origins[run, 2] + at - origins[run, 0]
             for number, word, pattern in zip(document.tolist(), start.tolist(), np.repeat(found, sizes).tolist()):
                 spans.setdefault(number, []).append((word, word + patterns.shape[1]))
-                items.setdefault(number, set()).update(owners[pattern])
+                items.setdefault(number, set()).update(self.phrases.items(owners[bounds[pattern]:bounds[pattern + 1]]))
         return spans, items
 
 
