@@ -167,3 +167,36 @@ def test_equal_rows_are_spread_and_columns_kept_when_sharding(spark):
     dealt = ranks.ranked(ranks.store(docs.select("doc_id"), "t"), ["doc_id"], "place")
     blocks = dealt.sparkSession.read.parquet(dealt.inputFiles()[0].rsplit("/", 1)[0]).groupBy("_block").count().collect()
     assert max(r["count"] for r in blocks) < 3 * sum(r["count"] for r in blocks) / len(blocks)
+
+
+@pytest.mark.parametrize("few", [simhash.FEW_PARTNERS, 0])
+def test_a_group_around_the_threshold_is_joined_by_few_comparisons(spark, monkeypatch, few):
+    """Copies of one text with a few words replaced: same components as comparing every pair, most pairs never compared."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(90)]
+    texts = []
+    for i in range(160):
+        words = list(base)
+        for place in rng.sample(range(90), rng.randrange(1, 9)):
+            words[place] = f"new{i}x{place}"
+        texts.append(" ".join(words))
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    prints = [simhash.fingerprint(np.array(sorted(s), np.uint64), 6) for s in sets]
+    pairs = [(a, b, int(np.bitwise_count(prints[a] ^ prints[b]).sum())) for a in range(len(texts)) for b in range(a)]
+    want, got = Groups(), Groups()
+    for a, b, _ in pairs:
+        if shares(sets[a], sets[b]) >= 0.8:
+            want.join(a, b)
+    compared = []
+    monkeypatch.setattr(simhash, "FEW_PARTNERS", few)
+    alike = simhash._alike
+    monkeypatch.setattr(simhash, "_alike", lambda pairs, grams: compared.append(pairs.count()) or alike(pairs, grams))
+    links = simhash._linking(
+        spark.createDataFrame(pairs, "a long, b long, distance int"), spark.createDataFrame([], "a long, b long"),
+        spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(4)).collect()
+    for r in links:
+        assert shares(sets[r["a"]], sets[r["b"]]) >= 0.8
+        got.join(r["a"], r["b"])
+    assert [got.of(i) for i in range(len(texts))] == [want.of(i) for i in range(len(texts))]
+    assert 1 < len({want.of(i) for i in range(len(texts))}) < len(texts) and len(compared) == (2 if few else 3)
+    assert sum(compared) < 0.25 * len(pairs)

@@ -20,7 +20,8 @@ No group of copies is ever paired with itself. Equal texts are one node.
 Texts that fall under one segment value are first compared with one pivot each, which
 joins most of a large group in a linear number of pairs; afterwards only pairs
 of different groups are looked up, the nearest of each text compared first, and members of large groups
-(over ``LARGE_GROUP``) never meet members of the same group.
+(over ``LARGE_GROUP``) never meet members of the same group. What stays open must also pass a long fingerprint, so in a
+group whose pairs lie below the threshold only those very near it are compared exactly.
 
 Defined results: a null text is an empty one; fewer words than a shingle are
 one shingle; texts without a word have fingerprint zero, are equal to each other and
@@ -39,7 +40,7 @@ from math import asin, ceil, log, log2, pi, sqrt
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from thermocline.llm.common import LOWER, discard, empty_as, read_table, store, tidy, with_workers
 from thermocline.llm.graph import components
@@ -56,6 +57,10 @@ SHORT = 15
 COVERED = int(SIMILARITY * SHORT)
 """A text of so many shingles has no partner over ``SHORT``, so it needs no fingerprint."""
 BROADCAST_IDS = 2_000_000
+LONG_WORDS = 64
+"""64-bit words of the fingerprint that open pairs must pass before texts are compared."""
+LONG_SALT = 99
+FEW_PARTNERS = 4
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -259,27 +264,39 @@ def _table(sketches: DataFrame, width: int) -> DataFrame:
         *keep, F.expr(f"shiftleft(cast(segment AS long), {width}) | value").alias("key"))
 
 
-def _close(pairs: DataFrame, sketches: DataFrame, width: int, segments: int) -> DataFrame:
-    """Distinct pairs (a, b) whose complete fingerprints may belong to similar texts, with their ``distance``.
+def _distance(a: str, b: str) -> Column:
+    """Differing bits of two arrays of numbers."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
 
-    The limit is four standard deviations over the distance expected at the threshold.
-    """
-    bits = width * segments + 64
+
+def _most_apart(bits: int) -> int:
+    """Four standard deviations over the distance that fingerprints of so many bits have at the threshold."""
     p = differing_share(SIMILARITY)
-    limit = int(bits * p + 4 * sqrt(bits * p * (1 - p)))
+    return int(bits * p + 4 * sqrt(bits * p * (1 - p)))
+
+
+def _close(pairs: DataFrame, sketches: DataFrame, width: int, segments: int) -> DataFrame:
+    """Distinct pairs (a, b) whose complete fingerprints may belong to similar texts, with their ``distance``."""
     pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     prints = sketches.select("id", F.array_append("keys", F.col("check")).alias("bits"))
-    apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))),
-                        F.lit(0), lambda n, x: n + x)
     return store(pairs.join(prints.toDF("a", "bits_a"), "a").join(prints.toDF("b", "bits_b"), "b")
-                 .select("a", "b", apart.alias("distance")).where(F.col("distance") <= limit), "close-pairs")
+                 .select("a", "b", _distance("bits_a", "bits_b").alias("distance"))
+                 .where(F.col("distance") <= _most_apart(width * segments + 64)), "close-pairs")
 
 
-def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of text ids whose shingle sets are similar enough."""
-    ids = store(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair-ids")
-    asked = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+def _ids(pairs: DataFrame) -> DataFrame:
+    """The texts that occur in ``pairs``; each side is made distinct before they meet."""
+    return store(pairs.select(F.col("a").alias("id")).distinct()
+                 .union(pairs.select(F.col("b").alias("id")).distinct()).distinct(), "pair-ids")
+
+
+def _only(table: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``table`` whose id is in the stored table ``ids``."""
+    return table.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
 
+
+def _grams(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """id and the set of 32-bit shingle hashes of every text in ``pairs``."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
@@ -293,30 +310,88 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                      for t in chosen.column("text")]
             yield pa.RecordBatch.from_arrays([chosen.column("id"), pa.array(found, pa.list_(pa.int32()))], ["id", "grams"])
 
-    grams = store(texts.join(asked, "id", "left_semi").select("id", "text")
+    ids = _ids(pairs)
+    grams = store(_only(texts, ids).select("id", "text")
                   .mapInArrow(tidy(sets), "id long, grams array<int>").dropDuplicates(["id"]), "grams")
+    discard(ids)
+    return grams
+
+
+def _alike(pairs: DataFrame, grams: DataFrame) -> DataFrame:
+    """Pairs (a, b) of text ids whose shingle sets are similar enough."""
     both = F.size(F.array_intersect("grams_a", "grams_b"))
     union = F.size("grams_a") + F.size("grams_b") - both
-    similar = store(
+    return store(
         pairs.select("a", "b").join(grams.toDF("a", "grams_a"), "a").join(grams.toDF("b", "grams_b"), "b")
         .where((both >= F.lit(SIMILARITY) * union)).select("a", "b"), "similar")
-    discard(ids, grams)
+
+
+def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of text ids whose texts are similar enough."""
+    grams = _grams(pairs, texts)
+    similar = _alike(pairs, grams)
+    discard(grams)
     return similar
 
 
+def _long_close(pairs: DataFrame, grams: DataFrame) -> DataFrame:
+    """``pairs`` whose long fingerprints may belong to similar texts, with their ``distance``."""
+    bits = 64 * LONG_WORDS
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [row.values.to_numpy().view(np.uint32).astype(np.uint64) for row in batch.column("grams")]
+            found = [fingerprint(_mixed(hashes, LONG_SALT), LONG_WORDS).view(np.int64) for hashes in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.list_(pa.int64()))], ["id", "bits"])
+
+    ids = _ids(pairs)
+    long = store(_only(grams, ids).mapInArrow(tidy(prints), "id long, bits array<long>"), "long-prints")
+    near = store(pairs.join(long.toDF("a", "bits_a"), "a").join(long.toDF("b", "bits_b"), "b")
+                 .withColumn("distance", _distance("bits_a", "bits_b")).drop("bits_a", "bits_b")
+                 .where(F.col("distance") <= _most_apart(bits)), "long-close")
+    discard(ids, long)
+    return near
+
+
+def _regrouped(pairs: DataFrame, roots: DataFrame, a: str = "grp_a", b: str = "grp_b") -> DataFrame:
+    """``pairs`` that ``roots`` leaves in different groups; columns ``a`` and ``b`` are what roots are looked up by."""
+    return (
+        pairs.join(roots.toDF(a, "root_a"), a, "left").join(roots.toDF(b, "root_b"), b, "left")
+        .withColumn("grp_a", F.coalesce("root_a", a)).withColumn("grp_b", F.coalesce("root_b", b))
+        .where("grp_a <> grp_b").drop("root_a", "root_b"))
+
+
 def _linking(pairs: DataFrame, known: DataFrame, texts: DataFrame) -> DataFrame:
     """``known`` links and enough of the similar pairs to join whatever all of them would join.
 
     The nearest partner of every text is compared first. That joins most of a
-    group, and pairs inside what is joined by then need no comparison of texts.
+    group, and pairs inside what is joined by then need no comparison of texts. Pairs of different groups
+    must pass a fingerprint of ``LONG_WORDS`` words, which tells similarities near the threshold apart far better;
+    while each text has several partners left, the nearest is compared again, as long as that joins many. All that is left is compared.
     """
+    grams = _grams(pairs, texts)
     nearest = pairs.groupBy("a").agg(F.min_by("b", "distance").alias("b"))
-    links = known.union(_similar(nearest, texts))
-    roots = components(links)
-    apart = (
-        pairs.join(roots.toDF("a", "root_a"), "a", "left").join(roots.toDF("b", "root_b"), "b", "left")
-        .where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"))
-    return links.union(_similar(store(apart, "pairs-apart"), texts))
+    links = known.union(_alike(nearest, grams))
+    apart = store(_regrouped(pairs.select("a", "b"), components(links), "a", "b"), "pairs-apart")
+    left = _long_close(apart, grams)
+    discard(apart)
+    while True:
+        n, askers = left.agg(F.count("*"), F.count_distinct("a")).first()
+        if n <= FEW_PARTNERS * askers:
+            break
+        nearest = store(left.groupBy("a").agg(F.min_by(F.struct("b", "grp_a", "grp_b"), "distance").alias("x"))
+                        .select("a", "x.*"), "nearest")
+        similar = _alike(nearest, grams)
+        links = links.union(similar)
+        meets = nearest.join(similar, ["a", "b"]).select(F.col("grp_a").alias("a"), F.col("grp_b").alias("b"))
+        following = store(_regrouped(left.join(nearest.select("a", "b"), ["a", "b"], "left_anti"), components(meets)), "pairs-left")
+        discard(left, nearest)
+        left = following
+        if FEW_PARTNERS * similar.count() < askers:
+            break
+    links = links.union(_alike(left, grams))
+    discard(left, grams)
+    return links
 
 
 def _pivot_pairs(table: DataFrame) -> DataFrame:
