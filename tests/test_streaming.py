@@ -1,3 +1,5 @@
+import glob
+import shutil
 from datetime import datetime, timedelta
 
 import pytest
@@ -134,3 +136,15 @@ def test_migration_ignores_events_after_as_of_and_can_follow_the_stream(spark):
     jobs.migrate_on_access(stream(), tiers, path, None, None, None).awaitTermination()
     times = [r["ts"] for r in jobs.read_migration_log(spark, path).select("batch_id", "ts").distinct().orderBy("batch_id").collect()]
     assert times == sorted(times) and times[0] == START + timedelta(minutes=19)
+
+
+def test_a_table_of_one_file_or_of_many_is_streamed_whole(spark):
+    whole = event_frames(spark)[0]
+    root = scratch_path(spark, "stored")
+    whole.coalesce(1).write.parquet(f"{root}/one")
+    shutil.copy(glob.glob(f"{root}/one/part-*.parquet")[0], f"{root}/file.parquet")
+    whole.repartition(3).write.parquet(f"{root}/folder.parquet")
+    for name in ("file", "folder"):
+        path = scratch_path(spark, "counts")
+        jobs.count_accesses(jobs.stream_stored(spark, root, name, EVENTS), path).awaitTermination()
+        assert counts(jobs.read_access_counts(spark, path)) == counts(access.access_stats(whole))

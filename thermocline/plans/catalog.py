@@ -678,7 +678,7 @@ def storage_report(spark, sf):
 
 def _event_stream(spark, sf):
     schema = b.table(spark, sf, "events").schema
-    stream = jobs.stream_table(spark, sf, schema, "events.parquet")
+    stream = jobs.stream_stored(spark, sf, "events", schema)
     return stream.select("event_id", F.col("user_id").alias("doc_id"), "ts")
 
 
@@ -719,7 +719,7 @@ def stream_store(spark, sf):
 @_register
 def stream_retrieve(spark, sf):
     path = scratch_path(spark, "stream-answers")
-    asked = jobs.stream_table(spark, sf, b.vectors(spark, sf).schema, "embeddings.parquet")
+    asked = jobs.stream_stored(spark, sf, "embeddings", b.vectors(spark, sf).schema)
     asked = asked.select(F.col("vec_id").alias("query_id"), "embedding")
     jobs.answer_queries(asked, b.tiered_docs(spark, sf), path, b.K, b.THRESHOLD).awaitTermination()
     return _hits_columns(jobs.read_answers(spark, path))

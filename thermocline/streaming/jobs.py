@@ -20,15 +20,19 @@ from thermocline.session import materialize, scratch_path
 from thermocline.sources.vectors import accepted, parse_store_requests, rejected
 
 
-def stream_table(spark: SparkSession, folder: str, schema: StructType | str, pattern: str = "*.parquet",
-                 max_files: int | None = None) -> DataFrame:
+def stream_table(spark: SparkSession, folder: str, schema: StructType | str, max_files: int | None = None) -> DataFrame:
     """New parquet files of a folder as a stream."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.parquet(folder)
 
 
+def stream_stored(spark: SparkSession, sf_dir: str, name: str, schema: StructType | str) -> DataFrame:
+    """A stored table as a stream, be it one file or a folder of files: a stream takes either from a glob."""
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{{{name}.parquet}}")
+
+
 def _batch_folder(path: str, batch_id: int) -> str:
     return f"{path}/batch_id={batch_id}"
 
