@@ -35,6 +35,7 @@ _SLACK = 10.0 ** -(SCORE_DIGITS - 1)
 _QUERY_STEP = 256
 _DOC_STEP = 1024
 _HELD_ROWS = 50_000  # hits kept before they are cut back to the best k, or sent on
+KEPT_ROWS = 1_000_000  # best hits of all queries that a task keeps at once
 _READY_COMPONENTS = 8_000_000  # query components kept as unit vectors (64 MB)
 
 
@@ -241,13 +242,13 @@ class Hits:
                 held.append((at[found], np.full(len(found), tier, dtype=np.int32), scores, doc_ids))
                 held_rows += len(found)
             if self.k is None and held_rows > _HELD_ROWS:
-                yield self._emit(held, queries.ids)
+                yield self.emit(held, queries.ids)
                 held, held_rows = [], 0
-            elif self.k is not None and held_rows > _HELD_ROWS + 4 * self.k * len(queries):
-                held = [self._best(held, bars)]
+            elif self.k is not None and held_rows > _HELD_ROWS + 2 * self.k * len(queries):
+                held = [self.trimmed(held, bars)]
                 held_rows = len(held[0][0])
         if held:
-            yield self._emit(held if self.k is None else [self._best(held, bars)], queries.ids)
+            yield self.emit(held if self.k is None else [self.trimmed(held, bars)], queries.ids)
 
     def _block(self, queries, docs, ids, bar):
         sims = queries @ docs.T
@@ -260,7 +261,8 @@ class Hits:
         keep = scores >= bar[query_at]
         return query_at[keep], scores[keep], ids[doc_at[keep]]
 
-    def _best(self, held, bars):
+    def trimmed(self, held, bars=None):
+        """The best k per (query, tier) of ``(query position, tier, score, document id)`` columns; raises the bars."""
         query_at, tiers, scores, ids = (np.concatenate(column) for column in zip(*held))
         order = np.lexsort((ids, -scores, tiers, query_at))
         query_at, tiers, scores, ids = query_at[order], tiers[order], scores[order], ids[order]
@@ -269,14 +271,14 @@ class Hits:
         starts = np.flatnonzero(first)
         rank = np.arange(len(ids)) - np.repeat(starts, np.diff(np.append(starts, len(ids))))
         full = rank == self.k - 1
-        for tier, bar in bars.items():
+        for tier, bar in (bars or {}).items():
             here = full & (tiers == tier)
             bar[query_at[here]] = scores[here]
         keep = rank < self.k
         return query_at[keep], tiers[keep], scores[keep], ids[keep]
 
     @staticmethod
-    def _emit(held, query_ids):
+    def emit(held, query_ids):
         query_at, tiers, scores, ids = (np.concatenate(column) for column in zip(*held))
         return pa.RecordBatch.from_arrays(
             [pa.array(query_ids[query_at]), pa.array(tiers), pa.array(ids), pa.array(scores)],
