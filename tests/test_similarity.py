@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from thermocline.operators import retrieval
+from thermocline.operators import retrieval, similarity
 from thermocline.operators.similarity import Layout, document_warmth, similarity_hits
 
 ONE = Layout()
@@ -170,3 +170,16 @@ def test_documents_are_never_exchanged(spark, vectors, layout):
     work = document_warmth(frame(spark, docs, "doc_id").coalesce(2), frame(spark, queries, "query_id"), True, layout=layout)
     physical = work._jdf.queryExecution().executedPlan().toString()
     assert physical.count("MapInArrow") == 1 and "Join" not in physical
+
+
+def test_blocks_hold_no_more_queries_than_kept_hits_allow(spark, monkeypatch):
+    """Before, only bytes cut query sets, so a task kept the hits of as many queries as 192 MB hold."""
+    rng = np.random.default_rng(3)
+    docs, asked = frame(spark, rng.normal(size=(50, 4)), "doc_id"), frame(spark, rng.normal(size=(40, 4)), "query_id")
+    pick = lambda: sorted(tuple(r) for r in retrieval.threshold_topk(docs, asked, 3, 0.1).collect())
+    want, sizes = pick(), []
+    send = spark.sparkContext.broadcast
+    monkeypatch.setattr(similarity, "KEPT_ROWS", 30)
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda block: (sizes.append(len(block[0])), send(block))[1])
+    assert pick() == want
+    assert sum(sizes) == 40 and max(sizes) <= 10

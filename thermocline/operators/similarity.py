@@ -6,7 +6,7 @@ documents with a block of queries and emits only what survives (a sum per
 document, or the best hits per query).
 
 There is one layout for query sets of every size. The queries are cut into
-blocks of a checked size, each broadcast once. Documents stay where the scan
+blocks of a checked size and number, each broadcast once. Documents stay where the scan
 finds them: a task multiplies them with one block after the other (with several
 blocks, a bounded chunk of documents at a time) and never holds more than one
 block. Documents are scanned once and never shuffled, and a document row is
@@ -43,7 +43,7 @@ _READY_COMPONENTS = 8_000_000  # query components kept as unit vectors (64 MB)
 class Layout:
     """Bytes of stored components that a task holds at once; they change no result."""
 
-    block_bytes: int = 192 * 1024 * 1024
+    block_bytes: int = 32 * 1024 * 1024
     chunk_bytes: int = 64 * 1024 * 1024
 
 
@@ -322,10 +322,12 @@ def run_pairs(docs: DataFrame, queries: DataFrame, work, schema: str, layout: La
     ship_package(docs.sparkSession)
     asked = queries.select("query_id", "embedding")
     stats = vector_stats(asked)
-    parts = max(1, math.ceil(stats.bytes / layout.block_bytes))
+    rows_per_block = max(1, layout.block_bytes // max(1, stats.dim * stats.width))
+    if isinstance(work, Hits) and work.k is not None:  # a task keeps k hits of each query of a block
+        rows_per_block = max(1, min(rows_per_block, KEPT_ROWS // max(1, work.k)))
+    parts = max(1, math.ceil(stats.rows / rows_per_block))
     # spread by content: a repeated id does not fill a block
     part = F.pmod(F.xxhash64("query_id", "embedding"), F.lit(parts))
-    rows_per_block = max(1, layout.block_bytes // max(1, stats.dim * stats.width))
     shared = []
     for number in range(parts):
         table = (asked if parts == 1 else asked.where(part == number)).toArrow()
