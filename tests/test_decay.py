@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tests.test_streaming import EVENTS, counts, landed
@@ -104,3 +105,30 @@ def test_ids_are_let_go_within_a_watermark(spark):
     path = scratch_path(spark, "within-counts")
     jobs.count_accesses(jobs.stream_table(spark, folder, EVENTS, max_files=1), path, once=True, within="2 days").awaitTermination()
     assert counts(jobs.read_access_counts(spark, path)) == counts(access.access_stats(spark.createDataFrame(rows, EVENTS)))
+
+
+def test_a_document_is_read_and_written_once_a_batch_however_many_accesses_it_has():
+    """Before, every access cost three calls of the state store, and those of unknown documents were kept."""
+    class Store:
+        def __init__(self, held):
+            self.held, self.calls = held, 0
+
+        def __getattr__(self, name):
+            def call(*arguments):
+                self.calls += 1
+                if name == "update":
+                    self.held = arguments[0]
+                return {"getValueState": self, "getMapState": self, "get": self.held, "exists": self.held is not None,
+                        "containsKey": False, "listTimers": []}.get(name)
+            return call
+
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    for held in ((0, 0, 3, None, b""), None):
+        store = Store(held)
+        job = decay.Decay(CUTS)
+        job.init(store)
+        store.calls = 0
+        list(job.handleInputRows((1,), iter([Row(micros=i * 1000) for i in range(1, 51)]), store))
+        assert store.calls <= 3 and (store.held is None) == (held is None)

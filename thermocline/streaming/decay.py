@@ -13,6 +13,7 @@ an event behind the watermark when it arrives is dropped by Spark and does not c
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row
@@ -57,66 +58,63 @@ def next_change(total: int, last: int, now: int, cuts: tuple[float, float]) -> i
 
 
 class Decay(StatefulProcessor):
-    """Per document: accesses counted so far, accesses ahead of the watermark, tier and timer."""
+    """Per document, in one value: accesses counted so far, tier, timer, and the accesses ahead of the watermark.
+
+    Every call of the state costs a round trip to the store, so a batch reads and writes a document once,
+    however many accesses it brings.
+    """
 
     def __init__(self, cuts: tuple[float, float]):
         self.cuts = cuts
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.known = handle.getValueState("known", "total long, last long, tier int")
-        self.ahead = handle.getMapState("ahead", "micros long", "n long")
+        # ahead: microseconds as 8-byte integers, in no order, one per access
+        self.known = handle.getValueState("known", "total long, last long, tier int, timer long, ahead binary")
 
     def close(self) -> None:
         pass
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        self.known.update((0, 0, initialState.tier))
+        timer = None
         if initialState.tier != rules.COLD:
-            self.wake(1)  # never accessed: goes down from the first pass on
-
-    def wake(self, millis: int, watermark: int = 0) -> None:
-        """One timer per document, the earliest asked for; the one that has just fired is not counted."""
-        waiting = [timer for timer in self.handle.listTimers() if timer > watermark]
-        if not any(timer <= millis for timer in waiting):
-            for timer in waiting:
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(millis)
+            timer = 1  # never accessed: goes down from the first pass on
+            self.handle.registerTimer(timer)
+        self.known.update((0, 0, initialState.tier, timer, b""))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        first = None
-        counts: dict[int, int] = {}
-        for row in rows:
-            counts[row.micros] = counts.get(row.micros, 0) + 1
-            first = row.micros if first is None else min(first, row.micros)
-        for micros, n in counts.items():
-            held = self.ahead.getValue((micros,)) if self.ahead.containsKey((micros,)) else (0,)
-            self.ahead.updateValue((micros,), (held[0] + n,))
-        if first is not None and self.known.exists():
+        new = array("q", [row.micros for row in rows])
+        state = self.known.get() if new else None
+        if state is not None:
+            total, last, tier, timer, ahead = state
             # never in this batch: what arrives now counts once the watermark has passed it
-            self.wake(max(-(-first // 1000), timerValues.getCurrentWatermarkInMs() + 1))
+            millis = max(-(-min(new) // 1000), timerValues.getCurrentWatermarkInMs() + 1)
+            if timer is None or timer > millis:  # one timer per document, the earliest asked for
+                if timer is not None:
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(millis)
+                timer = millis
+            self.known.update((total, last, tier, timer, bytes(ahead) + new.tobytes()))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         watermark = timerValues.getCurrentWatermarkInMs()
         now = watermark * 1000
-        total, last, tier = self.known.get()
-        later = None
-        for micros, n in list(self.ahead.iterator()):
-            if micros[0] <= now:
-                total, last = total + n[0], max(last, micros[0]) if total else micros[0]
-                self.ahead.removeKey(micros)
-            else:
-                later = micros[0] if later is None else min(later, micros[0])
+        total, last, tier, _, held = self.known.get()
+        ahead = array("q", bytes(held))
+        due = [micros for micros in ahead if micros <= now]
+        if due:
+            total, last = total + len(due), max(last, max(due)) if total else max(due)
+            ahead = array("q", [micros for micros in ahead if micros > now])
         aim = target(total, last, now, self.cuts)
         step = tier + (aim > tier) - (aim < tier)
-        self.known.update((total, last, step))
         wakes = [next_change(total, last, now, self.cuts) if total else None]
-        wakes.append(None if later is None else -(-later // 1000))
+        wakes.append(-(-min(ahead) // 1000) if ahead else None)
         wakes.append(watermark + 1 if step != aim else None)
-        for millis in wakes:
-            if millis is not None:
-                self.wake(max(millis, watermark + 1), watermark)
+        timer = min((max(millis, watermark + 1) for millis in wakes if millis is not None), default=None)
+        if timer is not None:
+            self.handle.registerTimer(timer)
+        self.known.update((total, last, step, timer, ahead.tobytes()))
         if step != tier:
             yield Row(doc_id=key[0], micros=now, from_tier=tier, to_tier=step)
 
@@ -133,8 +131,10 @@ def migrate_on_time(events: DataFrame, tiers: DataFrame, path: str, delay: str =
     keep_state_in_rocksdb(spark)
     at = F.timestamp_micros(F.col("micros"))
     accesses = events.select("doc_id", micros(F.col("ts")).alias("micros")).withColumn("at", at).withWatermark("at", delay)
+    placed = tiers.select("doc_id", "tier")
+    accesses = accesses.join(placed.select("doc_id"), "doc_id", "left_semi")  # after the watermark, which all accesses move
     moves = accesses.groupBy("doc_id").transformWithState(
-        Decay(cuts), MOVES_SCHEMA, "Append", "EventTime", tiers.select("doc_id", "tier").groupBy("doc_id"))
+        Decay(cuts), MOVES_SCHEMA, "Append", "EventTime", placed.groupBy("doc_id"))
     stamp = F.timestamp_add("MICROSECOND", F.col("micros"), F.expr(EPOCH))
     log = moves.select("doc_id", stamp.alias("ts"), "from_tier", "to_tier", F.lit(AUTO).alias("kind"))
     return start_stream(log, write_batches(f"{path}/log"), checkpoint, trigger)
