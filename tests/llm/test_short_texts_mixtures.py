@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tests.llm.cases import Groups, odd_documents
+from tests.llm.cases import Groups, jaccard_groups, odd_documents
 from tests.oracle_check import TESTDATA
 from thermocline.llm import language, simhash
 
@@ -67,6 +67,45 @@ def test_pairs_of_eight_and_nine_words_are_joined(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, 800, 2))
 
 
+def edited(rng, words, times):
+    """The words with so many of them replaced by new ones."""
+    places = set(rng.sample(range(len(words)), times))
+    return " ".join(f"x{rng.getrandbits(40)}" if i in places else w for i, w in enumerate(words))
+
+
+def test_a_crowd_around_the_threshold_makes_few_pairs(spark, monkeypatch):
+    """Before, 30,440 pairs of the 240 texts were made, growing with the square."""
+    rng, made = random.Random(8), []
+    words = [f"w{i}" for i in range(150)]
+    texts = [edited(rng, words, rng.choice((1, 2, 3, 4, 5, 6, 8))) for _ in range(240)]
+    close = simhash._close
+    monkeypatch.setattr(simhash, "_close", lambda pairs, *rest: made.append(pairs.count()) or close(pairs, *rest))
+    kept = simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4))
+    groups = jaccard_groups(texts)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({groups.of(i) for i in range(len(texts))})
+    assert made[1] < 8 * len(texts)
+
+
+def test_marks_rule_out_no_similar_pair(spark):
+    """Sets of 1 to 3,000 shingles, similar or not, with as many and with fewer marks."""
+    rng, rows = np.random.default_rng(2), []
+    for size in (1, 5, 120, 128, 130, 300, 1020, 1100, 3000):
+        for gone in (0, 0.05, 0.1, 0.11, 0.12, 0.2, 0.3):
+            for new in (0, 0.05, 0.1, 0.11, 0.12, 0.2, 0.3):
+                a = rng.integers(0, 1 << 63, size, np.uint64)
+                b = np.concatenate((a[int(gone * size):], rng.integers(0, 1 << 63, int(new * size), np.uint64)))
+                similarity = shares(set(a.tolist()), set(b.tolist()))
+                rows += [(similarity, *((len(x), simhash.parity_bits(x).tolist()) for x in pair)) for pair in ((a, b), (b, a))]
+    marks = "struct<size: int, bits: array<long>>"
+    found = spark.createDataFrame(rows, f"similarity double, marks_a {marks}, marks_b {marks}").select(
+        "similarity", F.size("marks_a.bits").alias("a"), F.size("marks_b.bits").alias("b"), simhash._may_be_similar().alias("open")).collect()
+    assert all(r["open"] for r in found if r["similarity"] >= 0.8)
+    assert any(r["open"] and r["a"] != r["b"] for r in found)
+    assert not any(r["open"] for r in found if r["similarity"] < 0.7 and r["a"] <= 32)
+    unmarked = spark.createDataFrame([(None, rows[0][1]), (None, None)], f"marks_a {marks}, marks_b {marks}")
+    assert all(r[0] for r in unmarked.select(simhash._may_be_similar()).collect())
+
+
 def test_near_dedup_leaves_columns_like_its_own_alone(spark):
     names = ["_own", "_key", "_doc", "_n", "_winner_id", "id", "root", "text_id"]
     docs = odd_documents(spark)

@@ -20,7 +20,9 @@ No group of copies is ever paired with itself. Equal texts are one node.
 Texts that fall under one segment value are first compared with one pivot each, which
 joins most of a large group in a linear number of pairs; afterwards only pairs
 of different groups are looked up, the nearest of each text compared first, and members of large groups
-(over ``LARGE_GROUP``) never meet members of the same group. What stays open must also pass a long fingerprint, so in a
+(over ``LARGE_GROUP``) never meet members of the same group. Where at least ``CROWD`` texts lie under one value and
+not all of them have been joined, texts carry marks of their shingles that prove most dissimilar pairs dissimilar,
+so such pairs are never made and no similar one is lost. What stays open must also pass a long fingerprint, so in a
 group whose pairs lie below the threshold only those very near it are compared exactly.
 
 Defined results: a null text is an empty one; fewer words than a shingle are
@@ -61,6 +63,10 @@ LONG_WORDS = 64
 """64-bit words of the fingerprint that open pairs must pass before texts are compared."""
 LONG_SALT = 99
 FEW_PARTNERS = 4
+CROWD = 16
+"""So many texts under one segment value are no chance: segments are as wide as to leave one there."""
+MARK_BITS = (256, 4096)
+"""Least and most bits of a text's marks; in between it is the power of two over twice its shingles."""
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -394,6 +400,75 @@ def _linking(pairs: DataFrame, known: DataFrame, texts: DataFrame) -> DataFrame:
     return links
 
 
+def parity_bits(hashes: np.ndarray) -> np.ndarray:
+    """One bit per class of low hash bits, set where the class holds an odd number of ``hashes``; as signed words.
+
+    Two sets differ in at least as many elements as their bits differ. Folding the upper half onto the lower by XOR
+    gives the bits for half as many classes.
+    """
+    least, most = MARK_BITS
+    bits = min(most, max(least, 1 << (2 * len(hashes) - 1).bit_length()))
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _marks(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and ``marks`` (size and parity bits of the shingle set) of the texts in ``ids``."""
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, places = np.unique(batch.column("id").to_numpy(), return_index=True)
+            sets = [np.unique(shingle_hashes(t.as_py(), NEAR_SHINGLE)) for t in batch.column("text").take(pa.array(places))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.int64()), pa.array([len(found) for found in sets], pa.int32()),
+                 pa.array([parity_bits(found) for found in sets], pa.list_(pa.int64()))], ["id", "size", "bits"])
+
+    return (_only(texts, ids).select("id", "text").mapInArrow(tidy(marked), "id long, size int, bits array<long>")
+            .dropDuplicates(["id"]).select("id", F.struct("size", "bits").alias("marks")))
+
+
+def _may_be_similar() -> Column:
+    """Whether ``marks_a`` and ``marks_b`` leave room for ``SIMILARITY``; true if either is missing.
+
+    Sets of a and b elements that differ in d have the similarity (a + b - d) / (a + b + d).
+    """
+    def folded(own: str, other: str) -> Column:
+        half = F.size(other)
+        return F.when(F.size(own) > half, F.zip_with(
+            F.slice(own, 1, half), F.slice(own, half + 1, half), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(own))
+
+    size_a, size_b = F.col("marks_a.size"), F.col("marks_b.size")
+    near = F.least(size_a, size_b) >= F.greatest(size_a, size_b) * SIMILARITY - 1e-6
+    differ = F.aggregate(F.zip_with(folded("marks_a.bits", "marks_b.bits"), folded("marks_b.bits", "marks_a.bits"),
+                                    lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return F.coalesce(near & (differ * (1 + SIMILARITY) <= (size_a + size_b) * (1 - SIMILARITY) + 1e-6), F.lit(True))
+
+
+def _ball(width: int) -> Column:
+    """``key`` and all keys within one bit of it."""
+    return F.expr(f"explode(concat(array(key), transform(sequence(0, {width - 1}), j -> key ^ shiftleft(1L, j))))")
+
+
+def _crowded(table: DataFrame, width: int) -> DataFrame:
+    """Texts within one bit of a segment value of at least ``CROWD`` texts, where that ball holds several groups.
+
+    Whatever meets more than ``CROWD`` texts of another group in one lookup is among them.
+    """
+    dense = store(table.groupBy("key").agg(F.count("*").alias("n")).where(f"n >= {CROWD}").select("key"), "dense-keys")
+    balls = dense.select(F.col("key").alias("centre"), _ball(width).alias("key"))
+
+    def inside(rows: DataFrame, keys: DataFrame, many: bool) -> DataFrame:
+        return rows.join(keys if many else F.broadcast(keys), "key", "left_semi")
+
+    many = dense.count() * (width + 1) > BROADCAST_IDS
+    near = store(inside(table.select("id", "grp", "key"), balls.select("key").distinct(), many), "near-dense")
+    held = near.groupBy("key").agg(F.min("grp").alias("low"), F.max("grp").alias("high"))
+    mixed = balls.join(held, "key").groupBy("centre").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high")
+    open_keys = mixed.select(F.col("centre").alias("key")).select(_ball(width).alias("key")).distinct()
+    ids = store(inside(near, open_keys, many).select("id").distinct(), "crowded-ids")
+    discard(dense, near)
+    return ids
+
+
 def _pivot_pairs(table: DataFrame) -> DataFrame:
     """Each text with the smallest one under the same segment value."""
     pivot = table.groupBy("key").agg(F.min("id").alias("b"), F.min_by("check", "id").alias("check_b"), F.count("*").alias("n"))
@@ -401,7 +476,7 @@ def _pivot_pairs(table: DataFrame) -> DataFrame:
             .where(f"id <> b AND bit_count(check ^ check_b) <= {CHECK_BITS}").select(F.col("id").alias("a"), "b"))
 
 
-def _ball_pairs(table: DataFrame, width: int) -> tuple[DataFrame, DataFrame, DataFrame, str]:
+def _ball_pairs(table: DataFrame, width: int) -> tuple[DataFrame, DataFrame, DataFrame, Column]:
     """Pairs of different groups within one bit of a segment value; the large groups' rows; the test of a pair.
 
     Rows of a large group only look up rows outside large groups and the other
@@ -411,18 +486,20 @@ def _ball_pairs(table: DataFrame, width: int) -> tuple[DataFrame, DataFrame, Dat
     ball = F.expr(f"""explode(concat(array(struct(key AS key, 0 AS off)), transform(
         filter(sequence(0, {width - 1}), j -> (key & shiftleft(1L, j)) = 0),
         j -> struct(key | shiftleft(1L, j) AS key, 1 AS off))))""")
-    close = f"grp_a <> grp_b AND (off = 1 OR a < b) AND bit_count(check_a ^ check_b) <= {CHECK_BITS}"
+    close = F.expr(f"grp_a <> grp_b AND (off = 1 OR a < b) AND bit_count(check_a ^ check_b) <= {CHECK_BITS}") & _may_be_similar()
     probes = table.select(F.col("id").alias("a"), F.col("check").alias("check_a"), F.col("grp").alias("grp_a"),
-                          "large", ball.alias("y")).select("a", "check_a", "grp_a", "large", "y.key", "y.off")
-    stored = table.select(F.col("id").alias("b"), F.col("check").alias("check_b"), F.col("grp").alias("grp_b"), "large", "key")
+                          F.col("marks").alias("marks_a"), "large", ball.alias("y")).select(
+        "a", "check_a", "grp_a", "marks_a", "large", "y.key", "y.off")
+    stored = table.select(F.col("id").alias("b"), F.col("check").alias("check_b"), F.col("grp").alias("grp_b"),
+                          F.col("marks").alias("marks_b"), "large", "key")
     # A lookup by a large group's row runs in lane true, which holds no large group's rows.
-    lanes = stored.select("b", "check_b", "grp_b", "key", F.explode(
+    lanes = stored.select("b", "check_b", "grp_b", "marks_b", "key", F.explode(
         F.when(F.col("large"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("large"))
     pairs = probes.join(lanes, ["key", "large"]).where(close).select("a", "b")
     return pairs, probes.where("large"), stored.where("large"), close
 
 
-def _large_pairs(probes: DataFrame, stored: DataFrame, close: str) -> DataFrame:
+def _large_pairs(probes: DataFrame, stored: DataFrame, close: Column) -> DataFrame:
     """Pairs across large groups, by the groups that meet under a key."""
     meets = probes.select("key", "grp_a").distinct().join(stored.select("key", "grp_b").distinct(), "key").where("grp_a <> grp_b")
     return (probes.drop("large").join(meets, ["key", "grp_a"]).join(stored.drop("large"), ["key", "grp_b"])
@@ -445,13 +522,16 @@ def near_groups(docs: DataFrame) -> DataFrame:
         sketches.join(groups.join(large, "grp"), "id", "left")
         .select("id", "check", "keys", F.coalesce("grp", "id").alias("grp"), F.coalesce("large", F.lit(False)).alias("large")),
         "grouped")
-    table = _table(grouped, width)
+    crowded = _crowded(_table(grouped, width), width)
+    marked = store(grouped.join(_marks(texts, crowded), "id", "left"), "marked")
+    discard(grouped, crowded)
+    table = _table(marked, width)
     pairs, large_probes, large_stored, close = _ball_pairs(table, width)
-    if grouped.where("large").select("grp").distinct().limit(2).count() > 1:
+    if marked.where("large").select("grp").distinct().limit(2).count() > 1:
         pairs = pairs.union(_large_pairs(large_probes, large_stored, close))
     links = _linking(_close(pairs, sketches, width, segments), first, texts)
     roots = components(links).withColumnRenamed("node", "id")
-    discard(sketches, grouped)
+    discard(sketches, marked)
     return roots
 
 
