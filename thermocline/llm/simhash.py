@@ -126,6 +126,8 @@ def linked_fingerprints(distinct: DataFrame) -> DataFrame:
 
     One of the two 32-bit halves then differs in at most one bit. A fingerprint has
     at most 43,744 others within three bits, so the pairs of one are bounded however large its group.
+    Spark takes an exploded table to be as small as what it came from, here about 34 times too small, and
+    would send it through the driver; so both sides are dealt out by a shuffle at any size.
     """
     low = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
     halves = F.explode(F.array(
@@ -136,22 +138,25 @@ def linked_fingerprints(distinct: DataFrame) -> DataFrame:
         filter(sequence(0, 31), j -> (key & shiftleft(1L, j)) = 0), j -> struct(key | shiftleft(1L, j) AS key, 1 AS off))))""")
     probes = table.select(F.col("fp").alias("a"), "segment", ball.alias("y")).select("a", "segment", "y.key", "y.off")
     return (
-        table.withColumnRenamed("fp", "b").join(probes, ["segment", "key"])
+        table.withColumnRenamed("fp", "b").join(probes.hint("merge"), ["segment", "key"])
         .where("(off = 1 OR a < b) AND bit_count(a ^ b) <= 3").select("a", "b")
     )
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprint and component of every document."""
+    """Fingerprint and component of every document.
+
+    All joined tables grow with the documents and lie packed in their files, so none goes through the driver.
+    """
     rows = store(fingerprints(read_table(spark, sf_dir, "documents")), "fingerprints")
     first = store(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
     roots = components(linked_fingerprints(first.select("fp")))
     rooted = store(
-        first.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+        first.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left")
         .select("fp", "first", F.coalesce("root", "fp").alias("root")), "roots")
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = rooted.select("fp", "root").join(smallest, "root").select("fp", "component_id")
-    return rows.join(labels, "fp").select(
+    labels = rooted.select("fp", "root").join(smallest.hint("merge"), "root").select("fp", "component_id")
+    return rows.join(labels.hint("merge"), "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
