@@ -1,8 +1,9 @@
 """Steps whose rows Spark counts too low (after an explode or a Python function) never go through the driver."""
 
+import numpy as np
 import pytest
 
-from thermocline.llm import simhash
+from thermocline.llm import ann, simhash
 from thermocline.llm.common import store
 
 
@@ -28,3 +29,22 @@ def test_op1_broadcasts_no_table_of_fingerprints(spark, tmp_path):
     found = simhash.op1_simhash(spark, str(tmp_path))
     assert "Broadcast" not in plan_of(found)
     assert {(r["doc_id"], r["component_id"]) for r in found.collect()} == {(0, 0), (1, 0), (2, 2), (3, 3)}
+
+
+def test_op4_broadcasts_no_probes(spark, monkeypatch):
+    plans = {}
+
+    def stored(df, name):
+        plans[name] = plan_of(df)
+        return store(df, name)
+
+    monkeypatch.setattr(ann, "store", stored)
+    random = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in random.normal(size=8)]) for i in range(400)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = ann.search(table, table.where("vec_id % 100 = 0")).collect()
+    assert "Broadcast" not in plans["candidates"] and "SortMergeJoin" in plans["candidates"]
+    vectors = np.array([v for _, v in rows])
+    for query in range(0, 400, 100):
+        want = np.argsort(np.sqrt(((vectors - vectors[query]) ** 2).sum(axis=1)))[1:11]
+        assert len({r["vec_id"] for r in found if r["query_id"] == query} & set(want.tolist())) >= 9

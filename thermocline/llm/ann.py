@@ -133,6 +133,16 @@ def _keys(rows: DataFrame, hashes: Hashes, probing: bool) -> DataFrame:
     return rows.select("cls", "vector").mapInArrow(tidy(emit), "key long, cls long")
 
 
+def _candidates(classes: DataFrame, of_queries: DataFrame, hashes: Hashes) -> DataFrame:
+    """(query_cls, cls) that meet in a bucket of some table.
+
+    Spark takes what a Python function gives to be as large as its input, here up to hundreds of times too
+    small, and would send all probes through the driver; so both sides are dealt out by a shuffle at any size.
+    """
+    probes = _keys(of_queries, hashes, True).withColumnRenamed("cls", "query_cls")
+    return _keys(classes, hashes, False).join(probes.hint("merge"), "key").select("query_cls", "cls").distinct()
+
+
 SCORED = "query_cls long, cls long, score double"
 
 
@@ -210,9 +220,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, tables: int
     hashes = Hashes(dimension, n, tables, probes)
     of_queries = store(classes.join(asked.select(F.col("query_cls").alias("cls")).distinct(), "cls", "left_semi")
                        .select("cls", "vector"), "query-vectors")
-    met = store(
-        _keys(classes, hashes, False).join(_keys(of_queries, hashes, True).withColumnRenamed("cls", "query_cls"), "key")
-        .select("query_cls", "cls").distinct(), "candidates")
+    met = store(_candidates(classes, of_queries, hashes), "candidates")
 
     # Blocks of query vectors by hash, about BLOCK_QUERIES each whatever their number.
     n_blocks = -(-of_queries.count() // BLOCK_QUERIES)
