@@ -29,6 +29,8 @@ def build_session(app: str = "thermocline", master: str | None = None, **conf: s
         "spark.sql.streaming.stateStore.providerClass":
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.ui.enabled": "false",
+        # Only the text of plans: at the default of 100 characters filters of a scan are cut out of it as column numbers grow.
+        "spark.sql.maxMetadataStringLength": "2000",
     }
     settings.update({key.replace("__", "."): value for key, value in conf.items()})
     builder = SparkSession.builder.appName(app)
